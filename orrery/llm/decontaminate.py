@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import by_arrow
-from .kernels import Words, byte_table, covered, gram_spans, grams, slices, text_view
+from .kernels import Words, byte_table, covered, gram_spans, grams, keyed, place_of, slices, sliding_min, text_view
 
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 WINDOW, GRAM = 10, 4
@@ -39,21 +39,9 @@ RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 
 def winnow(gram_hash: np.ndarray, width: int) -> np.ndarray:
     """Positions that hold the (leftmost) least hash of a stretch of ``width`` grams."""
-    n = len(gram_hash) - width + 1
-    if n <= 0:
+    if len(gram_hash) < width:
         return np.zeros(0, np.int64)
-    keyed = (gram_hash & np.uint64(~((1 << 30) - 1) & (1 << 64) - 1)) | np.arange(len(gram_hash), dtype=np.uint64)
-    return np.unique(sliding_min(keyed, width) & np.uint64((1 << 30) - 1)).astype(np.int64)
-
-
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive values, by doubling."""
-    out, have = values, 1
-    while have * 2 <= width:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    rest = width - have
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+    return np.unique(place_of(sliding_min(keyed(gram_hash), width)))
 
 
 class Index:

@@ -167,3 +167,25 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, ends, -1)
     return np.cumsum(step[:-1]) > 0
+
+
+_PLACE = (1 << 30) - 1
+
+
+def keyed(hashes: np.ndarray) -> np.ndarray:
+    """The hashes' high 34 bits above their positions: minima are unique, the leftmost on ties."""
+    return (hashes & np.uint64(~_PLACE & _MASK)) | np.arange(len(hashes), dtype=np.uint64)
+
+
+def place_of(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(_PLACE)).astype(np.int64)
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` consecutive values, by doubling."""
+    out, have = values, 1
+    while have * 2 <= width:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
