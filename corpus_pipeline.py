@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import bpe, decontaminate
+from orrery.llm import bpe, decontaminate, near_dedup, pii, quality
 from orrery.llm.common import table, written
 from orrery.llm.queries import tokenizer_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject."""
+    judged = quality.judged(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return judged.where("kept").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each class of near copies."""
+    return near_dedup.deduplicated(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +26,17 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where(~F.col("contaminated")).select(*docs.columns)
 
 
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in the texts and counts their characters anew."""
+    return pii.redacted(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the decoded text."""
     return bpe.tokenized(docs, tokenizer_path())
 
 
-STAGES = [("benchmark decontamination", decontaminated), ("bpe", tokens)]
+STAGES = [("quality rules", good), ("MinHash near-dedup", distinct), ("benchmark decontamination", decontaminated), ("PII", masked), ("BPE encoding and decoding", tokens)]
 ORACLE_SQL = None
 
 

@@ -27,7 +27,7 @@ def planes(values: np.ndarray, width: int) -> bytes:
 
 
 def unplanes(data: bytes, width: int) -> np.ndarray:
-    n = len(data) // width
+    n = len(data) // width if width else 0
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, near_dedup, pii, quality, sharding, substring_dedup, url_filter
+from . import bpe, chat, decontaminate, near_dedup, pii, quality, sharding, substring_dedup, suffix_dedup, url_filter
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), gram=3, percent=85)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 with u as (
   select page_id,
@@ -96,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_chat": op8_chat,
     "op9_near_dedup": op9_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op8_chat": OP8_SQL}
