@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import by_arrow, partitions
 from .kernels import slices
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -63,6 +63,14 @@ def packets(bucket: np.ndarray, docs: np.ndarray, columns: list[tuple[np.ndarray
     return pa.record_batch(out, names=["bucket", "part", "docs", *(f"c{i}" for i in range(len(columns))), *["blob"] * (blobs is not None)])
 
 
+def bucket_keys(df: DataFrame) -> np.ndarray:
+    """One number for each shuffle partition, such that Spark's hash sends it there: buckets spread evenly."""
+    n = partitions(df)
+    homes = df.sparkSession.range(32 * n + 256).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("home"))
+    keys = dict(homes.groupBy("home").agg(F.min("key")).collect())
+    return np.array([keys.get(b, b) for b in range(n)], np.int64)
+
+
 def schema(columns: int, blob: bool = False) -> str:
     return "bucket int, part int, docs binary" + "".join(f", c{i} binary" for i in range(columns)) + ", blob binary" * blob
 

@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_arrow, partitions
-from .exchange import chunks, exchanged, grouped, numbers, packets, received
+from .common import by_arrow
+from .exchange import bucket_keys, chunks, exchanged, grouped, numbers, packets, received
 from .kernels import Words, byte_table, covered, gram_spans, grams, keyed, place_of, prefix_sums, slices, sliding_min, span_hashes, text_view
 
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -96,7 +96,8 @@ def later(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarra
 
 def repeated_spans(docs: DataFrame, id_column: str) -> DataFrame:
     """(id, places): the units at which a span begins that is not its hash's first."""
-    buckets = partitions(docs)
+    homes = bucket_keys(docs)
+    buckets = len(homes)
 
     def look(part):
         units = Units(*text_view(part.column(1)))
@@ -107,9 +108,9 @@ def repeated_spans(docs: DataFrame, id_column: str) -> DataFrame:
         for hashes, ids, places in chunks(batches, look):
             known = later(hashes, ids, places)
             none = np.zeros(int(known.sum()), np.uint64)
-            yield packets((ids[known] % buckets).astype(np.int64), ids[known], [(none, 1), (places[known], 4)], part=1)
+            yield packets(homes[(ids[known] % buckets).astype(np.int64)], ids[known], [(none, 1), (places[known], 4)], part=1)
             hashes, ids, places = hashes[~known], ids[~known], places[~known]
-            yield packets((hashes % np.uint64(buckets)).astype(np.int64), ids, [(hashes, 8), (places, 4)])
+            yield packets(homes[(hashes % np.uint64(buckets)).astype(np.int64)], ids, [(hashes, 8), (places, 4)])
 
     def receive(batches):
         got = received(batches, {0: (8, 4), 1: (1, 4)})

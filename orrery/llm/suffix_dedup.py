@@ -33,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_arrow, partitions, written
-from .exchange import chunks, exchanged, grouped, numbers, packets, received, spread
+from .common import by_arrow, written
+from .exchange import bucket_keys, chunks, exchanged, grouped, numbers, packets, received, spread
 from .kernels import BASE_INVERSE, BYTE_CODES, covered, keyed, mix, place_of, powers, prefix_sums, slices, sliding_min, span_hashes, text_view
 
 LENGTH, GRAM = 50, 18
 WIDTH = LENGTH - GRAM + 1
+SORTED_AT_ONCE = 12_000
 BITS48 = np.uint64((1 << 48) - 1)
 
 
@@ -205,7 +206,8 @@ def covered_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray, back:
 
 def whole_stretches(texts: DataFrame) -> DataFrame:
     """(id, start, end, open_low, open_high, open_back): spans covered whole, and stretches left open."""
-    buckets = partitions(texts)
+    homes = bucket_keys(texts)
+    buckets = len(homes)
 
     def look(part):
         data, at = text_view(part.column(1))
@@ -218,10 +220,10 @@ def whole_stretches(texts: DataFrame) -> DataFrame:
             whole, _ = resolved(anchor, stretch, ids)
             known, start, end = merged(ids[whole], low[whole], low[whole] + more[whole] + LENGTH)
             none = np.zeros(len(known), np.int64)
-            yield packets(known % buckets, known, [(none, 0), (none, 0), (start, 4), (end, 4), (none, 0)], part=1)
+            yield packets(homes[known % buckets], known, [(none, 0), (none, 0), (start, 4), (end, 4), (none, 0)], part=1)
             rest = ~whole
             columns = [(anchor[rest], 6), (stretch[rest], 6), (low[rest], 4), (more[rest], 1), (back[rest], 1)]
-            yield packets((anchor[rest] % np.uint64(buckets)).astype(np.int64), ids[rest], columns)
+            yield packets(homes[(anchor[rest] % np.uint64(buckets)).astype(np.int64)], ids[rest], columns)
 
     def receive(batches):
         got = received(batches, {0: (6, 6, 4, 1, 1), 1: (0, 0, 4, 4, 0)})
@@ -241,7 +243,8 @@ def whole_stretches(texts: DataFrame) -> DataFrame:
 
 def sorted_stretches(texts: DataFrame, open_: DataFrame) -> DataFrame:
     """(id, start, end): what the suffix sort of the open stretches covers."""
-    buckets = partitions(texts)
+    homes = bucket_keys(texts)
+    buckets = len(homes)
     joined = texts.join(open_.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("id", "text", "open_low", "open_more", "open_back")
 
     def send(batches):
@@ -259,7 +262,7 @@ def sorted_stretches(texts: DataFrame, open_: DataFrame) -> DataFrame:
             sums = prefix_sums(BYTE_CODES[data])
             anchor = span_hashes(sums, begin + back, begin + back + GRAM)
             ids = np.asarray(part.column(0))[row]
-            yield packets((anchor % np.uint64(buckets)).astype(np.int64), ids, [(anchor, 8), (low, 4), (more, 1), (back, 1)], blobs=(data, begin, more + LENGTH))
+            yield packets(homes[(anchor % np.uint64(buckets)).astype(np.int64)], ids, [(anchor, 8), (low, 4), (more, 1), (back, 1)], blobs=(data, begin, more + LENGTH))
 
     def receive(batches):
         ids, anchor, low, more, back, data = received(batches, {0: (8, 4, 1, 1)}, blob=True)[0]
@@ -272,7 +275,7 @@ def sorted_stretches(texts: DataFrame, open_: DataFrame) -> DataFrame:
         found = []
         at = 0
         while at < len(heads) - 1:
-            stop = max(at + 1, int(np.searchsorted(heads, heads[at] + 60_000, side="right")) - 1)
+            stop = max(at + 1, int(np.searchsorted(heads, heads[at] + SORTED_AT_ONCE, side="right")) - 1)
             own = order[heads[at] : heads[stop]]
             local = data[spread(begin[own], length[own])]
             entry, offset = covered_strings(local, np.cumsum(length[own]) - length[own], more[own] + 1, back[own], anchor[own], ids[own])
