@@ -38,7 +38,7 @@ def debounced(requests: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFram
     return requests.join(jobs.where(F.col("status").isin("queued", "running")).select(*keys), keys, "left_anti")
 
 
-def push_plan(pushes: DataFrame, state: DataFrame, now: Column) -> DataFrame:
+def push_plan(pushes: DataFrame, state: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """What a push asks for: ignored, skipped, full or incremental.
 
     ``pushes``: repo_id, ref, default_branch, before, after, truncated, commits
@@ -56,7 +56,7 @@ def push_plan(pushes: DataFrame, state: DataFrame, now: Column) -> DataFrame:
         .when(full, "full")
         .otherwise("incremental")
     )
-    return rows.select("repo_id", "after", "added", "modified", "removed", changed.alias("changed"), mode.alias("mode"))
+    return rows.select(*keep, "repo_id", "after", "added", "modified", "removed", changed.alias("changed"), mode.alias("mode"))
 
 
 def publish_decision(head: str, base: str, now_head: str, target: str) -> Column:

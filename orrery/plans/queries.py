@@ -21,7 +21,9 @@ def query(views: str = "", sql: str | None = None, name: str | None = None):
     def add(function):
         key = name or function.__name__
         QUERIES[key] = lambda spark, sf_dir: function(Domain(spark, sf_dir))
-        if sql:
+        if sql and not views:
+            ORACLES[key] = sql
+        elif sql:
             ORACLES[key] = with_clause(*views.split()) + sql if not sql.lstrip().startswith("with ") else with_clause(*views.split()) + ", " + sql.lstrip()[5:]
         return function
 
