@@ -5,8 +5,8 @@ text's end.  A sentence of more than ``LONG`` words is cut further where its
 content says so: at the least two-word hash of every ``CUT`` consecutive ones.
 So no unit has more than ``LONG`` words, and the units of a passage are the same
 in every document, but for a few words at its ends.  A span is the shortest run
-of at least ``RUN`` units and ``LEAST`` words from a unit on; a text without
-such a run is one span.  Spans are hashed, joined over the whole corpus, and the
+of at least ``RUN`` units and ``LEAST`` words that begins, or that ends, with a
+given unit; a text without such a run is one span.  Spans are hashed, joined over the whole corpus, and the
 units covered by any span that is not its hash's first one (least document,
 then place) are removed, with the white space after them.  A passage of 50 words
 or more that two documents share always contains a span.
@@ -31,6 +31,7 @@ from .kernels import Words, byte_table, covered, gram_spans, grams, keyed, place
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 TABLE = byte_table(separators=SPACES)
 RUN, LEAST, LONG, CUT = 3, 16, 8, 6
+STEP_BITS, STEP_MASK = 5, 31  # a span is its first unit and how many follow; these are fewer than LEAST
 CLOSES = np.isin(np.arange(256), list(b".!?"))
 
 
@@ -65,13 +66,17 @@ class Units:
         self.doc = np.repeat(np.arange(len(at) - 1), self.count)
         self.place = np.arange(len(self.begin)) - self.first[self.doc]
         self.words, self.at = w, at
-        last = np.maximum(np.arange(len(self.begin)) + RUN - 1, np.searchsorted(self.end, self.begin + LEAST))
-        limit = (self.first + self.count)[self.doc]
-        whole = (self.place == 0) & (last >= limit)
-        self.last = np.where(whole, limit - 1, last)
-        self.spans = np.flatnonzero(self.last < limit)
+        every = np.arange(len(self.begin))
+        low, limit = self.first[self.doc], (self.first + self.count)[self.doc]
+        last = np.maximum(every + RUN - 1, np.searchsorted(self.end, self.begin + LEAST))
+        back = np.minimum(every - RUN + 1, np.searchsorted(self.begin, self.end - LEAST, side="right") - 1)
+        ahead, behind, whole = last < limit, back >= low, (self.place == 0) & (last >= limit)
+        both = np.unique(np.concatenate([every[ahead] << STEP_BITS | (last - every)[ahead], back[behind] << STEP_BITS | (every - back)[behind], every[whole] << STEP_BITS | (limit - 1 - every)[whole]]))
+        self.span_begin, self.span_last = both >> STEP_BITS, (both >> STEP_BITS) + (both & STEP_MASK)
         sums = prefix_sums(w.hash)
-        self.hash = span_hashes(sums, self.begin[self.spans], self.end[self.last[self.spans]])
+        self.hash = span_hashes(sums, self.begin[self.span_begin], self.end[self.span_last])
+        self.span_doc = self.doc[self.span_begin]
+        self.span_place = self.place[self.span_begin] << STEP_BITS | (both & STEP_MASK)
 
     def bytes_of(self) -> tuple[np.ndarray, np.ndarray]:
         """Each unit's bytes, up to the next unit or the text's end."""
@@ -95,14 +100,14 @@ def later(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarra
 
 
 def repeated_spans(docs: DataFrame, id_column: str) -> DataFrame:
-    """(id, places): the units at which a span begins that is not its hash's first."""
+    """(id, places): the spans that are not their hash's first, as first unit and number of further ones."""
     homes = bucket_keys(docs)
     buckets = len(homes)
 
     def look(part):
         units = Units(*text_view(part.column(1)))
         ids = np.asarray(part.column(0))
-        return [units.hash, ids[units.doc[units.spans]], units.place[units.spans]]
+        return [units.hash, ids[units.span_doc], units.span_place]
 
     def send(batches):
         for hashes, ids, places in chunks(batches, look):
@@ -137,12 +142,11 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", keep: tuple[str, ..
         for part in slices(batches, "text"):
             data, at = text_view(part.column(text))
             units = Units(data, at)
-            hit = np.zeros(len(units.begin), bool)
-            for r, cells in enumerate(part.column(len(columns)).to_pylist()):
-                if cells:
-                    hit[units.first[r] + numbers(cells)] = True
-            hit = np.flatnonzero(hit)
-            gone = covered(hit, units.last[hit] + 1, len(units.begin))
+            cells = part.column(len(columns)).to_pylist()
+            places = [numbers(x) for x in cells]
+            hit = np.concatenate(places)
+            begin = np.repeat(units.first, [len(x) for x in places]) + (hit >> STEP_BITS)
+            gone = covered(begin, begin + (hit & STEP_MASK) + 1, len(units.begin))
             start, stop = units.bytes_of()
             drop = covered(start[gone], stop[gone], len(data))
             sums = np.concatenate(([0], np.cumsum(gone)))

@@ -251,13 +251,14 @@ def test_substring_dedup(spark, docs, texts):
         data, at = text_view(pa.array([t], pa.string()))
         u = units[i] = substring_dedup.Units(data, at)
         w = [bytes(data[a:b]) for a, b in zip(u.words.start, u.words.end, strict=True)]
-        for s in u.spans.tolist():
-            spans[tuple(w[u.begin[s] : u.end[u.last[s]]])].append((i, s))
+        for s, e in zip(u.span_begin.tolist(), u.span_last.tolist(), strict=True):
+            assert e - s < 16
+            spans[tuple(w[u.begin[s] : u.end[e]])].append((i, s, e))
     gone = collections.Counter()
     removed = collections.defaultdict(set)
     for places in spans.values():
-        for i, s in sorted(places)[1:]:
-            removed[i] |= set(range(s, units[i].last[s] + 1))
+        for i, s, e in sorted(places)[1:]:
+            removed[i] |= set(range(s, e + 1))
     gone.update({i: len(x) for i, x in removed.items()})
     assert {i: r.n_removed for i, r in got.items()} == {i: gone[i] for i in texts}
 
