@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .text import stripped
+
 # Markers, words, confidences and patterns of the line rules.
 SECTION = r"#?## breaking|breaking changes|breaking:"
 SYMBOLS = r"`([a-zA-Z0-9_.$]+)`|\b[a-zA-Z_][a-zA-Z0-9_]*\(\)"
@@ -20,7 +22,7 @@ def changelog_changes(df: DataFrame, id_column: str = "id", text: str = "changel
     other heading closes it.  Outside a section only bullets count.  The first
     record of a symbol and type stays.
     """
-    lines = df.select(F.col(id_column).alias("id"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("at", "raw")).select("id", "at", F.trim("raw").alias("line"))
+    lines = df.select(F.col(id_column).alias("id"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("at", "raw")).select("id", "at", stripped("raw").alias("line"))
     low = F.lower("line")
     marker = low.rlike(SECTION)
     state = F.when(marker, True).when(low.startswith("#") & ~low.contains("breaking"), False)

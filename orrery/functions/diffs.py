@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from .text import stripped
+
 DRIFT = (25, 24)
 RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("content", T.StringType()), T.StructField("log", T.StringType())])
 HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -18,12 +20,12 @@ def structure(diff: str, snippet: str):
     Without removed lines, or without a snippet, any scope is fine.
     """
     lines = F.split(F.col(diff), r"\r\n|\n|\r")
-    trimmed = lambda s: F.trim(F.substring(s, 2, 1_000_000))
+    trimmed = lambda s: stripped(F.substring(s, 2, 1_000_000))
     minus = F.transform(F.filter(lines, lambda s: s.startswith("-") & ~s.startswith("---")), trimmed)
     plus = F.filter(lines, lambda s: s.startswith("+") & ~s.startswith("+++"))
     starts = lambda mark: F.exists(lines, lambda s: s.startswith(mark))
     shaped = F.coalesce((F.length(diff) >= 10) & (F.col(diff) != "UNABLE_TO_PATCH") & (starts("@@") | (starts("---") & starts("+++"))) & (F.size(minus) + F.size(plus) > 0), F.lit(False))
-    known = F.filter(F.transform(F.split(F.coalesce(F.col(snippet), F.lit("")), r"\r\n|\n|\r"), lambda s: F.trim(s)), lambda s: s != "")
+    known = F.filter(F.transform(F.split(F.coalesce(F.col(snippet), F.lit("")), r"\r\n|\n|\r"), stripped), lambda s: s != "")
     meets = F.exists(F.filter(minus, lambda m: m != ""), lambda m: F.exists(known, lambda k: k.contains(m) | m.contains(k)))
     scope = shaped & ((F.size(minus) == 0) | (F.size(known) == 0) | meets)
     return F.struct(shaped.alias("applies"), scope.alias("parses"), scope.alias("scope"))

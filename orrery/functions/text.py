@@ -22,6 +22,11 @@ def redacted(text) -> Column:
     return F.regexp_replace(text, KEY_PATTERN, "[REDACTED]")
 
 
+def stripped(x) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def basename(path) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -89,7 +94,7 @@ def relative_time(at, now) -> Column:
 def fenced_json(text) -> Column:
     """What a Markdown fence holds, else the text; trimmed."""
     inside = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)
-    return F.trim(F.when(inside != "", inside).otherwise(text))
+    return stripped(F.when(inside != "", inside).otherwise(F.col(text) if isinstance(text, str) else text))
 
 
 def extracted_changes(text) -> Column:
@@ -109,8 +114,8 @@ def extracted_changes(text) -> Column:
 def extracted_diff(text) -> Column:
     """The diff in a provider's answer, or the sentinel."""
     inside = F.regexp_extract(text, r"(?s)```(?:diff)?\s*\n(.*?)```", 1)
-    plain = F.trim(text)
-    return F.when(F.contains(text, F.lit(SENTINEL)), SENTINEL).when(F.regexp_like(text, F.lit(r"(?s)```(?:diff)?\s*\n.*?```")), F.trim(inside)).when(plain.rlike("^(---|@@|diff)"), plain).otherwise(SENTINEL)
+    plain = stripped(text)
+    return F.when(F.contains(text, F.lit(SENTINEL)), SENTINEL).when(F.regexp_like(text, F.lit(r"(?s)```(?:diff)?\s*\n.*?```")), stripped(inside)).when(plain.rlike("^(---|@@|diff)"), plain).otherwise(SENTINEL)
 
 
 def failure_class(text) -> Column:
@@ -139,7 +144,7 @@ def log_sha(log, kind: str) -> Column:
 
 def squeezed(text) -> Column:
     """White space reduced to single spaces."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return stripped(F.regexp_replace(text, r"\s+", " "))
 
 
 def redirect_allowed(url, hosts: tuple[str, ...]) -> Column:
