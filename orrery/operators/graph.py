@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -163,16 +164,69 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_hops: int = 3) -> DataF
 
 
 def layout_anchors(folders: DataFrame) -> DataFrame:
-    """Polar anchors of folders: rank and count among siblings, radius and height.
+    """Polar anchors of folders around their parents, the root in the middle.
 
-    Radius 4.8 + 0.85 per sibling and 4.8 down per level; the angle divides the
-    circle among siblings in text order.
+    Radius 4.8 + 0.85 per sibling, the circle divided among siblings in text
+    order, 4.8 down per level.  A place is the sum of the offsets of a folder and
+    its ancestors, found by an equi-join on the ancestors' names.
     """
     siblings = Window.partitionBy("repo_id", "parent")
     ranked = folders.withColumn("rank", F.row_number().over(siblings.orderBy("folder")) - 1).withColumn("siblings", F.count("*").over(siblings))
     angle = 2 * F.pi() * F.col("rank") / F.col("siblings")
     radius = F.when(F.col("parent").isNull(), 0.0).otherwise(4.8 + 0.85 * F.col("siblings"))
-    return ranked.select("repo_id", "folder", "rank", "siblings", F.round(radius * F.cos(angle), 6).alias("dx"), F.round(-4.8 * F.col("depth"), 6).alias("y"), F.round(radius * F.sin(angle), 6).alias("dz"))
+    offsets = ranked.select("repo_id", F.col("folder").alias("ancestor"), (radius * F.cos(angle)).alias("dx"), (radius * F.sin(angle)).alias("dz"))
+    parts = F.split("folder", "/")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    placed = ranked.select("repo_id", "folder", F.explode(chain).alias("ancestor")).join(offsets, ["repo_id", "ancestor"])
+    sums = placed.groupBy("repo_id", "folder").agg(F.round(F.sum("dx"), 5).alias("x"), F.round(F.sum("dz"), 5).alias("z"))
+    return ranked.join(sums, ["repo_id", "folder"]).select("repo_id", "folder", "rank", "siblings", "x", F.round(-4.8 * F.col("depth"), 5).alias("y"), "z")
+
+
+def node_seeds(nodes: DataFrame) -> DataFrame:
+    """Places of files around their folder's anchor: rank, tier of ten, radius and angle."""
+    own = Window.partitionBy("repo_id", "folder")
+    ranked = nodes.withColumn("folder", folder("path")).withColumn("rank", F.row_number().over(own.orderBy("path")) - 1).withColumn("files", F.count("*").over(own))
+    ring = F.greatest(F.lit(2.6), F.ceil(F.sqrt("files")) * 1.6)
+    tier = F.floor(F.col("rank") / 10)
+    return ranked.select("repo_id", "path", "rank", tier.alias("tier"), F.round(ring + tier * 2.2, 5).alias("radius"), F.round(2 * F.pi() * F.col("rank") / F.col("files"), 5).alias("angle"))
+
+
+def wire_midpoint(x1: str, y1: str, z1: str, x2: str, y2: str, z2: str):
+    """Height of an edge's middle: sagging between layers (over 1.2 apart), arched within one."""
+    dx, dy, dz = (F.col(b) - F.col(a) for a, b in ((x1, x2), (y1, y2), (z1, z2)))
+    flat = F.hypot(dx, dz)
+    middle = (F.col(y1) + F.col(y2)) * 0.5
+    sag = F.least(F.lit(1.2), F.greatest(F.lit(0.25), flat * 0.1))
+    arch = F.least(F.lit(1.8), F.greatest(F.lit(0.35), F.hypot(flat, dy) * 0.15))
+    return F.when(F.abs(dy) > 1.2, middle - sag).otherwise(middle + arch)
+
+
+def relaxed(points: DataFrame, ticks: int = 100, reach: float = 1.6, pull: float = 0.05) -> DataFrame:
+    """Files pushed apart within each folder and pulled to its anchor, y fixed: (repo_id, folder, path, x, z, tx, tz).
+
+    Each folder is relaxed alone; intake bounds its files.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        xz, to = pdf[["x", "z"]].to_numpy(float).copy(), pdf[["tx", "tz"]].to_numpy(float)
+        for _ in range(ticks):
+            apart = xz[:, None] - xz[None]
+            far = np.sqrt((apart**2).sum(-1))
+            push = np.where((far > 0) & (far < reach), (reach - far) / np.maximum(far, 1e-9) * 0.5, 0.0)
+            xz += (apart * push[..., None]).sum(1) * 0.5 + (to - xz) * pull
+        return pdf[["repo_id", "folder", "path"]].assign(x=xz[:, 0], z=xz[:, 1])
+
+    kind = points.schema["repo_id"].dataType.simpleString()
+    return points.groupBy("repo_id", "folder").applyInPandas(run, f"repo_id {kind}, folder string, path string, x double, z double")
+
+
+def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One document per repository: nodes, edges and counts, as JSON in path order."""
+    n = nodes.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct(F.col("path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"), folder("path").alias("dir"), "ext"))).alias("nodes"))
+    e = edges.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct(F.col("source_path").alias("source"), F.col("target_path").alias("target")))).alias("edges"))
+    none = F.array().cast(e.schema["edges"].dataType)
+    rows = n.join(e, "repo_id", "left").withColumn("edges", F.coalesce("edges", none))
+    return rows.select("repo_id", F.size("nodes").alias("node_count"), F.size("edges").alias("edge_count"), F.to_json(F.struct("nodes", "edges")).alias("graph_json"))
 
 
 def freshness(graphs: DataFrame, now: str) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import graph, reporting as r, scheduling, scoring, tenancy
+from ..operators import graph, lookup, reporting as r, scheduling, scoring, tenancy
 from ..sources import sinks
+from ..streaming import stateful
 from .bindings import Domain, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,9 +227,10 @@ def folder_closure(d: Domain) -> DataFrame:
 
 @query("atlas_nodes", f"""with f as (select distinct repo_id, unnest(list_transform(range(0, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[1:n], '/'))) as folder from atlas_nodes),
     c as (select repo_id, folder, case when folder = '' then null else {FOLDER.format('folder')} end as parent, case when folder = '' then 0 else len(string_split(folder, '/')) end as depth from f),
-    s as (select *, row_number() over (partition by repo_id, parent order by folder) - 1 as rank, count(*) over (partition by repo_id, parent) as siblings from c)
-    select repo_id, folder, rank, siblings, round(case when parent is null then 0 else (4.8 + 0.85 * siblings) end::double * cos(2 * pi() * rank / siblings), 6) as dx, round(-4.8 * depth, 6)::double as y,
-    round(case when parent is null then 0 else (4.8 + 0.85 * siblings) end::double * sin(2 * pi() * rank / siblings), 6) as dz from s""")
+    s as (select *, row_number() over (partition by repo_id, parent order by folder) - 1 as rank, count(*) over (partition by repo_id, parent) as siblings from c),
+    o as (select *, case when parent is null then 0 else (4.8 + 0.85 * siblings) end::double as radius from s)
+    select s.repo_id, s.folder, any_value(s.rank) as rank, any_value(s.siblings) as siblings, round(sum(o.radius * cos(2 * pi() * o.rank / o.siblings)), 5) as x, round(-4.8 * any_value(s.depth), 5)::double as y,
+    round(sum(o.radius * sin(2 * pi() * o.rank / o.siblings)), 5) as z from s join o on o.repo_id = s.repo_id and (s.folder = o.folder or (o.folder <> '' and starts_with(s.folder, o.folder || '/'))) group by s.repo_id, s.folder""")
 def layout_anchors(d: Domain) -> DataFrame:
     return graph.layout_anchors(graph.folder_closure(d.atlas_nodes))
 
@@ -365,3 +367,59 @@ def snapshot_diff(d: Domain) -> DataFrame:
 def publish_decision(d: Domain) -> DataFrame:
     rows = d.analysis_runs.select("id", (F.col("score") % 4).alias("h"), F.when(F.col("score") % 5 > 0, F.col("score") % 4 + (F.col("score") % 7 == 0).cast("int")).alias("b"), (F.col("score") % 4 + (F.col("score") % 11 == 0).cast("int")).alias("n"), (F.col("id") % 4).alias("t"))
     return rows.select("id", scheduling.publish_decision("h", "b", "n", "t").alias("decision"))
+
+
+@query("atlas_nodes", f"""with n as (select *, {FOLDER.format('path')} as folder from atlas_nodes), r as (select *, row_number() over (partition by repo_id, folder order by path) - 1 as rank, count(*) over (partition by repo_id, folder) as files from n)
+    select repo_id, path, rank, rank // 10 as tier, round(greatest(2.6, ceil(sqrt(files)) * 1.6) + rank // 10 * 2.2, 5)::double as radius, round(2 * pi() * rank / files, 5) as angle from r""")
+def node_seeds(d: Domain) -> DataFrame:
+    return graph.node_seeds(d.atlas_nodes)
+
+
+@query("atlas_nodes atlas_edges", "select repo_id, count(*) as node_count, (select count(*) from atlas_edges e where e.repo_id = n.repo_id) as edge_count from atlas_nodes n group by repo_id")
+def graph_document(d: Domain) -> DataFrame:
+    return graph.graph_documents(d.atlas_nodes, d.atlas_edges).drop("graph_json")
+
+
+@query(sql="select l_orderkey, l_linenumber, l_partkey, l_quantity, round(case when abs(dy) > 1.2 then middle - least(1.2, greatest(0.25, flat * 0.1)) else middle + least(1.8, greatest(0.35, sqrt(flat * flat + dy * dy) * 0.15)) end, 6) as y from (select *, l_tax * 20 as dy, sqrt(l_discount * l_discount * 10000 + l_quantity * l_quantity) as flat, l_tax * 10 as middle from lineitem)")
+def wire_midpoints(d: Domain) -> DataFrame:
+    rows = d.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.0).alias("z1"), (F.col("l_discount") * 100).alias("x2"), (F.col("l_tax") * 20).alias("y2"), F.col("l_quantity").alias("z2"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(graph.wire_midpoint("x1", "y1", "z1", "x2", "y2", "z2"), 6).alias("y"))
+
+
+@query("incident_events repos patches code_usages", """select e.id, coalesce(p.installation_id, q.installation_id) as installation_id from incident_events e left join repos p on p.id = e.repo_id and e.id % 2 = 0
+    left join code_usages u on u.id = e.code_usage_id left join repos q on q.id = u.repo_id""")
+def job_owners(d: Domain) -> DataFrame:
+    jobs = d.incident_events.select("id", F.lit(None).cast("int").alias("installation_id"), F.when(F.col("id") % 2 == 0, F.col("repo_id")).alias("repo_id"), "code_usage_id", F.lit(None).cast("long").alias("patch_id"))
+    return lookup.job_owners(jobs, d.repos, d.code_usages, d.patches)
+
+
+@query("jobs", "select installation_id, count(*) as running from jobs where status = 'running' and installation_id is not null group by all")
+def running_jobs(d: Domain) -> DataFrame:
+    return lookup.running_jobs(d.jobs)
+
+
+@query("atlas_nodes", """with asked as (select repo_id, path as focus from atlas_nodes where node % 3 = 0 union select repo_id, 'n' || node || '.ts' from atlas_nodes where node % 5 = 0),
+    exact as (select a.*, n.path from asked a left join atlas_nodes n on n.repo_id = a.repo_id and n.path = a.focus),
+    suffix as (select a.repo_id, a.focus, case when count(*) = 1 then min(n.path) end as path from asked a join atlas_nodes n on n.repo_id = a.repo_id and ends_with(n.path, '/' || a.focus) group by all)
+    select e.repo_id, e.focus, coalesce(e.path, s.path) as path from exact e left join suffix s on s.repo_id = e.repo_id and s.focus = e.focus""")
+def focus_paths(d: Domain) -> DataFrame:
+    nodes = d.atlas_nodes
+    asked = nodes.where("node % 3 = 0").select("repo_id", F.col("path").alias("focus")).union(nodes.where("node % 5 = 0").select("repo_id", F.concat(F.lit("n"), F.col("node").cast("string"), F.lit(".ts")))).distinct()
+    return lookup.focus_paths(asked, nodes)
+
+
+@query("jobs", "select package_id, count(distinct version) as checks, bool_and(status = 'done') as completed, bool_and(status = 'done' and attempts < 2) as verified from (select *, row_number() over (partition by package_id, version order by created_at desc, id desc) as rn from jobs) where rn = 1 group by package_id")
+def check_polls(d: Domain) -> DataFrame:
+    polls = d.jobs.select(F.col("package_id").alias("commit"), F.col("version").alias("name"), F.struct("created_at", "id").alias("at"), F.when(F.col("status") == "done", "completed").otherwise("queued").alias("status"), F.when((F.col("status") == "done") & (F.col("attempts") < 2), "success").otherwise("failure").alias("conclusion"))
+    return lookup.check_polls(polls).withColumnRenamed("commit", "package_id")
+
+
+@query(sql="select event_type, count(*) as events, count(*) filter (cast(json_extract_string(props, '$.k') as varchar) is not null) as keyed from events group by event_type")
+def json_filter(d: Domain) -> DataFrame:
+    return d.table("events").groupBy("event_type").agg(F.count("*").alias("events"), F.count_if(F.get_json_object("props", "$.k").isNotNull()).alias("keyed"))
+
+
+@query(sql="select date_trunc('day', ts) as day, event_type, count(*) as events from events group by all")
+def activity_windows(d: Domain) -> DataFrame:
+    rows = stateful.activity_windows(d.table("events").withColumn("created_at", F.col("ts").cast("timestamp")), "1 day")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "events")
