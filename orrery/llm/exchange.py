@@ -127,5 +127,16 @@ def grouped(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list
     return keys, packed
 
 
+def per_document(sent: DataFrame, width: int, name: str) -> DataFrame:
+    """(id, numbers): packets of one column, dealt out by document, as one row per document."""
+
+    def run(batches):
+        ids, values = received(batches, {0: (width,)})[0]
+        keys, (packed,) = grouped(ids, values)
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["id", name])
+
+    return sent.repartition(partitions(sent), "bucket").mapInArrow(run, f"id long, {name} binary")
+
+
 def numbers(cells: list[bytes] | None) -> np.ndarray:
     return np.frombuffer(b"".join(cells or []), "<i4").astype(np.int64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import by_arrow
-from .exchange import bucket_keys, chunks, exchanged, grouped, numbers, packets, received
+from .exchange import bucket_keys, chunks, exchanged, numbers, packets, per_document, received, schema
 from .kernels import Words, byte_table, covered, gram_spans, grams, keyed, place_of, prefix_sums, slices, sliding_min, span_hashes, text_view
 
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -121,11 +121,11 @@ def repeated_spans(docs: DataFrame, id_column: str) -> DataFrame:
         got = received(batches, {0: (8, 4), 1: (1, 4)})
         ids, hashes, places = got[0]
         found = later(hashes, ids, places.astype(np.int64))
-        keys, (packed,) = grouped(np.concatenate([ids[found], got[1][0]]), np.concatenate([places[found], got[1][2]]))
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["id", "places"])
+        ids = np.concatenate([ids[found], got[1][0]])
+        yield packets(homes[ids % buckets], ids, [(np.concatenate([places[found], got[1][2]]), 4)])
 
     texts = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), "text")
-    return exchanged(texts, send, 2, receive, "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("places"))
+    return per_document(exchanged(texts, send, 2, receive, schema(1)), 4, "places")
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -136,14 +136,14 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", keep: tuple[str, ..
     spans = repeated_spans(docs, id_column).withColumnRenamed("id", "_id")
     joined = docs.select(*columns).join(spans, F.col(id_column) == F.col("_id"), "left").select(*columns, "places")
     counts = ("n_sentences", "n_removed", "n_words", "n_removed_words")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in wanted if c != "text") + "".join(f", {c} long" for c in counts) + ", kept_sha256 string, text string"
+    result = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in wanted if c != "text") + "".join(f", {c} long" for c in counts) + ", kept_sha256 string, text string"
 
     def run(batches):
         for part in slices(batches, "text"):
             data, at = text_view(part.column(text))
             units = Units(data, at)
             cells = part.column(len(columns)).to_pylist()
-            places = [numbers(x) for x in cells]
+            places = [numbers([x] if x else None) for x in cells]
             hit = np.concatenate(places)
             begin = np.repeat(units.first, [len(x) for x in places]) + (hit >> STEP_BITS)
             gone = covered(begin, begin + (hit & STEP_MASK) + 1, len(units.begin))
@@ -162,4 +162,4 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", keep: tuple[str, ..
                 names=[*(c for c in wanted if c != "text"), *counts, "kept_sha256", "text"],
             )
 
-    return by_arrow(joined, run, schema)
+    return by_arrow(joined, run, result)
