@@ -30,10 +30,11 @@ SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 MIN_WORDS, MAX_REPEATED = 50, 50
 SAMPLE, TREES, TREE_ROWS, SEED = 25_600, 100, 256, 20
 FALSE_REJECTS, BINS = 0.01, 1000
+REACH, FARTHEST = 2.0, 5.0
 
 WORD_TABLE, LINE_TABLE = byte_table(separators=SPACES), byte_table(separators=b"\n")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("symbol_share", "word_length", "dup_line_share", "repeat_share", "upper_share", "mark_share", "digit_share", "distinct_share", "stop_share", "line_words")
+FEATURES = ("symbol_share", "word_length", "dup_line_share", "repeat_share", "upper_share", "mark_share", "digit_share", "distinct_share")
 
 
 def _flag(chars: bytes) -> np.ndarray:
@@ -45,7 +46,6 @@ def _flag(chars: bytes) -> np.ndarray:
 SYMBOL, UPPER, DIGIT = _flag(b"#*$%&|<>"), _flag(bytes(range(65, 91))), _flag(bytes(range(48, 58)))
 MARK = _flag(bytes(c for c in range(33, 127) if not chr(c).isalnum()))
 LEAD = np.array([c & 0xC0 != 0x80 for c in range(256)])
-STOP = _flag(b".,;:")
 
 
 def _distinct(keys: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +85,18 @@ def statistics(part: pa.RecordBatch, text: int) -> tuple[list[np.ndarray], list[
     expected = np.minimum(1.0, 12.0 / np.sqrt(some))  # distinct share falls with length
     features = [
         np.minimum(symbols / some, 3), np.minimum(chars / some, 40), dup / np.maximum(n_lines, 1), repeats / some, per_doc(UPPER[data]) / all_chars,
-        np.minimum(per_doc(MARK[data]) / some, 5), per_doc(DIGIT[data]) / all_chars, distinct_words / some / expected, np.minimum(per_doc(STOP[data]) / some, 1), np.log1p(words / np.maximum(n_lines, 1)),
+        np.minimum(per_doc(MARK[data]) / some, 5), per_doc(DIGIT[data]) / all_chars, distinct_words / some / expected,
     ]
     return [words, chars, symbols, dup, repeats], features
 
 
 @dataclass
 class Forest:
-    """Trees in flat arrays: feature (-1 in a leaf), split, left child (right is next), depth."""
+    """Trees in flat arrays: feature (-1 in a leaf), split, left child (right is next), path length.
+
+    The trees see each statistic's distance from the sample's median in units of
+    its 1 % to 99 % spread, at most ``FARTHEST``.
+    """
 
     feature: np.ndarray
     split: np.ndarray
@@ -100,9 +104,15 @@ class Forest:
     length: np.ndarray
     roots: np.ndarray
     norm: float
+    center: np.ndarray
+    spread: np.ndarray
+
+    def distances(self, rows: np.ndarray) -> np.ndarray:
+        return np.minimum(np.abs(rows - self.center) / self.spread, FARTHEST)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """2 ** (-mean path length / expected length): near 1 is anomalous."""
+        rows = self.distances(rows)
         total = np.zeros(len(rows))
         index = np.arange(len(rows))
         for root in self.roots:
@@ -125,6 +135,10 @@ def expected_path(n: int) -> float:
 
 def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> Forest:
     rng = np.random.Generator(np.random.PCG64(seed))
+    low, high = np.quantile(rows, [0.01, 0.99], axis=0)
+    none = np.zeros(0)
+    forest = Forest(none, none, none, none, none, 0.0, np.median(rows, axis=0), np.maximum(high - low, 1e-3))
+    rows = forest.distances(rows)
     feature, split, left, length, roots = [], [], [], [], []
     size = min(tree_rows, len(rows))
     limit = int(np.ceil(np.log2(max(size, 2))))
@@ -141,8 +155,8 @@ def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed:
                 length[at] = depth + expected_path(len(own))
                 continue
             f = int(rng.choice(open_features))
-            # Beyond the sample's own range a split sets unseen values apart at once.
-            reach = 0.25 * (high[f] - low[f])
+            # Cuts beyond the sample's own range set unseen values apart at once.
+            reach = REACH * (high[f] - low[f])
             cut = rng.uniform(low[f] - reach, high[f] + reach)
             feature[at], split[at], left[at] = f, cut, len(feature)
             for side in (own[rows[own, f] < cut], own[rows[own, f] >= cut]):
@@ -152,7 +166,7 @@ def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed:
                     todo.append((side, depth + 1, len(feature) - 1))
                 else:
                     length[-1] = depth + 1
-    return Forest(np.array(feature), np.array(split, float), np.array(left), np.array(length, float), np.array(roots), max(expected_path(size), 1e-9))
+    return Forest(np.array(feature), np.array(split, float), np.array(left), np.array(length, float), np.array(roots), max(expected_path(size), 1e-9), forest.center, forest.spread)
 
 
 def limit_from(histogram: list[tuple[int, int, int]], false_rejects: float = FALSE_REJECTS, bins: int = BINS) -> float:

@@ -136,6 +136,31 @@ def test_quality_statistics_and_verdict(spark, docs, texts):
     assert all(r.kept == (not r.base_failed) and r.score is None for r in nothing.values())
 
 
+def test_held_out_accuracy():
+    """Limits calibrated on one half of the labelled rows hold on the other."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    from orrery.llm.kernels import slices
+
+    folder = "/root/testdata/sf0.1"
+    marks = pq.read_table(f"{folder}/labels.parquet").to_pydict()
+    marks = dict(zip(marks["doc_id"], marks["quality"], strict=True))
+    rows, marked = [], []
+    for part in slices(iter(pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_batches())):
+        stats, features = quality.statistics(part, 1)
+        keep = [n for n, i in enumerate(part.column(0).to_pylist()) if i in marks and stats[0][n] >= 50 and 100 * stats[4][n] <= 50 * stats[0][n]]
+        rows.append(np.stack(features, 1)[keep])
+        marked += [marks[part.column(0)[n].as_py()] for n in keep]
+    rows, good = np.concatenate(rows), np.array(marked) > 0
+    train = np.random.default_rng(1).random(len(good)) < 0.5
+    forest = quality.grow(rows[train & good])
+    score = forest.score(rows)
+    bins = np.floor(score * quality.BINS).astype(int)
+    histogram = [(int(b), int((bins[train & good] == b).sum()), int((bins[train & ~good] == b).sum())) for b in np.unique(bins[train])]
+    limit = quality.limit_from(histogram)
+    assert (score[~train & good] >= limit).mean() <= 0.02
+    assert (score[~train & ~good] >= limit).mean() >= 0.9
+
+
 def test_forest_separates_and_limits():
     rng = np.random.default_rng(0)
     good, odd = rng.normal(0, 1, (2000, 4)), rng.normal(0, 1, (50, 4)) + 7
