@@ -3,19 +3,20 @@
 A document's set holds the hashes of its distinct ``gram``-word shingles.  Equal
 sets are one node.  A node's signature has ``TREES * STEP`` minima; tree t of the
 forest orders the signatures from place ``STEP * t`` on, cyclically.  In each
-order, nodes with a common prefix of at least ``STEP`` values form a region, and
-the depth adapts: a region of more than ``CROWD`` nodes is split by longer
-prefixes, up to ``DEEPEST`` values.  A region that is crowded still holds all but
-equal signatures; it is dealt out by hash, its least node added to every part.
+order, nodes with a common prefix of at least ``STEP`` values form a region.
 Inside a region neighbours are compared by their whole signatures, and those
 whose agreement is within 4.5 standard deviations of the threshold become
 candidates, each pair in the first tree that brings it together only.
 
-A pair of similarity 0.85 shares a prefix of 4 values in none of 48 trees with
-probability 5e-16; at depth 8, where only crowded regions are split to, 2e-7, at
-10 3e-5, at 12 6e-4.  So in a crowd of more than some ten thousand texts that are
-just about as similar as the threshold a single link may be missed; a class
-falls apart only if all links across a cut are.
+A region of more than ``CROWD`` nodes is split by longer prefixes, up to
+``DEEPEST`` values, which finds most links of a crowd cheaply but not all (at
+0.85 a pair falls apart in all trees with probability 1.7e-5 at depth 8, 1e-3 at
+10, 1.2e-2 at 12, 0.33 at 19, 0.64 at 24).  So the regions that are crowded at
+``whole_depth``, the depth that loses at most ``MISS`` of the pairs at the threshold
+(7 at 0.85: 1.1e-6; 6 at 0.80: 7.9e-6), are compared again as wholes: what the
+links so far have left outside a region's largest part meets first the nodes of
+most links and then, block by block, all others of the region.  What is missed
+is a pair in ``MISS`` by the depth and one in 300,000 by the 4.5 deviations.
 Every candidate is confirmed on the full sets, region by region: what leaves the
 first comparison is which nodes have candidates in which regions, not the pairs.
 A node's set goes once to each such region, and pairs that the links found there
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import by_arrow, partitions, written
 from .components import components
@@ -39,10 +40,10 @@ from .kernels import Words, byte_table, grams, mix, slices, splitmix, text_view
 
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 TABLE = byte_table(separators=SPACES, lower=True)
-TREES, STEP = 48, 4
+TREES, STEP, MISS = 48, 4, 1e-5
 SIZE = TREES * STEP
 DEEPEST, CROWD, KEPT = 24, 512, 0.75
-DEALT = 120
+DEALT, HUBS, SENT = 120, 8, 8 << 20
 MULTIPLIERS = splitmix(SIZE, 3) | np.uint64(1)
 GRAM, PERCENT = 5, 80
 
@@ -91,12 +92,34 @@ def _key() -> F.Column:
     return F.expr(f"xxhash64(tree, substring(concat(signature, signature), {2 * STEP} * tree + 1, 2 * depth))")
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """(id, tree, key, depth) of every region with two nodes at least.
+def missed(share: float, depth: int) -> float:
+    """At most the chance that a pair of that similarity shares a prefix of ``depth`` values in no tree.
+
+    Values are taken four at a time; a run counts from a tree's first value on.
+    """
+    chance = {0: 1.0}
+    for _ in range(TREES):
+        after = dict.fromkeys([0, *(r + STEP for r in chance)], 0.0)
+        for run, c in chance.items():
+            after[0] += c * sum(share**j * (1 - share) for j in range(STEP) if run + j < depth)
+            if run + STEP < depth:
+                after[run + STEP] += c * share**STEP
+        chance = after
+    return sum(chance.values())
+
+
+def whole_depth(percent: int) -> int:
+    """The longest prefix that loses at most ``MISS`` of the pairs at the threshold."""
+    return max(d for d in range(STEP, DEEPEST) if d == STEP or missed(percent / 100, d) <= MISS)
+
+
+def regions(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, tree, key, depth) of every region with two nodes at least, and (id, tree, key) of those crowded at ``whole_depth``.
 
     A crowded region's next depth follows from its size, as if each further
     value kept ``KEPT`` of it.
     """
+    whole, wide = whole_depth(percent), None
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     here = nodes.select("id", trees, "signature", F.lit(STEP).alias("depth")).select("id", "tree", "depth", _key().alias("key"))
     fit, done = F.col("count") <= CROWD, None
@@ -107,10 +130,12 @@ def regions(nodes: DataFrame) -> DataFrame:
         done = final if done is None else done.union(final)
         crowded, last = here.where(~fit & (F.col("depth") < DEEPEST)), here.where(~fit & (F.col("depth") >= DEEPEST))
         done = done.union(_dealt(last))
+        kept_whole = here.where(~fit & (F.col("depth") == whole)).select("id", "tree", "key")
+        wide = kept_whole if wide is None else wide.union(kept_whole)
         if crowded.isEmpty():
-            return done
+            return done, wide
         further = F.greatest(F.lit(1), F.ceil(F.log(F.col("count") / CROWD) / -np.log(KEPT)))
-        deeper = crowded.select("id", "tree", F.least(F.lit(DEEPEST), F.col("depth") + further).cast("int").alias("depth"))
+        deeper = crowded.select("id", "tree", F.least(F.when(F.col("depth") < whole, whole).otherwise(DEEPEST), F.col("depth") + further).cast("int").alias("depth"))
         here = deeper.join(nodes.select("id", "signature"), "id").select("id", "tree", "depth", _key().alias("key"))
 
 
@@ -122,8 +147,11 @@ def _dealt(crowded: DataFrame) -> DataFrame:
     return dealt.select("id", "tree", F.xxhash64("key", "part").alias("key"), F.lit(DEALT).cast("tinyint").alias("depth"))
 
 
-def region_pairs(keys: np.ndarray, trees: np.ndarray, sigs: np.ndarray, depths: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
-    """The candidate pairs among rows sorted by key, as row numbers."""
+def region_pairs(keys: np.ndarray, trees: np.ndarray, sigs: np.ndarray, depths: np.ndarray, sides: np.ndarray, parts: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The candidate pairs among rows sorted by key, as row numbers.
+
+    Rows of one part are connected already; rows of one side are compared only if it is 0.
+    """
     left, right = [], []
     step, live = 1, np.arange(len(keys))
     while len(live):
@@ -131,6 +159,7 @@ def region_pairs(keys: np.ndarray, trees: np.ndarray, sigs: np.ndarray, depths:
         live = live[keys[live] == keys[live + step]]
         for at in range(0, len(live), 2048):
             i = live[at : at + 2048]
+            i = i[(parts[i] != parts[i + step]) & ((sides[i] == 0) | (sides[i] != sides[i + step]))]
             close = i[(sigs[i] == sigs[i + step]).sum(1) >= agree]
             if len(close):
                 first = first_meeting(sigs[close], sigs[close + step], depths[close], depths[close + step], trees[close])
@@ -176,29 +205,70 @@ def least_agreement(percent: int) -> int:
     return int(np.floor(SIZE * (share - 4.5 * np.sqrt(share * (1 - share) / SIZE))))
 
 
-def columns_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, trees, signatures and depths of region rows."""
+def columns_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Keys, trees, signatures, depths, sides and numbered parts of region rows."""
     n = rows.num_rows
     sigs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(n, SIZE)
     depths = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column("depths").chunks]).reshape(n, TREES)
-    return rows.column("key").to_numpy(), rows.column("tree").to_numpy(), sigs, depths
+    number = {}
+    parts = np.array([number.setdefault(x, len(number)) for x in rows.column("part").to_pylist()], np.int64)
+    return rows.column("key").to_numpy(), rows.column("tree").to_numpy(), sigs, depths, rows.column("side").to_numpy(), parts
 
 
-def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """(key, tree, id, depths): the nodes that have candidates, with the regions that bring them together."""
-    agree = least_agreement(percent)
-    mine = regions(nodes).groupBy("id").agg(F.collect_list(F.struct("tree", "key", "depth")).alias("regions"))
+def candidates(near: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The nodes that have candidates, with the regions that bring them together."""
+    mine = near.groupBy("id").agg(F.collect_list(F.struct("tree", "key", "depth")).alias("regions"))
     depths = F.expr(f"aggregate(regions, array_repeat(0Y, {TREES}), (d, r) -> transform(d, (x, t) -> if(t = r.tree, r.depth, x)))")
-    rows = mine.join(nodes.select("id", "signature"), "id").withColumn("depths", depths).select(F.explode("regions").alias("r"), "id", "signature", "depths")
-    rows = rows.select("r.key", "r.tree", "id", "signature", "depths").repartition(partitions(nodes), "key").sortWithinPartitions("key")
+    rows = mine.join(nodes, "id").withColumn("depths", depths).select(F.explode("regions").alias("r"), "id", "signature", "depths")
+    return compared(rows.select("r.key", "r.tree", "id", "signature", "depths", F.lit(0).alias("side"), F.col("id").alias("part")), percent)
+
+
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, tree, id, depths, side, part): the rows that have candidates among those of their key."""
+    agree, kind = least_agreement(percent), rows.schema["id"].dataType.simpleString()
+    rows = rows.repartition(partitions(rows), "key").sortWithinPartitions("key")
 
     def run(batches):
         for rows in by_key(batches):
             a, b = region_pairs(*columns_of(rows), agree)
-            found = rows.take(pa.array(np.unique(np.concatenate([a, b])))).select(["key", "tree", "id", "depths"]).combine_chunks()
+            found = rows.take(pa.array(np.unique(np.concatenate([a, b])))).select(["key", "tree", "id", "depths", "side", "part"]).combine_chunks()
             yield from found.to_batches()
 
-    return rows.mapInArrow(run, f"key long, tree int, id {nodes.schema['id'].dataType.simpleString()}, depths array<tinyint>")
+    return rows.mapInArrow(run, f"key long, tree int, id {kind}, depths array<tinyint>, side int, part {kind}")
+
+
+def crossed(wide: DataFrame, label: DataFrame, nodes: DataFrame, hubs: DataFrame | None, percent: int) -> DataFrame | None:
+    """``compared`` nodes of the wide regions that the links so far leave in several parts.
+
+    A region's nodes outside its largest part and those in it are dealt into
+    blocks.  Every block of the first kind meets every block, or with ``hubs``
+    (id, n) only the region's ``HUBS`` nodes of most links.  None if no region
+    is in several parts.
+    """
+    parts = wide.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "tree", "key", F.coalesce("component", "id").alias("part"))
+    parts = written(parts, "wide")
+    sizes = parts.groupBy("key", "part").count().groupBy("key").agg(F.max(F.struct("count", "part")).alias("most"), F.sum("count").alias("all"))
+    mixed = written(sizes.select("key", F.col("most.part").alias("main"), F.col("most.count").alias("most"), (F.col("all") - F.col("most.count")).alias("others")).where("others > 0"), "mixed")
+    if mixed.isEmpty():
+        return None
+    block = max(1, CROWD // 2)
+    placed = parts.join(mixed, "key").withColumn("_left", F.ceil(F.col("others") / block).cast("int")).withColumn("_right", F.ceil(F.col("most") / block).cast("int"))
+    own = "cast(pmod(xxhash64(id, tree, key), {}) as int)"
+    outer = placed.where("part <> main").withColumn("_block", F.expr(own.format("_left")))
+    if hubs is None:
+        inner = placed.where("part = main").withColumn("_block", F.expr("_left + " + own.format("_right")))
+        all_blocks, left = F.expr("sequence(0, _left + _right - 1)"), F.expr("sequence(0, _left - 1)")
+        rows = outer.withColumn("_other", F.explode(all_blocks)).union(inner.withColumn("_other", F.explode(left)))
+        rows = rows.withColumn("side", F.expr("if(_block = _other, 0, if(_block < _other, 1, 2))"))
+        rows = rows.withColumn("_key", F.expr("xxhash64(key, least(_block, _other), greatest(_block, _other))"))
+    else:
+        best = placed.join(hubs, "id").withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "id"))).where(F.col("_rank") <= HUBS).drop("n", "_rank")
+        rows = outer.withColumn("side", F.lit(1)).union(best.withColumn("_block", F.explode(F.expr("sequence(0, _left - 1)"))).withColumn("side", F.lit(2)))
+        rows = rows.withColumn("_key", F.expr("xxhash64(key, _block)"))
+    # A pair that shares as long a prefix in an earlier tree has been compared there; hubs differ by tree.
+    depth = 0 if hubs is not None else whole_depth(percent)
+    rows = rows.join(nodes, "id").select(F.col("_key").alias("key"), "tree", "id", "signature", F.expr(f"array_repeat({depth}Y, {TREES})").alias("depths"), "side", "part")
+    return compared(rows, percent)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -214,7 +284,10 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def region_links(rows: pa.Table, percent: int) -> list[tuple]:
     """Links that connect the nodes of whole regions as all their similar pairs do."""
     sets = [np.frombuffer(m, np.uint64) for m in rows.column("members").to_pylist()]
-    ids, root, links = rows.column("id").to_pylist(), list(range(rows.num_rows)), []
+    ids, links, columns = rows.column("id").to_pylist(), [], columns_of(rows)
+    root = list(range(rows.num_rows))
+    for i, first in enumerate(np.unique(columns[-1], return_index=True)[1][columns[-1]].tolist()):
+        root[i] = first
 
     def find(i):
         while root[i] != i:
@@ -222,7 +295,7 @@ def region_links(rows: pa.Table, percent: int) -> list[tuple]:
             i = root[i]
         return i
 
-    for a, b in zip(*(x.tolist() for x in region_pairs(*columns_of(rows), least_agreement(percent))), strict=True):
+    for a, b in zip(*(x.tolist() for x in region_pairs(*columns, least_agreement(percent))), strict=True):
         x, y = find(a), find(b)
         if x != y and similar(sets[a], sets[b], percent):
             root[x] = y
@@ -237,21 +310,23 @@ def confirmed(found: DataFrame, docs: DataFrame, id_column: str, gram: int, perc
     part of all; a hint keeps it so for small inputs.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    each = found.groupBy("id").agg(F.first("depths").alias("depths"), F.collect_list(F.struct("key", "tree")).alias("regions"))
+    each = found.groupBy("id").agg(F.first("depths").alias("depths"), F.collect_list(F.struct("key", "tree", "side", "part")).alias("regions"))
     texts = docs.select(F.col(id_column).alias("id"), "text").join(each.hint("shuffle_hash"), "id").select("id", "text", "depths", "regions")
 
     def members(batches):
         for part in slices(batches):
-            ids, regions, out = part.column(0), part.column(3).to_pylist(), []
+            ids, regions = part.column(0), part.column(3).to_pylist()
             sets = list(shingle_sets(part, 1, gram))
             row = np.repeat(np.arange(part.num_rows), [len(r) if len(x) else 0 for r, x in zip(regions, sets, strict=True)])
             own = [r for r, x in zip(regions, sets, strict=True) if len(x) for r in r]
             packed = [(x.tobytes(), signature(x)) if len(x) else (None, None) for x in sets]
-            take = pa.array(row)
-            out = [pa.array([r["key"] for r in own], pa.int64()), pa.array([r["tree"] for r in own], pa.int32()), ids.take(take), pa.array([packed[i][1] for i in row], pa.binary()), part.column(2).take(take), pa.array([packed[i][0] for i in row], pa.binary())]
-            yield pa.record_batch(out, names=["key", "tree", "id", "signature", "depths", "members"])
+            size = np.array([len(x) * 8 + 1024 for x in sets], np.int64)[row].cumsum()
+            for at in np.split(np.arange(len(row)), np.searchsorted(size, np.arange(SENT, size[-1], SENT))) if len(row) else []:
+                take, sent = pa.array(row[at]), [own[i] for i in at]
+                out = [pa.array([r["key"] for r in sent], pa.int64()), pa.array([r["tree"] for r in sent], pa.int32()), ids.take(take), pa.array([packed[i][1] for i in row[at]], pa.binary()), part.column(2).take(take), pa.array([packed[i][0] for i in row[at]], pa.binary()), pa.array([r["side"] for r in sent], pa.int32()), pa.array([r["part"] for r in sent], ids.type)]
+                yield pa.record_batch(out, names=["key", "tree", "id", "signature", "depths", "members", "side", "part"])
 
-    schema = f"key long, tree int, id {kind}, signature binary, depths array<tinyint>, members binary"
+    schema = f"key long, tree int, id {kind}, signature binary, depths array<tinyint>, members binary, side int, part {kind}"
     rows = by_arrow(texts, members, schema).repartition(partitions(docs), "key").sortWithinPartitions("key")
 
     def compare(batches):
@@ -262,13 +337,30 @@ def confirmed(found: DataFrame, docs: DataFrame, id_column: str, gram: int, perc
     return rows.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def linked(nodes: DataFrame, docs: DataFrame, id_column: str, gram: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes with links: from regions first, then what these leave apart in the wide ones."""
+    near, wide = regions(nodes, percent)
+    found = written(candidates(near, nodes, percent), "candidates")
+    links = written(confirmed(found, docs, id_column, gram, percent), "links")
+    label = components(links)
+    if wide.isEmpty():
+        return label
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    for hubs in (ends, None):
+        met = crossed(wide, label, nodes, hubs, percent)
+        if met is None:
+            break
+        more = confirmed(written(met, "candidates"), docs, id_column, gram, percent)
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return label
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Per document: set size, the least id of its class, and whether it is that one."""
     facts = written(described(docs, id_column, gram), "signatures")
     nodes = facts.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.min("signature").alias("signature"), F.count("*").alias("n"))
     nodes = written(nodes, "nodes")
-    found = written(candidates(nodes.select("id", "signature"), percent), "candidates")
-    label = components(confirmed(found, docs, id_column, gram, percent))
+    label = linked(nodes.select("id", "signature"), docs, id_column, gram, percent)
     shared = nodes.where("n > 1").select("set_key", F.col("id").alias("node"))
     placed = facts.select("id", "n_shingles", "set_key").join(shared, "set_key", "left").withColumn("node", F.coalesce("node", "id"))
     return placed.join(label, "node", "left").select(

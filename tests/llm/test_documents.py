@@ -256,6 +256,41 @@ def test_near_dedup_of_a_crowd(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == near_classes(texts, 3, 85)
 
 
+def star(n, centre):
+    """``n`` texts, each just similar enough to the one at ``centre`` and to no other."""
+    rnd = random.Random(12)
+    first = words_of(rnd, 200)
+    texts = {}
+    for i in range(n):
+        w = list(first)
+        for k in range(5):
+            w[40 * k + 2 + rnd.randrange(36)] = f"n{i}x{k}"
+        texts[i] = " ".join(first if i == centre else w)
+    return texts
+
+
+def test_near_dedup_of_a_star(spark, monkeypatch):
+    """Each text of a crowd has its one link: no depth may lose it."""
+    texts = star(240, 100)
+    monkeypatch.setattr(near_dedup, "CROWD", 16)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(near_dedup.classes(df, gram=3, percent=85))
+    want = near_classes(texts, 3, 85)
+    assert {c for _, c in want.values()} == {0}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_depth_of_whole_regions(percent):
+    depth = near_dedup.whole_depth(percent)
+    assert near_dedup.missed(percent / 100, depth) <= 1e-5 < near_dedup.missed(percent / 100, depth + 1)
+    rng, share = np.random.default_rng(1), percent / 100
+    same = rng.random((20_000, near_dedup.SIZE)) < share
+    runs = np.concatenate([same, same], 1)
+    apart = ~np.any([runs[:, 4 * t : 4 * t + 12].all(1) for t in range(near_dedup.TREES)], 0)
+    assert apart.mean() <= 1.1 * near_dedup.missed(share, 12) + 0.005
+
+
 def test_substring_dedup(spark, docs, texts):
     got = by_id(substring_dedup.deduplicated(docs))
     assert got[1].text is None and got[0].n_sentences == 0
