@@ -140,10 +140,13 @@ def regions(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _dealt(crowded: DataFrame) -> DataFrame:
-    """Regions that the deepest prefixes leave crowded, in parts that share their least node."""
+    """Regions that the deepest prefixes leave crowded, in parts that share their least node, dealt anew in each tree.
+
+    Nodes of different parts are compared by ``crossed``, unless linked already.
+    """
     parts = F.ceil(F.col("count") / CROWD)
     first = crowded.groupBy("key", "tree", "count").agg(F.min("id").alias("id")).select("id", "tree", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"), "key")
-    dealt = crowded.select("id", "tree", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "key").union(first).distinct()
+    dealt = crowded.select("id", "tree", F.pmod(F.xxhash64("id", "tree", "key"), parts).cast("int").alias("part"), "key").union(first).distinct()
     return dealt.select("id", "tree", F.xxhash64("key", "part").alias("key"), F.lit(DEALT).cast("tinyint").alias("depth"))
 
 

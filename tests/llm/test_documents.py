@@ -280,6 +280,20 @@ def test_near_dedup_of_a_star(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
 
 
+def test_dealt_regions(spark, monkeypatch):
+    """Parts differ from tree to tree, and a star keeps its links whatever its centre's id."""
+    monkeypatch.setattr(near_dedup, "CROWD", 4)
+    rows = [(i, tree, 1000 + tree, 24, 12) for tree in (3, 4) for i in range(12)]
+    met = collections.defaultdict(set)
+    for r in near_dedup._dealt(spark.createDataFrame(rows, "id long, tree int, key long, depth int, count long")).collect():
+        if r.id:
+            met[r.tree, r.key].add(r.id)
+    assert {frozenset(x) for (t, _), x in met.items() if t == 3} != {frozenset(x) for (t, _), x in met.items() if t == 4}
+    texts = star(150, 149)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.classes(df, gram=3, percent=85).collect()} == {0}
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_depth_of_whole_regions(percent):
     depth = near_dedup.whole_depth(percent)
