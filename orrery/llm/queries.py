@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, decontaminate, near_dedup, pii, quality, sharding, substring_dedup, suffix_dedup, url_filter
-from .common import table
+from .common import scratch_dir, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,7 +43,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.sharded(sharding.digest(table(spark, sf_dir, "documents")), 24)
+    docs, path = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(docs, path, 24)
+    placed = sharding.digest(sharding.read_shards(docs, path), "shard", "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -7,7 +7,7 @@ and step, so that a recomputed task gives the same permutation) and numbers the
 rows on from the buckets before it.  Position p of the whole order goes to
 shard p mod n at slot p div n: counts differ by at most one (law ``rows``).
 
-The number of buckets follows the number of rows; bucket offsets are summed in
+The number of buckets follows the rows and their bytes; bucket offsets are summed in
 two levels, so that no task sees more than about the square root of them.
 
 Nulls: a null id is a value like any other; a null text has size 8 and checksum
@@ -17,8 +17,11 @@ Nulls: a null id is a value like any other; a null text has size 8 and checksum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-BUCKET_ROWS, SEED = 2048, 17
+from .common import partitions
+
+BUCKET_ROWS, BUCKET_BYTES, FILE_ROWS, SEED = 2048, 4 << 20, 16384, 17
 
 
 def fisher_yates(n: str, bucket: str, seed: int = SEED) -> str:
@@ -29,10 +32,11 @@ def fisher_yates(n: str, bucket: str, seed: int = SEED) -> str:
     return f"if({n} = 0, cast(array() as array<int>), aggregate(sequence(0, {n} - 1), cast(array() as array<int>), (a, i) -> {step}))"
 
 
-def sharded(df: DataFrame, shards: int, id_column: str = "doc_id", bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
+def sharded(df: DataFrame, shards: int, id_column: str = "doc_id", bucket_rows: int = BUCKET_ROWS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df``'s columns with ``shard`` and ``slot``."""
-    total = df.count()
-    buckets = max(1, -(-total // bucket_rows))
+    long = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    total, volume = df.agg(F.count("*"), F.coalesce(F.sum(sum(long, F.lit(0))), F.lit(0))).first()
+    buckets = max(1, -(-total // bucket_rows), -(-volume // bucket_bytes))
     width = max(1, int(buckets**0.5))
     bucket = F.expr(f"cast(pmod(xxhash64({seed}, `{id_column}`), {buckets}) as int)")
     row = F.struct(F.xxhash64(F.lit(seed), F.col(id_column)).alias("_h"), *(F.col(f"`{c}`") for c in df.columns))
@@ -45,22 +49,29 @@ def sharded(df: DataFrame, shards: int, id_column: str = "doc_id", bucket_rows:
     placed = (
         filled.join(offsets, "_bucket")
         .withColumn("_order", F.expr(fisher_yates("size(_rows)", "_bucket", seed)))
-        .select("_offset", "_rows", F.posexplode("_order").alias("_place", "_which"))
-        .select((F.col("_offset") + F.col("_place")).alias("_at"), F.expr("_rows[_which]").alias("_row"))
+        .select("_offset", F.posexplode(F.expr("transform(_order, w -> _rows[w])")).alias("_place", "_row"))
+        .select((F.col("_offset") + F.col("_place")).alias("_at"), "_row")
     )
     return placed.select(*(F.col("_row").getField(c).alias(c) for c in df.columns), (F.col("_at") % shards).cast("int").alias("shard"), F.floor(F.col("_at") / shards).cast("long").alias("slot"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Id, size and checksum of each document, computed before anything moves."""
+def digest(docs: DataFrame, *more: str) -> DataFrame:
+    """Id, size and checksum of each document as it is in ``docs``."""
     return docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
+        *more,
     )
 
 
 def write_shards(df: DataFrame, path: str, shards: int, id_column: str = "doc_id") -> None:
-    """Whole records to one folder per shard, each in slot order."""
+    """Whole records to one folder per shard, in files of ``FILE_ROWS`` slots each in slot order."""
     out = sharded(df, shards, id_column)
-    out.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    dealt = out.repartition(partitions(df), "shard", F.floor(F.col("slot") / FILE_ROWS))
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
+def read_shards(df: DataFrame, path: str) -> DataFrame:
+    """The records of ``df`` that ``write_shards`` has written, with ``shard`` and ``slot``."""
+    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)

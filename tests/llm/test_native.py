@@ -88,6 +88,22 @@ def test_written_shards(spark, tmp_path):
     assert got.count() == 100 and {r[0] for r in got.select("shard").distinct().collect()} == set(range(5))
 
 
+def test_whole_documents_are_sharded(spark, tmp_path, monkeypatch):
+    """The query writes the documents themselves and tells what it reads back; buckets hold a number of bytes."""
+    data = [(i, "t" * 50 * (i % 9) if i % 7 else None, "en") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "scratch_dir", lambda spark: str(tmp_path))
+    told = queries.op7_sharding(spark, str(tmp_path)).collect()
+    (folder,) = tmp_path.glob("shards-*")
+    kept = spark.read.parquet(str(folder)).collect()
+    assert {(r.doc_id, r.text, r.lang) for r in kept} == set(data) and len(kept) == len(told) == 300
+    place = {r.doc_id: (r.shard, r.slot, len(r.text or "") + 8, zlib.crc32((r.text or "").encode())) for r in kept}
+    assert {r.doc_id: (r.shard, r.slot, r["size"], r.text_crc32) for r in told} == place
+    orders = [[r.doc_id for r in sharding.sharded(df, 1, bucket_bytes=n).orderBy("slot").collect()] for n in (500, 1 << 20)]
+    assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1])
+
+
 def test_fold_of_events(spark):
     events = [
         (1, 5, "m2", "delta", "assistant", "lo"), (1, 4, "m2", "delta", "assistant", "hel"), (1, 1, "m1", "delta", "user", "hi"), (1, 6, "m2", "regenerate", "assistant", "new"),
