@@ -36,8 +36,8 @@ VIEWS = {
         l_shipdate as created_at, l_partkey * 100000 + l_suppkey as tie, l_extendedprice as tie2, l_discount as tie3 from lineitem""",
     "pull_requests": """select o_orderkey as id, o_custkey % ns as repo_id,
         case o_orderstatus when 'O' then 'open' when 'F' then 'merged' else 'closed' end as status, o_orderkey % 35 = 0 as merged,
-        o_orderdate as opened_at from orders cross join k where o_orderkey % 5 = 0""",
-    "pr_patches": "select distinct l_orderkey as pr_id, l_orderkey * 10 + l_linenumber as patch_id from lineitem where l_orderkey % 5 = 0",
+        o_orderdate as opened_at from orders cross join k""",
+    "pr_patches": "select distinct l_orderkey as pr_id, l_orderkey * 10 + l_linenumber as patch_id from lineitem",
     "incident_events": """select event_id as id, user_id % ns as repo_id, case when event_id % 3 = 0 then event_id % np end as detected_change_id,
         case when event_id % 3 = 1 then event_id % no end as code_usage_id,
         case event_type when 'view' then 'usage_found' when 'click' then 'patch_generated' when 'purchase' then 'pr_opened' when 'error' then 'validation_failed' else 'validation_passed' end as event_type,
@@ -53,11 +53,11 @@ VIEWS = {
         case p_size % 7 when 0 then '.md' when 1 then '.py' else '.ts' end as ext,
         case when p_size % 9 = 0 then p_size % 4 else 0 end as unresolved from part cross join k""",
     "atlas_links": """select distinct l_partkey as src, (l_partkey + ns * cast(l_quantity as int)) % np as tgt
-        from lineitem cross join k where l_orderkey % 30 = 0""",
+        from lineitem cross join k""",
     "atlas_edges": """select a.repo_id, a.path as source_path, b.path as target_path from atlas_links
         join atlas_nodes a on a.node = src join atlas_nodes b on b.node = tgt""",
     "analysis_runs": """select o_orderkey as id, o_custkey % ns as repo_id, cast(floor(o_totalprice) as bigint) % 101 as score, o_orderdate as created_at
-        from orders cross join k where o_orderkey % 3 = 0""",
+        from orders cross join k""",
 }
 # The sizes enter as scalar subqueries, not as joins.
 VIEWS = {name: re.sub(r"\b(ns|np|no)\b", r"(select \1 from k)", text.replace(" cross join k", "")) if name != "k" else text for name, text in VIEWS.items()}

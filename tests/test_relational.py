@@ -130,3 +130,14 @@ def test_lists_limit_before_they_sort(spark):
     patches = spark.range(30).selectExpr("id", "id as code_usage_id", "true as verified", "id as created_at")
     got = r.patch_list(patches, usages, changes, "confidence_desc", n=3).orderBy("position").collect()
     assert [x.id for x in got] == [28, 27, 29]  # the unknown confidence is picked first and listed last
+
+
+def test_views_read_whole_tables(spark):
+    """No view leaves rows of its table out."""
+    from orrery.plans.bindings import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    orders, lines, ns, np = d.table("orders"), d.table("lineitem"), d.table("supplier").count(), d.table("part").count()
+    assert d.pull_requests.count() == d.analysis_runs.count() == orders.count()
+    assert {tuple(r) for r in d.pr_patches.collect()} == {(r.l_orderkey, r.l_orderkey * 10 + r.l_linenumber) for r in lines.collect()}
+    assert {tuple(r) for r in d.atlas_links.collect()} == {(r.l_partkey, (r.l_partkey + ns * int(r.l_quantity)) % np) for r in lines.collect()}
