@@ -43,7 +43,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Looser shapes.
 MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]++)++", re.I)
 NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,128}+(?![A-Za-z0-9_+/=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+(?![A-Za-z0-9_+/=-])")
 WORDS_BEFORE = {
     "email": re.compile(r"mail|contact|write|reach|address", re.I), "ip": re.compile(r"\bip\b|addr|host|server|client", re.I), "card": re.compile(r"card|visa|credit|pay|account", re.I),
     "phone": re.compile(r"phone|tel\b|call|mobile|cell|fax|contact", re.I), "secret": re.compile(r"token|secret|passw|api.?key|\bkey\b|auth|bearer|credential", re.I),

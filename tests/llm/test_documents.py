@@ -204,6 +204,15 @@ def test_pii_random_bases_match():
         assert sorted(pii.base_spans(t)[0]) == sorted(base(t)), t
 
 
+def test_long_secrets_are_masked(spark):
+    """A key of any length is a candidate."""
+    rnd = random.Random(9)
+    keys = {i: "".join(rnd.choice("0123456789abcdefABCDEFghijKLMN") for _ in range(n)) for i, n in enumerate([40, 128, 129, 300, 5000])}
+    df = spark.createDataFrame([(i, f'the api key is token = "{k}" here', "en", "s", 1, 7, "k", 1) for i, k in keys.items()], SCHEMA)
+    got = by_id(pii.redacted(df))
+    assert all(k not in got[i].text for i, k in keys.items())
+
+
 def test_redaction_keeps_columns_and_nulls(spark, docs):
     out = by_id(pii.redacted(docs))
     assert out[1].text is None and "[EMAIL]" in out[38].text and "example.com" not in out[38].text
