@@ -34,5 +34,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         last, state = state, _state(edges)
         if state == last:
             break
+    else:
+        raise RuntimeError(f"components: edges still change after {rounds} rounds")
     stars = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -2,20 +2,20 @@
 
 A document's set holds the hashes of its distinct ``gram``-word shingles.  Equal
 sets are one node.  A node's signature has ``TREES * STEP`` minima; tree t of the
-forest orders the signatures from place ``STEP * t`` on, cyclically.  In each
-order, nodes with a common prefix of at least ``STEP`` values form a region.
-Inside a region neighbours are compared by their whole signatures, and those
-whose agreement is within 4.5 standard deviations of the threshold become
-candidates, each pair in the first tree that brings it together only.
-
-A region of more than ``CROWD`` nodes is split by longer prefixes, up to
-``DEEPEST`` values, which finds most links of a crowd cheaply but not all (at
-0.85 a pair falls apart in all trees with probability 1.7e-5 at depth 8, 1e-3 at
-10, 1.2e-2 at 12, 0.33 at 19, 0.64 at 24).  So the regions that are crowded at
-``whole_depth``, the depth that loses at most ``MISS`` of the pairs at the threshold
-(7 at 0.85: 1.1e-6; 6 at 0.80: 7.9e-6), are compared again as wholes: what the
-links so far have left outside a region's largest part meets first the nodes of
-most links and then, block by block, all others of the region.  What is missed
+forest sorts the signatures from place ``STEP * t`` on, cyclically.  Only nodes
+that share ``whole_depth`` values with another take part in an order: that depth
+loses at most ``MISS`` of the pairs at the threshold (7 values at 0.85: 1.1e-6; 6
+at 0.80: 7.9e-6).  The orders are sorted over all partitions, and the longest
+common prefixes of neighbours cut them into regions.  Inside a region nodes are
+compared by their whole signatures, and those whose agreement is within 4.5
+standard deviations of the threshold become candidates, each pair in the first
+tree that brings it together only.
+
+A region of more than ``CROWD`` nodes is cut deeper, each part as deep as it needs
+up to ``DEEPEST`` values and then by place in the order, which finds most links of a
+crowd cheaply but not all.  So crowded regions are compared again as wholes: what
+the links so far have left outside a region's largest part meets first the nodes
+of most links and then, block by block, all others of the region.  What is missed
 is a pair in ``MISS`` by the depth and one in 300,000 by the 4.5 deviations.
 Every candidate is confirmed on the full sets, region by region: what leaves the
 first comparison is which nodes have candidates in which regions, not the pairs.
@@ -26,6 +26,10 @@ connected components of the confirmed links.
 Nulls and empty texts have an empty set and stay alone.  A null id is never
 linked.  Texts with fewer words than a shingle have their whole sequence as one.
 Repeated rows share a node; rows that repeat an id are one document for links.
+A tie cannot arise: a class is named by its least id.  An empty table gives no
+rows.  Very long texts are hashed in one pass, and their minima are taken 1024
+shingles at a time.  Extra columns are ignored by ``classes`` and kept by
+``deduplicated``, whatever their names; ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -87,11 +91,6 @@ def described(docs: DataFrame, id_column: str, gram: int) -> DataFrame:
     return by_arrow(docs.select(F.col(id_column).alias("id"), "text"), run, f"id {docs.schema[id_column].dataType.simpleString()}, n_shingles long, set_key binary, signature binary")
 
 
-def _key() -> F.Column:
-    """Of the order of ``tree``: a hash of its first ``depth`` values."""
-    return F.expr(f"xxhash64(tree, substring(concat(signature, signature), {2 * STEP} * tree + 1, 2 * depth))")
-
-
 def missed(share: float, depth: int) -> float:
     """At most the chance that a pair of that similarity shares a prefix of ``depth`` values in no tree.
 
@@ -113,41 +112,129 @@ def whole_depth(percent: int) -> int:
     return max(d for d in range(STEP, DEEPEST) if d == STEP or missed(percent / 100, d) <= MISS)
 
 
-def regions(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, tree, key, depth) of every region with two nodes at least, and (id, tree, key) of those crowded at ``whole_depth``.
+def signed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (id, ...) with their nodes' signatures: one row for each node in the join, taken apart after it."""
+    packed = rows.groupBy("id").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "id"))).alias("rows"))
+    return packed.join(nodes, "id").select("id", "signature", F.explode("rows").alias("r")).select("id", "signature", "r.*")
+
 
-    A crowded region's next depth follows from its size, as if each further
-    value kept ``KEPT`` of it.
+def neighbours(nodes: DataFrame, percent: int) -> DataFrame:
+    """(id, tree) of the nodes that share ``whole_depth`` values with another one in that tree's order.
+
+    Range partitioning splits a key of any number of rows.  The first and the
+    last row of a partition are kept in any case, as theirs may lie in the next one.
     """
-    whole, wide = whole_depth(percent), None
+    depth, kind = whole_depth(percent), nodes.schema["id"].dataType.simpleString()
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    here = nodes.select("id", trees, "signature", F.lit(STEP).alias("depth")).select("id", "tree", "depth", _key().alias("key"))
-    fit, done = F.col("count") <= CROWD, None
-    while True:
-        shared = here.groupBy("key").count().where("count > 1")
-        here = written(here.join(shared, "key").select("id", "tree", "depth", "key", "count"), "regions")
-        final = here.where(fit).select("id", "tree", "key", F.col("depth").cast("tinyint").alias("depth"))
-        done = final if done is None else done.union(final)
-        crowded, last = here.where(~fit & (F.col("depth") < DEEPEST)), here.where(~fit & (F.col("depth") >= DEEPEST))
-        done = done.union(_dealt(last))
-        kept_whole = here.where(~fit & (F.col("depth") == whole)).select("id", "tree", "key")
-        wide = kept_whole if wide is None else wide.union(kept_whole)
-        if crowded.isEmpty():
-            return done, wide
-        further = F.greatest(F.lit(1), F.ceil(F.log(F.col("count") / CROWD) / -np.log(KEPT)))
-        deeper = crowded.select("id", "tree", F.least(F.when(F.col("depth") < whole, whole).otherwise(DEEPEST), F.col("depth") + further).cast("int").alias("depth"))
-        here = deeper.join(nodes.select("id", "signature"), "id").select("id", "tree", "depth", _key().alias("key"))
-
-
-def _dealt(crowded: DataFrame) -> DataFrame:
-    """Regions that the deepest prefixes leave crowded, in parts that share their least node, dealt anew in each tree.
-
-    Nodes of different parts are compared by ``crossed``, unless linked already.
+    key = F.expr(f"xxhash64(tree, substring(concat(signature, signature), {2 * STEP} * tree + 1, {2 * depth}))")
+    rows = nodes.select("id", trees, "signature").select(key.alias("key"), "id", "tree")
+    rows = rows.repartitionByRange(partitions(rows), "key", "id").sortWithinPartitions("key")
+
+    def run(batches):
+        held, known = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = batch.column(0).to_numpy()
+            same = keys[1:] == keys[:-1]
+            shared = np.concatenate([[known], same]) | np.concatenate([same, [False]])
+            held, known = batch.slice(len(keys) - 1), bool(shared[-1])
+            yield batch.slice(0, len(keys) - 1).filter(pa.array(shared[:-1])).select([1, 2])
+        if held is not None:
+            yield held.select([1, 2])
+
+    return rows.mapInArrow(run, f"id {kind}, tree int")
+
+
+def by_run(batches, depth: int, least: int = 1 << 15):
+    """(rows, open left, open right) of parts of one sorted order; a part ends where fewer than ``depth`` values are common.
+
+    A side is open where the rows there may belong to a run that goes on in
+    another part: at a partition's ends and inside a run longer than ``least``.
     """
-    parts = F.ceil(F.col("count") / CROWD)
-    first = crowded.groupBy("key", "tree", "count").agg(F.min("id").alias("id")).select("id", "tree", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"), "key")
-    dealt = crowded.select("id", "tree", F.pmod(F.xxhash64("id", "tree", "key"), parts).cast("int").alias("part"), "key").union(first).distinct()
-    return dealt.select("id", "tree", F.xxhash64("key", "part").alias("key"), F.lit(DEALT).cast("tinyint").alias("depth"))
+    held: list[pa.RecordBatch] = []
+    left = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if sum(x.num_rows for x in held) >= least:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ends = np.flatnonzero(common(rows) < depth)
+            cut = int(ends[-1]) + 1 if len(ends) else rows.num_rows
+            yield rows.slice(0, cut).combine_chunks(), left, not len(ends)
+            left, held = not len(ends), rows.slice(cut).combine_chunks().to_batches()
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), left, True
+
+
+def orders_of(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("order").to_pylist()), "<u2").reshape(rows.num_rows, DEEPEST)
+
+
+def common(rows: pa.Table) -> np.ndarray:
+    """The longest common prefix, in values, of each row and the next; -1 between trees."""
+    order, tree = orders_of(rows), rows.column("tree").to_numpy()
+    prefix = (order[1:] == order[:-1]).cumprod(axis=1, dtype=np.int8).sum(axis=1)
+    return np.where(tree[1:] == tree[:-1], prefix, -1)
+
+
+def cut_regions(rows: pa.Table, depth: int, left: bool, right: bool) -> tuple[np.ndarray, ...]:
+    """(key, depth, whole, crowded) of each row of a sorted order; depth 0 where a row has no neighbour.
+
+    A run of rows with ``depth`` common values is a region, ``whole``, if at
+    most ``CROWD`` rows long; a longer one falls into runs of more common
+    values, each as deep as it needs, and at last into neighbours by place.
+    """
+    n, prefix = rows.num_rows, common(rows)
+    order, hashes = orders_of(rows), mix(rows.column("tree").to_numpy().astype(np.uint64) + np.uint64(1))
+    key, level, whole, crowded = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, np.uint64), np.zeros(n, bool)
+    open_, place = np.ones(n, bool), np.arange(n)
+    for d in range(1, DEEPEST + 1):
+        hashes = mix(hashes * np.uint64(0x9FB21C651E98DF25) ^ order[:, d - 1])
+        if d < depth:
+            continue
+        first = np.concatenate([[True], prefix < d])
+        run = first.cumsum() - 1
+        size = np.bincount(run)[run]
+        fits = open_ & (size <= CROWD) & ~((size == n) & left & right)
+        if d == depth:
+            whole, crowded = hashes, ~fits
+        edge = (left & (run == 0)) | (right & (run == run[-1]))
+        key[fits], level[fits] = hashes[fits], np.where((size > 1) | edge, d, 0)[fits]
+        open_ &= ~fits
+        if not open_.any():
+            break
+    if open_.any():
+        block = place - np.maximum.accumulate(np.where(first, place, 0))
+        key[open_] = mix(hashes + (block // CROWD).astype(np.uint64) + np.uint64(place[0]))[open_]
+        level[open_] = DEALT
+    return key.view(np.int64), level, whole.view(np.int64), crowded
+
+
+def regions(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, tree, key, depth) of every region, and (id, tree, key) of those crowded at ``whole_depth``.
+
+    Each tree's order is sorted over all partitions; longest common prefixes of
+    neighbours cut it into regions.
+    """
+    depth, kind = whole_depth(percent), nodes.schema["id"].dataType.simpleString()
+    near = written(neighbours(nodes, percent), "neighbours")
+    order = F.expr(f"substring(concat(signature, signature), {2 * STEP} * tree + 1, {2 * DEEPEST})").alias("order")
+    rows = signed(near, nodes).select("tree", order, "id")
+    rows = rows.repartitionByRange(partitions(rows), "tree", "order", "id").sortWithinPartitions("tree", "order")
+
+    def run(batches):
+        for rows, left, right in by_run(batches, depth):
+            key, level, whole, crowded = cut_regions(rows, depth, left, right)
+            columns = [rows.column("id").combine_chunks(), rows.column("tree").combine_chunks(), key, level, whole, crowded]
+            yield pa.record_batch([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["id", "tree", "key", "depth", "whole", "crowded"])
+
+    cut = written(rows.mapInArrow(run, f"id {kind}, tree int, key long, depth tinyint, whole long, crowded boolean"), "regions")
+    wide = written(cut.where("crowded").select("whole").distinct(), "crowded")
+    return cut.where("depth > 0").select("id", "tree", "key", "depth"), cut.join(wide, "whole").select("id", "tree", F.col("whole").alias("key"))
 
 
 def region_pairs(keys: np.ndarray, trees: np.ndarray, sigs: np.ndarray, depths: np.ndarray, sides: np.ndarray, parts: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +308,7 @@ def columns_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
 def candidates(near: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The nodes that have candidates, with the regions that bring them together."""
     mine = near.groupBy("id").agg(F.collect_list(F.struct("tree", "key", "depth")).alias("regions"))
-    depths = F.expr(f"aggregate(regions, array_repeat(0Y, {TREES}), (d, r) -> transform(d, (x, t) -> if(t = r.tree, r.depth, x)))")
+    depths = F.expr(f"transform(sequence(0, {TREES - 1}), t -> coalesce(map_from_arrays(regions.tree, regions.depth)[t], 0Y))")
     rows = mine.join(nodes, "id").withColumn("depths", depths).select(F.explode("regions").alias("r"), "id", "signature", "depths")
     return compared(rows.select("r.key", "r.tree", "id", "signature", "depths", F.lit(0).alias("side"), F.col("id").alias("part")), percent)
 
@@ -256,6 +343,11 @@ def crossed(wide: DataFrame, label: DataFrame, nodes: DataFrame, hubs: DataFrame
         return None
     block = max(1, CROWD // 2)
     placed = parts.join(mixed, "key").withColumn("_left", F.ceil(F.col("others") / block).cast("int")).withColumn("_right", F.ceil(F.col("most") / block).cast("int"))
+    if hubs is not None:
+        ranked = placed.join(hubs, "id").withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "id")))
+        best = signed(ranked.where(F.col("_rank") <= HUBS).drop("n", "_rank"), nodes)
+        placed = placed.where("part <> main")
+    placed = signed(placed, nodes)
     own = "cast(pmod(xxhash64(id, tree, key), {}) as int)"
     outer = placed.where("part <> main").withColumn("_block", F.expr(own.format("_left")))
     if hubs is None:
@@ -265,12 +357,11 @@ def crossed(wide: DataFrame, label: DataFrame, nodes: DataFrame, hubs: DataFrame
         rows = rows.withColumn("side", F.expr("if(_block = _other, 0, if(_block < _other, 1, 2))"))
         rows = rows.withColumn("_key", F.expr("xxhash64(key, least(_block, _other), greatest(_block, _other))"))
     else:
-        best = placed.join(hubs, "id").withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "id"))).where(F.col("_rank") <= HUBS).drop("n", "_rank")
-        rows = outer.withColumn("side", F.lit(1)).union(best.withColumn("_block", F.explode(F.expr("sequence(0, _left - 1)"))).withColumn("side", F.lit(2)))
+        rows = outer.withColumn("side", F.lit(1)).unionByName(best.withColumn("_block", F.explode(F.expr("sequence(0, _left - 1)"))).withColumn("side", F.lit(2)))
         rows = rows.withColumn("_key", F.expr("xxhash64(key, _block)"))
     # A pair that shares as long a prefix in an earlier tree has been compared there; hubs differ by tree.
     depth = 0 if hubs is not None else whole_depth(percent)
-    rows = rows.join(nodes, "id").select(F.col("_key").alias("key"), "tree", "id", "signature", F.expr(f"array_repeat({depth}Y, {TREES})").alias("depths"), "side", "part")
+    rows = rows.select(F.col("_key").alias("key"), "tree", "id", "signature", F.expr(f"array_repeat({depth}Y, {TREES})").alias("depths"), "side", "part")
     return compared(rows, percent)
 
 

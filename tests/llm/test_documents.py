@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orrery.llm import bpe, decontaminate, near_dedup, pii, quality, queries, substring_dedup, suffix_dedup
@@ -289,20 +290,35 @@ def test_near_dedup_of_a_star(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
 
 
-def test_dealt_regions(spark, monkeypatch):
-    """Parts differ from tree to tree, and a star keeps its links whatever its centre's id."""
-    monkeypatch.setattr(near_dedup, "CROWD", 4)
-    rows = [(i, tree, 1000 + tree, 24, 12) for tree in (3, 4) for i in range(12)]
-    met = collections.defaultdict(set)
-    for r in near_dedup._dealt(spark.createDataFrame(rows, "id long, tree int, key long, depth int, count long")).collect():
-        if r.id:
-            met[r.tree, r.key].add(r.id)
-    assert {frozenset(x) for (t, _), x in met.items() if t == 3} != {frozenset(x) for (t, _), x in met.items() if t == 4}
-    texts = star(150, 149)
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+def test_stars_beyond_a_region(spark):
+    """At the real region size, and with a centre that is not the least id."""
+    texts = star(1300, 1299)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     assert {r.component_id for r in near_dedup.classes(df, gram=3, percent=85).collect()} == {0}
 
 
+def test_orders_are_cut_by_common_prefixes(monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWD", 4)
+    rng, depth = np.random.default_rng(5), 6
+    order = rng.integers(0, 3, (400, near_dedup.DEEPEST)).astype("<u2")
+    order[:80] = order[0]
+    order = order[np.lexsort(order.T[::-1])]
+    rows = pa.table({"order": pa.array([x.tobytes() for x in order], pa.binary()), "tree": pa.array(np.full(400, 3, np.int32)), "id": pa.array(np.arange(400))})
+    parts = list(near_dedup.by_run(iter(rows.to_batches(max_chunksize=7)), depth, 30))
+    assert sum(x.num_rows for x, _, _ in parts) == 400
+    key, level, whole, crowded = (np.concatenate(x) for x in zip(*(near_dedup.cut_regions(*x[:1], depth, *x[1:]) for x in parts), strict=True))
+    of = collections.Counter(order[:, :depth].tobytes()[i * 2 * depth : (i + 1) * 2 * depth] for i in range(400))
+    for i in range(400):
+        name = order[i, :depth].tobytes()
+        assert crowded[i] or level[i] == depth or of[name] == 1
+        for j in range(i):
+            assert (whole[i] == whole[j]) == (name == order[j, :depth].tobytes())
+            if level[i] and key[i] == key[j]:
+                assert level[i] == near_dedup.DEALT or order[i, : level[i]].tobytes() == order[j, : level[i]].tobytes()
+            elif not crowded[i] and not crowded[j]:
+                assert name != order[j, :depth].tobytes()
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_depth_of_whole_regions(percent):
     depth = near_dedup.whole_depth(percent)
@@ -325,7 +341,6 @@ def test_substring_dedup(spark, docs, texts):
         assert got[i].kept_sha256 == hashlib.sha256((got[i].text or "").encode()).hexdigest()
     assert got[5].text == texts[5] and got[6].text == "" and got[6].n_removed == got[6].n_sentences
     # units are the same when a text stands alone: spans by brute force
-    import pyarrow as pa
 
     from orrery.llm.kernels import text_view
 
