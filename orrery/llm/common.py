@@ -5,17 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BATCH_ROWS = 512
+_local: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is named."""
+    """The folder that the cluster shares; a temporary one only in local mode, where none need be named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="scratch-"))
     return named.rstrip("/")
 
 
@@ -41,5 +43,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with every column but ``own`` under a name that no operator uses, and what brings the names back."""
+    inner = [c if c in own else f"_extra{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*inner), [F.col(i).alias(c) for i, c in zip(inner, df.columns, strict=True)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

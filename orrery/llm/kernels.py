@@ -2,13 +2,16 @@
 
 Texts arrive as Arrow string columns.  The kernels look at their UTF-8 bytes
 through numpy and never build a Python object per word: words are runs of
-non-separator bytes, their hashes are differences of one prefix polynomial sum
-modulo 2**64, and every pass works on slices of bounded size, so that memory
-does not depend on how Spark has filled a batch.
+non-separator bytes, hashed eight bytes at a time with a mixing step after each,
+and every pass works on slices of bounded size, so that memory does not depend
+on how Spark has filled a batch.  Prefix polynomial sums modulo 2**64 serve the
+suffix sort and short spans; texts can be made up that collide under them, so
+nothing is removed on their word alone where the texts may be that long.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +67,32 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * powers(len(sums), BASE_INVERSE)[start])
 
 
+LONG_BLOCKS = 16
+
+
+def item_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans [start, end), by their content only.
+
+    Spans of more than ``LONG_BLOCKS`` blocks of eight bytes go through BLAKE2b.
+    """
+    length = end - start
+    out = mix(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([codes, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(codes) + 1,), "<u8", padded, strides=(1,))
+    long = length > 8 * LONG_BLOCKS
+    live = np.flatnonzero(~long)
+    for k in range(LONG_BLOCKS):
+        live = live[length[live] > 8 * k]
+        if not len(live):
+            break
+        rest = np.minimum(length[live] - 8 * k, 8).astype(np.uint64)
+        block = blocks[start[live] + 8 * k] << (np.uint64(64) - np.uint64(8) * rest)
+        out[live] = mix((out[live] ^ block) * np.uint64(0x9FB21C651E98DF25))
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(codes[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -133,8 +162,7 @@ class Words:
         self.end = np.flatnonzero(inside & (after | edge[1:])) + 1
         first = np.searchsorted(self.start, at)
         self.first, self.count = first[:-1], np.diff(first)
-        self.sums = prefix_sums(BYTE_CODES[codes])
-        self.hash = span_hashes(self.sums, self.start, self.end)
+        self.hash = item_hashes(codes, self.start, self.end)
         self.inside = inside
 
     def doc(self) -> np.ndarray:
