@@ -10,13 +10,16 @@ word hashes.  Items shorter than a window have one fingerprint over all their
 words, looked up at every document position (one pass per such length).
 
 The benchmark side is sent to every task only while its fingerprints stay under
-``broadcast_limit``; beyond it the fingerprints are joined by a shuffle, and
-each document meets only the windows of the items that it shares a fingerprint
-with.
+``broadcast_limit``; beyond it the fingerprints, and then the windows around
+those that both sides have, are joined by a shuffle.
 
 Nulls: a null text has no words and is clean; a null item never occurs.  Empty
 tables give empty or clean results.  Repeated items with one id count once;
-repeated documents each get their row.
+repeated documents each get their row, and rows that repeat an id with other
+texts are judged each by its own.  Ties between least hashes go to the leftmost
+one, which both sides do alike.  Very long texts are taken whole, one at a time.
+Extra columns are ignored unless ``keep`` names them; ``clean_documents`` keeps
+columns of any name, those of the result included.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_arrow
-from .kernels import Words, byte_table, covered, gram_spans, grams, keyed, place_of, slices, sliding_min, text_view
+from .common import apart, by_arrow, written
+from .kernels import Words, byte_table, covered, gram_spans, grams, keyed, mix, place_of, slices, sliding_min, text_view
 
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 WINDOW, GRAM = 10, 4
@@ -123,41 +126,12 @@ class Index:
     def judge(self, batch: pa.RecordBatch, text: int, keep: list[int]) -> pa.RecordBatch:
         w = Words(*text_view(batch.column(text)), TABLE)
         hit, pairs = self.hits(w)
-        n = batch.num_rows
-        sums = np.concatenate(([0], np.cumsum(hit)))
-        n_hit = sums[w.first + w.count] - sums[w.first]
-        items: list[list[str]] = [[] for _ in range(n)]
+        items: list[list[str]] = [[] for _ in range(batch.num_rows)]
         if any(len(d) for d, _ in pairs):
             both = np.unique(np.stack([np.concatenate([d for d, _ in pairs]), np.concatenate([i for _, i in pairs])]), axis=1)
             for d, i in both.T.tolist():
                 items[d].append(self.ids[i])
-        digests = [hashlib.sha256(",".join(sorted(set(x))).encode()).hexdigest() for x in items]
-        where = [np.flatnonzero(hit[f : f + c]).tolist() if h else [] for f, c, h in zip(w.first.tolist(), w.count.tolist(), n_hit.tolist(), strict=True)]
-        return pa.record_batch(
-            [batch.column(c) for c in keep]
-            + [pa.array(w.count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(set(x)) for x in items], pa.int64()), pa.array(digests), pa.array(n_hit > 0), pa.array(where, pa.list_(pa.int32()))],
-            names=[batch.schema.names[c] for c in keep] + ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_words"],
-        )
-
-
-def fingerprints(df: DataFrame, id_column: str, window: int = WINDOW, gram: int = GRAM, short: tuple[int, ...] = ()) -> DataFrame:
-    """Rows (id, fingerprint) of a table with ``text``: the winnowed prints and those of whole texts or stretches of the given short lengths."""
-
-    def run(batches):
-        for part in slices(batches):
-            w = Words(*text_view(part.column(1)), TABLE)
-            doc_of, gram_hash = w.doc(), grams(w.hash, gram)
-            kept = winnow(gram_hash, window - gram + 1)
-            inside = doc_of[kept] == doc_of[kept + gram - 1]
-            docs, prints = [doc_of[kept[inside]]], [gram_hash[kept[inside]]]
-            for length in short:
-                at, doc = gram_spans(w.first, w.count, length)
-                docs.append(doc)
-                prints.append(grams(w.hash, length)[at])
-            docs, prints = np.concatenate(docs), np.concatenate(prints)
-            yield pa.record_batch([part.column(0).take(pa.array(docs)), pa.array(prints.view(np.int64))], names=["id", "print"])
-
-    return by_arrow(df.select(F.col(id_column).alias("id"), "text"), run, f"id {df.schema[id_column].dataType.simpleString()}, print long").distinct()
+        return _result(batch, keep, w, hit, [sorted(set(x)) for x in items])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", window: int = WINDOW, gram: int = GRAM, broadcast_limit: int = BROADCAST_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -185,22 +159,107 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     return _shuffled(docs, items, id_column, window, gram, columns, kept, text, schema)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` that hold no window, with all their columns whatever their names."""
+    inner, columns = apart(docs, id_column, "text")
+    return decontaminate(inner, benchmark, id_column, keep=tuple(inner.columns), **how).where(~F.col("contaminated")).select(*columns)
+
+
+def _item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(item, length, hash): every window of every item, and its winnowed fingerprints with length 0."""
+
+    def run(batches):
+        for part in slices(batches):
+            w = Words(*text_view(part.column(1)), TABLE)
+            found = []
+            for n in range(1, window):
+                rows = np.flatnonzero(w.count == n)
+                found.append((rows, n, grams(w.hash, n)[w.first[rows]]))
+            at, doc = gram_spans(w.first, w.count, window)
+            found.append((doc, window, grams(w.hash, window)[at]))
+            at, doc, prints = _winnowed(w, window, gram)
+            found.append((doc, 0, prints))
+            rows, lengths, hashes = (np.concatenate(x) for x in zip(*((r, np.full(len(r), n, np.int32), h) for r, n, h in found), strict=True))
+            yield pa.record_batch([part.column(0).take(pa.array(rows)), pa.array(lengths), pa.array(hashes.view(np.int64))], names=["item", "length", "hash"])
+
+    return by_arrow(items.select("item", "text"), run, "item string, length int, hash long")
+
+
+def _winnowed(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, documents and hashes of the kept fingerprints that lie inside one document."""
+    doc_of, gram_hash = w.doc(), grams(w.hash, gram)
+    kept = winnow(gram_hash, window - gram + 1)
+    kept = kept[doc_of[kept] == doc_of[kept + gram - 1]]
+    return kept, doc_of[kept], gram_hash[kept]
+
+
 def _shuffled(docs, items, id_column, window, gram, columns, kept, text, schema):
-    """The way for benchmarks of any size: candidates by a shuffled join of fingerprints."""
-    lengths = tuple(range(gram, window))
-    tiny = tuple(range(1, gram))
-    item_prints = fingerprints(items.withColumnRenamed("item", "item_id"), "item_id", window, gram, (*tiny, *lengths))
-    doc_prints = fingerprints(docs, id_column, window, gram, (*tiny, *lengths))
-    candidates = (
-        doc_prints.withColumnRenamed("id", "doc").join(item_prints.withColumnRenamed("id", "item"), "print").select("doc", "item").distinct()
-        .join(items, "item").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("item", "text"))).alias("found"))
-    )
-    joined = docs.select(*columns).join(candidates, docs[id_column].eqNullSafe(F.col("doc")), "left").drop("doc")
+    """The way for benchmarks of any size: fingerprints, then windows, are joined by a shuffle.
+
+    A row is known by a hash of id and text.  Its fingerprints are held against
+    the benchmark's by a semi-join, which repeats nothing however common a
+    fingerprint is; only windows around those that remain are sent on, and a
+    joined window is a hit, never a mere candidate.  Short items add the lengths
+    that they have, and no others.
+    """
+    facts = written(_item_windows(items, window, gram), "benchmark")
+    windows, prints = facts.where("length > 0").distinct(), facts.where("length = 0").select("hash").distinct()
+    short = sorted(r[0] for r in windows.where(F.col("length") < window).select("length").distinct().collect())
+    key = F.xxhash64(F.col(id_column), F.col("text"))
+    source = docs.where("text is not null").select(key.alias("row"), "text")
+
+    def look(batches):
+        for part in slices(batches):
+            _, doc, hashes = _winnowed(Words(*text_view(part.column(1)), TABLE), window, gram)
+            yield pa.record_batch([part.column(0).take(pa.array(doc)), pa.array(hashes.view(np.int64))], names=["row", "hash"])
+
+    matched = by_arrow(source, look, "row long, hash long").join(prints, "hash", "left_semi").groupBy("row").agg(F.collect_set("hash").alias("hashes"))
+
+    def extend(batches):
+        for part in slices(batches):
+            w = Words(*text_view(part.column(1)), TABLE)
+            at, doc, hashes = _winnowed(w, window, gram)
+            held = part.column(2).to_pylist()
+            own = np.concatenate([np.array(x or [], np.int64) for x in held]).view(np.uint64)
+            of = np.repeat(np.arange(len(held)), [len(x or []) for x in held])
+            at = at[np.isin(mix(hashes + mix(doc.astype(np.uint64))), mix(own + mix(of.astype(np.uint64))))]
+            starts, lengths, rows, found = [], [], [], []
+            spots, docs_at = gram_spans(w.first, w.count, window)
+            near = np.unique((at[:, None] - np.arange(window - gram + 1)).ravel())
+            close = np.isin(spots, near)
+            for n, spot, row in [(window, spots[close], docs_at[close]), *((n, *gram_spans(w.first, w.count, n)) for n in short)]:
+                starts.append(spot - w.first[row])
+                lengths.append(np.full(len(spot), n, np.int32))
+                rows.append(row)
+                found.append(grams(w.hash, n)[spot])
+            starts, lengths, rows, found = (np.concatenate(x) for x in (starts, lengths, rows, found))
+            yield pa.record_batch([part.column(0).take(pa.array(rows)), pa.array(found.view(np.int64)), pa.array(starts.astype(np.int32)), pa.array(lengths)], names=["row", "hash", "start", "length"])
+
+    near = source.join(matched, "row", "left" if short else "inner").select("row", "text", "hashes")
+    hits = by_arrow(near, extend, "row long, hash long, start int, length int").join(windows, ["hash", "length"])
+    hits = hits.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("_hits"), F.collect_set("item").alias("_items"))
+    joined = docs.select(*columns, key.alias("_row")).join(hits, F.col("_row") == F.col("row"), "left").select(*columns, "_hits", "_items")
 
     def run(batches):
         for part in slices(batches, "text"):
-            for r in range(part.num_rows):
-                found = part.column(len(columns))[r].as_py() or []
-                yield Index([(x["item"], x["text"]) for x in found], window, gram).judge(part.slice(r, 1), text, kept)
+            w = Words(*text_view(part.column(text)), TABLE)
+            spans, items_of = part.column(len(columns)).to_pylist(), [sorted(x or []) for x in part.column(len(columns) + 1).to_pylist()]
+            row = np.repeat(np.arange(len(spans)), [len(x or []) for x in spans])
+            start = w.first[row] + np.array([x["start"] for s in spans for x in s or []], np.int64)
+            hit = covered(start, start + np.array([x["length"] for s in spans for x in s or []], np.int64), len(w.hash))
+            yield _result(part, kept, w, hit, items_of)
 
     return by_arrow(joined, run, schema)
+
+
+def _result(batch: pa.RecordBatch, keep: list[int], w: Words, hit: np.ndarray, items: list[list[str]]) -> pa.RecordBatch:
+    """The kept columns and what ``hit`` words and found ``items`` (sorted, distinct) say of each row."""
+    sums = np.concatenate(([0], np.cumsum(hit)))
+    n_hit = sums[w.first + w.count] - sums[w.first]
+    digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    where = [np.flatnonzero(hit[f : f + c]).tolist() if h else [] for f, c, h in zip(w.first.tolist(), w.count.tolist(), n_hit.tolist(), strict=True)]
+    return pa.record_batch(
+        [batch.column(c) for c in keep]
+        + [pa.array(w.count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.array(where, pa.list_(pa.int32()))],
+        names=[batch.schema.names[c] for c in keep] + ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_words"],
+    )
