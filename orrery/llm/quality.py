@@ -10,9 +10,13 @@ through a histogram of fixed size: the limit that best separates bad from good
 among those that reject at most ``FALSE_REJECTS`` of the good rows.
 
 Nulls: a null text has no words, so the first rule rejects it.  A null or
-unlabelled id takes no part in calibration.  Without good labelled rows only
-the hard rules judge.  An id labelled twice counts with its lower quality.
-Repeated documents each get their row.
+unlabelled id takes no part in calibration.  Without good labelled rows (or
+with empty tables) only the hard rules judge.  An id labelled twice counts with
+its lower quality.  Repeated documents, and rows that repeat an id, each get
+their row and are judged alike if their texts are.  Ties in the sample's order
+go by id and statistics.  Very long texts are counted whole, one at a time.
+Extra columns are ignored unless ``keep`` names them; ``kept_documents`` keeps
+columns of any name, those of the statistics included.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_arrow, written
+from .common import apart, by_arrow, written
 from .kernels import Words, byte_table, covered, gram_spans, grams, mix, slices, text_view
 
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -181,6 +185,28 @@ def limit_from(histogram: list[tuple[int, int, int]], false_rejects: float = FAL
     return float(best[-1]) / bins
 
 
+def sampled(good: DataFrame, id_column: str, sample: int) -> list:
+    """The features of at most ``sample`` rows, least by a hash of the id.
+
+    A count first says which share of the hashes is needed, so the tasks send
+    little more than the sample and not as many rows each.
+    """
+    share = min(1.0, (sample + 5 * sample**0.5) / max(good.count(), 1))
+    place = F.xxhash64(id_column)
+    while True:
+        below = good.where(place <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else good
+        rows = below.orderBy(place, F.col(id_column), "features").limit(sample).select("features").collect()
+        if len(rows) == sample or share >= 1:
+            return rows
+        share = min(1.0, 2 * share)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns whatever their names."""
+    inner, columns = apart(docs, id_column, "text")
+    return judged(inner, labels, id_column, keep=tuple(inner.columns)).where("kept").select(*columns)
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", keep: tuple[str, ...] = (), sample: int = SAMPLE, false_rejects: float = FALSE_REJECTS) -> DataFrame:
     """Per document: the statistics, ``base_failed``, ``score`` (null without a forest) and ``kept``."""
     wanted = list(dict.fromkeys([id_column, *keep]))
@@ -199,7 +225,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", keep:
     facts = written(by_arrow(docs.select(*columns), run, schema).withColumn("base_failed", failed), "quality")
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).where("_quality is not null")
     labelled = facts.where(~F.col("base_failed")).join(marks, F.col(id_column) == F.col("_id")).select(id_column, "features", "_quality")
-    good = labelled.where("_quality > 0").orderBy(F.xxhash64(id_column), F.col(id_column), "features").limit(sample).select("features").collect()
+    good = sampled(labelled.where("_quality > 0"), id_column, sample)
     if not good:
         return facts.withColumn("score", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed")).drop("features")
     forest = docs.sparkSession.sparkContext.broadcast(grow(np.array([r[0] for r in good], np.float64)))
