@@ -33,6 +33,20 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def integer_ids(df: DataFrame, id_column: str) -> F.Column:
+    """The id as a long; packets hold no other type."""
+    kind = df.schema[id_column].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_column} must be an integer, not {kind}")
+    return F.col(id_column).cast("long")
+
+
+def row_tags(df: DataFrame, id_column: str) -> F.Column:
+    """What tells rows of one id apart: a hash of the text, or 0 for all where no id repeats."""
+    repeated = df.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1")
+    return F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
+
+
 def pack_docs(docs: np.ndarray) -> bytes:
     """Sorted ids as runs: number of runs, first differences, lengths."""
     cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
@@ -115,27 +129,28 @@ def exchanged(docs: DataFrame, send, columns: int, receive, out: str, blob: bool
     return sent.repartition(partitions(docs), "bucket").mapInArrow(receive, out)
 
 
-def grouped(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Rows per id: each value array's own stretch as 32-bit numbers."""
-    order = np.argsort(ids, kind="stable")
-    keys, first = np.unique(ids[order], return_index=True)
-    ends = np.append(first[1:], len(order))[: len(keys)].tolist()
+def grouped(ids: np.ndarray, tags: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Rows per id and tag: each value array's own stretch as 32-bit numbers."""
+    order = np.lexsort((tags, ids))
+    d, t = ids[order], tags[order]
+    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])))) if len(d) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(order))[: len(first)].tolist()
     packed = []
     for v in values:
         v = v[order].astype("<i4")
         packed.append([v[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)])
-    return keys, packed
+    return d[first], t[first].view(np.int64), packed
 
 
 def per_document(sent: DataFrame, width: int, name: str) -> DataFrame:
-    """(id, numbers): packets of one column, dealt out by document, as one row per document."""
+    """(id, tag, numbers): packets of tags and numbers, dealt out by document, as one row per document."""
 
     def run(batches):
-        ids, values = received(batches, {0: (width,)})[0]
-        keys, (packed,) = grouped(ids, values)
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["id", name])
+        ids, tags, values = received(batches, {0: (8, width)})[0]
+        keys, tags, (packed,) = grouped(ids, tags, values)
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), pa.array(packed, pa.binary())], names=["id", "tag", name])
 
-    return sent.repartition(partitions(sent), "bucket").mapInArrow(run, f"id long, {name} binary")
+    return sent.repartition(partitions(sent), "bucket").mapInArrow(run, f"id long, tag long, {name} binary")
 
 
 def numbers(cells: list[bytes] | None) -> np.ndarray:

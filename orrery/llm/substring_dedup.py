@@ -12,8 +12,12 @@ then place) are removed, with the white space after them.  A passage of 50 words
 or more that two documents share always contains a span.
 
 Nulls: a null text has no units and stays null; rows with a null id take no part
-and stay whole.  Rows that repeat an id and text are one occurrence.  Empty
-texts have no units.
+and stay whole.  Rows that repeat an id and text are one occurrence; rows that
+repeat an id with another text are separate ones, in the order of a hash of the
+text, which also settles ties.  Empty texts have no units, an empty table gives
+no rows, and very long texts are cut whole, one at a time.  Extra columns are
+ignored unless ``keep`` names them (not by the names of the result).  Ids must be
+integers; another type is refused.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import by_arrow
-from .exchange import bucket_keys, chunks, exchanged, numbers, packets, per_document, received, schema
+from .exchange import bucket_keys, chunks, exchanged, integer_ids, numbers, packets, per_document, received, row_tags, schema
 from .kernels import Words, byte_table, covered, gram_spans, grams, keyed, place_of, prefix_sums, slices, sliding_min, span_hashes, text_view
 
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -88,53 +92,53 @@ class Units:
         return start, stop
 
 
-def later(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Entries after their hash's first (document, place)."""
-    order = np.lexsort((places, docs, hashes))
-    h, d, p = hashes[order], docs[order], places[order]
+def later(hashes: np.ndarray, docs: np.ndarray, tags: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Entries after their hash's first (document, text, place)."""
+    order = np.lexsort((places, tags, docs, hashes))
+    h, d, t, p = hashes[order], docs[order], tags[order], places[order]
     begins = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(begins, np.arange(len(h)), 0))
     out = np.zeros(len(h), bool)
-    out[order] = (d != d[first]) | (p != p[first])
+    out[order] = (d != d[first]) | (t != t[first]) | (p != p[first])
     return out
 
 
-def repeated_spans(docs: DataFrame, id_column: str) -> DataFrame:
-    """(id, places): the spans that are not their hash's first, as first unit and number of further ones."""
-    homes = bucket_keys(docs)
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(id, tag, places) from (id, tag, text): the spans that are not their hash's first, as first unit and number of further ones."""
+    homes = bucket_keys(texts)
     buckets = len(homes)
 
     def look(part):
-        units = Units(*text_view(part.column(1)))
-        ids = np.asarray(part.column(0))
-        return [units.hash, ids[units.span_doc], units.span_place]
+        units = Units(*text_view(part.column(2)))
+        ids, tags = np.asarray(part.column(0)), np.asarray(part.column(1)).view(np.uint64)
+        return [units.hash, ids[units.span_doc], tags[units.span_doc], units.span_place]
 
     def send(batches):
-        for hashes, ids, places in chunks(batches, look):
-            known = later(hashes, ids, places)
+        for hashes, ids, tags, places in chunks(batches, look):
+            known = later(hashes, ids, tags, places)
             none = np.zeros(int(known.sum()), np.uint64)
-            yield packets(homes[(ids[known] % buckets).astype(np.int64)], ids[known], [(none, 1), (places[known], 4)], part=1)
-            hashes, ids, places = hashes[~known], ids[~known], places[~known]
-            yield packets(homes[(hashes % np.uint64(buckets)).astype(np.int64)], ids, [(hashes, 8), (places, 4)])
+            yield packets(homes[(ids[known] % buckets).astype(np.int64)], ids[known], [(none, 1), (tags[known], 8), (places[known], 4)], part=1)
+            hashes, ids, tags, places = hashes[~known], ids[~known], tags[~known], places[~known]
+            yield packets(homes[(hashes % np.uint64(buckets)).astype(np.int64)], ids, [(hashes, 8), (tags, 8), (places, 4)])
 
     def receive(batches):
-        got = received(batches, {0: (8, 4), 1: (1, 4)})
-        ids, hashes, places = got[0]
-        found = later(hashes, ids, places.astype(np.int64))
-        ids = np.concatenate([ids[found], got[1][0]])
-        yield packets(homes[ids % buckets], ids, [(np.concatenate([places[found], got[1][2]]), 4)])
+        got = received(batches, {0: (8, 8, 4), 1: (1, 8, 4)})
+        ids, hashes, tags, places = got[0]
+        found = later(hashes, ids, tags, places.astype(np.int64))
+        ids, tags, places = (np.concatenate(x) for x in ((ids[found], got[1][0]), (tags[found], got[1][2]), (places[found], got[1][3])))
+        yield packets(homes[ids % buckets], ids, [(tags, 8), (places, 4)])
 
-    texts = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), "text")
-    return per_document(exchanged(texts, send, 2, receive, schema(1)), 4, "places")
+    return per_document(exchanged(texts, send, 3, receive, schema(2)), 4, "places")
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: units, removed units and words, the text that is left and its digest."""
     wanted = list(dict.fromkeys([id_column, *keep]))
     columns = list(dict.fromkeys([*wanted, "text"]))
-    text = columns.index("text")
-    spans = repeated_spans(docs, id_column).withColumnRenamed("id", "_id")
-    joined = docs.select(*columns).join(spans, F.col(id_column) == F.col("_id"), "left").select(*columns, "places")
+    text, tag = columns.index("text"), row_tags(docs, id_column)
+    spans = repeated_spans(docs.where(F.col(id_column).isNotNull()).select(integer_ids(docs, id_column).alias("id"), tag.alias("tag"), "text"))
+    spans = spans.select(F.col("id").alias("_id"), F.col("tag").alias("_other"), F.col("places").alias("_places"))
+    joined = docs.select(*columns, tag.alias("_tag")).join(spans, (F.col(id_column) == F.col("_id")) & (F.col("_tag") == F.col("_other")), "left").select(*columns, "_places")
     counts = ("n_sentences", "n_removed", "n_words", "n_removed_words")
     result = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in wanted if c != "text") + "".join(f", {c} long" for c in counts) + ", kept_sha256 string, text string"
 

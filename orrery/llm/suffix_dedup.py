@@ -6,23 +6,28 @@ not needed for that: strings of ``LENGTH`` bytes can only be equal if they hold
 the same *anchor*, the ``GRAM``-byte gram of least hash among those inside, at
 the same offset.  So the strings are dealt out by anchor:
 
-1. Each document is cut into stretches of strings with one anchor.  Anchor hash,
-   stretch hash and place are exchanged.  Where whole stretches are equal, all
-   but those of the least document are covered at once.  Anchors whose
-   stretches differ are left with one document per distinct stretch.
-2. Of these stretches the bytes are exchanged.  Their suffixes are sorted, per
-   anchor and offset, by a mergesort that compares two suffixes through prefix
-   polynomial hashes: a binary search finds their common extension, the byte
-   after it decides.  Neighbours in that order with a common extension of
-   ``LENGTH`` are compared byte by byte, so a hash collision cannot remove
-   anything; the least document of each run of equals keeps the string.
-
-A task resolves what it can among the documents of a chunk before anything is
-sent, so a passage that fills the corpus crosses once per chunk.
+1. Each document is cut into stretches of strings with one anchor.  Anchor hash
+   and place are exchanged; anchors that only one document has are done with.
+2. The bytes of the other stretches are exchanged.  Equal stretches, found by
+   hash and compared byte by byte, leave the least document's.  Where an
+   anchor's stretches differ, their suffixes are sorted, per anchor and offset,
+   by a mergesort that compares two suffixes through prefix polynomial hashes: a
+   binary search finds their common extension, the byte after it decides.
+   Neighbours in that order with a common extension of ``LENGTH`` are compared
+   byte by byte; the least document of each run of equals keeps the string.
+
+So a hash collision cannot remove anything.  A task resolves what it can among
+the documents of a chunk, by the same comparison of bytes, before anything is
+sent, so a passage that fills the corpus crosses once per chunk.  An anchor with
+more than ``HOT`` stretches is dealt out string by string, by offset and first
+bytes, as strings that differ there cannot be equal.
 
 Nulls: a null text is empty; texts shorter than ``LENGTH`` lose nothing; rows
 with a null id neither lose bytes nor take them from others.  Rows that repeat
-an id are one document: they never take bytes from each other.
+an id are one document, each with its own bytes and spans: they never take bytes
+from each other.  That also settles ties.  An empty table gives no rows, and
+very long texts are cut whole, one at a time.  Extra columns are ignored.  Ids
+must be integers; another type is refused.
 """
 
 from __future__ import annotations
@@ -34,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import by_arrow, written
-from .exchange import bucket_keys, chunks, exchanged, grouped, numbers, packets, received, spread
+from .exchange import CHUNK_BYTES, bucket_keys, exchanged, grouped, integer_ids, numbers, packets, received, row_tags, spread
 from .kernels import BASE_INVERSE, BYTE_CODES, covered, keyed, mix, place_of, powers, prefix_sums, slices, sliding_min, span_hashes, text_view
 
 LENGTH, GRAM = 50, 18
 WIDTH = LENGTH - GRAM + 1
-SORTED_AT_ONCE = 12_000
-BITS48 = np.uint64((1 << 48) - 1)
+SORTED_AT_ONCE, HOT = 12_000, 4096
+PREFIX = 16
 
 
 def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -59,12 +64,28 @@ def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))))
     last = np.append(first[1:], len(anchor)) - 1
     row, anchor, low, high = row[first], anchor[first], starts[first], starts[last]
-    stretch = mix(span_hashes(sums, low, high + LENGTH) + (anchor - low).astype(np.uint64))
-    return row, anchor, low, high, gram_hash[anchor] & BITS48, stretch & BITS48
+    return row, anchor, low, high, gram_hash[anchor], stretch_hash(sums, low, high - low, anchor - low)
 
 
-def resolved(anchor: np.ndarray, stretch: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries a smaller document covers whole; which of the others share their anchor with a different stretch of another document."""
+def stretch_hash(sums: np.ndarray, begin: np.ndarray, more: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Of the bytes of stretches and the places of their anchors."""
+    return mix(span_hashes(sums, begin, begin + more + LENGTH) + back.astype(np.uint64))
+
+
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes at x and y agree over the given lengths."""
+    out = np.zeros(len(x), bool)
+    offsets = np.arange(LENGTH + WIDTH)
+    for at in range(0, len(x), 1 << 15):
+        i = slice(at, at + (1 << 15))
+        inside = offsets < length[i, None]
+        offset = np.where(inside, offsets, 0)
+        out[i] = (data[x[i, None] + offset] == data[y[i, None] + offset]).all(1)
+    return out
+
+
+def resolved(anchor: np.ndarray, stretch: np.ndarray, more: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries a smaller document's equal bytes cover whole; which of the others share their anchor with a different stretch of another document."""
     n = len(ids)
     if not n:
         return np.zeros(0, bool), np.zeros(0, bool)
@@ -74,27 +95,33 @@ def resolved(anchor: np.ndarray, stretch: np.ndarray, ids: np.ndarray) -> tuple[
     new_class = new_anchor | np.concatenate(([True], s[1:] != s[:-1]))
     starts = np.flatnonzero(new_anchor)
     group = np.cumsum(new_anchor) - 1
-    least = d[np.maximum.accumulate(np.where(new_class, np.arange(n), 0))]
-    whole = d > least
-    mixed = (np.add.reduceat(new_class.astype(np.int64), starts) > 1) & (np.maximum.reduceat(d, starts) > np.minimum.reduceat(d, starts))
+    first = np.maximum.accumulate(np.where(new_class, np.arange(n), 0))
+    later = np.flatnonzero(d > d[first])
+    own, other = order[later], order[first[later]]
+    equal = (more[own] == more[other]) & same_bytes(data, begin[own], begin[other], more[own] + LENGTH)
+    whole = np.zeros(n, bool)
+    whole[later] = equal
+    differ = new_class.astype(np.int64)
+    differ[later[~equal]] = 1
+    mixed = (np.add.reduceat(differ, starts) > 1) & (np.maximum.reduceat(d, starts) > np.minimum.reduceat(d, starts))
     out, open_ = np.zeros(n, bool), np.zeros(n, bool)
     out[order] = whole
     open_[order] = ~whole & mixed[group]
     return out, open_
 
 
-def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of each document united where they touch."""
+def merged(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of each row (id and tag) united where they touch."""
     if not len(ids):
-        return ids, start, end
-    order = np.lexsort((start, ids))
-    ids, start, end = ids[order], start[order], end[order]
-    # one running maximum over all documents: each document's places are lifted above those before it
-    lift = np.cumsum(np.concatenate(([0], ids[1:] != ids[:-1]))) * (int(end.max()) + 1)
+        return ids, tags, start, end
+    order = np.lexsort((start, tags, ids))
+    ids, tags, start, end = ids[order], tags[order], start[order], end[order]
+    # one running maximum over all rows: each row's places are lifted above those before it
+    lift = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + lift)
     begins = np.flatnonzero(np.concatenate(([True], start[1:] + lift[1:] > reach[:-1])))
     stops = np.append(begins[1:], len(ids)) - 1
-    return ids[begins], start[begins], reach[stops] - lift[stops]
+    return ids[begins], tags[begins], start[begins], reach[stops] - lift[stops]
 
 
 class SuffixSort:
@@ -204,68 +231,91 @@ def covered_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray, back:
     return entry[gone], offset[gone]
 
 
-def whole_stretches(texts: DataFrame) -> DataFrame:
-    """(id, start, end, open_low, open_high, open_back): spans covered whole, and stretches left open."""
+def chunked(batches):
+    """Ids, tags, stretches and bytes of (id, tag, text) rows, in chunks of about ``CHUNK_BYTES``."""
+    held, size = [], 0
+    for part in slices(batches):
+        data, at = text_view(part.column(2))
+        row, anchor, low, high, anchor_hash, stretch = stretches(data, at)
+        ids, tags = np.asarray(part.column(0)), np.asarray(part.column(1)).view(np.uint64)
+        held.append([ids[row], tags[row], anchor_hash, stretch, low - at[:-1][row], high - low, anchor - low, low + size, data])
+        size += len(data)
+        if size >= CHUNK_BYTES:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+OPEN = ("low", "more", "back", "hot")
+
+
+def shared_anchors(texts: DataFrame) -> DataFrame:
+    """(id, tag, start, end, low, more, back, hot): spans that a chunk has resolved, and stretches whose anchor other documents have."""
     homes = bucket_keys(texts)
     buckets = len(homes)
 
-    def look(part):
-        data, at = text_view(part.column(1))
-        row, anchor, low, high, anchor_hash, stretch = stretches(data, at)
-        home = at[:-1][row]
-        return [anchor_hash, stretch, np.asarray(part.column(0))[row], low - home, high - low, anchor - low]
-
     def send(batches):
-        for anchor, stretch, ids, low, more, back in chunks(batches, look):
-            whole, _ = resolved(anchor, stretch, ids)
-            known, start, end = merged(ids[whole], low[whole], low[whole] + more[whole] + LENGTH)
+        for ids, tags, anchor, stretch, low, more, back, begin, data in chunked(batches):
+            whole, _ = resolved(anchor, stretch, more, ids, data, begin)
+            known, tag, start, end = merged(ids[whole], tags[whole], low[whole], low[whole] + more[whole] + LENGTH)
             none = np.zeros(len(known), np.int64)
-            yield packets(homes[known % buckets], known, [(none, 0), (none, 0), (start, 4), (end, 4), (none, 0)], part=1)
+            yield packets(homes[known % buckets], known, [(none, 0), (tag, 8), (start, 4), (end, 4), (none, 0)], part=1)
             rest = ~whole
-            columns = [(anchor[rest], 6), (stretch[rest], 6), (low[rest], 4), (more[rest], 1), (back[rest], 1)]
+            columns = [(anchor[rest], 8), (tags[rest], 8), (low[rest], 4), (more[rest], 1), (back[rest], 1)]
             yield packets(homes[(anchor[rest] % np.uint64(buckets)).astype(np.int64)], ids[rest], columns)
 
     def receive(batches):
-        got = received(batches, {0: (6, 6, 4, 1, 1), 1: (0, 0, 4, 4, 0)})
-        ids, anchor, stretch, low, more, back = got[0]
-        low, more, back = low.astype(np.int64), more.astype(np.int64), back.astype(np.int64)
-        whole, open_ = resolved(anchor, stretch, ids)
-        known, start, end = merged(np.concatenate([ids[whole], got[1][0]]), np.concatenate([low[whole], got[1][3].astype(np.int64)]), np.concatenate([low[whole] + more[whole] + LENGTH, got[1][4].astype(np.int64)]))
-        keys, spans = grouped(known, start, end)
+        got = received(batches, {0: (8, 8, 4, 1, 1), 1: (0, 8, 4, 4, 0)})
+        keys, tags, spans = grouped(*merged(got[1][0], got[1][2], got[1][3].astype(np.int64), got[1][4].astype(np.int64)))
         empty = pa.array([None] * len(keys), pa.binary())
-        yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(x, pa.binary()) for x in spans), empty, empty, empty], names=["id", "start", "end", "open_low", "open_more", "open_back"])
-        keys, spans = grouped(ids[open_], low[open_], more[open_], back[open_])
+        names = ["id", "tag", "start", "end", *OPEN]
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), *(pa.array(x, pa.binary()) for x in spans), *[empty] * 4], names=names)
+        ids, anchor, tags, low, more, back = got[0]
+        order = np.lexsort((ids, anchor))
+        a, d = anchor[order], ids[order]
+        first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(a)))
+        several = d[first] < d[first + size - 1] if len(first) else np.zeros(0, bool)
+        own = order[np.repeat(several, size)]
+        hot = np.repeat(size > HOT, size)[np.repeat(several, size)]
+        keys, tags, cells = grouped(ids[own], tags[own], low[own], more[own], back[own], hot)
         empty = pa.array([None] * len(keys), pa.binary())
-        yield pa.record_batch([pa.array(keys, pa.int64()), empty, empty, *(pa.array(x, pa.binary()) for x in spans)], names=["id", "start", "end", "open_low", "open_more", "open_back"])
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), empty, empty, *(pa.array(x, pa.binary()) for x in cells)], names=names)
 
-    return exchanged(texts, send, 5, receive, "id long, start binary, end binary, open_low binary, open_more binary, open_back binary")
+    return exchanged(texts, send, 5, receive, "id long, tag long, start binary, end binary, low binary, more binary, back binary, hot binary")
 
 
 def sorted_stretches(texts: DataFrame, open_: DataFrame) -> DataFrame:
-    """(id, start, end): what the suffix sort of the open stretches covers."""
+    """(id, tag, start, end): what equal stretches and the suffix sort of the others cover."""
     homes = bucket_keys(texts)
     buckets = len(homes)
-    joined = texts.join(open_.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("id", "text", "open_low", "open_more", "open_back")
+    open_ = open_.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), *OPEN)
+    joined = texts.join(open_, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("id", "tag", "text", *OPEN)
 
     def send(batches):
         for part in slices(batches):
-            data, at = text_view(part.column(1))
-            cells = [[numbers(x) for x in part.column(c).to_pylist()] for c in (2, 3, 4)]
+            data, at = text_view(part.column(2))
+            cells = [[numbers(x) for x in part.column(c).to_pylist()] for c in range(3, 7)]
             row = np.repeat(np.arange(part.num_rows), [len(x) for x in cells[0]])
-            low, more, back = (np.concatenate(x) for x in cells)
+            low, more, back, hot = (np.concatenate(x) for x in cells)
+            # one entry for each string of a hot anchor's stretches
+            each = np.where(hot == 1, more + 1, 1)
+            step = spread(np.zeros(len(each), np.int64), each)
+            row, low, more, back, hot = (np.repeat(x, each) for x in (row, low, more, back, hot == 1))
+            low, back, more = low + step, back - step, np.where(hot, 0, more)
             begin = at[:-1][row] + low
-            # rows that repeat an id may be shorter than the one that a stretch is from
-            fits = begin + more + LENGTH <= at[1:][row]
-            row, low, more, back, begin = row[fits], low[fits], more[fits], back[fits], begin[fits]
             if not len(row):
                 continue
             sums = prefix_sums(BYTE_CODES[data])
             anchor = span_hashes(sums, begin + back, begin + back + GRAM)
-            ids = np.asarray(part.column(0))[row]
-            yield packets(homes[(anchor % np.uint64(buckets)).astype(np.int64)], ids, [(anchor, 8), (low, 4), (more, 1), (back, 1)], blobs=(data, begin, more + LENGTH))
+            prefix = mix(span_hashes(sums, begin, begin + PREFIX) + back.astype(np.uint64))
+            anchor = np.where(hot, mix(anchor ^ prefix), anchor)
+            ids, tags = np.asarray(part.column(0))[row], np.asarray(part.column(1)).view(np.uint64)[row]
+            yield packets(homes[(anchor % np.uint64(buckets)).astype(np.int64)], ids, [(anchor, 8), (tags, 8), (low, 4), (more, 1), (back, 1)], blobs=(data, begin, more + LENGTH))
 
     def receive(batches):
-        ids, anchor, low, more, back, data = received(batches, {0: (8, 4, 1, 1)}, blob=True)[0]
+        ids, anchor, tags, low, more, back, data = received(batches, {0: (8, 8, 4, 1, 1)}, blob=True)[0]
         low, more, back = low.astype(np.int64), more.astype(np.int64), back.astype(np.int64)
         length = more + LENGTH
         begin = np.cumsum(length) - length
@@ -277,27 +327,31 @@ def sorted_stretches(texts: DataFrame, open_: DataFrame) -> DataFrame:
         while at < len(heads) - 1:
             stop = max(at + 1, int(np.searchsorted(heads, heads[at] + SORTED_AT_ONCE, side="right")) - 1)
             own = order[heads[at] : heads[stop]]
-            local = data[spread(begin[own], length[own])]
-            entry, offset = covered_strings(local, np.cumsum(length[own]) - length[own], more[own] + 1, back[own], anchor[own], ids[own])
-            start = low[own[entry]] + offset
-            found.append(merged(ids[own[entry]], start, start + LENGTH))
+            local, base = data[spread(begin[own], length[own])], np.cumsum(length[own]) - length[own]
+            stretch = stretch_hash(prefix_sums(BYTE_CODES[local]), base, more[own], back[own])
+            whole, open_ = resolved(anchor[own], stretch, more[own], ids[own], local, base)
+            w, o = own[whole], own[open_]
+            entry, offset = covered_strings(local, base[open_], more[o] + 1, back[o], anchor[o], ids[o])
+            start = low[o[entry]] + offset
+            found.append(merged(*(np.concatenate(x) for x in ((ids[w], ids[o[entry]]), (tags[w], tags[o[entry]]), (low[w], start), (low[w] + length[w], start + LENGTH)))))
             at = stop
-        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-        keys, spans = grouped(*merged(*parts))
-        yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(x, pa.binary()) for x in spans)], names=["id", "start", "end"])
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+        keys, tags, spans = grouped(*merged(*parts))
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), *(pa.array(x, pa.binary()) for x in spans)], names=["id", "tag", "start", "end"])
 
-    return exchanged(joined, send, 4, receive, "id long, start binary, end binary", blob=True)
+    return exchanged(joined, send, 5, receive, "id long, tag long, start binary, end binary", blob=True)
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: bool = False) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs, digest of the rest (and, if asked for, its bytes)."""
-    source = docs.select(F.col(id_column).cast("long").alias("id"), "text")
+    source = docs.select(integer_ids(docs, id_column).alias("id"), row_tags(docs, id_column).alias("tag"), "text")
     texts = source.where("id is not null")
-    whole = written(whole_stretches(texts), "stretches")
-    open_ = whole.where("open_low is not null").groupBy("id").agg(*(F.collect_list(c).alias(c) for c in ("open_low", "open_more", "open_back")))
+    first = written(shared_anchors(texts), "stretches")
+    open_ = first.where("low is not null").groupBy("id", "tag").agg(*(F.collect_list(c).alias(c) for c in OPEN))
     more = sorted_stretches(texts, open_)
-    spans = whole.where("start is not null").select("id", "start", "end").union(more).groupBy("id").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    joined = texts.join(spans.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "text", "start", "end")
+    spans = first.where("start is not null").select("id", "tag", "start", "end").union(more).groupBy("id", "tag").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    spans = spans.withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    joined = texts.join(spans, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", "start", "end")
     none = F.lit(None).cast("array<binary>")
     rows = joined.union(source.where("id is null").select("id", "text", none.alias("start"), none.alias("end")))
     schema = f"`{id_column}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
@@ -310,7 +364,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: bool = False)
             for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 own = data[a:b]
                 if starts[r]:
-                    gone = covered(numbers(starts[r]).clip(0, b - a), numbers(ends[r]).clip(0, b - a), b - a)
+                    gone = covered(numbers(starts[r]), numbers(ends[r]), b - a)
                     own = own[~gone]
                     runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                 else:
