@@ -118,6 +118,18 @@ def signed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return packed.join(nodes, "id").select("id", "signature", F.explode("rows").alias("r")).select("id", "signature", "r.*")
 
 
+def values_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), SIZE)
+
+
+def taken_apart(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray | pa.Array, list[pa.Array]]:
+    """Of rows whose last column is a list: row number and value of each element, and the other columns repeated to match."""
+    lists = batch.column(batch.num_columns - 1)
+    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    values = lists.flatten()
+    return row, values if pa.types.is_struct(values.type) else values.to_numpy(zero_copy_only=False), [batch.column(i).take(pa.array(row)) for i in range(batch.num_columns - 1)]
+
+
 def neighbours(nodes: DataFrame, percent: int) -> DataFrame:
     """(id, tree) of the nodes that share ``whole_depth`` values with another one in that tree's order.
 
@@ -125,9 +137,18 @@ def neighbours(nodes: DataFrame, percent: int) -> DataFrame:
     last row of a partition are kept in any case, as theirs may lie in the next one.
     """
     depth, kind = whole_depth(percent), nodes.schema["id"].dataType.simpleString()
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    key = F.expr(f"xxhash64(tree, substring(concat(signature, signature), {2 * STEP} * tree + 1, {2 * depth}))")
-    rows = nodes.select("id", trees, "signature").select(key.alias("key"), "id", "tree")
+    trees = np.arange(TREES)
+
+    def prefixes(batches):
+        for batch in batches:
+            sigs, n = values_of(batch.column(1)), batch.num_rows
+            key = mix(np.broadcast_to(trees.astype(np.uint64) + np.uint64(1), (n, TREES)))
+            for d in range(depth):
+                key = mix(key * np.uint64(0x9FB21C651E98DF25) ^ sigs[:, (STEP * trees + d) % SIZE])
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(n), TREES)))
+            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), ids, pa.array(np.tile(trees.astype(np.int32), n))], names=["key", "id", "tree"])
+
+    rows = nodes.select("id", "signature").mapInArrow(prefixes, f"key long, id {kind}, tree int")
     rows = rows.repartitionByRange(partitions(rows), "key", "id").sortWithinPartitions("key")
 
     def run(batches):
@@ -222,8 +243,16 @@ def regions(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """
     depth, kind = whole_depth(percent), nodes.schema["id"].dataType.simpleString()
     near = written(neighbours(nodes, percent), "neighbours")
-    order = F.expr(f"substring(concat(signature, signature), {2 * STEP} * tree + 1, {2 * DEEPEST})").alias("order")
-    rows = signed(near, nodes).select("tree", order, "id")
+    packed = near.groupBy("id").agg(F.collect_list("tree").alias("trees")).join(nodes, "id").select("id", "signature", "trees")
+
+    def orders(batches):
+        for batch in batches:
+            row, tree, (ids, signatures) = taken_apart(batch)
+            sigs = values_of(batch.column(1))
+            order = sigs[row[:, None], (STEP * tree[:, None] + np.arange(DEEPEST)) % SIZE]
+            yield pa.record_batch([pa.array(tree, pa.int32()), pa.array([x.tobytes() for x in order], pa.binary()), ids], names=["tree", "order", "id"])
+
+    rows = packed.mapInArrow(orders, f"tree int, order binary, id {kind}")
     rows = rows.repartitionByRange(partitions(rows), "tree", "order", "id").sortWithinPartitions("tree", "order")
 
     def run(batches):
@@ -307,10 +336,19 @@ def columns_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
 
 def candidates(near: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The nodes that have candidates, with the regions that bring them together."""
-    mine = near.groupBy("id").agg(F.collect_list(F.struct("tree", "key", "depth")).alias("regions"))
-    depths = F.expr(f"transform(sequence(0, {TREES - 1}), t -> coalesce(map_from_arrays(regions.tree, regions.depth)[t], 0Y))")
-    rows = mine.join(nodes, "id").withColumn("depths", depths).select(F.explode("regions").alias("r"), "id", "signature", "depths")
-    return compared(rows.select("r.key", "r.tree", "id", "signature", "depths", F.lit(0).alias("side"), F.col("id").alias("part")), percent)
+    kind = nodes.schema["id"].dataType.simpleString()
+    mine = near.groupBy("id").agg(F.collect_list(F.struct("tree", "key", "depth")).alias("regions")).join(nodes, "id").select("id", "signature", "regions")
+
+    def run(batches):
+        for batch in batches:
+            row, regions, (ids, signatures) = taken_apart(batch)
+            tree, key, depth = (regions.field(i) for i in range(3))
+            depths = np.zeros((batch.num_rows, TREES), np.int8)
+            depths[row, tree.to_numpy()] = depth.to_numpy()
+            depths = pa.FixedSizeListArray.from_arrays(pa.array(depths[row].ravel()), TREES).cast(pa.list_(pa.int8()))
+            yield pa.record_batch([key, tree, ids, signatures, depths, pa.array(np.zeros(len(row), np.int32)), ids], names=["key", "tree", "id", "signature", "depths", "side", "part"])
+
+    return compared(mine.mapInArrow(run, f"key long, tree int, id {kind}, signature binary, depths array<tinyint>, side int, part {kind}"), percent)
 
 
 def compared(rows: DataFrame, percent: int) -> DataFrame:
