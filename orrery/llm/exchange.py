@@ -63,7 +63,7 @@ def unpack_docs(data: bytes) -> np.ndarray:
 def packets(bucket: np.ndarray, docs: np.ndarray, columns: list[tuple[np.ndarray, int]], part: int = 0, blobs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
     """One row per bucket: bucket, part, docs and columns; rows of a bucket in the order of docs.
 
-    ``blobs``: bytes with the entries' starts and lengths, sent along as one binary.
+    ``blobs``: bytes with the entries' starts and lengths, sent along as one compressed binary.
     """
     order = np.lexsort((docs, bucket))
     keys, first = np.unique(bucket[order], return_index=True)
@@ -73,8 +73,9 @@ def packets(bucket: np.ndarray, docs: np.ndarray, columns: list[tuple[np.ndarray
     out += [pa.array([planes(values[r], width) for r in rows], pa.binary()) for values, width in columns]
     if blobs is not None:
         data, start, length = blobs
-        out.append(pa.array([data[spread(start[r], length[r])].tobytes() for r in rows], pa.binary()))
-    return pa.record_batch(out, names=["bucket", "part", "docs", *(f"c{i}" for i in range(len(columns))), *["blob"] * (blobs is not None)])
+        out.append(pa.array([pa.compress(data[spread(start[r], length[r])].tobytes(), "zstd", asbytes=True) for r in rows], pa.binary()))
+        out.append(pa.array([int(length[r].sum()) for r in rows], pa.int64()))
+    return pa.record_batch(out, names=["bucket", "part", "docs", *(f"c{i}" for i in range(len(columns))), *["blob", "size"] * (blobs is not None)])
 
 
 def bucket_keys(df: DataFrame) -> np.ndarray:
@@ -86,7 +87,7 @@ def bucket_keys(df: DataFrame) -> np.ndarray:
 
 
 def schema(columns: int, blob: bool = False) -> str:
-    return "bucket int, part int, docs binary" + "".join(f", c{i} binary" for i in range(columns)) + ", blob binary" * blob
+    return "bucket int, part int, docs binary" + "".join(f", c{i} binary" for i in range(columns)) + ", blob binary, size long" * blob
 
 
 def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -105,7 +106,8 @@ def received(batches: Iterator[pa.RecordBatch], widths: dict[int, tuple[int, ...
             for i, width in enumerate(widths[p]):
                 own[1 + i].append(unplanes(batch.column(3 + i)[r].as_py(), width))
             if blob:
-                own[-1].append(np.frombuffer(batch.column(batch.num_columns - 1)[r].as_buffer(), np.uint8))
+                size = batch.column(batch.num_columns - 1)[r].as_py()
+                own[-1].append(np.frombuffer(pa.decompress(batch.column(batch.num_columns - 2)[r].as_buffer(), size, "zstd"), np.uint8))
     empty = [np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * max(map(len, widths.values()))]
     return {p: [np.concatenate(x) if x else (np.zeros(0, np.uint8) if blob and i == len(own) - 1 else empty[min(i, 1)]) for i, x in enumerate(own)] for p, own in parts.items()}
 
@@ -129,29 +131,34 @@ def exchanged(docs: DataFrame, send, columns: int, receive, out: str, blob: bool
     return sent.repartition(partitions(docs), "bucket").mapInArrow(receive, out)
 
 
-def grouped(ids: np.ndarray, tags: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Rows per id and tag: each value array's own stretch as 32-bit numbers."""
-    order = np.lexsort((tags, ids))
-    d, t = ids[order], tags[order]
-    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])))) if len(d) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(order))[: len(first)].tolist()
-    packed = []
-    for v in values:
-        v = v[order].astype("<i4")
-        packed.append([v[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)])
-    return d[first], t[first].view(np.int64), packed
+def per_document(sent: DataFrame, parts: dict[int, dict[str, int]]) -> DataFrame:
+    """One row (id, tag, numbers) for each document that packets name.
 
-
-def per_document(sent: DataFrame, width: int, name: str) -> DataFrame:
-    """(id, tag, numbers): packets of tags and numbers, dealt out by document, as one row per document."""
+    ``parts``: the columns of each kind of packet and their widths, after the
+    tags; a width of 0 is padding.  A cell holds its column's numbers as 32-bit ones, in one order for all
+    columns of a kind.
+    """
+    names = [name for columns in parts.values() for name, width in columns.items() if width]
 
     def run(batches):
-        ids, tags, values = received(batches, {0: (8, width)})[0]
-        keys, tags, (packed,) = grouped(ids, tags, values)
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), pa.array(packed, pa.binary())], names=["id", "tag", name])
-
-    return sent.repartition(partitions(sent), "bucket").mapInArrow(run, f"id long, tag long, {name} binary")
-
-
-def numbers(cells: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(cells or []), "<i4").astype(np.int64)
+        got = received(batches, {p: (8, *columns.values()) for p, columns in parts.items()})
+        ids, tags = (np.concatenate([got[p][i] for p in parts]) for i in (0, 1))
+        kind = np.repeat(np.arange(len(parts)), [len(got[p][0]) for p in parts])
+        order = np.lexsort((tags, ids))
+        ids, tags, kind = ids[order], tags[order], kind[order]
+        first = np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))) if len(ids) else np.zeros(0, bool)
+        group, n = np.cumsum(first) - 1, int(first.sum())
+        cells, base = [], 0
+        for k, p in enumerate(parts):
+            own = order[kind == k] - base
+            ends = 4 * np.cumsum(np.bincount(group[kind == k], minlength=n))
+            offsets = pa.py_buffer(np.concatenate(([0], ends)).astype("<i4"))
+            cells += [pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(v[own].astype("<i4"))]) for v, width in zip(got[p][2:], parts[p].values(), strict=True) if width]
+            base += len(got[p][0])
+        yield pa.record_batch([pa.array(ids[first], pa.int64()), pa.array(tags[first].view(np.int64)), *cells], names=["id", "tag", *names])
+
+    return sent.repartition(partitions(sent), "bucket").mapInArrow(run, "id long, tag long" + "".join(f", {n} binary" for n in names))
+
+
+def numbers(cell: bytes | None) -> np.ndarray:
+    return np.frombuffer(cell or b"", "<i4").astype(np.int64)

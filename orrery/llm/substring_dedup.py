@@ -128,7 +128,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         ids, tags, places = (np.concatenate(x) for x in ((ids[found], got[1][0]), (tags[found], got[1][2]), (places[found], got[1][3])))
         yield packets(homes[ids % buckets], ids, [(tags, 8), (places, 4)])
 
-    return per_document(exchanged(texts, send, 3, receive, schema(2)), 4, "places")
+    return per_document(exchanged(texts, send, 3, receive, schema(2)), {0: {"places": 4}})
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -147,7 +147,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", keep: tuple[str, ..
             data, at = text_view(part.column(text))
             units = Units(data, at)
             cells = part.column(len(columns)).to_pylist()
-            places = [numbers([x] if x else None) for x in cells]
+            places = [numbers(x) for x in cells]
             hit = np.concatenate(places)
             begin = np.repeat(units.first, [len(x) for x in places]) + (hit >> STEP_BITS)
             gone = covered(begin, begin + (hit & STEP_MASK) + 1, len(units.begin))

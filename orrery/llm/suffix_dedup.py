@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import by_arrow, written
-from .exchange import CHUNK_BYTES, bucket_keys, exchanged, grouped, integer_ids, numbers, packets, received, row_tags, spread
+from .exchange import CHUNK_BYTES, bucket_keys, exchanged, integer_ids, numbers, packets, per_document, received, row_tags, schema, spread
 from .kernels import BASE_INVERSE, BYTE_CODES, covered, keyed, mix, place_of, powers, prefix_sums, slices, sliding_min, span_hashes, text_view
 
 LENGTH, GRAM = 50, 18
@@ -247,11 +247,12 @@ def chunked(batches):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-OPEN = ("low", "more", "back", "hot")
+OPEN = {"low": 4, "more": 1, "back": 1, "hot": 1}
+SPANS = {"start": 4, "end": 4}
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """(id, tag, start, end, low, more, back, hot): spans that a chunk has resolved, and stretches whose anchor other documents have."""
+    """(id, tag, low, more, back, hot, start, end): stretches whose anchor other documents have, and spans that a chunk has resolved."""
     homes = bucket_keys(texts)
     buckets = len(homes)
 
@@ -267,10 +268,8 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
 
     def receive(batches):
         got = received(batches, {0: (8, 8, 4, 1, 1), 1: (0, 8, 4, 4, 0)})
-        keys, tags, spans = grouped(*merged(got[1][0], got[1][2], got[1][3].astype(np.int64), got[1][4].astype(np.int64)))
-        empty = pa.array([None] * len(keys), pa.binary())
-        names = ["id", "tag", "start", "end", *OPEN]
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), *(pa.array(x, pa.binary()) for x in spans), *[empty] * 4], names=names)
+        known, tags, start, end = merged(got[1][0], got[1][2], got[1][3].astype(np.int64), got[1][4].astype(np.int64))
+        yield packets(homes[known % buckets], known, [(tags, 8), (start, 4), (end, 4), (np.zeros(len(known), np.int64), 0), (np.zeros(len(known), np.int64), 0)], part=1)
         ids, anchor, tags, low, more, back = got[0]
         order = np.lexsort((ids, anchor))
         a, d = anchor[order], ids[order]
@@ -279,15 +278,13 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
         several = d[first] < d[first + size - 1] if len(first) else np.zeros(0, bool)
         own = order[np.repeat(several, size)]
         hot = np.repeat(size > HOT, size)[np.repeat(several, size)]
-        keys, tags, cells = grouped(ids[own], tags[own], low[own], more[own], back[own], hot)
-        empty = pa.array([None] * len(keys), pa.binary())
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), empty, empty, *(pa.array(x, pa.binary()) for x in cells)], names=names)
+        yield packets(homes[ids[own] % buckets], ids[own], [(tags[own], 8), (low[own], 4), (more[own], 1), (back[own], 1), (hot, 1)])
 
-    return exchanged(texts, send, 5, receive, "id long, tag long, start binary, end binary, low binary, more binary, back binary, hot binary")
+    return per_document(exchanged(texts, send, 5, receive, schema(5)), {0: OPEN, 1: SPANS | {"": 0, " ": 0}})
 
 
 def sorted_stretches(texts: DataFrame, open_: DataFrame) -> DataFrame:
-    """(id, tag, start, end): what equal stretches and the suffix sort of the others cover."""
+    """(id, tag, more_start, more_end): what equal stretches and the suffix sort of the others cover."""
     homes = bucket_keys(texts)
     buckets = len(homes)
     open_ = open_.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), *OPEN)
@@ -336,10 +333,10 @@ def sorted_stretches(texts: DataFrame, open_: DataFrame) -> DataFrame:
             found.append(merged(*(np.concatenate(x) for x in ((ids[w], ids[o[entry]]), (tags[w], tags[o[entry]]), (low[w], start), (low[w] + length[w], start + LENGTH)))))
             at = stop
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
-        keys, tags, spans = grouped(*merged(*parts))
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), *(pa.array(x, pa.binary()) for x in spans)], names=["id", "tag", "start", "end"])
+        ids, tags, start, end = merged(*parts)
+        yield packets(homes[ids % buckets], ids, [(tags, 8), (start, 4), (end, 4)])
 
-    return exchanged(joined, send, 5, receive, "id long, tag long, start binary, end binary", blob=True)
+    return per_document(exchanged(joined, send, 5, receive, schema(3), blob=True), {0: {"more_start": 4, "more_end": 4}})
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: bool = False) -> DataFrame:
@@ -347,24 +344,23 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: bool = False)
     source = docs.select(integer_ids(docs, id_column).alias("id"), row_tags(docs, id_column).alias("tag"), "text")
     texts = source.where("id is not null")
     first = written(shared_anchors(texts), "stretches")
-    open_ = first.where("low is not null").groupBy("id", "tag").agg(*(F.collect_list(c).alias(c) for c in OPEN))
-    more = sorted_stretches(texts, open_)
-    spans = first.where("start is not null").select("id", "tag", "start", "end").union(more).groupBy("id", "tag").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    spans = spans.withColumnsRenamed({"id": "_id", "tag": "_tag"})
-    joined = texts.join(spans, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", "start", "end")
-    none = F.lit(None).cast("array<binary>")
-    rows = joined.union(source.where("id is null").select("id", "text", none.alias("start"), none.alias("end")))
-    schema = f"`{id_column}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
+    more = sorted_stretches(texts, first.where("length(low) > 0"))
+    spans = first.select("id", "tag", *SPANS).join(more, ["id", "tag"], "left").withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    cells = ("start", "end", "more_start", "more_end")
+    joined = texts.join(spans, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").select("id", "text", *cells)
+    rows = joined.union(source.where("id is null").select("id", "text", *(F.lit(None).cast("binary").alias(c) for c in cells)))
+    result = f"`{id_column}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
 
     def run(batches):
         for part in slices(batches):
             data, at = text_view(part.column(1))
-            starts, ends = part.column(2).to_pylist(), part.column(3).to_pylist()
+            starts, ends = ([numbers(x) for x in part.column(c).to_pylist()] for c in (2, 3))
+            starts, ends = ([np.concatenate((x, numbers(y))) for x, y in zip(have, part.column(c).to_pylist(), strict=True)] for have, c in ((starts, 4), (ends, 5)))
             removed, runs, digests, kept = [], [], [], []
             for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 own = data[a:b]
-                if starts[r]:
-                    gone = covered(numbers(starts[r]), numbers(ends[r]), b - a)
+                if len(starts[r]):
+                    gone = covered(starts[r], ends[r], b - a)
                     own = own[~gone]
                     runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                 else:
@@ -376,4 +372,4 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: bool = False)
             columns = [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
             yield pa.record_batch([*columns, *[pa.array(kept, pa.binary())] * text], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text])
 
-    return by_arrow(rows, run, schema)
+    return by_arrow(rows, run, result)
