@@ -14,7 +14,9 @@ code point spans of the assistant's texts in the formatted string.
 Nulls: null text and role count as empty, a null sequence sorts first, events of
 a null conversation form one conversation.  Ties in sequence are ordered by
 message, kind, role and text.  Unknown kinds count as ``delta``.  Repeated
-events are applied each time.  An empty log gives no rows.
+events are applied each time.  An empty log gives no rows.  Texts of any length
+are folded whole; a conversation must fit into a task's memory, as its formatted
+string must.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,6 +86,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row is a message of one event."""
+    """A table of finished turns (conv_id, turn, role, text) as the log that a service would have kept of them.
+
+    A user's text is streamed in two deltas, an assistant's is regenerated after
+    a first draft, and any other one is mended by an edit.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select("conv_id", "turn", "role", "text", F.row_number().over(order).cast("long").alias("seq")).select("conv_id", "seq", F.col("seq").alias("message"), F.lit("delta").alias("kind"), "role", "text")
+    half = "cast(length(text) / 2 as int)"
+    first, rest = f"substring(text, 1, {half})", f"substring(text, {half} + 1)"
+    event = "named_struct('kind', '{}', 'text', {})".format
+    events = f"""case role
+        when 'user' then array({event("delta", first)}, {event("delta", rest)})
+        when 'assistant' then array({event("delta", "reverse(text)")}, {event("regenerate", first)}, {event("delta", rest)})
+        else array({event("delta", first)}, {event("edit", "text")}) end"""
+    turns = conversations.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("message"))
+    return turns.select("conv_id", "message", "role", F.posexplode(F.expr(events)).alias("step", "e")).select("conv_id", (F.col("message") * 4 + F.col("step")).alias("seq"), "message", "e.kind", "role", "e.text")
