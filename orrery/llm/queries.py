@@ -45,8 +45,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
     sharding.write_shards(docs, path, 24)
-    placed = sharding.digest(sharding.read_shards(docs, path), "shard", "slot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    shard, slot = sharding.placed_names(docs)
+    placed = sharding.digest(sharding.read_shards(docs, path), shard, slot)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters the rows into buckets that fit in memory, by a seeded hash of
-the id.  Pass two brings each bucket into a fixed order, permutes it by
+the whole row, so that rows of a null or repeated id spread.  Pass two brings each bucket into a fixed order, permutes it by
 Fisher-Yates (the inside-out form, its draws taken from a seeded hash of bucket
 and step, so that a recomputed task gives the same permutation) and numbers the
 rows on from the buckets before it.  Position p of the whole order goes to
@@ -11,7 +11,12 @@ The number of buckets follows the rows and their bytes; bucket offsets are summe
 two levels, so that no task sees more than about the square root of them.
 
 Nulls: a null id is a value like any other; a null text has size 8 and checksum
-0.  Repeated rows each get a slot of their own.  An empty table gives no rows.
+0.  Repeated rows each get a slot of their own; rows equal in every column share
+a bucket, in which their order is a tie that cannot be told.  An empty table
+gives no rows.  A very long text counts towards its bucket's bytes.  Extra
+columns are kept; where one is called ``shard`` or ``slot``, the new column gets
+underscores before its name.  Columns must be of types that have a hash and an
+order (no maps).
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import partitions
 
-BUCKET_ROWS, BUCKET_BYTES, FILE_ROWS, SEED = 2048, 4 << 20, 16384, 17
+BUCKET_ROWS, BUCKET_BYTES, FILE_ROWS, SEED = 256, 4 << 20, 16384, 17
 
 
 def fisher_yates(n: str, bucket: str, seed: int = SEED) -> str:
@@ -32,14 +37,26 @@ def fisher_yates(n: str, bucket: str, seed: int = SEED) -> str:
     return f"if({n} = 0, cast(array() as array<int>), aggregate(sequence(0, {n} - 1), cast(array() as array<int>), (a, i) -> {step}))"
 
 
-def sharded(df: DataFrame, shards: int, id_column: str = "doc_id", bucket_rows: int = BUCKET_ROWS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def placed_names(df: DataFrame) -> tuple[str, str]:
+    """Names for shard and slot that ``df`` does not have."""
+    names = []
+    for name in ("shard", "slot"):
+        while name.lower() in {c.lower() for c in df.columns}:
+            name = f"_{name}"
+        names.append(name)
+    return tuple(names)
+
+
+def sharded(df: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df``'s columns with ``shard`` and ``slot``."""
     long = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     total, volume = df.agg(F.count("*"), F.coalesce(F.sum(sum(long, F.lit(0))), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_rows), -(-volume // bucket_bytes))
     width = max(1, int(buckets**0.5))
-    bucket = F.expr(f"cast(pmod(xxhash64({seed}, `{id_column}`), {buckets}) as int)")
-    row = F.struct(F.xxhash64(F.lit(seed), F.col(id_column)).alias("_h"), *(F.col(f"`{c}`") for c in df.columns))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    place = F.xxhash64(F.lit(seed), *columns)
+    bucket = F.pmod(place, F.lit(buckets)).cast("int")
+    row = F.struct(place.alias("hash"), F.struct(*columns).alias("row"))
     filled = df.select(bucket.alias("_bucket"), row.alias("_row")).groupBy("_bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     counts = df.select(bucket.alias("_bucket")).groupBy("_bucket").count().withColumn("_part", F.floor(F.col("_bucket") / width))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +69,8 @@ def sharded(df: DataFrame, shards: int, id_column: str = "doc_id", bucket_rows:
         .select("_offset", F.posexplode(F.expr("transform(_order, w -> _rows[w])")).alias("_place", "_row"))
         .select((F.col("_offset") + F.col("_place")).alias("_at"), "_row")
     )
-    return placed.select(*(F.col("_row").getField(c).alias(c) for c in df.columns), (F.col("_at") % shards).cast("int").alias("shard"), F.floor(F.col("_at") / shards).cast("long").alias("slot"))
+    shard, slot = placed_names(df)
+    return placed.select("_row.row.*", (F.col("_at") % shards).cast("int").alias(shard), F.floor(F.col("_at") / shards).cast("long").alias(slot))
 
 
 def digest(docs: DataFrame, *more: str) -> DataFrame:
@@ -65,13 +83,14 @@ def digest(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def write_shards(df: DataFrame, path: str, shards: int, id_column: str = "doc_id") -> None:
+def write_shards(df: DataFrame, path: str, shards: int) -> None:
     """Whole records to one folder per shard, in files of ``FILE_ROWS`` slots each in slot order."""
-    out = sharded(df, shards, id_column)
-    dealt = out.repartition(partitions(df), "shard", F.floor(F.col("slot") / FILE_ROWS))
-    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    shard, slot = placed_names(df)
+    dealt = sharded(df, shards).repartition(partitions(df), shard, F.floor(F.col(slot) / FILE_ROWS))
+    dealt.sortWithinPartitions(shard, slot).write.partitionBy(shard).option("compression", "zstd").parquet(path)
 
 
 def read_shards(df: DataFrame, path: str) -> DataFrame:
-    """The records of ``df`` that ``write_shards`` has written, with ``shard`` and ``slot``."""
-    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)
+    """The records of ``df`` that ``write_shards`` has written, with shard and slot."""
+    shard, slot = placed_names(df)
+    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField(slot, LongType()), StructField(shard, IntegerType())])).parquet(path)

@@ -62,6 +62,15 @@ def test_fisher_yates(spark):
             assert got == inside_out(n, lambda i, d=draws: d[i])
 
 
+def test_shards_of_clashing_columns_and_null_ids(spark, tmp_path):
+    data = [(None, f"t{i}", i, 2 * i, "x" * (1 << 20 if i == 3 else 1)) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, shard long, slot long, hash string")
+    sharding.write_shards(df, str(tmp_path / "out"), 3)
+    got = sharding.read_shards(df, str(tmp_path / "out")).collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == collections.Counter(data)
+    assert sorted(collections.Counter(r._shard for r in got).values()) == [13, 13, 14]
+
+
 @pytest.mark.parametrize("rows", [1, 7, 2048])
 def test_sharding_law(spark, rows):
     data = [(i, f"text {i % 5}" if i % 7 else None, "x", 1) for i in range(300)] + [(None, "", "x", 1), (3, "text 3", "x", 1), (3, "text 3", "x", 1)]
