@@ -2,13 +2,17 @@
 
 Four base patterns (e-mail, IP address, payment card, phone number) give spans
 that always stay.  Looser shapes give candidates: obfuscated addresses, national
-phone numbers, secrets, and what the base checks have dropped.  For every
-candidate, base spans included, labelers vote +1, -1 or 0: shape rules, a
-gazetteer of words before it, the context around it, and checks of its content.
-The votes of the whole corpus are counted by pattern; expectation-maximisation
-on the counts estimates each labeler's reliability per class and each pattern's
-probability; a logistic span classifier is trained on the counted features with
-those probabilities as soft labels, and decides on the candidates.  Patterns and
+phone numbers, secrets, bank accounts, national ids, street addresses, personal
+names, and what the base checks have dropped.  For every candidate, base spans
+included, six labelers vote +1, -1 or 0: the shape, a gazetteer of words before
+it, a gazetteer of words that speak against it, the syntax around it, a check of
+its content, and how it is set apart.  They look at different things and do
+disagree.  The votes of the whole corpus are counted by pattern;
+expectation-maximisation on the counts estimates each labeler's reliability per
+class and each pattern's probability; a logistic span classifier is trained with
+those probabilities as soft labels.  Its features are not the votes: the kind,
+and shape, length, mix of characters and neighbours of a candidate.  A span that
+is not a base one is added if classifier and votes agree on it.  Patterns and
 features are of fixed number, so the counts that reach the driver are bounded
 whatever the corpus.
 
@@ -28,9 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_arrow, written
+from .common import apart, by_arrow, written
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn", "address", "person")
 BASE = KINDS[:4]
 
 # The base patterns, in forms that do not backtrack over a run.
@@ -44,13 +48,34 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]++)++", re.I)
 NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+(?![A-Za-z0-9_+/=-])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+SSN = re.compile(r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+STREET = re.compile(
+    r"(?<![A-Za-z0-9])[0-9]{1,5},? (?:[A-Z][a-z]++ ){1,3}?(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Court|Square|Place)(?![A-Za-z])"
+    r"|(?<![A-Za-z0-9])[0-9]{1,4},? (?:rue|avenue|boulevard|place|calle|plaza) (?:d[eu]s? )?(?:la |los )?[A-Z][^\W0-9_]++"
+    r"|(?<!\w)[A-Z][a-zäöüß]{2,20}(?:straße|strasse|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?(?!\w)"
+)
+NAMES = re.compile(r"(?<![^\W_])[A-Z][^\W0-9_]++\.? [A-Z][^\W0-9_]++(?: [A-Z][^\W0-9_]++)?")
+
+# Common given names and forms of address, in alphabetical order.
+GIVEN = frozenset(
+    "Ahmed Alexander Alice Andrea Andrew Anna Anne Antonio Barbara Benjamin Carlos Carmen Catherine Charles Charlotte Christian Claire Daniel David Elena Elizabeth Emily Emma Eric "
+    "Fatima Francisco Frank Franz George Hannah Hans Helen Henry Isabel Jack James Jan Jean Jennifer Jessica John Jose Joseph Juan Julia Karen Karl Kevin Laura Linda Lisa Louis "
+    "Lucas Lucia Manuel Margaret Maria Marie Mark Martin Mary Matthew Michael Miguel Mohammed Nancy Nicolas Olivia Omar Pablo Patricia Paul Pedro Peter Philip Pierre Rachel "
+    "Richard Robert Rosa Samuel Sandra Sara Sarah Sofia Sophie Stefan Stephen Steven Susan Thomas Victor Walter William Wolfgang".split()
+)
+TITLES = frozenset("Dr Frau Herr Madame Miss Mme Mr Mrs Ms Prof Señor Señora Sir".split())
+# Words before a candidate that speak for its kind, and words that speak against any.
 WORDS_BEFORE = {
     "email": re.compile(r"mail|contact|write|reach|address", re.I), "ip": re.compile(r"\bip\b|addr|host|server|client", re.I), "card": re.compile(r"card|visa|credit|pay|account", re.I),
     "phone": re.compile(r"phone|tel\b|call|mobile|cell|fax|contact", re.I), "secret": re.compile(r"token|secret|passw|api.?key|\bkey\b|auth|bearer|credential", re.I),
+    "iban": re.compile(r"iban|account|bank|konto|transfer", re.I), "ssn": re.compile(r"ssn|social|security|tax", re.I),
+    "address": re.compile(r"address|lives?\b|located|street|adresse|wohn|dirección", re.I), "person": re.compile(r"name|contact|author|signed|dear|from|by\b|patient|customer", re.I),
 }
+AGAINST = re.compile(r"version|commit|sha-?\d*|md5|hash|checksum|isbn|issn|doi|order|ticket|build|serial|figure|table|page|chapter|example|sample|dummy|chapitre", re.I)
 ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$")
-LABELERS, FEATURES = 5, 6
-ROUNDS, ACCEPT = 40, 0.9
+LABELERS, FEATURES = 6, 16
+ROUNDS, ACCEPT, TRUST = 40, 0.9, 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -99,27 +124,64 @@ def loose_spans(text: str) -> Iterator[tuple[str, int, int]]:
         word = m[0]
         if any(map(str.isdigit, word)) and any(map(str.isalpha, word)):
             yield "secret", *m.span()
+    for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("address", STREET)):
+        for m in pattern.finditer(text):
+            yield kind, *m.span()
+    for m in NAMES.finditer(text):
+        first = m[0].split(" ", 1)[0].rstrip(".")
+        if first in GIVEN or first in TITLES:
+            yield "person", *m.span()
 
 
-def _case_mix(word: str) -> bool:
+def _mixed(word: str) -> bool:
+    """Many different characters, digits and letters in turns."""
     return len(set(word)) >= 8 and sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:], strict=False)) >= 4
 
 
+def mod97(account: str) -> bool:
+    moved = account[4:] + account[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def content(kind: str, word: str, base: bool, dropped: bool) -> int:
+    """What a check of the candidate's own characters says."""
+    digits = [c for c in word if "0" <= c <= "9"]
+    if kind == "secret":
+        return 1 if _mixed(word) else -1
+    if kind == "iban":
+        return 1 if mod97(word.replace(" ", "")) else -1
+    if kind == "ssn":
+        return -1 if word[:3] in ("000", "666") or word[0] == "9" or word[4:6] == "00" or word[7:] == "0000" else 1
+    if kind == "card":
+        return -1 if dropped or len(set(digits)) < 3 else 1
+    if kind == "phone":
+        return -1 if dropped or len(set(digits)) < 3 else 1 if base else 1 if len(digits) == 10 and "1" < digits[0] and "1" < digits[3] else -1
+    if kind == "ip":
+        return -1 if dropped or word in ("0.0.0.0", "127.0.0.1", "255.255.255.255") else 1
+    if kind == "person":
+        return 1 if word.split(" ", 1)[0] in GIVEN else 0
+    return 1 if base else 0
+
+
 def look(text: str, kind: str, start: int, end: int, base: bool, dropped: bool) -> tuple[list[int], list[int]]:
     """The labelers' votes and the classifier's features of one candidate."""
     before, after, word = text[max(0, start - 32) : start], text[end : end + 2], text[start:end]
-    named, assigned = bool(WORDS_BEFORE[kind].search(before)), bool(ASSIGNED.search(before))
+    named, against, assigned = bool(WORDS_BEFORE[kind].search(before)), bool(AGAINST.search(before)), bool(ASSIGNED.search(before))
     quoted = before[-1:] in tuple("\"'`") and after[:1] == before[-1:]
     apart = not (before[-1:].isalnum() or after[:1].isalnum())
-    strong = base or (kind == "secret" and _case_mix(word)) or (kind in ("email", "phone") and not dropped)
     votes = [
         1 if base else -1 if dropped else 0,  # shape
         1 if named else 0,  # gazetteer
-        1 if assigned or quoted else 0,  # context
-        1 if strong else -1,  # content
-        1 if apart and (named or assigned or quoted or base) else -1 if not apart else 0,  # surroundings
+        -1 if against else 0,  # gazetteer of the opposite
+        1 if assigned or quoted else 0,  # syntax
+        content(kind, word, base, dropped),
+        -1 if not apart or before[-1:] in tuple("/\\#") or after[:1] in tuple("/\\") else 0,  # surroundings
     ]
-    return votes, [int(base), int(dropped), int(named), int(assigned or quoted), int(strong), int(apart)]
+    digits = sum(map(str.isdigit, word)) * 4 // len(word)
+    size = sum(len(word) > n for n in (12, 20, 40))
+    kinds = KINDS.index(kind)
+    features = [int(base), int(dropped), *(kinds >> b & 1 for b in range(4)), digits >> 1 & 1 | digits >> 2 & 1, digits & 1, size >> 1, size & 1, int(_mixed(word)), int(" " in word), int(any(map(str.isupper, word))), int(assigned), int(quoted), int(before[-1:] in ("", " ", "\n"))]
+    return votes, features
 
 
 def _code(values: list[int], base: int, low: int) -> int:
@@ -206,40 +268,35 @@ def found(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with every document's candidates."""
     columns = list(dict.fromkeys([*keep, "text"]))
     text = columns.index("text")
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"candidates {SPAN}"
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"_candidates {SPAN}"
 
     def run(batches):
         for batch in batches:
             spans = [[dict(zip(("kind", "start", "end", "base", "votes", "features"), x, strict=True)) for x in candidates(value.as_py() or "")] for value in batch.column(text)]
-            yield pa.record_batch([*(batch.column(columns.index(c)) for c in keep), pa.array(spans, SPAN_TYPE)], names=[*keep, "candidates"])
+            yield pa.record_batch([*(batch.column(columns.index(c)) for c in keep), pa.array(spans, SPAN_TYPE)], names=[*keep, "_candidates"])
 
     return by_arrow(docs.select(*columns), run, schema)
 
 
-def classifier(facts: DataFrame) -> np.ndarray | None:
-    """Trained on the candidates of all rows of ``facts``, through counts by pattern."""
-    rows = facts.select(F.explode("candidates").alias("c")).groupBy("c.votes", "c.features").count().collect()
+def taken(facts: DataFrame) -> set[tuple[int, int]]:
+    """(votes, features) of the candidates to add: those that votes and classifier, both trained on all rows through counts by pattern, find personal."""
+    rows = [tuple(r) for r in facts.select(F.explode("_candidates").alias("c")).groupBy("c.votes", "c.features").count().collect()]
     if not rows:
-        return None
+        return set()
     by_votes: dict[tuple[int, ...], int] = {}
     for v, _, n in rows:
         key = tuple(_decode(v, 3, -1, LABELERS))
         by_votes[key] = by_votes.get(key, 0) + n
     post = reliabilities(by_votes)
-    return trained([(_decode(f, 2, 0, FEATURES), post[tuple(_decode(v, 3, -1, LABELERS))], n) for v, f, n in rows])
-
-
-def accepted(weights: np.ndarray | None) -> list[int]:
-    """Feature codes whose candidates the classifier takes."""
-    if weights is None:
-        return []
-    every = np.array([[*_decode(c, 2, 0, FEATURES), 1] for c in range(2**FEATURES)], float)
-    return np.flatnonzero(1 / (1 + np.exp(-every @ weights)) >= ACCEPT).tolist()
+    rows = [(v, f, n, post[tuple(_decode(v, 3, -1, LABELERS))]) for v, f, n in rows]
+    weights = trained([(_decode(f, 2, 0, FEATURES), p, n) for _, f, n, p in rows])
+    score = {f: 1 / (1 + np.exp(-np.array([*_decode(f, 2, 0, FEATURES), 1], float) @ weights)) for _, f, _, _ in rows}
+    return {(v, f) for v, f, _, p in rows if p >= ACCEPT and score[f] >= TRUST}
 
 
-def spans_of(cells: list[dict], taken: set[int]) -> list[tuple[str, int, int]]:
+def spans_of(cells: list[dict], added: set[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and accepted ones, by kind as listed, then start."""
-    return sorted(((c["kind"], c["start"], c["end"]) for c in cells if c["base"] or c["features"] in taken), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    return sorted(((c["kind"], c["start"], c["end"]) for c in cells if c["base"] or (c["votes"], c["features"]) in added), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def _line(spans) -> str:
@@ -249,7 +306,7 @@ def _line(spans) -> str:
 def reported(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Counts and digest of the base spans, and all spans as text."""
     facts = written(found(docs, (id_column,)), "pii")
-    taken = set(accepted(classifier(facts)))
+    added = taken(facts)
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, " + "".join(f"n_{k} long, " for k in BASE) + "base_sha256 string, spans string"
 
     def run(batches):
@@ -258,7 +315,7 @@ def reported(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
             base = [spans_of([c for c in x if c["base"]], set()) for x in cells]
             counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in BASE]
             yield pa.record_batch(
-                [batch.column(0), *counts, pa.array([hashlib.sha256(_line(x).encode()).hexdigest() for x in base], pa.string()), pa.array([_line(spans_of(x, taken)) for x in cells], pa.string())],
+                [batch.column(0), *counts, pa.array([hashlib.sha256(_line(x).encode()).hexdigest() for x in base], pa.string()), pa.array([_line(spans_of(x, added)) for x in cells], pa.string())],
                 names=[id_column, *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
             )
 
@@ -277,18 +334,18 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans masked in ``text`` (and ``n_chars`` counted anew, if there)."""
-    facts = written(found(docs, tuple(docs.columns)), "pii")
-    taken = set(accepted(classifier(facts)))
-    names = docs.columns
+    inner, columns = apart(docs, "text", "n_chars")
+    facts = written(found(inner, tuple(inner.columns)), "pii")
+    added, names = taken(facts), inner.columns
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
-            new = [None if t is None else masked(t, spans_of(c, taken)) for t, c in zip(batch.column(text).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[text] = pa.array(new, pa.string())
+            new = [None if t is None else masked(t, spans_of(c, added)) for t, c in zip(batch.column(text).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            out = [batch.column(i) for i in range(len(names))]
+            out[text] = pa.array(new, pa.string())
             if chars is not None:
-                columns[chars] = pa.array([old.as_py() if t is None else len(t) for t, old in zip(new, columns[chars], strict=True)], batch.schema.field(chars).type)
-            yield pa.record_batch(columns, names=names)
+                out[chars] = pa.array([old.as_py() if t is None else len(t) for t, old in zip(new, out[chars], strict=True)], batch.schema.field(chars).type)
+            yield pa.record_batch(out, names=names)
 
-    return by_arrow(facts, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return by_arrow(facts, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)).select(*columns)
