@@ -1,8 +1,16 @@
-"""The corpus pipeline: quality, near copies, benchmark leaks, personal data, tokens."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, personal data, tokens.
+
+Nulls: a document without text is rejected by the first stage, one without id is
+judged like any other and has no near copies.  Empty texts are rejected, very
+long ones go through whole, an empty table gives no rows.  Repeated rows meet in
+near-dedup, where those with one id stay together and those with more keep the
+least.  Extra columns of any name are carried to the last stage, which returns
+ids and tokens only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import bpe, decontaminate, near_dedup, pii, quality
 from orrery.llm.common import table, written
@@ -11,8 +19,7 @@ from orrery.llm.queries import tokenizer_path
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    judged = quality.judged(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +29,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that share a window with a benchmark item."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
