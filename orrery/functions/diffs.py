@@ -107,8 +107,15 @@ def best_of(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return checked.withColumn("rank", rank).where("rank = 1").select(*keys, "ordinal", "changed", F.col("result.content").alias("content"))
 
 
-def gate(tests: str, types: str, requires_tests: str, requires_types: str):
-    """verified unless a required outcome is not true, or any outcome is false."""
-    false = lambda c: F.coalesce(~F.col(c), F.lit(False))
-    missing = lambda need, c: F.col(need) & ~F.coalesce(F.col(c), F.lit(False))
-    return F.when(false(tests) | false(types) | missing(requires_tests, tests) | missing(requires_types, types), "failed").otherwise("verified")
+def gate(tests: str, types: str, requires_tests: str, requires_types: str, workflow_ok: str):
+    """verified unless a required outcome is not true or the workflow did not succeed; outcomes that are not required may be unknown."""
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    missing = lambda need, c: true(need) & ~true(c)
+    return F.when(missing(requires_tests, tests) | missing(requires_types, types) | ~true(workflow_ok), "failed").otherwise("verified")
+
+
+def strict_gate(applies: str, parses: str, scope: str, tests: str, types: str, needs_tests: str, needs_types: str, workflow_ok: str):
+    """Whether a patch made in line is verified: structure and workflow must be true, tests and types true where needed and else not false."""
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    fits = lambda need, c: F.when(true(need), true(c)).otherwise(F.coalesce(F.col(c), F.lit(True)))
+    return true(workflow_ok) & true(applies) & true(parses) & true(scope) & fits(needs_tests, tests) & fits(needs_types, types)

@@ -12,6 +12,16 @@ from pyspark.sql import Column, functions as F, types as T
 KEY_PATTERN = r"(sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_\-]{30,}|sk-ant-[A-Za-z0-9_\-]{20,}|[A-Za-z0-9]{40,})"
 CHANGELOG_CHARS, ERROR_CHARS, JOB_ERROR_CHARS, PREVIEW_CHARS = 8000, 2000, 200, 1_000_000
 SENTINEL = "UNABLE_TO_PATCH"
+TRANSIENT = ("503", "429", "504", "unavailable", "deadline", "resource_exhausted")
+LOCAL_HOSTS = r"^(localhost|127\.0\.0\.1)(:.*)?$"
+NO_RUN = "[Warning] No verification run recorded for this patch."
+BOTH_PASSED = "[Verified] Repo's own test suite and type-checker both passed on this patch."
+TESTS_PASSED = "[Verified] Repo's own test suite passed on this patch (type-check not run / not configured)."
+SANDBOX_PASSED = "[Verified] Isolated sandbox verification passed on this patch."
+NO_TESTS = "[Warning] No test suite detected in this repo — this patch was validated by parse and type-check only, not by running tests."
+RISKY = "[Warning] Possible semantic/behavior change — passing tests do not guarantee old behavior is preserved"
+SAFE = "[Safe] Mechanical change"
+REVIEW_LINE = "\n> [Review Required] Human review required before merge — see risk flag above.\n"
 KNOWN_IMPORTS = {"beautifulsoup4": "bs4", "opencv-python": "cv2", "pillow": "PIL", "python-dateutil": "dateutil", "pyyaml": "yaml", "scikit-learn": "sklearn"}
 TEST_DIRECTORIES = ("tests", "test", "__tests__", "spec", "specs")
 TEST_NAMES = r"^test_|_test\.(py|go|rb)$|\.(test|spec)\.(ts|tsx|js|jsx)$|_spec\.rb$"
@@ -84,11 +94,13 @@ def iso_time(text) -> Column:
     return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
 
 
-def relative_time(at, now) -> Column:
-    """Seconds, minutes, hours or days ago; a date from 30 days on."""
+def relative_time(text, now) -> Column:
+    """Of an ISO time: seconds, minutes, hours or days ago, a date from 30 days on; ``recently`` without one, a broken one's first ten characters."""
+    at = iso_time(text)
     age = F.unix_timestamp(now) - F.unix_timestamp(at)
     ago = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
-    return F.when(age < 60, ago(age, "s")).when(age < 3600, ago(age / 60, "m")).when(age < 86400, ago(age / 3600, "h")).when(age < 30 * 86400, ago(age / 86400, "d")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+    missing = F.coalesce(F.nullif(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit("recently"))
+    return F.when(at.isNull(), F.when(missing == "recently", missing).otherwise(F.substring(text, 1, 10))).when(age < 60, ago(age, "s")).when(age < 3600, ago(age / 60, "m")).when(age < 86400, ago(age / 3600, "h")).when(age < 30 * 86400, ago(age / 86400, "d")).otherwise(F.date_format(at, "MMM dd, yyyy"))
 
 
 def fenced_json(text) -> Column:
@@ -124,13 +136,22 @@ def failure_class(text) -> Column:
     return F.when(said.isin("transient", "code_defect"), said).otherwise("unknown")
 
 
-def disclosure(mode: str, tests: str, types: str) -> Column:
-    full = F.col(mode) == "full"
-    ok = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return (
-        F.when(full & ok(tests) & ok(types), "tests and type check passed").when(full & ok(tests), "tests passed, type check not run")
-        .when(full, "sandbox verification passed").otherwise("parsed and type-checked only; no tests were run")
-    )
+def disclosure(has_run: Column, mode: Column, tests: Column, types: Column) -> Column:
+    """What a patch's last run allows to say of it."""
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    full = F.when(ok(tests) & ok(types), BOTH_PASSED).when(ok(tests), TESTS_PASSED).otherwise(SANDBOX_PASSED)
+    return F.when(~ok(has_run), NO_RUN).when(ok(mode == "full"), full).otherwise(NO_TESTS)
+
+
+def classification_table(change_type: Column, confidence: Column, risk: Column, scripts: Column | None = None, review: Column | None = None) -> Column:
+    """The Markdown table of a pull request's change."""
+    no = F.lit(False)
+    rows = [
+        ("Field", F.lit("Value")), ("---", None), ("Change type", change_type), ("Classifier confidence", F.concat(F.bround(confidence * 100, 0).cast("int").cast("string"), F.lit("%"))),
+        ("Risk flag", F.when(risk, RISKY).otherwise(SAFE)), ("Install scripts", F.when(no if scripts is None else scripts, "allowed (opt-in)").otherwise("blocked (default)")),
+    ]
+    lines = [F.lit("|---|---|\n") if value is None else F.concat(F.lit(f"| {name} | "), value, F.lit(" |\n")) for name, value in rows]
+    return F.concat(F.lit("## Change classification\n"), *lines, F.when(no if review is None else review, REVIEW_LINE).otherwise(""))
 
 
 def pr_title(title, risk) -> Column:
@@ -148,13 +169,26 @@ def squeezed(text) -> Column:
 
 
 def redirect_allowed(url, hosts: tuple[str, ...]) -> Column:
-    """Relative paths, and http(s) urls of the listed hosts."""
-    host = F.try_parse_url(url, F.lit("HOST"))
-    return F.coalesce((url.startswith("/") & ~url.startswith("//")) | (F.try_parse_url(url, F.lit("PROTOCOL")).isin("http", "https") & host.isin(*hosts)), F.lit(False))
+    """Relative paths, local hosts, and http(s) urls whose host and port are listed; case does not count."""
+    place = F.lower(F.try_parse_url(url, F.lit("AUTHORITY")))
+    listed = place.rlike(LOCAL_HOSTS) | place.isin(*(h.lower() for h in hosts))
+    return F.coalesce((url.startswith("/") & ~url.startswith("//")) | (F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & listed), F.lit(False))
 
 
 def transient_error(text) -> Column:
-    return F.lower(text).rlike("429|500|502|503|504|timeout|timed out|rate limit|temporarily|unavailable|overloaded|resource exhausted")
+    """Whether a provider's error is worth another try."""
+    return F.lower(text).rlike("|".join(TRANSIENT))
+
+
+def transient_delay(attempt: str) -> Column:
+    """Seconds before try ``attempt`` + 1: doubling from 2."""
+    return F.lit(2.0) * F.pow(F.lit(2.0), F.col(attempt) - 1)
+
+
+def uuid_or_null(text) -> Column:
+    """The canonical form of a UUID in any usual spelling, else null."""
+    plain = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "urn:|uuid:", ""), r"^[{}]+|[{}]+$", ""), "-", ""))
+    return F.when(plain.rlike("^[0-9a-f]{32}$"), F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
 def environment(names, package_json) -> Column:

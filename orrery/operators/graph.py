@@ -130,7 +130,7 @@ def _chain(paths: list[str], adjacent: dict[str, list[str]]) -> list[str]:
 
 
 def cycles_and_chains(edges: DataFrame) -> DataFrame:
-    """Per repository: cycles (components of several nodes, or self-loops), their nodes, and the longest chain without them.
+    """Per repository: cycles (components of several nodes, or self-loops), their nodes, the one with the least node, and the longest chain without them.
 
     One repository's edges are bounded (``NODE_LIMIT`` nodes at intake), so each
     goes to one task; the many repositories spread over the cluster.
@@ -147,10 +147,10 @@ def cycles_and_chains(edges: DataFrame) -> DataFrame:
         inside = {x for c in cycles for x in c}
         free = {a: [b for b in bs if b not in inside] for a, bs in adjacent.items() if a not in inside}
         chain = _chain([p for p in paths if p not in inside], free)
-        return pd.DataFrame({"repo_id": [pdf.repo_id.iloc[0]], "cycles_count": [len(cycles)], "cycle_nodes": [",".join(sorted(inside))], "chain_depth": [len(chain)], "chain": [",".join(chain)]})
+        return pd.DataFrame({"repo_id": [pdf.repo_id.iloc[0]], "cycles_count": [len(cycles)], "cycle_nodes": [",".join(sorted(inside))], "sample_cycle": [",".join(cycles[0]) if cycles else None], "chain_depth": [len(chain)], "chain": [",".join(chain)]})
 
     kind = edges.schema["repo_id"].dataType.simpleString()
-    return edges.select("repo_id", "source_path", "target_path").groupBy("repo_id").applyInPandas(run, f"repo_id {kind}, cycles_count long, cycle_nodes string, chain_depth long, chain string")
+    return edges.select("repo_id", "source_path", "target_path").groupBy("repo_id").applyInPandas(run, f"repo_id {kind}, cycles_count long, cycle_nodes string, sample_cycle string, chain_depth long, chain string")
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_hops: int = 3) -> DataFrame:

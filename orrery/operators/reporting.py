@@ -24,8 +24,9 @@ def mechanical(change_type: str = "change_type", confidence: str = "confidence")
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    """The row of each key that is greatest in the given columns, found by an aggregate that starts before the shuffle."""
+    row = F.struct(*(c for c in df.columns if c not in keys))
+    return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
 def stats_summary(repos: DataFrame, prs: DataFrame, usages: DataFrame, patches: DataFrame) -> DataFrame:
@@ -55,11 +56,11 @@ def recent_changes(changes: DataFrame, usages: DataFrame, keep: Column | None =
 
 
 def activity_feed(prs: DataFrame, patches: DataFrame, usages: DataFrame, runs: DataFrame, changes: DataFrame, each: int = 20, n: int = 50) -> DataFrame:
-    """Newest of three kinds, merged by time; a patch carries whether its last run passed."""
-    last = latest(runs, ["patch_id"], F.desc("created_at"), F.desc("tie"), F.desc("tie2"), F.desc("tie3")).select(F.col("patch_id").alias("id"), "tests_pass")
+    """Newest of three kinds, merged by time; a patch carries whether its last run passed.  Only the runs of the patches shown are ranked."""
     newest = [F.desc("happened_at"), F.desc("id")]
     pull = prs.select(F.lit("pull_request").alias("kind"), "id", F.col("opened_at").alias("happened_at"), "repo_id", F.col("merged").alias("flag")).orderBy(*newest).limit(each)
     patch = patches.join(usages.select(F.col("id").alias("code_usage_id"), "repo_id"), "code_usage_id").select(F.lit("patch").alias("kind"), "id", F.col("created_at").alias("happened_at"), "repo_id").orderBy(*newest).limit(each)
+    last = latest_runs(runs.join(patch.select(F.col("id").alias("patch_id")), "patch_id", "left_semi")).select(F.col("patch_id").alias("id"), "tests_pass")
     patch = patch.join(last, "id", "left").select("kind", "id", "happened_at", "repo_id", F.col("tests_pass").alias("flag"))
     change = usages.join(changes.select(F.col("id").alias("detected_change_id")), "detected_change_id").select(F.lit("change").alias("kind"), "id", F.col("created_at").alias("happened_at"), "repo_id").orderBy(*newest).limit(each)
     return pull.union(patch).unionByName(change, allowMissingColumns=True).orderBy(F.desc_nulls_last("happened_at"), "kind", F.desc("id")).limit(n)
@@ -115,11 +116,12 @@ def active_incidents(usages: DataFrame, changes: DataFrame, packages: DataFrame)
 
 def best_patches(patches: DataFrame) -> DataFrame:
     """Of each usage the first verified patch, else the first."""
-    return latest(patches, ["code_usage_id"], F.desc("verified"), F.asc("created_at"), F.asc("id"))
+    row = F.struct(*(c for c in patches.columns if c != "code_usage_id"))
+    return patches.groupBy("code_usage_id").agg(F.min_by(row, F.struct(~F.col("verified"), "created_at", "id")).alias("_row")).select("code_usage_id", "_row.*")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    return latest(runs, ["patch_id"], F.desc("created_at"), F.desc("tie"), F.desc("tie2"), F.desc("tie3"))
+    return latest(runs, ["patch_id"], F.col("created_at"), F.col("tie"), F.col("tie2"), F.col("tie3"))
 
 
 def incident_snapshot(usages: DataFrame, patches: DataFrame, runs: DataFrame, pr_patches: DataFrame, prs: DataFrame) -> DataFrame:
@@ -134,8 +136,9 @@ def incident_snapshot(usages: DataFrame, patches: DataFrame, runs: DataFrame, pr
 
 def incident_history(events: DataFrame, usages: DataFrame, change_id: int, since: str | None = None, n: int = 500) -> DataFrame:
     """Events of a change, directly or through a usage, oldest first; a malformed ``since`` is ignored."""
-    rows = events.join(usages.select(F.col("id").alias("code_usage_id"), F.col("detected_change_id").alias("through")), "code_usage_id", "left")
-    rows = rows.where((F.col("detected_change_id") == change_id) | (F.col("through") == change_id))
+    through = usages.where(F.col("detected_change_id") == change_id).select(F.col("id").alias("code_usage_id"))
+    direct = F.coalesce(F.col("detected_change_id") == change_id, F.lit(False))
+    rows = events.where(direct).unionByName(events.where(~direct).join(through, "code_usage_id", "left_semi"))
     after = F.try_to_timestamp(F.lit(since))
     rows = rows.where(after.isNull() | (F.col("created_at") > after)) if since is not None else rows
     return rows.orderBy("created_at", "id").limit(min(n, 2000)).select("id", "repo_id", "event_type", "created_at")
@@ -181,17 +184,36 @@ def needs_review(tests: str, types: str, risk: str, covered: Column) -> Column:
 
 
 def check_conclusion(pr_patches: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per pull request: failure if any run failed, neutral if one is missing or undecided, else success."""
-    last = latest_runs(runs).select("patch_id", "tests_pass")
+    """Per pull request: failure if a last run is structurally unsound or has failed tests or types, neutral if one is missing, else success."""
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    sound = true("applies_cleanly") & true("parses") & true("scope_ok") & F.coalesce("tests_pass", F.lit(True)) & F.coalesce("typechecks", F.lit(True))
+    last = latest_runs(runs).select("patch_id", sound.alias("sound"))
     return pr_patches.join(last, "patch_id", "left").groupBy("pr_id").agg(
-        F.when(F.coalesce(F.bool_or(~F.col("tests_pass")), F.lit(False)), "failure").when(F.count_if(F.col("tests_pass").isNull()) > 0, "neutral").otherwise("success").alias("conclusion")
+        F.when(F.coalesce(F.bool_or(~F.col("sound")), F.lit(False)), "failure").when(F.count_if(F.col("sound").isNull()) > 0, "neutral").otherwise("success").alias("conclusion")
     )
 
 
-def tracked_packages(packages: DataFrame, usages: DataFrame, repos: DataFrame) -> DataFrame:
-    """Packages that an active repository uses."""
-    active = usages.join(repos.where("is_active").select(F.col("id").alias("repo_id")), "repo_id", "left_semi").select(F.col("detected_change_id").alias("id")).distinct()
-    return packages.join(active, "id", "left_semi")
+def tracked_packages(packages: DataFrame, repo_packages: DataFrame, repos: DataFrame) -> DataFrame:
+    """Packages that an active repository depends on."""
+    active = repo_packages.join(repos.where("is_active").select(F.col("id").alias("repo_id")), "repo_id", "left_semi")
+    return packages.join(active.select(F.col("package_id").alias("id")), "id", "left_semi")
+
+
+def package_access(packages: DataFrame, repo_packages: DataFrame, scope: DataFrame) -> DataFrame:
+    """(user_id, package_id) of the packages that a visible repository (user_id, repo_id) depends on."""
+    owned = repo_packages.join(packages.select(F.col("id").alias("package_id")), "package_id", "left_semi")
+    return scope.join(owned, "repo_id").select("user_id", "package_id").distinct()
+
+
+def version_patches(patches: DataFrame, usages: DataFrame, changes: DataFrame) -> DataFrame:
+    """Verified patches by repository and package version, to be bundled in one pull request."""
+    rows = patches.where("verified").select(F.col("id").alias("patch_id"), "code_usage_id").join(usages.select(F.col("id").alias("code_usage_id"), "repo_id", "detected_change_id"), "code_usage_id")
+    return rows.join(changes.select(F.col("id").alias("detected_change_id"), F.col("package_id").alias("version_id")), "detected_change_id").select("repo_id", "version_id", "patch_id")
+
+
+def file_incidents(incidents: DataFrame, files: DataFrame) -> DataFrame:
+    """Incidents (id) that a file's list of change ids names: (repo_id, file_path, id)."""
+    return files.select("repo_id", "file_path", F.explode(F.array_distinct("change_ids")).alias("id")).join(incidents, "id", "left_semi")
 
 
 def open_pr_guard(prs: DataFrame, pr_patches: DataFrame, patches: DataFrame) -> DataFrame:

@@ -10,11 +10,15 @@ FULL_SHARE, FULL_DAYS = 0.40, 7
 
 def fair_dequeue(jobs: DataFrame, now: Column, n: int = 20, cap: int = RUNNING_CAP) -> DataFrame:
     """The oldest queued jobs that are due, at most ``cap`` running ones per installation; jobs without one always qualify."""
+    columns = ("id", "installation_id", "job_type", "attempts", "created_at")
     running = jobs.where("status = 'running' and installation_id is not null").groupBy("installation_id").agg(F.count("*").alias("running"))
-    due = jobs.where((F.col("status") == "queued") & (F.col("run_after") <= now)).join(running, "installation_id", "left")
+    due = jobs.where((F.col("status") == "queued") & (F.col("run_after") <= now)).select(*columns)
     place = F.row_number().over(Window.partitionBy("installation_id").orderBy("created_at", "id"))
-    free = due.withColumn("place", place).where(F.col("installation_id").isNull() | (F.coalesce("running", F.lit(0)) + F.col("place") <= cap))
-    return free.orderBy("created_at", "id").limit(n).select("id", "installation_id", "job_type", "attempts")
+    first = due.where("installation_id is not null").withColumn("place", place).where(F.col("place") <= cap)
+    first = first.join(running, "installation_id", "left").where(F.coalesce("running", F.lit(0)) + F.col("place") <= cap).select(*columns)
+    # Jobs without an installation need no rank, and no task holds them all.
+    free = due.where("installation_id is null").orderBy("created_at", "id").limit(n)
+    return first.union(free).orderBy("created_at", "id").limit(n).select(*columns[:4])
 
 
 def reap_leases(jobs: DataFrame, now: Column, lease: int = LEASE_SECONDS) -> DataFrame:
@@ -60,10 +64,27 @@ def push_plan(pushes: DataFrame, state: DataFrame, now: Column, keep: tuple[str,
 
 
 def publish_decision(head: str, base: str, now_head: str, target: str) -> Column:
-    """Optimistic check before a graph is published: skipped, stale, conflict or publish."""
-    return (
-        F.when(F.col(head) == F.col(target), "skipped")
-        .when(F.col(base).isNotNull() & (F.col(head) != F.col(base)), "stale")
-        .when(~F.col(now_head).eqNullSafe(F.col(head)), "conflict")
-        .otherwise("publish")
-    )
+    """Optimistic checks of an increment: skipped, stale, conflict or publish.
+
+    ``head`` is the tracked commit as the job begins, ``now_head`` as it ends;
+    ``base`` is the commit that the push builds on, ``target`` the job's own.  A
+    base that the head has left makes the job stale, or superfluous if the head
+    is its target already.  At the end the head must be the target, or still the
+    one expected: the base, or the head at the beginning.
+    """
+    h, b, n, t = (F.nullif(F.col(c).cast("string"), F.lit("")) for c in (head, base, now_head, target))
+    left = h.isNotNull() & b.isNotNull() & (h != b)
+    expected = F.coalesce(b, h)
+    moved = n.isNotNull() & (n != t) & (expected.isNull() | (n != expected))
+    return F.when(left & (h == t), "skipped").when(left, "stale").when(moved, "conflict").otherwise("publish")
+
+
+def full_build_is_stale(now_head: str, expected: str, target: str) -> Column:
+    """Whether a whole graph must not replace the tracked one: the head is neither the build's commit nor the expected one, or has gone."""
+    n, e, t = (F.nullif(F.col(c).cast("string"), F.lit("")) for c in (now_head, expected, target))
+    return F.when(n.isNull(), e.isNotNull()).otherwise((n != t) & (e.isNull() | (n != e)))
+
+
+def baseline(versions: DataFrame) -> DataFrame:
+    """Versions to extract changes from: the first one seen of a package is only recorded."""
+    return versions.where(F.coalesce("old_version", F.lit("none")) != "none")

@@ -49,18 +49,19 @@ def signals(repos: DataFrame, nodes: DataFrame, edges: DataFrame, degrees: DataF
     lone = (F.col("fan_in") + F.col("fan_out") == 0) & ~F.coalesce(F.col("ext").isin(*passive), F.lit(False))
     shape = degrees.groupBy("repo_id").agg(
         F.count("*").alias("node_count"), F.count_if(F.col("fan_in") > 30).alias("critical_hubs"), F.max("fan_in").alias("max_fan_in"), F.count_if(lone).alias("orphans_count"),
-        F.sum("unresolved").alias("unresolved_count"), F.coalesce(F.bool_or(path.contains("test") | path.contains("spec")), F.lit(False)).alias("has_tests"),
+        F.sum("unresolved").alias("unresolved_count"), F.min_by(F.struct("path", "fan_in", "fan_out"), F.struct(-F.col("fan_in"), "path")).alias("top_hub"),
+        F.min(F.when(F.col("unresolved") > 0, F.struct("path", "unresolved"))).alias("first_unresolved"), F.coalesce(F.bool_or(path.contains("test") | path.contains("spec")), F.lit(False)).alias("has_tests"),
         F.coalesce(F.bool_or(F.col("path").startswith(".github/workflows/") & (F.col("path").endswith(".yml") | F.col("path").endswith(".yaml"))), F.lit(False)).alias("has_ci"),
     ).withColumn("critical_hubs", F.least("critical_hubs", F.lit(10)))
     first_word = F.coalesce(F.nullif(F.element_at(F.split(F.trim("description"), r"\s+"), 1), F.lit("")), F.lit("dependency"))
     pending = usages.where(F.col("status") == "pending").join(changes.select(F.col("id").alias("detected_change_id"), first_word.alias("package")), "detected_change_id")
-    depends = pending.groupBy("repo_id").agg(F.count("*").alias("breaking_count"), F.countDistinct("package").alias("total_dependencies"))
+    depends = pending.groupBy("repo_id").agg(F.count("*").alias("breaking_count"), F.countDistinct("package").alias("total_dependencies"), F.sort_array(F.collect_set("package")).alias("breaking_packages"))
     pulls = prs.groupBy("repo_id").agg(F.count("*").alias("total_prs"), F.count_if(F.col("merged") | (F.col("status") == "merged")).alias("merged_prs"), F.count_if(F.col("status") == "open").alias("open_prs"))
     outcomes = runs.where("tests_pass is not null").groupBy("patch_id").agg(F.count("*").alias("n"), F.count_if("tests_pass").alias("ok"))
     owner = patches.select(F.col("id").alias("patch_id"), "code_usage_id").join(usages.select(F.col("id").alias("code_usage_id"), "repo_id"), "code_usage_id")
     tested = outcomes.join(owner, "patch_id").groupBy("repo_id").agg(F.bround(F.sum("ok") / F.sum("n"), 3).alias("pass_rate"))
     rows = repos.select(F.col("id").alias("repo_id"), "full_name")
-    for part in (shape, depends, pulls, tested, *([cycles.select("repo_id", "cycles_count")] if cycles is not None else [])):
+    for part in (shape, depends, pulls, tested, *([cycles.select("repo_id", "cycles_count", "sample_cycle")] if cycles is not None else [])):
         rows = rows.join(part, "repo_id", "left")
     zero = [c for c in rows.columns if c in ("node_count", "critical_hubs", "max_fan_in", "orphans_count", "unresolved_count", "breaking_count", "total_dependencies", "total_prs", "merged_prs", "open_prs", "cycles_count")]
     rows = rows.fillna(0, zero).fillna(False, ["has_tests", "has_ci"])
@@ -79,18 +80,43 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", composite_score(**{n: n for n, _ in WEIGHTS})).withColumn("risk_score", F.greatest(F.lit(0), 100 - F.col("score")))
 
 
+# Titles, reasons and remedies of findings, in their order.
+CYCLES = ("Circular dependency cycle detected ({} total)", "Cycle in module graph ({}) causes execution order race conditions and memory leaks.", "Refactor shared exports into a separate module to break the cycle at {}.")
+BREAKING = ("{} upstream breaking changes pending patch validation", "Active runtime or signature discrepancies in imported dependencies threaten build stability.", "Review and merge automated synthetic AST patches generated by the engine.")
+HUB = ("High fan-in architectural nexus: {}", "{} is imported by {} files. Any breaking modification propagates widely.", "Decouple core interfaces and protect with strict unit test coverage.")
+UNTESTED = ("No automated test suite detected in repository", "Automated patch verification and regression prevention require test verification suites.", "Add test suites (e.g. pytest, vitest, jest) matching project runtime.")
+NO_CI = ("GitHub Actions CI pipeline not configured", "Pushing changes without automated CI gates risks landing undetected breakage.", "Add a .github/workflows/ci.yml workflow for continuous verification.")
+UNRESOLVED = ("{} unresolved static import specifiers", "Dynamic requires or missing alias path mappings limit static boundary analysis.", "Ensure tsconfig/jsconfig paths are synchronized and avoid dynamic imports in core files.")
+HUB_FAN_IN, CYCLE_NAMES = 15, 4
+
+
+def filled(template: str, *values: Column) -> Column:
+    """The template with a value in place of each pair of braces."""
+    pieces = template.split("{}")
+    return F.concat(*(x for i, p in enumerate(pieces) for x in (F.lit(p), *([values[i].cast("string")] if i < len(pieces) - 1 else []))))
+
+
 def findings(rows: DataFrame) -> DataFrame:
-    """The rules that hold for a repository, in fixed order, with severity and title."""
-    rule = lambda n, hit, severity, title: F.struct(F.lit(n).alias("rule"), hit.alias("hit"), F.lit(severity).alias("severity"), title.alias("title"))
+    """The rules that hold for a repository, in fixed order, with evidence (JSON), reason, remedy and link into the graph."""
+    cycle = F.split("sample_cycle", ",")
+    names = F.array_join(F.transform(F.slice(cycle, 1, CYCLE_NAMES), lambda p: F.element_at(F.split(p, "/"), -1)), " → ")
+    round_trip = F.concat(names, F.when(F.size(cycle) > CYCLE_NAMES, " …").otherwise(""))
+    hub, gap, none = F.col("top_hub"), F.col("first_unresolved"), F.lit("")
+    link = lambda path: F.concat(F.lit("?focus="), path)
+    evidence = lambda **parts: F.to_json(F.struct(*(c.alias(n) for n, c in parts.items())))
+
+    def rule(n, hit, severity, title, evidence, why, what, link=none):
+        return F.struct(F.lit(n).alias("rule"), F.coalesce(hit, F.lit(False)).alias("hit"), F.lit(severity).alias("severity"), title.alias("title"), evidence.alias("evidence"), why.alias("why"), what.alias("what"), link.alias("link"))
+
     rules = [
-        rule(1, F.col("cycles_count") > 0, "critical", F.concat(F.lit("Circular dependency cycle detected ("), F.col("cycles_count").cast("string"), F.lit(" total)"))),
-        rule(2, F.col("breaking_count") > 0, "critical", F.concat(F.col("breaking_count").cast("string"), F.lit(" upstream breaking changes pending patch validation"))),
-        rule(3, F.col("max_fan_in") >= 15, "warning", F.concat(F.lit("High fan-in hub, imported by "), F.col("max_fan_in").cast("string"))),
-        rule(4, ~F.col("has_tests"), "warning", F.lit("No automated test suite detected in repository")),
-        rule(5, ~F.col("has_ci"), "info", F.lit("GitHub Actions CI pipeline not configured")),
-        rule(6, F.col("unresolved_count") > 0, "info", F.concat(F.col("unresolved_count").cast("string"), F.lit(" unresolved static import specifiers"))),
+        rule(1, F.col("cycles_count") > 0, "critical", filled(CYCLES[0], F.col("cycles_count")), evidence(cycles_count=F.col("cycles_count"), sample_cycle=cycle), filled(CYCLES[1], round_trip), filled(CYCLES[2], cycle[0]), link(cycle[0])),
+        rule(2, F.col("breaking_count") > 0, "critical", filled(BREAKING[0], F.col("breaking_count")), evidence(packages=F.col("breaking_packages"), count=F.col("breaking_count")), F.lit(BREAKING[1]), F.lit(BREAKING[2])),
+        rule(3, hub["fan_in"] >= HUB_FAN_IN, "warning", filled(HUB[0], F.element_at(F.split(hub["path"], "/"), -1)), F.to_json(hub), filled(HUB[1], hub["path"], hub["fan_in"]), F.lit(HUB[2]), link(hub["path"])),
+        rule(4, ~F.col("has_tests"), "warning", F.lit(UNTESTED[0]), F.lit('{"test_files_count":0}'), F.lit(UNTESTED[1]), F.lit(UNTESTED[2])),
+        rule(5, ~F.col("has_ci"), "info", F.lit(NO_CI[0]), F.lit('{"ci_workflows":[]}'), F.lit(NO_CI[1]), F.lit(NO_CI[2])),
+        rule(6, F.col("unresolved_count") > 0, "info", filled(UNRESOLVED[0], F.col("unresolved_count")), evidence(sample_file=gap["path"], specifiers=gap["unresolved"]), F.lit(UNRESOLVED[1]), F.lit(UNRESOLVED[2]), link(gap["path"])),
     ]
-    return rows.select("repo_id", F.explode(F.filter(F.array(*rules), lambda r: r["hit"])).alias("f")).select("repo_id", "f.rule", "f.severity", "f.title")
+    return rows.select("repo_id", F.explode(F.filter(F.array(*rules), lambda r: r["hit"])).alias("f")).select("repo_id", "f.*").drop("hit")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ VIEWS = {
         case when n_nationkey % 2 = 0 then 'User' else 'Organization' end as account_type from nation""",
     "repos": "select s_suppkey as id, s_nationkey as installation_id, s_name as full_name, s_acctbal > 0 as is_active, s_suppkey % 3 = 0 as requires_tests, s_suppkey % 4 = 0 as requires_typecheck from supplier",
     "packages": "select p_partkey as id, p_name as name, case when p_partkey % 2 = 0 then 'npm' else 'pypi' end as ecosystem from part",
+    "repo_packages": "select distinct o_custkey % ns as repo_id, (o_orderkey * 7 + 3) % np as package_id from orders cross join k",
     "detected_changes": """select p_partkey as id, p_partkey as package_id,
         case p_size % 6 when 0 then 'removed' when 1 then 'renamed' when 2 then 'signature_change' when 3 then 'deprecated' when 4 then 'behavior_change' else 'unknown' end as change_type,
         cast(p_partkey % 100 as double) / 100 as confidence, p_brand as symbol, p_name as description,
@@ -33,6 +34,8 @@ VIEWS = {
     "validation_runs": """select l_orderkey * 10 + l_linenumber as patch_id,
         case l_returnflag when 'A' then true when 'R' then false end as tests_pass,
         case when l_tax < 0.03 then true when l_tax < 0.06 then false end as typechecks,
+        case when l_suppkey % 17 > 0 then l_partkey % 13 > 0 end as applies_cleanly, l_partkey % 19 > 0 as parses, case when l_quantity < 49 then l_suppkey % 23 > 0 end as scope_ok,
+        case when l_discount < 0.05 then 'full' else 'structural_only' end as verification_mode,
         l_shipdate as created_at, l_partkey * 100000 + l_suppkey as tie, l_extendedprice as tie2, l_discount as tie3 from lineitem""",
     "pull_requests": """select o_orderkey as id, o_custkey % ns as repo_id,
         case o_orderstatus when 'O' then 'open' when 'F' then 'merged' else 'closed' end as status, o_orderkey % 35 = 0 as merged,
@@ -62,7 +65,7 @@ VIEWS = {
 # The sizes enter as scalar subqueries, not as joins.
 VIEWS = {name: re.sub(r"\b(ns|np|no)\b", r"(select \1 from k)", text.replace(" cross join k", "")) if name != "k" else text for name, text in VIEWS.items()}
 NEEDS = {
-    "code_usages": ["k"], "pull_requests": ["k"], "incident_events": ["k"], "jobs": ["k"], "atlas_nodes": ["k"], "atlas_links": ["k"],
+    "repo_packages": ["k"], "code_usages": ["k"], "pull_requests": ["k"], "incident_events": ["k"], "jobs": ["k"], "atlas_nodes": ["k"], "atlas_links": ["k"],
     "atlas_edges": ["k", "atlas_nodes", "atlas_links"], "analysis_runs": ["k"],
 }
 

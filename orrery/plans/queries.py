@@ -47,7 +47,7 @@ def tenant_scope(d: Domain) -> DataFrame:
     "select a.user_id, a.repo_id, case when p.id is null then 404 when s.repo_id is null then 403 else 200 end as outcome from asked a left join repos p on p.id = a.repo_id left join scope s on s.user_id = a.user_id and s.repo_id = a.repo_id")
 def access_outcome(d: Domain) -> DataFrame:
     ids = d.repos.select(F.col("id").alias("repo_id")).union(d.spark.sql("select -1L as repo_id"))
-    asked = ids.select("repo_id", F.explode(F.array(*(F.lit(u) for u in range(5)))).alias("user_id"))
+    asked = ids.join(d.users.select(F.col("id").alias("user_id")))  # every user asks for every repository
     return tenancy.access_outcome(asked, d.repos, tenancy.visible_repos(d.repos, d.installations, d.users))
 
 
@@ -160,10 +160,13 @@ def verdict_rollup(d: Domain) -> DataFrame:
     return r.verdict_rollup(d.pr_patches, d.patches, d.validation_runs, d.code_usages, d.detected_changes)
 
 
-@query("pr_patches validation_runs", f"""with {LAST_RUN} select pr_id, case when coalesce(bool_or(not tests_pass), false) then 'failure' when count(*) filter (tests_pass is null) > 0 then 'neutral' else 'success' end as conclusion
-    from pr_patches q left join last_run l on l.patch_id = q.patch_id group by pr_id""")
+@query("pr_patches validation_runs", f"""with {LAST_RUN}, listed as (select * from pr_patches union all select o_orderkey, o_orderkey * 10 + 9 from orders where o_orderstatus = 'P'), judged as (select pr_id, l.patch_id is null as missing,
+    applies_cleanly is not true or parses is not true or scope_ok is not true or tests_pass is false or typechecks is false as bad from listed q left join last_run l on l.patch_id = q.patch_id)
+    select pr_id, case when count(*) filter (bad and not missing) > 0 then 'failure' when count(*) filter (missing) > 0 then 'neutral' else 'success' end as conclusion from judged group by pr_id""")
 def check_run_conclusion(d: Domain) -> DataFrame:
-    return r.check_conclusion(d.pr_patches, d.validation_runs)
+    # patch 9 of an order in progress has no run yet
+    unchecked = d.table("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("pr_id"), (F.col("o_orderkey") * 10 + 9).alias("patch_id"))
+    return r.check_conclusion(d.pr_patches.union(unchecked), d.validation_runs)
 
 
 @query("validation_runs", "select patch_id, tie, tie2, not coalesce(tests_pass, false) or not coalesce(typechecks, false) or patch_id % 2 = 0 or not (patch_id % 3 = 0) as needs_review from validation_runs")
@@ -172,9 +175,9 @@ def human_review_gate(d: Domain) -> DataFrame:
     return rows.select("patch_id", "tie", "tie2", r.needs_review("tests_pass", "typechecks", "risk", F.col("patch_id") % 3 == 0).alias("needs_review"))
 
 
-@query("packages code_usages repos", "select * from packages where id in (select detected_change_id from code_usages u join repos p on p.id = u.repo_id where p.is_active)")
+@query("packages repo_packages repos", "select * from packages where id in (select package_id from repo_packages u join repos p on p.id = u.repo_id where p.is_active)")
 def tracked_packages(d: Domain) -> DataFrame:
-    return r.tracked_packages(d.packages, d.code_usages, d.repos)
+    return r.tracked_packages(d.packages, d.repo_packages, d.repos)
 
 
 @query("pull_requests pr_patches patches", "select id as patch_id from patches where id not in (select patch_id from pr_patches join pull_requests q on q.id = pr_id where q.status = 'open')")
@@ -272,15 +275,15 @@ def _signals(d: Domain) -> DataFrame:
 SIGNAL_VIEWS = "repos atlas_nodes atlas_edges code_usages detected_changes pull_requests patches validation_runs"
 CLAMP = "greatest(0, least(100, round_even({}, 0)))::int"
 SIGNALS = f"""{REACH}, inside as (select repo_id, a, min(b) as least from (select x.repo_id, x.a, x.b from reach x join reach y on x.repo_id = y.repo_id and x.a = y.b and x.b = y.a) group by all),
-    cyc as (select repo_id, count(distinct least) as cycles_count from inside group by repo_id), {DEGREES},
-    shape as (select repo_id, count(*) as node_count, least(10, count(*) filter (fan_in > 30)) as critical_hubs, max(fan_in) as max_fan_in, count(*) filter (fan_in + fan_out = 0 and ext not in ('.md', '.json')) as orphans_count,
+    cyc as (select repo_id, count(distinct least) as cycles_count, list_sort(list(distinct a) filter (least = first_)) as sample from (select *, min(least) over (partition by repo_id) as first_ from inside) group by repo_id), {DEGREES},
+    shape as (select repo_id, count(*) as node_count, least(10, count(*) filter (fan_in > 30)) as critical_hubs, max(fan_in) as max_fan_in, arg_min(path, (-fan_in, path)) as hub_path, arg_min(fan_out, (-fan_in, path)) as hub_out, min(path) filter (unresolved > 0) as gap_path, arg_min(unresolved, path) filter (unresolved > 0) as gap_n, count(*) filter (fan_in + fan_out = 0 and ext not in ('.md', '.json')) as orphans_count,
         sum(unresolved) as unresolved_count, bool_or(lower(path) like '%test%' or lower(path) like '%spec%') as has_tests, false as has_ci from deg group by repo_id),
-    dep as (select u.repo_id, count(*) as breaking_count, count(distinct string_split(description, ' ')[1]) as total_dependencies from code_usages u join detected_changes c on c.id = u.detected_change_id where status = 'pending' group by u.repo_id),
+    dep as (select u.repo_id, count(*) as breaking_count, count(distinct string_split(description, ' ')[1]) as total_dependencies, list_sort(list(distinct string_split(description, ' ')[1])) as breaking_packages from code_usages u join detected_changes c on c.id = u.detected_change_id where status = 'pending' group by u.repo_id),
     pulls as (select repo_id, count(*) as total_prs, count(*) filter (merged or status = 'merged') as merged_prs, count(*) filter (status = 'open') as open_prs from pull_requests group by repo_id),
     tested as (select u.repo_id, round_even(count(*) filter (tests_pass) / count(*)::double, 3) as pass_rate from validation_runs v join patches p on p.id = v.patch_id join code_usages u on u.id = p.code_usage_id where tests_pass is not null group by u.repo_id),
     sig as (select r.id as repo_id, full_name, coalesce(node_count, 0) as node_count, coalesce(critical_hubs, 0) as critical_hubs, coalesce(max_fan_in, 0) as max_fan_in, coalesce(orphans_count, 0) as orphans_count, coalesce(unresolved_count, 0) as unresolved_count,
         coalesce(has_tests, false) as has_tests, coalesce(has_ci, false) as has_ci, coalesce(breaking_count, 0) as breaking_count, coalesce(total_dependencies, 0) as total_dependencies, coalesce(total_prs, 0) as total_prs,
-        coalesce(open_prs, 0) as open_prs, coalesce(cycles_count, 0) as cycles_count, pass_rate, round_even(coalesce(orphans_count, 0) / greatest(1, coalesce(node_count, 0))::double, 3) as orphan_ratio, round_even(merged_prs / total_prs::double, 3) as merge_rate
+        coalesce(open_prs, 0) as open_prs, coalesce(cycles_count, 0) as cycles_count, sample, hub_path, hub_out, gap_path, gap_n, breaking_packages, pass_rate, round_even(coalesce(orphans_count, 0) / greatest(1, coalesce(node_count, 0))::double, 3) as orphan_ratio, round_even(merged_prs / total_prs::double, 3) as merge_rate
         from repos r left join shape s on s.repo_id = r.id left join dep on dep.repo_id = r.id left join pulls on pulls.repo_id = r.id left join tested on tested.repo_id = r.id left join cyc on cyc.repo_id = r.id),
     sc as (select *, case when node_count > 0 then {CLAMP.format("90.0 - least(50.0, cycles_count * 10.0) - critical_hubs * 5.0 - (orphan_ratio / 0.10) * 3.0 + case when unresolved_count > 0 then 0 else 10.0 end")} end as structure,
         case when total_dependencies > 0 or breaking_count > 0 then {CLAMP.format("100.0 - breaking_count * 20.0")} end as dependency,
@@ -300,17 +303,26 @@ for _name, _columns in SCORES.items():
     ORACLES[_name] = ORACLES[_name].replace("with ", "with recursive ", 1)
 
 
+JSON_LIST = """'["' || array_to_string({}, '","') || '"]'"""
+NAME = "string_split({}, '/')[-1]"
 FOUND = (
-    (1, "cycles_count > 0", "critical", "'Circular dependency cycle detected (' || cycles_count || ' total)'"),
-    (2, "breaking_count > 0", "critical", "breaking_count || ' upstream breaking changes pending patch validation'"),
-    (3, "max_fan_in >= 15", "warning", "'High fan-in hub, imported by ' || max_fan_in"),
-    (4, "not has_tests", "warning", "'No automated test suite detected in repository'"),
-    (5, "not has_ci", "info", "'GitHub Actions CI pipeline not configured'"),
-    (6, "unresolved_count > 0", "info", "unresolved_count || ' unresolved static import specifiers'"),
-)
-
-
-@query(SIGNAL_VIEWS, f"with {SIGNALS} " + " union all ".join(f"select repo_id, {n} as rule, '{severity}' as severity, {title} as title from fin where {hit}" for n, hit, severity, title in FOUND))
+    (1, "cycles_count > 0", "critical", "'Circular dependency cycle detected (' || cycles_count || ' total)'", f"""'{{"cycles_count":' || cycles_count || ',"sample_cycle":' || {JSON_LIST.format('sample')} || '}}'""",
+        f"""'Cycle in module graph (' || array_to_string(list_transform(sample[1:4], lambda p: {NAME.format('p')}), ' → ') || case when len(sample) > 4 then ' …' else '' end || ') causes execution order race conditions and memory leaks.'""",
+        "'Refactor shared exports into a separate module to break the cycle at ' || sample[1] || '.'", "'?focus=' || sample[1]"),
+    (2, "breaking_count > 0", "critical", "breaking_count || ' upstream breaking changes pending patch validation'", f"""'{{"packages":' || {JSON_LIST.format('breaking_packages')} || ',"count":' || breaking_count || '}}'""",
+        "'Active runtime or signature discrepancies in imported dependencies threaten build stability.'", "'Review and merge automated synthetic AST patches generated by the engine.'", "''"),
+    (3, "max_fan_in >= 15", "warning", f"'High fan-in architectural nexus: ' || {NAME.format('hub_path')}", """'{"path":"' || hub_path || '","fan_in":' || max_fan_in || ',"fan_out":' || hub_out || '}'""",
+        "hub_path || ' is imported by ' || max_fan_in || ' files. Any breaking modification propagates widely.'", "'Decouple core interfaces and protect with strict unit test coverage.'", "'?focus=' || hub_path"),
+    (4, "not has_tests", "warning", "'No automated test suite detected in repository'", """'{"test_files_count":0}'""",
+        "'Automated patch verification and regression prevention require test verification suites.'", "'Add test suites (e.g. pytest, vitest, jest) matching project runtime.'", "''"),
+    (5, "not has_ci", "info", "'GitHub Actions CI pipeline not configured'", """'{"ci_workflows":[]}'""",
+        "'Pushing changes without automated CI gates risks landing undetected breakage.'", "'Add a .github/workflows/ci.yml workflow for continuous verification.'", "''"),
+    (6, "unresolved_count > 0", "info", "unresolved_count || ' unresolved static import specifiers'", """'{"sample_file":"' || gap_path || '","specifiers":' || gap_n || '}'""",
+        "'Dynamic requires or missing alias path mappings limit static boundary analysis.'", "'Ensure tsconfig/jsconfig paths are synchronized and avoid dynamic imports in core files.'", "'?focus=' || gap_path"),
+)
+
+
+@query(SIGNAL_VIEWS, f"with {SIGNALS} " + " union all ".join(f"select repo_id, {n} as rule, '{severity}' as severity, {title} as title, {evidence} as evidence, {why} as why, {what} as what, {link} as link from fin where {hit}" for n, hit, severity, title, evidence, why, what, link in FOUND))
 def findings(d: Domain) -> DataFrame:
     return scoring.findings(scoring.scored(_signals(d)))
 
@@ -362,11 +374,25 @@ def snapshot_diff(d: Domain) -> DataFrame:
     return sinks.snapshot_diff(d.repos, snapshot)
 
 
-@query("analysis_runs", """select case when h = 3 and b = 2 then 'skipped' when b is not null and h <> b then 'stale' when n is distinct from h then 'conflict' else 'publish' end as decision, id from
-    (select id, score % 4 as h, case when score % 5 > 0 then score % 4 + (score % 7 = 0)::int end as b, score % 4 + (score % 11 = 0)::int as n from analysis_runs)""".replace("h = 3 and b = 2", "h = id % 4"))
+HEADS = """heads as (select id, case when score % 6 > 0 then score % 4 end as h, case when score % 5 > 0 then score % 4 + case when score % 7 = 0 then 1 else 0 end end as b,
+    case when score % 13 > 0 then score % 4 + case when score % 11 = 0 then 1 else 0 end end as n, id % 4 as t from analysis_runs)"""
+
+
+def _heads(d: Domain) -> DataFrame:
+    part = lambda n: F.col("score") % n
+    return d.analysis_runs.select(
+        "id", F.when(part(6) > 0, part(4)).alias("h"), F.when(part(5) > 0, part(4) + (part(7) == 0).cast("int")).alias("b"), F.when(part(13) > 0, part(4) + (part(11) == 0).cast("int")).alias("n"), (F.col("id") % 4).alias("t")
+    )
+
+
+@query("analysis_runs", f"""with {HEADS} select id, case when h <> b then case when h = t then 'skipped' else 'stale' end when n <> t and (coalesce(b, h) is null or n <> coalesce(b, h)) then 'conflict' else 'publish' end as decision from heads""")
 def publish_decision(d: Domain) -> DataFrame:
-    rows = d.analysis_runs.select("id", (F.col("score") % 4).alias("h"), F.when(F.col("score") % 5 > 0, F.col("score") % 4 + (F.col("score") % 7 == 0).cast("int")).alias("b"), (F.col("score") % 4 + (F.col("score") % 11 == 0).cast("int")).alias("n"), (F.col("id") % 4).alias("t"))
-    return rows.select("id", scheduling.publish_decision("h", "b", "n", "t").alias("decision"))
+    return _heads(d).select("id", scheduling.publish_decision("h", "b", "n", "t").alias("decision"))
+
+
+@query("analysis_runs", f"with {HEADS} select id, case when n is null then b is not null else n <> t and (b is null or n <> b) end as is_stale from heads")
+def full_build_publish(d: Domain) -> DataFrame:
+    return _heads(d).select("id", scheduling.full_build_is_stale("n", "b", "t").alias("is_stale"))
 
 
 @query("atlas_nodes", f"""with n as (select *, {FOLDER.format('path')} as folder from atlas_nodes), r as (select *, row_number() over (partition by repo_id, folder order by path) - 1 as rank, count(*) over (partition by repo_id, folder) as files from n)
