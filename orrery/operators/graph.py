@@ -40,6 +40,13 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).where((F.col("fan_in") + F.col("fan_out") == 0) & ~F.coalesce(F.col("ext").isin(*PASSIVE_EXTENSIONS), F.lit(False))).select("repo_id", "path")
 
 
+def bounded_lists(nodes: DataFrame, edges: DataFrame, n_orphans: int = 25, n_unresolved: int = 20) -> DataFrame:
+    """The first orphans and the first files with unresolved specifiers of each repository, in path order: (repo_id, kind, path, place)."""
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))
+    first = lambda rows, kind, n: rows.select("repo_id", F.lit(kind).alias("kind"), "path", place.alias("place")).where(F.col("place") <= n)
+    return first(orphans(nodes, edges), "orphan", n_orphans).union(first(nodes.where("unresolved > 0"), "unresolved", n_unresolved))
+
+
 def coupling(edges: DataFrame) -> DataFrame:
     """Per repository: edges, those across folders, and their share to three decimals."""
     across = F.count_if(folder("source_path") != folder("target_path"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RUNNING_CAP, LEASE_SECONDS, RETRY_SECONDS = 3, 300, 30
 FULL_SHARE, FULL_DAYS = 0.40, 7
+POLL_MINUTES = 15
+# The stages in their order.
+STAGES = ("poll_registry", "extract_changes", "scan_repo", "generate_patch", "validate_patch", "open_pr")
 
 
 def fair_dequeue(jobs: DataFrame, now: Column, n: int = 20, cap: int = RUNNING_CAP) -> DataFrame:
@@ -88,3 +91,15 @@ def full_build_is_stale(now_head: str, expected: str, target: str) -> Column:
 def baseline(versions: DataFrame) -> DataFrame:
     """Versions to extract changes from: the first one seen of a package is only recorded."""
     return versions.where(F.coalesce("old_version", F.lit("none")) != "none")
+
+
+def next_stages(jobs: DataFrame) -> DataFrame:
+    """What each finished job enqueues: (id, next_stage), null after the last stage and for jobs outside of them."""
+    following = F.create_map(*(F.lit(x) for pair in zip(STAGES, STAGES[1:], strict=False) for x in pair))
+    return jobs.where(F.col("status") == "done").select("id", F.try_element_at(following, F.col("job_type")).alias("next_stage"))
+
+
+def due_polls(packages: DataFrame, jobs: DataFrame, now: Column, minutes: int = POLL_MINUTES) -> DataFrame:
+    """Packages without a registry poll in the last ``minutes``."""
+    recent = jobs.where((F.col("job_type") == "poll_registry") & (F.col("created_at") > now - F.expr(f"interval {minutes} minutes"))).select(F.col("package_id").alias("id"))
+    return packages.join(recent, "id", "left_anti")

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import iso_time
 
 # Keys of a project's changelog link in order, and scan limits of the repair scan.
-CHANGELOG_KEYS = ("Changelog", "Changes", "Release Notes", "History", "Changelog URL")
-FALLBACK_KEYS = ("Source", "Homepage")
+CHANGELOG_KEYS = ("Changelog", "Change Log", "Changes", "Release Notes", "History")
+FALLBACK_KEYS = ("home_page", "project_url")
+CUT_NOTICE = "\n\n… (truncated, file exceeds 1MB preview limit)"
+PREVIEW_CHARS = 1_000_000
 SCANNED = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py")
 SCANNED_BYTES = 500_000
 SNAPSHOT_BYTES = 150 << 20
@@ -16,22 +18,29 @@ SNAPSHOT_BYTES = 150 << 20
 BENCHMARKS = (("bench-1", "web-app", "npm"), ("bench-2", "data-pipeline", "pypi"), ("bench-3", "gateway", "npm"), ("bench-4", "toolkit", "pypi"))
 
 
+def _text(json, path: str) -> Column:
+    """A JSON string that is not empty, else null."""
+    return F.nullif(F.get_json_object(json, path), F.lit(""))
+
+
 def npm_version(json: str) -> Column:
-    """struct(version, published_at, url) of the latest npm release."""
-    version = F.get_json_object(json, "$['dist-tags'].latest")
+    """struct(version, published_at, url, notes) of the latest npm release, null without one; url and notes are that version's own."""
+    version = _text(json, "$['dist-tags'].latest")
     times = F.from_json(F.get_json_object(json, "$.time"), "map<string,string>")
-    url = F.coalesce(F.get_json_object(json, "$.homepage"), F.get_json_object(json, "$.repository.url"))
-    return F.struct(version.alias("version"), iso_time(F.try_element_at(times, version)).alias("published_at"), url.alias("url"))
+    own = F.try_element_at(F.from_json(F.get_json_object(json, "$.versions"), "map<string,string>"), version)
+    url = F.coalesce(_text(own, "$.homepage"), _text(own, "$.repository.url"))
+    return F.when(version.isNotNull(), F.struct(version.alias("version"), iso_time(F.try_element_at(times, version)).alias("published_at"), url.alias("url"), F.coalesce(_text(own, "$.release_notes"), _text(own, "$.changelog")).alias("notes")))
 
 
 def pypi_version(json: str) -> Column:
-    """struct(version, published_at, url) of the latest PyPI release; the first file's upload time."""
-    version = F.get_json_object(json, "$.info.version")
-    releases = F.from_json(F.get_json_object(json, "$.releases"), "map<string,array<struct<upload_time_iso_8601:string>>>")
+    """struct(version, published_at, url, notes) of the latest PyPI release, null without one; the first file's upload time."""
+    version = _text(json, "$.info.version")
+    files = "array<struct<upload_time_iso_8601:string>>"
+    listed = F.try_element_at(F.from_json(F.get_json_object(json, "$.releases"), f"map<string,{files}>"), version)
+    listed = F.when(F.coalesce(F.size(listed), F.lit(0)) > 0, listed).otherwise(F.from_json(F.get_json_object(json, "$.urls"), files))
     links = F.from_json(F.get_json_object(json, "$.info.project_urls"), "map<string,string>")
-    url = F.coalesce(*(F.try_element_at(links, F.lit(k)) for k in (*CHANGELOG_KEYS, *FALLBACK_KEYS)))
-    first = F.get(F.try_element_at(releases, version), F.lit(0))
-    return F.struct(version.alias("version"), iso_time(first["upload_time_iso_8601"]).alias("published_at"), url.alias("url"))
+    url = F.coalesce(*(F.nullif(F.try_element_at(links, F.lit(k)), F.lit("")) for k in CHANGELOG_KEYS), *(_text(json, f"$.info.{k}") for k in FALLBACK_KEYS))
+    return F.when(version.isNotNull(), F.struct(version.alias("version"), iso_time(F.get(listed, F.lit(0))["upload_time_iso_8601"]).alias("published_at"), url.alias("url"), F.get_json_object(json, "$.info.description").alias("notes")))
 
 
 def latest_versions(df: DataFrame) -> DataFrame:
@@ -65,10 +74,10 @@ def git_log(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(parts) == 5).select(*(parts[i].alias(n) for i, n in enumerate(("sha", "author", "email", "at", "message"))))
 
 
-def commits(df: DataFrame) -> DataFrame:
+def commits(df: DataFrame, *keep: str) -> DataFrame:
     """``json``: one commit of an API's list; first message line only."""
     return df.select(
-        F.get_json_object("json", "$.sha").alias("sha"), F.get_json_object("json", "$.commit.author.name").alias("author"),
+        *keep, F.get_json_object("json", "$.sha").alias("sha"), F.get_json_object("json", "$.commit.author.name").alias("author"),
         iso_time(F.get_json_object("json", "$.commit.author.date")).alias("at"), F.split(F.get_json_object("json", "$.commit.message"), "\n")[0].alias("message"),
     )
 
@@ -80,10 +89,10 @@ def dependencies(package_json: str, requirements: str) -> Column:
     return F.slice(F.coalesce(F.when(F.size(named) > 0, named), lines), 1, 6)
 
 
-def preview(content: str) -> Column:
-    """A file's text for display, cut after 1,000,000 characters; null for binary content."""
-    text = F.decode(content, "UTF-8")
-    return F.when(F.locate("\x00", text) > 0, F.lit(None)).otherwise(F.substring(text, 1, 1_000_000))
+def preview(content: Column) -> Column:
+    """A file's text for display: cut after 1,000,000 characters with a notice; null for binary content."""
+    shown = F.when(F.length(content) > PREVIEW_CHARS, F.concat(F.substring(content, 1, PREVIEW_CHARS), F.lit(CUT_NOTICE))).otherwise(content)
+    return F.when(~F.contains(content, F.lit("\x00")), shown)
 
 
 def last_commits(changes: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import uuid_or_null
+
 # The enumerations of the stored tables.
 ENUMS = {
     ("installations", "account_type"): ("User", "Organization"),
@@ -11,17 +13,44 @@ ENUMS = {
     ("detected_changes", "change_type"): ("removed", "renamed", "signature_change", "behavior_change", "deprecated"),
     ("code_usages", "status"): ("pending", "patched", "skipped", "failed"),
     ("pull_requests", "status"): ("open", "merged", "closed"),
+    ("detected_changes", "source"): ("npm_registry", "internal_runtime"),
+    ("jobs", "job_type"): ("poll_registry", "extract_changes", "scan_repo", "generate_patch", "validate_patch", "open_pr", "build_atlas_graph"),
+    ("jobs", "status"): ("queued", "running", "done", "failed"),
+    ("incident_events", "event_type"): (
+        "change_detected", "scan_started", "usage_found", "patch_generating", "patch_generated", "patch_failed", "validating", "validation_passed", "validation_failed",
+        "pr_opened", "pr_merged", "pr_closed", "usage_skipped", "usage_failed", "job_queued", "job_running", "job_done", "job_failed",
+    ),
 }
 
 
+EVENT_IDS = ("repo_id", "detected_change_id", "code_usage_id", "job_id")
+
+
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that repeat a key the greatest, column by column."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*(F.col(f"_row.{c}") if c in rest else F.col(c) for c in rows.columns)) if rest else rows.distinct()
+
+
+def recorded_events(events: DataFrame) -> DataFrame:
+    """Events to append: ids that are no UUIDs become null, a missing payload an empty one."""
+    ids = {c: uuid_or_null(c) for c in EVENT_IDS if c in events.columns}
+    return events.withColumns(ids | {"payload": F.coalesce("payload", F.lit("{}"))})
+
+
+def replaced_graphs(edges: DataFrame, built: DataFrame) -> DataFrame:
+    """Edges after whole graphs (repo_id, source_path, target_path) have replaced those of their repositories."""
+    return edges.join(built.select("repo_id").distinct(), "repo_id", "left_anti").unionByName(built)
+
+
 def insert_absent(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``new`` whose key is not there yet, one per key."""
-    return new.dropDuplicates(keys).join(current.select(*keys).distinct(), keys, "left_anti")
+    """The rows of ``new`` whose key is not there yet, the greatest of each key."""
+    return one_per_key(new, keys).join(current.select(*keys).distinct(), keys, "left_anti")
 
 
 def upserted(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` rows, and the current ones whose key is not among them."""
-    return current.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    """``new`` rows, the greatest of each key, and the current ones whose key is not among them."""
+    return current.join(new.select(*keys), keys, "left_anti").unionByName(one_per_key(new, keys), allowMissingColumns=True)
 
 
 def snapshot_diff(current: DataFrame, snapshot: DataFrame, key: str = "id") -> DataFrame:
@@ -68,4 +97,6 @@ def pr_transitions(prs: DataFrame, events: DataFrame) -> DataFrame:
         "id",
         F.when(closed & F.col("e.merged"), "merged").when(closed, "closed").when(reopened, "open").otherwise(F.col("status")).alias("status"),
         F.when(closed, F.col("e.at")).alias("closed_at"),
+        (closed & F.col("e.merged")).alias("merged"),
+        F.when(closed & F.col("e.merged"), F.col("e.at")).alias("merged_at"),
     )

@@ -9,6 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import imports
+from ..functions.text import dirname, normalized
+
+# What an added path may end in after the part that a specifier names.
+ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", "/index.ts", "/index.tsx", "/index.js")
+
+
+def importers_of_added(specs: DataFrame, added: DataFrame) -> DataFrame:
+    """(repo_id, path) of the files whose specifiers may mean one of the added paths.
+
+    A relative specifier means one path, any other one every path that ends in it
+    at a slash; endings may be left out.  Both sides meet in an equi-join: each
+    added path brings the names that would mean it.
+    """
+    whole = F.concat(F.array("path"), F.transform(F.filter(F.array(*map(F.lit, ENDINGS)), lambda e: F.endswith(F.col("path"), e)), lambda e: F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(e))))
+    tails = lambda p: F.transform(F.sequence(F.lit(1), F.size(F.split(p, "/"))), lambda n: F.array_join(F.slice(F.split(p, "/"), n, F.size(F.split(p, "/"))), "/"))
+    names = added.select("repo_id", F.explode(whole).alias("whole"))
+    names = names.select("repo_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("relative"), F.col("whole").alias("name"))), F.transform(tails(F.col("whole")), lambda t: F.struct(F.lit(False).alias("relative"), t.alias("name"))))).alias("n")).select("repo_id", "n.*").distinct()
+    clean = specs.withColumn("_clean", F.regexp_replace("spec", "^[<>\"']+|[<>\"']+$", "")).where("_clean <> ''").withColumn("relative", F.col("_clean").startswith("."))
+    clean = clean.withColumn("_joined", F.concat_ws("/", dirname("path"), "_clean"))
+    name = F.when(F.col("relative"), normalized("_joined")).otherwise(F.regexp_replace(F.replace("_clean", F.lit("@/"), F.lit("")), "^/+", ""))
+    return clean.select("repo_id", "path", "relative", name.alias("name")).join(names, ["repo_id", "relative", "name"], "left_semi").select("repo_id", "path").distinct()
 
 
 def full_build(tree: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["tenant_scope", "stats_summary", "activity_feed", "incident_snapshot", "verdict_rollup", "repo_scores", "findings", "scc_count", "fair_dequeue", "folder_closure", "patches_confidence_asc"])
+@pytest.mark.parametrize("name", [n for n in plans.QUERIES if n in plans.ORACLES])
 def test_oracle(spark, name):
     c = duckdb.connect()
     for t in os.listdir(FOLDER):

@@ -124,6 +124,38 @@ def test_sinks(spark):
     assert {tuple(x) for x in sinks.violations(bad, "packages", ["id"]).collect()} == {("enum ecosystem", "cargo", 1), ("unique id", "1", 2)}
 
 
+@pytest.mark.parametrize(
+    ("head", "base", "now", "job", "decision"),
+    [
+        ("a", "b", "a", "c", "stale"), ("c", "b", "c", "c", "skipped"), ("a", "a", "a", "c", "publish"), ("a", "a", "c", "c", "publish"), ("a", "a", "d", "c", "conflict"), (None, None, None, "c", "publish"),
+        (None, None, "d", "c", "conflict"), (None, "b", "b", "c", "publish"), ("a", None, "a", "c", "publish"), ("c", None, "c", "c", "publish"), ("a", "", "d", "c", "conflict"),
+    ],
+)
+def test_publication(spark, head, base, now, job, decision):
+    df = spark.createDataFrame([(head, base, now, job)], "h string, b string, n string, t string")
+    assert df.select(scheduling.publish_decision("h", "b", "n", "t")).first()[0] == decision
+
+
+def test_full_builds_do_not_overtake(spark):
+    cases = [(None, None, "c", False), (None, "b", "c", True), ("c", "b", "c", False), ("b", "b", "c", False), ("d", "b", "c", True), ("d", None, "c", True)]
+    df = spark.createDataFrame(cases, "n string, e string, t string, stale boolean")
+    assert all(r[0] == r[1] for r in df.select(scheduling.full_build_is_stale("n", "e", "t"), "stale").collect())
+
+
+def test_check_conclusion(spark):
+    runs = [(1, True, True, True, None, None), (2, True, True, True, True, False), (3, None, True, True, True, True), (4, True, True, True, True, True)]
+    runs = spark.createDataFrame(runs, "patch_id int, applies_cleanly boolean, parses boolean, scope_ok boolean, tests_pass boolean, typechecks boolean").selectExpr("*", "1 as created_at", "0 as tie", "0 as tie2", "0 as tie3")
+    pulls = spark.createDataFrame([(1, 1), (1, 4), (2, 2), (3, 3), (4, 4), (4, 9), (5, 2), (5, 9)], "pr_id int, patch_id int")
+    assert {x.pr_id: x.conclusion for x in r.check_conclusion(pulls, runs).collect()} == {1: "success", 2: "failure", 3: "failure", 4: "neutral", 5: "failure"}
+
+
+def test_repeated_keys_in_sinks(spark):
+    now = spark.createDataFrame([(1, "a")], "id int, v string")
+    new = spark.createDataFrame([(1, "b"), (1, "c"), (2, "x"), (2, "y"), (2, None)], "id int, v string")
+    assert {tuple(x) for x in sinks.upserted(now, new, ["id"]).collect()} == {(1, "c"), (2, "y")}
+    assert {tuple(x) for x in sinks.insert_absent(now, new, ["id"]).collect()} == {(2, "y")}
+
+
 def test_lists_limit_before_they_sort(spark):
     usages = spark.range(30).selectExpr("id", "id as detected_change_id", "1L as repo_id")
     changes = spark.range(29).selectExpr("id", "'deprecated' as change_type", "id / 100.0D as confidence")

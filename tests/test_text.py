@@ -133,11 +133,57 @@ def test_streams_match_batch(spark, tmp_path):
 
 
 def test_registry_answers(spark):
-    npm = '{"dist-tags": {"latest": "2.0.0"}, "time": {"2.0.0": "2024-01-02T03:04:05Z"}, "homepage": "h", "versions": {"1.0.0": {}, "2.0.0": {}}}'
-    pypi = '{"info": {"version": "3.1", "project_urls": {"History": "u", "Source": "s"}}, "releases": {"3.1": [{"upload_time_iso_8601": "2024-05-06T00:00:00Z"}]}}'
-    df = spark.createDataFrame([("a", " NPM", npm), ("b", "pypi", pypi), ("c", "cargo", "{}")], "name string, ecosystem string, json string")
-    got = {r.name: (r.version, str(r.published_at), r.url) for r in readers.latest_versions(df).collect()}
-    assert got == {"a": ("2.0.0", "2024-01-02 03:04:05", "h"), "b": ("3.1", "2024-05-06 00:00:00", "u"), "c": (None, "None", None)}
-    assert {r.name: r.versions for r in readers.all_versions(df).collect()}["a"] == ["2.0.0", "1.0.0"]
-    log = spark.createDataFrame([("h|n|e|t|a|b",), ("short",)], "value string")
-    assert [r.message for r in readers.git_log(log).collect()] == ["a|b"]
+    npm = '{"dist-tags": {"latest": "2.0.0"}, "homepage": "http://top", "time": {"2.0.0": "2024-01-02T03:04:05Z"}, "versions": {"1.0.0": {}, "2.0.0": {"repository": {"url": "http://r"}, "changelog": "c"}}}'
+    pypi = '{"info": {"version": "1.1", "home_page": "http://h", "project_urls": {"Change Log": "http://c", "History": "http://d"}}, "releases": {"1.0": [], "1.1": []}, "urls": [{"upload_time_iso_8601": "2024-01-02T03:04:05Z"}]}'
+    empty = '{"dist-tags": {"latest": ""}, "versions": {}}'
+    df = spark.createDataFrame([("a", "npm", npm), ("b", " PyPI", pypi), ("c", "cargo", npm), ("d", "npm", empty)], "name string, ecosystem string, json string")
+    got = {r.name: (r.version, str(r.published_at), r.url, r.notes) for r in readers.latest_versions(df).collect()}
+    assert got == {"a": ("2.0.0", "2024-01-02 03:04:05", "http://r", "c"), "b": ("1.1", "2024-01-02 03:04:05", "http://c", None), "c": (None, "None", None, None), "d": (None, "None", None, None)}
+    assert {r.name: r.versions for r in readers.all_versions(df).collect()} == {"a": ["2.0.0", "1.0.0"], "b": ["1.1", "1.0"], "c": None, "d": []}
+
+
+@pytest.mark.parametrize(
+    ("url", "allowed"),
+    [("/next", True), ("//evil.org", False), ("https://OK.org/x", True), ("https://ok.org:8443/", False), ("http://localhost:3000/", True), ("http://localhost.evil.org/", False), ("ftp://ok.org/", False), ("http://u@ok.org/", False), ("", False), (None, False)],
+)
+def test_redirects(spark, url, allowed):
+    assert bool(value(spark, text.redirect_allowed(F.col("u"), ("ok.org",)), u=url)) is allowed
+
+
+def test_relative_times(spark):
+    now = F.expr("timestamp '2024-01-15 00:00:00'")
+    said = {"2024-01-14T23:59:30Z": "30s ago", "2024-01-14T23:00:01Z": "59m ago", "2024-01-01T00:00:00Z": "14d ago", "2023-12-05T00:00:00Z": "Dec 05, 2023", "not a time at all": "not a time", None: "recently", "": "recently"}
+    for at, words in said.items():
+        assert value(spark, text.relative_time("t", now), t=at) == words
+
+
+def test_gates(spark):
+    from itertools import product
+
+    rows = list(product((True, False, None), (True, False, None), (True, False), (True, False), (True, False, None)))
+    df = spark.createDataFrame(rows, "tests boolean, types boolean, need_tests boolean, need_types boolean, ok boolean").selectExpr("*", "true as applies", "true as parses", "true as scope")
+    lenient = diffs.gate("tests", "types", "need_tests", "need_types", "ok")
+    strict = diffs.strict_gate("applies", "parses", "scope", "tests", "types", "need_tests", "need_types", "ok")
+    for r in df.select("*", lenient.alias("gate"), strict.alias("strict")).collect():
+        required = (r.tests is True or not r.need_tests) and (r.types is True or not r.need_types)
+        assert r.gate == ("verified" if required and r.ok else "failed")
+        assert r.strict is bool(required and r.ok and r.tests is not False and r.types is not False)
+
+
+def test_grounding(spark):
+    found = [("Circular dependency cycle detected (1 total)", "Cycle in module graph (a.ts)", "break the cycle at src/a.ts", "?focus=src/a.ts&x=1"), ("3 upstream breaking changes pending", "", "", "")]
+    cases = [
+        ([], found, False), (["Break the import cycle in src/a.ts first"], found, True), (["Break the import cycle in src/b.ts"], found, False), (["Review the breaking changes of @acme/kit"], found, False),
+        (["Plant more trees"], found, False), (["Upgrade pending dependency changes of @known/pkg"], found, False), (["Look at http://x/y about the cycle detected"], found, True), (["anything at all"], [], True), (["see lib/x.py"], [], False), (None, found, False),
+    ]
+    df = spark.createDataFrame([(i, a, f, ["@known/pkg"]) for i, (a, f, _) in enumerate(cases)], "id int, advice array<string>, findings array<struct<title:string,why:string,what:string,link:string>>, packages array<string>")
+    from orrery.operators import lookup
+
+    assert {r.id: r.grounded for r in lookup.grounded(df).collect()} == {i: ok for i, (_, _, ok) in enumerate(cases)}
+
+
+def test_uuids(spark):
+    plain = "12345678-1234-1234-1234-123456789abc"
+    for spelling in (plain, plain.upper(), plain.replace("-", ""), "{" + plain + "}", "urn:uuid:" + plain):
+        assert value(spark, text.uuid_or_null("u"), u=spelling) == plain
+    assert value(spark, text.uuid_or_null("u"), u="nope") is None and value(spark, text.uuid_or_null("u"), u=None) is None
