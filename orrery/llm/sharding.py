@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import partitions
 
-BUCKET_ROWS, BUCKET_BYTES, FILE_ROWS, SEED = 256, 4 << 20, 16384, 17
+BUCKET_ROWS, BUCKET_BYTES, FILE_ROWS, SEED = 256, 4 << 20, 4096, 17
 
 
 def fisher_yates(n: str, bucket: str, seed: int = SEED) -> str:
