@@ -1,7 +1,9 @@
-"""Graph maintenance from pushes: changed files are parsed anew, importers of added paths too, the rest stays.
+"""Graph maintenance from pushes: changed files are parsed anew, and only what they touch is resolved anew.
 
-The same extraction and resolution as in a full build serve the increments, on
-the whole node set after the push, so both give the same graph.
+That is the changed files, the files whose specifiers may mean an added path,
+those that imported a removed one, and all of a repository whose path maps have
+changed.  The same extraction and resolution as in a full build serve them, so
+both give the same graph.
 """
 
 from __future__ import annotations
@@ -40,18 +42,48 @@ def full_build(tree: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, specs, edges
 
 
-def incremental(nodes: DataFrame, specs: DataFrame, tree: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``tree``: added and modified files; ``removed``: (repo_id, path).
+# Names of files that stand for their folder.
+FOLDER_FILES = ("index", "__init__", "mod", "lib", "main")
 
-    Files whose hash has not changed are not parsed.  Specifiers of unchanged
-    files are kept and resolved again against the new nodes, which needs joins
-    only; parsing is what costs.
+
+def may_import(specs: DataFrame, added: DataFrame) -> DataFrame:
+    """(repo_id, path) of all files that could resolve a specifier to an added path, and of some that cannot.
+
+    A specifier resolves to a path only if one of its last two names is the
+    path's file name, with or without suffix, or its folder's; one of dots alone
+    only to a file that stands for its folder.  Go's are looked for inside paths.
+    """
+    segments = F.split("path", "/")
+    file, folder = F.element_at(segments, -1), F.when(F.size(segments) > 1, F.element_at(segments, -2))
+    stem = F.regexp_replace(file, r"\..*$", "")
+    names = added.select("repo_id", F.explode(F.array_compact(F.array_distinct(F.array(file, stem, F.regexp_replace(file, r"\.[^.]*$", ""), folder, F.when(stem.isin(*FOLDER_FILES), F.lit("")))))).alias("name"))
+    clean = F.regexp_replace("spec", "^[<>\"']+|[<>\"']+$", "")
+    last = F.element_at(F.split(clean, "/"), -1)
+    words = F.filter(F.split(clean, r"[/.:\\\\]+"), lambda w: w != "")
+    tokens = F.concat(F.array(last, F.regexp_replace(last, r"\.[^.]*$", "")), F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    met = specs.select("repo_id", "path", F.explode(F.array_distinct(tokens)).alias("name")).join(names.distinct(), ["repo_id", "name"], "left_semi").select("repo_id", "path")
+    inside = specs.where("language = 'go'").select("repo_id", "path", "spec").join(added.where(F.endswith("path", F.lit(".go"))).select("repo_id", F.col("path").alias("_added")), "repo_id").where(F.contains("_added", "spec")).select("repo_id", "path")
+    return met.union(inside).distinct()
+
+
+def incremental(nodes: DataFrame, specs: DataFrame, edges: DataFrame, tree: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, specifiers, edges) after a push.  ``tree``: added and modified files; ``removed``: (repo_id, path).
+
+    Files whose hash has not changed count as not pushed.  All other edges stay
+    as they are.
     """
+    keys = ["repo_id", "path"]
     fresh = imports.files(tree).withColumn("content_hash", F.sha2("content", 256))
-    same = nodes.select("repo_id", "path", "content_hash")
-    parsed = fresh.join(same, ["repo_id", "path", "content_hash"], "left_anti")
-    touched = parsed.select("repo_id", "path").union(removed.select("repo_id", "path"))
-    new_nodes = nodes.join(touched, ["repo_id", "path"], "left_anti").unionByName(parsed, allowMissingColumns=True)
-    new_specs = specs.join(touched, ["repo_id", "path"], "left_anti").unionByName(imports.extracted(parsed))
-    edges, _ = imports.resolved(new_nodes, new_specs, imports.aliases(new_nodes))
-    return new_nodes, new_specs, edges
+    parsed = fresh.join(nodes.select(*keys, "content_hash"), [*keys, "content_hash"], "left_anti")
+    touched = parsed.select(*keys).union(removed.select(*keys)).distinct()
+    added = parsed.select(*keys).join(nodes.select(*keys), keys, "left_anti")
+    new_nodes = nodes.join(touched, keys, "left_anti").unionByName(parsed, allowMissingColumns=True)
+    kept_specs, own_specs = specs.join(touched, keys, "left_anti"), imports.extracted(parsed)
+    orphaned = edges.join(removed.select("repo_id", F.col("path").alias("target_path")), ["repo_id", "target_path"], "left_semi").select("repo_id", F.col("source_path").alias("path"))
+    remapped = touched.where(F.regexp_like("path", F.lit("(^|/)tsconfig[.]json$"))).select("repo_id").distinct()
+    again = may_import(kept_specs, added).union(orphaned).union(kept_specs.join(remapped, "repo_id", "left_semi").select(*keys)).distinct()
+    again_specs = kept_specs.join(again, keys, "left_semi").unionByName(own_specs)
+    own_nodes = new_nodes.join(touched.select("repo_id").distinct(), "repo_id", "left_semi")
+    resolved, _ = imports.resolved(own_nodes, again_specs, imports.aliases(own_nodes))
+    stale = touched.union(again).distinct().select("repo_id", F.col("path").alias("source_path"))
+    return new_nodes, kept_specs.unionByName(own_specs), edges.join(stale, ["repo_id", "source_path"], "left_anti").unionByName(resolved.select(*edges.columns))

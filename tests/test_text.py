@@ -85,7 +85,21 @@ def test_import_graph_and_increment(spark):
     change = spark.createDataFrame([("r", "src/missing.ts", "import './b';\n"), ("r", "src/b.tsx", "export {};\n")], "repo_id string, path string, content string").withColumn("content", F.encode("content", "UTF-8"))
     removed = spark.createDataFrame([("r", "native/util.h")], "repo_id string, path string")
     after = tree.join(change.select("path"), "path", "left_anti").where("path <> 'native/util.h'").select("repo_id", "path", "content").union(change)
-    assert pairs(graph_updates.incremental(nodes, specs, change, removed)[2]) == pairs(graph_updates.full_build(after)[2])
+    assert pairs(graph_updates.incremental(nodes, specs, edges, change, removed)[2]) == pairs(graph_updates.full_build(after)[2])
+
+
+@pytest.mark.parametrize("out", [[0, 1], [2, 3, 4], [1, 6, 8, 10]])
+def test_increments_are_full_builds(spark, out):
+    """Files that come, and then go again, leave the graph of a full build behind."""
+    rows = fixtures.TREE
+    frame = lambda rs: spark.createDataFrame(rs, "repo_id string, path string, content string").withColumn("content", F.encode("content", "UTF-8"))
+    pairs = lambda e: sorted((x.source_path, x.target_path) for x in e.collect())
+    some = [rows[i] for i in out]
+    rest = [x for x in rows if x not in some]
+    before, whole = graph_updates.full_build(frame(rest)), graph_updates.full_build(frame(rows))
+    none, gone = frame(some).limit(0), frame(some).select("repo_id", "path")
+    assert pairs(graph_updates.incremental(*before, frame(some), gone.limit(0))[2]) == pairs(whole[2])
+    assert pairs(graph_updates.incremental(*whole, none, gone)[2]) == pairs(before[2])
 
 
 @pytest.mark.parametrize(
