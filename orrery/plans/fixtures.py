@@ -1,4 +1,4 @@
-"""Queries of the text and stream operators, on literal tables and on the supplied events and documents."""
+"""Queries of the parsers, diffs and stream operators, on texts derived from whole tables; literal examples for tests."""
 
 from __future__ import annotations
 
@@ -15,18 +15,6 @@ CHANGELOGS = [
     ("b", "- Removed `legacy()` and oldCall()\n- dropped support for `py36`\n* deprecated `slow_path`\nplain `not_a_bullet`"),
     ("c", "breaking:\n`send` now raises\n# end\n- argument order of `mix` changed\n- removed the cache"),
 ]
-SOURCES = [
-    ("a.ts", "import { send, close as shut } from 'wire';\n\nsend('x');\nshut();\n// send(1)\nconst s = 'send(2)';\n", "send", "wire", None),
-    ("b.ts", "function send(x) { return x }\nsend(1);\n", "send", "wire", None),
-    ("c.ts", "import { send } from 'other';\nsend(1);\n", "send", "wire", None),
-    ("d.js", "const wire = require('wire');\nwire.send(\n  1,\n);\n", "send", "wire", None),
-    ("e.py", "import wire\nfrom wire import send as s\n\nwire.send(1)\ns(2)\n\ndef other():\n    return 1\n", "send", "wire", None),
-    ("f.go", 'package main\nimport "x.org/wire"\nfunc main() { wire.Send(1) }\n', "Send", "x.org/wire", None),
-    ("g.rs", "use wire::send;\nfn main() { send(1); }\n", "send", "wire", None),
-    ("H.java", "import org.wire.Client;\nclass H { void f() { Client.send(1); } }\n", "send", "org.wire", None),
-    ("i.rb", "require 'wire'\nWire.send_it(1)\n", "send_it", "wire", None),
-    ("J.cs", "using Acme.Wire;\nclass J { void F() { Wire.Send(1); } }\n", "Send", "Acme.Wire", None),
-]
 TREE = [
     ("r", "tsconfig.json", '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}'),
     ("r", "src/app.ts", "import { a } from '@/lib/a';\nimport b from './b';\nimport c from './missing';\nimport(name);\nexport * from 'react';\n"),
@@ -41,59 +29,85 @@ TREE = [
     ("r", "src/store/disk.rs", ""),
     ("r", "node_modules/x/index.js", "require('./y')"),
 ]
-DIFFS = [
-    (1, 0, "a\nb\nc\n", "@@ -1,3 +1,3 @@\n a\n-b\n+B\n c\n", "b"),
-    (1, 1, "a\nb\nc\n", "@@ -1,3 +1,4 @@\n a\n-b\n+B\n+D\n c\n", "b"),
-    (2, 0, "x\ny\n", "@@ -1,2 +1,2 @@\n x\n-z\n+w\n", "y"),
-    (2, 1, "p\nq\nx\ny\n", "@@ -1,2 +1,2 @@\n x\n-y\n+w\n", "y"),
-    (3, 0, "m\r\nn\r\n", "@@ -2,0 +3,1 @@\n+o\n", "n"),
-    (4, 0, "m\n", "UNABLE_TO_PATCH", "m"),
-]
 
 
-def changelogs(d: Domain) -> DataFrame:
-    return d.spark.createDataFrame(CHANGELOGS, "id string, changelog string")
+CHANGELOG = """if(p_partkey % 2 = 0,
+    concat('# ', p_size, '.0\n## Breaking Changes\n- renamed `old', p_partkey, '` to `new', p_partkey, '`\n- the `opt', p_size, '` parameter order changed\n`send', p_partkey, '` now raises\n## Fixes\n- tidy\n- Removed `gone', p_partkey, '()` and more\nplain `no`\n* deprecated `slow', p_partkey, '`'),
+    concat('- `a', p_partkey, '` -> `b', p_partkey, '`\n- dropped `a', p_partkey, '`\n- dropped `a', p_partkey, '` again\nplain `a`'))"""
 
 
-@query()
+@query(sql="""with p as (select p_partkey as id, p_partkey::varchar as k, p_size::varchar as z from part) select id, 0 as position, 'old' || k as symbol, 'new' || k as symbol_new, 'renamed' as change_type, '- renamed `old' || k || '` to `new' || k || '`' as description, 0.95::double as confidence from p where id % 2 = 0
+    union all select id, 1, 'opt' || z, 'opt' || z, 'signature_change', '- the `opt' || z || '` parameter order changed', 0.8 from p where id % 2 = 0 union all select id, 2, 'send' || k, 'send' || k, 'behavior_change', '`send' || k || '` now raises', 0.8 from p where id % 2 = 0
+    union all select id, 3, 'gone' || k, null, 'removed', '- Removed `gone' || k || '()` and more', 0.85 from p where id % 2 = 0 union all select id, 4, 'slow' || k, null, 'deprecated', '* deprecated `slow' || k || '`', 0.8 from p where id % 2 = 0
+    union all select id, 0, 'a' || k, 'b' || k, 'renamed', '- `a' || k || '` -> `b' || k || '`', 0.9 from p where id % 2 = 1 union all select id, 1, 'a' || k, null, 'removed', '- dropped `a' || k || '`', 0.85 from p where id % 2 = 1""")
 def changelog_changes(d: Domain) -> DataFrame:
-    return changelog.changelog_changes(changelogs(d))
+    return changelog.changelog_changes(d.table("part").selectExpr("p_partkey as id", f"{CHANGELOG} as changelog"))
 
 
-@query()
+@query(sql="""with p as (select *, p_partkey::varchar as k, p_size::varchar as z from part where p_size % 5 > 0), t as (select 'p' || k || '.ts' as path, 'wire' || z as package, length('import { send } from ''wire' || z || chr(39) || ';' || chr(10) || chr(10)) as start_byte, 'send(' || k || ')' as snippet from p where p_partkey % 2 = 0
+    union all select 'p' || k || '.py', 'wire' || z, length('import wire' || z || chr(10) || chr(10)), 'wire' || z || '.send(' || k || ')' from p where p_partkey % 2 = 1)
+    select path, 'send' as symbol, package, 3 as line_start, 3 as line_end, start_byte::int as start_byte, (start_byte + length(snippet))::int as end_byte, snippet from t""")
 def call_sites(d: Domain) -> DataFrame:
-    return callsites.call_sites(d.spark.createDataFrame(SOURCES, "path string, source string, symbol string, package string, import_names array<string>"))
+    named = "if(p_size % 5 = 0, 'other', concat('wire', p_size))"
+    sources = d.table("part").selectExpr(
+        "concat('p', p_partkey, if(p_partkey % 2 = 0, '.ts', '.py')) as path",
+        f"if(p_partkey % 2 = 0, concat(\"import {{ send }} from '\", {named}, \"';\\n\\nsend(\", p_partkey, \");\\n// send(1)\\nconst s = 'send(2)';\\n\"), concat('import ', {named}, '\\n\\n', {named}, '.send(', p_partkey, ')\\n')) as source",
+        "'send' as symbol", "concat('wire', p_size) as package", "cast(null as array<string>) as import_names",
+    )
+    return callsites.call_sites(sources)
 
 
-def source_tree(d: Domain) -> DataFrame:
-    return d.spark.createDataFrame(TREE, "repo_id string, path string, content string").withColumn("content", F.encode("content", "UTF-8"))
+SPECIFIED = "if(p_partkey % 2 = 0, concat(\"import a from './n\", p_partkey + 1, \"';\\nimport b from 'react';\\nimport(x\", p_size, \");\\n// import './no';\\n\"), concat('from .m', p_size, ' import x\\nimport os\\n'))"
 
 
-@query()
+@query("atlas_nodes", """with p as (select p_partkey, p_size, repo_id, 'src/n' || p_partkey || case when p_partkey % 2 = 0 then '.ts' else '.py' end as path from part join atlas_nodes on node = p_partkey)
+    select repo_id, path, 'typescript' as language, './n' || (p_partkey + 1) as spec, false as is_dynamic, true as is_internal from p where p_partkey % 2 = 0 union all select repo_id, path, 'typescript', 'react', false, false from p where p_partkey % 2 = 0
+    union all select repo_id, path, 'typescript', 'x' || p_size, true, false from p where p_partkey % 2 = 0 union all select repo_id, path, 'python', '.m' || p_size, false, true from p where p_partkey % 2 = 1 union all select repo_id, path, 'python', 'os', false, false from p where p_partkey % 2 = 1""")
 def import_specifiers(d: Domain) -> DataFrame:
-    return imports.extracted(imports.files(source_tree(d)))
+    rows = d.table("part").join(d.atlas_nodes.select("repo_id", F.col("node").alias("p_partkey")), "p_partkey")
+    return imports.extracted(imports.files(rows.selectExpr("repo_id", "concat('src/n', p_partkey, if(p_partkey % 2 = 0, '.ts', '.py')) as path", f"encode({SPECIFIED}, 'UTF-8') as content")))
 
 
-@query()
+def source_tree(d: Domain) -> DataFrame:
+    """A file for each node, which imports the nodes that it links to."""
+    lines = d.atlas_links.groupBy(F.col("src").alias("node")).agg(F.array_join(F.transform(F.sort_array(F.collect_set("tgt")), lambda t: F.concat(F.lit("import './n"), t.cast("string"), F.lit("';"))), "\n").alias("text"))
+    rows = d.atlas_nodes.select("repo_id", "node").join(lines, "node", "left")
+    return rows.select("repo_id", F.concat(F.lit("src/n"), F.col("node").cast("string"), F.lit(".ts")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+@query("atlas_nodes atlas_links", "select distinct a.repo_id, 'src/n' || src || '.ts' as source_path, 'src/n' || tgt || '.ts' as target_path from atlas_links join atlas_nodes a on a.node = src join atlas_nodes b on b.node = tgt and b.repo_id = a.repo_id where src <> tgt")
 def resolve_imports(d: Domain) -> DataFrame:
     return graph_updates.full_build(source_tree(d))[2]
 
 
 def candidates(d: Domain) -> DataFrame:
-    return d.spark.createDataFrame(DIFFS, "usage int, ordinal int, original string, diff string, snippet string")
+    """Three patches for each order: one of three changed lines, two of two; some do not fit, some are none."""
+    head, tail = "concat(' a', k, '\\n-b', c, '\\n')", "' c\\n'"
+    long = f"concat('@@ -1,3 +1,4 @@\\n', {head}, '+B\\n+D\\n', {tail})"
+    short = f"concat('@@ -1,3 +1,3 @@\\n', if(k % 3 = 0, ' a\\n-none\\n', {head}), '+B\\n', {tail})"
+    other = f"if(k % 7 = 0, 'UNABLE_TO_PATCH', concat('@@ -1,3 +1,3 @@\\n', {head}, '+Z\\n', {tail}))"
+    rows = d.table("orders").selectExpr("o_orderkey as k", "o_custkey as c")
+    rows = rows.selectExpr("k", "concat('a', k, '\\nb', c, '\\nc\\n') as original", "if(k % 5 = 0, 'zzz', concat('  b', c)) as snippet", f"posexplode(array({long}, {short}, {other})) as (ordinal, diff)")
+    return rows.selectExpr("k as usage", "ordinal", "original", "diff", "snippet")
 
 
-@query()
+FITS = """c as (select o_orderkey as usage, unnest([0, 1, 2]) as ordinal, o_orderkey as k, 'a' || o_orderkey as a, 'b' || o_custkey as b from orders),
+    f as (select *, case when ordinal = 0 then true when ordinal = 1 then k % 3 > 0 else k % 7 > 0 end as fits, case ordinal when 0 then 3 else 2 end as changed,
+    case ordinal when 0 then 'B' || chr(10) || 'D' when 1 then 'B' else 'Z' end as new from c)"""
+AFTER = "a || chr(10) || {} || chr(10) || 'c' || chr(10)"
+
+
+@query(sql=f"with {FITS} select usage, ordinal, fits as ok, case when fits then {AFTER.format('new')} else {AFTER.format('b')} end as content from f")
 def diff_apply(d: Domain) -> DataFrame:
     return candidates(d).withColumn("r", diffs.apply_diff("original", "diff")).select("usage", "ordinal", "r.ok", "r.content")
 
 
-@query(sql="select * from (values (1, 0, 2, 'a\nB\nc\n'), (2, 1, 2, 'p\nq\nx\nw\n'), (3, 0, 1, 'm\r\nn\r\no\r\n')) as t(usage, ordinal, changed, content)")
+@query(sql=f"with {FITS} select usage, ordinal, changed, content from (select usage, ordinal, changed, {AFTER.format('new')} as content, row_number() over (partition by usage order by changed, ordinal) as rn from f where fits and k % 5 > 0) where rn = 1")
 def best_of_n(d: Domain) -> DataFrame:
     return diffs.best_of(candidates(d), ["usage"])
 
 
-@query(sql="select * from (values (1, 0, true, true), (1, 1, true, true), (2, 0, true, false), (2, 1, true, true), (3, 0, true, true), (4, 0, false, false)) as t(usage, ordinal, applies, scope)")
+@query(sql=f"with {FITS} select usage, ordinal, not (ordinal = 2 and k % 7 = 0) as applies, k % 5 > 0 and fits as scope from f")
 def patch_structure(d: Domain) -> DataFrame:
     return candidates(d).withColumn("s", diffs.structure("diff", "snippet")).select("usage", "ordinal", "s.applies", "s.scope")
 
