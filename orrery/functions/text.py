@@ -191,15 +191,39 @@ def uuid_or_null(text) -> Column:
     return F.when(plain.rlike("^[0-9a-f]{32}$"), F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
-def environment(names, package_json) -> Column:
-    """Package manager by root file names: pnpm, yarn, npm, python, else node."""
-    has = lambda n: F.array_contains(names, n)
-    manager = F.when(has("pnpm-lock.yaml"), "pnpm").when(has("yarn.lock"), "yarn").when(has("package.json"), "npm").when(has("pyproject.toml") | has("requirements.txt"), "pip").otherwise("npm")
-    return F.struct(
-        F.when(manager == "pip", "python").otherwise("node").alias("runtime"), manager.alias("manager"),
-        F.get_json_object(package_json, "$.scripts.test").isNotNull().alias("has_test"),
-        (F.get_json_object(package_json, "$.scripts.typecheck").isNotNull() | has("tsconfig.json")).alias("has_typecheck"),
-    )
+# Commands of the package managers, by manager: install, test, own type check, bare type check.
+COMMANDS = {
+    "pnpm": ("pnpm install --frozen-lockfile", "pnpm test", "pnpm run typecheck", "pnpm exec tsc --noEmit"),
+    "yarn": ("yarn install --frozen-lockfile", "yarn test", "yarn typecheck", "yarn tsc --noEmit"),
+    "npm": ("npm ci", "npm test", "npm run typecheck", "npx tsc --noEmit"),
+}
+NO_SCRIPTS = " --ignore-scripts"
+NOT_INSTALLED = "echo 'Dependency installation skipped: allow_install_scripts is false (requires opt-in)'"
+
+
+def environment(names: Column, package_json: Column, scripts_allowed: Column) -> Column:
+    """How a repository is installed and checked, from its root file names and its package.json.
+
+    A package.json that can be read decides, by lock file; else, if there is
+    none, Python's files do; else it is taken for a npm project with all checks.
+    """
+    has = lambda *n: F.arrays_overlap(names, F.array(*map(F.lit, n)))
+    named = ("ecosystem", "package_manager", "install_cmd", "test_cmd", "typecheck_cmd", "has_test", "has_typecheck")
+    row = lambda *cells: F.struct(*((F.lit(c) if isinstance(c, (str, bool)) else c).alias(n) for n, c in zip(named, cells, strict=True)))
+    test, own_types = F.get_json_object(package_json, "$.scripts.test"), F.get_json_object(package_json, "$.scripts.typecheck")
+    install = lambda base: F.when(scripts_allowed, base).otherwise(base + NO_SCRIPTS)
+    typed = has("tsconfig.json", "tsconfig.base.json")
+
+    def node(manager: str) -> Column:
+        base, run, own, bare = COMMANDS[manager]
+        tested = F.coalesce((test != "") & ~F.contains(test, F.lit("no test specified")), test.isNotNull())
+        return row("node", manager, install(base), F.when(test.isNotNull(), run).otherwise("npm test"), F.when(~typed, "").when(own_types.isNotNull(), own).otherwise(bare), tested, typed)
+
+    pip = F.when(~scripts_allowed, NOT_INSTALLED).when(has("requirements.txt"), "pip install -r requirements.txt").otherwise("pip install -e .")
+    python = row("python", "pip", pip, "pytest", F.when(has("mypy.ini"), "mypy .").otherwise(""), True, has("mypy.ini"))
+    default = row("node", "npm", install(COMMANDS["npm"][0]), COMMANDS["npm"][1], COMMANDS["npm"][3], True, True)
+    readable = has("package.json") & F.get_json_object(package_json, "$").isNotNull()
+    return F.when(readable & has("pnpm-lock.yaml"), node("pnpm")).when(readable & has("yarn.lock"), node("yarn")).when(readable, node("npm")).when(~has("package.json") & has("pyproject.toml", "requirements.txt"), python).otherwise(default)
 
 
 @F.pandas_udf(T.BooleanType())

@@ -190,10 +190,10 @@ def bounded_lists(d: Domain) -> DataFrame:
     return graph.bounded_lists(d.atlas_nodes, d.atlas_edges)
 
 
-@query("repos", "select 'own' as kind, id::varchar as id, full_name as name from repos union all select * from (values ('benchmark', 'bench-1', 'web-app'), ('benchmark', 'bench-2', 'data-pipeline'), ('benchmark', 'bench-3', 'gateway'), ('benchmark', 'bench-4', 'toolkit')) as t(kind, id, name)")
+@query("repos", "select 'own' as kind, id::varchar as id, full_name as name from repos union all select * from (values ('benchmark', 'next-js', 'vercel/next.js'), ('benchmark', 'openai-python', 'openai/openai-python'), ('benchmark', 'stripe-node', 'stripe/stripe-node'), ('benchmark', 'fastapi', 'fastapi/fastapi')) as t(kind, id, name)")
 def all_repositories(d: Domain) -> DataFrame:
     own = d.repos.select(F.lit("own").alias("kind"), F.col("id").cast("string").alias("id"), F.col("full_name").alias("name"))
-    return own.unionByName(readers.benchmark_repos(d.spark).select(F.lit("benchmark").alias("kind"), "id", "name"))
+    return own.unionByName(readers.benchmark_repos(d.spark).select(F.lit("benchmark").alias("kind"), "id", F.col("full_name").alias("name")))
 
 
 @query("patches code_usages detected_changes", f"select p.id, case when {RISK} then 'risk' else 'plain' end as shown from patches p join code_usages u on u.id = p.code_usage_id join detected_changes c on c.id = u.detected_change_id")
@@ -282,3 +282,37 @@ def grounded_advice(d: Domain) -> DataFrame:
     found = findings(d).groupBy("repo_id").agg(F.collect_list(F.struct("title", "why", "what", "link")).alias("findings"), F.collect_list("what").alias("advice"))
     invented = F.when(F.col("repo_id") % 2 == 0, F.array(F.lit("Break the import cycle in src/invented.ts"))).otherwise(F.array().cast("array<string>"))
     return lookup.grounded(found.select(F.col("repo_id").alias("id"), F.concat("advice", invented).alias("advice"), "findings", F.array().cast("array<string>").alias("packages")))
+
+
+@query(sql="""select p_partkey as id, t.* from part join (values
+    (0, 'node', 'pnpm', 'pnpm install --frozen-lockfile --ignore-scripts', 'pnpm test', 'pnpm run typecheck', true, true), (1, 'node', 'yarn', 'yarn install --frozen-lockfile --ignore-scripts', 'npm test', '', false, false),
+    (2, 'node', 'npm', 'npm ci', 'npm test', 'npx tsc --noEmit', false, true), (3, 'python', 'pip', 'echo ' || chr(39) || 'Dependency installation skipped: allow_install_scripts is false (requires opt-in)' || chr(39), 'pytest', 'mypy .', true, true),
+    (4, 'python', 'pip', 'pip install -r requirements.txt', 'pytest', '', true, false), (5, 'node', 'npm', 'npm ci --ignore-scripts', 'npm test', 'npx tsc --noEmit', true, true))
+    as t(kind, ecosystem, package_manager, install_cmd, test_cmd, typecheck_cmd, has_test, has_typecheck) on t.kind = p_partkey % 6""")
+def environments(d: Domain) -> DataFrame:
+    names = "case p_partkey % 6 when 0 then array('package.json', 'pnpm-lock.yaml', 'yarn.lock', 'tsconfig.base.json') when 1 then array('yarn.lock', 'package.json') when 2 then array('package.json', 'tsconfig.json', 'pyproject.toml') when 3 then array('pyproject.toml', 'mypy.ini') when 4 then array('requirements.txt') else array('README') end"
+    package = """case p_partkey % 6 when 0 then '{"scripts":{"test":"vitest","typecheck":"tsc"}}' when 1 then '{}' when 2 then '{"scripts":{"test":"echo no test specified"}}' end"""
+    rows = _part(d, kind="cast(p_partkey % 6 as int)", names=names, package=package, allowed="p_partkey % 6 in (2, 4)")
+    return rows.select("id", "kind", text.environment(F.col("names"), F.col("package"), F.col("allowed")).alias("e")).select("id", "kind", "e.*")
+
+
+@query(sql="select p_partkey as id, case p_partkey % 2 when 0 then 'Go,C,' || p_brand else 'Rust' end as languages from part")
+def main_languages(d: Domain) -> DataFrame:
+    return _part(d, answer="""if(p_partkey % 2 = 0, concat('{"Go":9,"C":8,"', p_brand, '":7,"D":1}'), '{"Rust":1}')""").select("id", F.array_join(readers.languages("answer"), ",").alias("languages"))
+
+
+@query("repos", "select id, case when id % 2 = 0 then 'new ' || full_name else full_name end as full_name, id % 2 = 0 as is_active from repos union all select 1000000 + id, 'added', true from repos where id < 5")
+def repo_sync(d: Domain) -> DataFrame:
+    snapshot = d.repos.where("id % 2 = 0").select("id", F.concat(F.lit("new "), "full_name").alias("full_name")).union(d.repos.where("id < 5").select(F.col("id") + 1000000, F.lit("added")))
+    return sinks.synced(d.repos.select("id", "full_name", "is_active"), snapshot)
+
+
+@query(sql="select event_id from events where json_extract_string(props, '$.k') = '3'")
+def json_equality(d: Domain) -> DataFrame:
+    return d.table("events").where(F.get_json_object("props", "$.k") == "3").select("event_id")
+
+
+@query("repos", "select id, coalesce(full_name, 'unknown') as full_name, is_active from repos where id = 7 union all select 7, 'unknown', false where not exists (select 1 from repos where id = 7)")
+def repo_by_id(d: Domain) -> DataFrame:
+    """A lookup by id, name or short name, with a made-up row where none fits."""
+    return lookup.repo_lookup(d.repos, "7").select(F.col("id").cast("long").alias("id"), "full_name", "is_active")

@@ -15,7 +15,13 @@ SCANNED = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py")
 SCANNED_BYTES = 500_000
 SNAPSHOT_BYTES = 150 << 20
 
-BENCHMARKS = (("bench-1", "web-app", "npm"), ("bench-2", "data-pipeline", "pypi"), ("bench-3", "gateway", "npm"), ("bench-4", "toolkit", "pypi"))
+# The public repositories that everybody sees.
+BENCHMARKS = (
+    ("next-js", "vercel/next.js", "canary", ["Rust", "TypeScript", "JavaScript"], 1420, ["react", "react-dom", "turbopack", "swc"]),
+    ("openai-python", "openai/openai-python", "main", ["Python", "Pydantic", "Httpx"], 684, ["httpx", "pydantic", "typing-extensions"]),
+    ("stripe-node", "stripe/stripe-node", "master", ["TypeScript", "JavaScript"], 312, ["node-fetch", "qs"]),
+    ("fastapi", "fastapi/fastapi", "master", ["Python", "Starlette", "Pydantic"], 915, ["starlette", "pydantic", "uvicorn"]),
+)
 
 
 def _text(json, path: str) -> Column:
@@ -101,4 +107,9 @@ def last_commits(changes: DataFrame) -> DataFrame:
 
 
 def benchmark_repos(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BENCHMARKS, "id string, name string, ecosystem string")
+    return spark.createDataFrame(BENCHMARKS, "id string, full_name string, default_branch string, languages array<string>, patch_count int, dependencies array<string>")
+
+
+def languages(answer: str) -> Column:
+    """The three languages of most code, from an answer that lists them in this order."""
+    return F.slice(F.map_keys(F.from_json(answer, "map<string,long>")), 1, 3)

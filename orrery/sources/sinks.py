@@ -59,6 +59,15 @@ def snapshot_diff(current: DataFrame, snapshot: DataFrame, key: str = "id") -> D
     return current.select(key).join(here, key, "full_outer").select(key, F.coalesce("_here", F.lit(False)).alias("is_active"))
 
 
+def synced(current: DataFrame, snapshot: DataFrame, key: str = "id") -> DataFrame:
+    """``current`` after a snapshot: its rows overwrite or join, rows that it lacks stay but are not active."""
+    columns = [c for c in snapshot.columns if c != key]
+    fresh = snapshot.select(key, F.lit(True).alias("_here"), *(F.col(c).alias(f"_new_{c}") for c in columns))
+    rows = current.drop("is_active").join(fresh, key, "full_outer")
+    here = F.coalesce("_here", F.lit(False))
+    return rows.select(key, *(F.when(here, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns), here.alias("is_active"))
+
+
 def partial_update(current: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
     """Only the patch's non-null cells overwrite."""
     columns = [c for c in patch.columns if c != key]

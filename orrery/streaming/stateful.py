@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIMIT, WINDOW_SECONDS, FANOUT = 120, 60.0, 200
@@ -77,13 +77,21 @@ def folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callab
 
 
 def rate_limited(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS) -> DataFrame:
-    """``hits``: id, client, ts (seconds).  (id, client, accepted, retry_after)."""
+    """``hits``: id, client, ts (seconds).  (id, client, accepted, retry_after).
+
+    After a pause of a whole window nothing is remembered, so a client's hits
+    are cut there into runs that different tasks fold.
+    """
 
     def step(state, row):
         return row.id, row.client, *state.hit(float(row.ts))
 
     kind = hits.schema["client"].dataType.simpleString()
-    return folded(hits.select("id", "client", "ts"), "client", ["ts", "id"], f"id long, client {kind}, accepted boolean, retry_after long", lambda: Limiter(limit, window), step)
+    order = Window.partitionBy("client").orderBy("ts", "id")
+    rested = F.coalesce(F.col("ts") - F.lag("ts").over(order) >= window, F.lit(False))
+    runs = hits.select("id", "client", "ts", rested.cast("int").alias("rested"))
+    runs = runs.select("id", "client", "ts", F.concat_ws("\x1f", F.col("client").cast("string"), F.sum("rested").over(order).cast("string")).alias("run"))
+    return folded(runs, "run", ["ts", "id"], f"id long, client {kind}, accepted boolean, retry_after long", lambda: Limiter(limit, window), step)
 
 
 def reduced_incidents(events: DataFrame) -> DataFrame:
@@ -98,8 +106,6 @@ def reduced_incidents(events: DataFrame) -> DataFrame:
 
 def fanned_out(events: DataFrame, key: str = "repo_id", n: int = FANOUT) -> DataFrame:
     """What a subscriber's bounded queue holds: each key's newest ``n`` events."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc("id")))
     return events.withColumn("place", place).where(F.col("place") <= n).drop("place")
 
