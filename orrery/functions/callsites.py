@@ -167,7 +167,8 @@ def _close(text: str, at: int) -> int:
     return len(text)
 
 
-def scanned_calls(source: str, language: str, symbol: str, packages: tuple[str, ...]) -> list[tuple[int, int]]:
+def scanned_calls(source: str, language: str, symbol: str, packages: tuple[str, ...], capitals: bool = False) -> list[tuple[int, int]]:
+    """``capitals``: in C#, a receiver that begins with a capital is taken for a class of the package if the file uses the package."""
     text = blanked(source, language == "ruby")
     direct, spaces, foreign = bindings(source, text, language, symbol, packages)
     own = [(m.end(), _close(text, text.find("{", m.end()))) for m in re.finditer(rf"\b(?:function|func|fn|def)\s+{re.escape(symbol)}\b", text) if text.find("{", m.end()) >= 0]
@@ -179,7 +180,8 @@ def scanned_calls(source: str, language: str, symbol: str, packages: tuple[str,
             continue
         if chain:
             base = re.match(NAME, chain)[0]
-            ok = name == symbol and base in spaces and base not in foreign or (base in direct and name == symbol)
+            held = base in spaces or (capitals and language == "c_sharp" and bool(spaces) and base[0].isupper())
+            ok = name == symbol and held and base not in foreign or (base in direct and name == symbol)
         else:
             ok = name in direct and name not in foreign and not local and not any(a <= m.start() < b for a, b in own)
         if ok:
@@ -188,13 +190,13 @@ def scanned_calls(source: str, language: str, symbol: str, packages: tuple[str,
     return [(to_bytes(a), to_bytes(b)) for a, b in found]
 
 
-def find_calls(path: str, source: str, symbol: str, package: str | None = None, import_names: tuple[str, ...] = ()) -> list[dict]:
+def find_calls(path: str, source: str, symbol: str, package: str | None = None, import_names: tuple[str, ...] = (), capitals: bool = False) -> list[dict]:
     """Call sites with 1-based lines, byte range and snippet, each range once."""
     dot = path.rfind(".")
     language = LANGUAGES.get(path[dot:].lower()) if dot >= 0 else None
     packages = tuple(dict.fromkeys(x for x in (package, *import_names) if x))
     name = bare_symbol(symbol, package)
-    spans = python_calls(source, name, packages) if language == "python" else scanned_calls(source, language, name.split(".")[-1], packages) if language in ("typescript", "tsx", "javascript", "go", "rust", "java", "ruby", "c_sharp") else []
+    spans = python_calls(source, name, packages) if language == "python" else scanned_calls(source, language, name.split(".")[-1], packages, capitals) if language in ("typescript", "tsx", "javascript", "go", "rust", "java", "ruby", "c_sharp") else []
     data = source.encode()
     return [{"line_start": data[:a].count(b"\n") + 1, "line_end": data[:b].count(b"\n") + 1, "start_byte": a, "end_byte": b, "snippet": data[a:b].decode("utf-8", "replace")} for a, b in sorted(set(spans))]
 

@@ -60,6 +60,25 @@ def neighbors(edges: DataFrame) -> DataFrame:
     return ends.groupBy("repo_id", "e.path").agg(joined("e.t").alias("imports"), joined("e.s").alias("imported_by"))
 
 
+def neighbors_of(asked: DataFrame, edges: DataFrame, states: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sorted neighbours of the paths asked for (repo_id, path; slashes of either kind).
+
+    Repositories without a state (repo_id) fall back, for paths without any
+    edge, on the edges in their latest ready document (repo_id, id, status,
+    created_at, edges: array of source and target).
+    """
+    norm = asked.select("repo_id", F.regexp_replace(F.translate(F.col("path"), "\\", "/"), "^/+", "").alias("path")).distinct()
+    ends = lambda e: neighbors(e.join(norm.select("repo_id").distinct(), "repo_id", "left_semi"))
+    rows = norm.join(ends(edges), ["repo_id", "path"], "left")
+    stated = states.select("repo_id").distinct().withColumn("stated", F.lit(True))
+    last = documents.where("status = 'ready'").join(stated, "repo_id", "left_anti").groupBy("repo_id").agg(F.max_by("edges", F.struct("created_at", "id")).alias("edges"))
+    kept = last.select("repo_id", F.explode("edges").alias("e")).where("e.source is not null and e.source <> '' and e.target is not null and e.target <> ''")
+    old = ends(kept.select("repo_id", F.col("e.source").alias("source_path"), F.col("e.target").alias("target_path"))).select("repo_id", "path", F.col("imports").alias("old_imports"), F.col("imported_by").alias("old_imported_by"))
+    rows = rows.join(old, ["repo_id", "path"], "left")
+    pick = lambda c: F.coalesce(F.when(F.col("imports").isNull() & F.col("imported_by").isNull(), F.col(f"old_{c}")).otherwise(F.col(c)), F.lit(""))
+    return rows.select("repo_id", "path", pick("imports").alias("imports"), pick("imported_by").alias("imported_by"))
+
+
 def folder_closure(nodes: DataFrame) -> DataFrame:
     """Every ancestor folder with its parent (null for the root, '') and depth."""
     parts = F.split("path", "/")

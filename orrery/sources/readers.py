@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
+from pathlib import PurePosixPath
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import iso_time
@@ -69,6 +75,48 @@ def tree(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
     return files.where(F.col("length") <= SNAPSHOT_BYTES).select(F.lit(repo_id).alias("repo_id"), F.regexp_replace("path", f"^.*?{root}/", "").alias("path"), "content")
 
 
+def unpacked(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """Regular files of a gzipped tar archive, without the one folder that holds all of them; names that leave the archive are skipped."""
+
+    def parts(member: tarfile.TarInfo) -> tuple[str, ...]:
+        return tuple(p for p in PurePosixPath(member.name).parts if p != ".")
+
+    def safe(member: tarfile.TarInfo) -> bool:
+        return not member.name.startswith("/") and ".." not in parts(member) and bool(parts(member))
+
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as archive:
+        members = [m for m in archive.getmembers() if safe(m) and (m.isfile() or m.isdir())]
+        wrapped = len({parts(m)[0] for m in members}) == 1 and all(m.isdir() or len(parts(m)) > 1 for m in members)
+        for m in members:
+            if m.isfile():
+                yield "/".join(parts(m)[wrapped:]), archive.extractfile(m).read()
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """Files of the archives (.tar.gz) below a path: (archive, path, content, _error).  Those over 150 MB or unreadable give one row with an error."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar.gz").load(path)
+    named = listed.withColumn("archive", F.regexp_extract("path", r"([^/]*)\.tar\.gz$", 1))
+    large = named.where(F.col("length") > SNAPSHOT_BYTES).select("archive", F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"), F.lit("too large").alias("_error"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["archive", "path", "content", "_error"]
+        for f in frames:
+            for name, content in zip(f.archive, f.content, strict=True):
+                try:
+                    for file, data in unpacked(content):  # file by file, so one archive is never held twice
+                        yield pd.DataFrame([(name, file, data, None)], columns=columns)
+                except (tarfile.TarError, EOFError, OSError) as broken:
+                    yield pd.DataFrame([(name, None, None, f"unreadable: {broken}")], columns=columns)
+
+    small = named.where(F.col("length") <= SNAPSHOT_BYTES).select("archive", "content")
+    return small.mapInPandas(run, "archive string, path string, content binary, _error string").union(large)
+
+
+def timeline(events: DataFrame, start: Column) -> DataFrame:
+    """A prepared run of events (offset_ms, ...) placed in time: ``at`` instead of the offset."""
+    return events.withColumn("at", F.timestamp_add("MILLISECOND", F.col("offset_ms"), start)).drop("offset_ms")
+
+
 def repair_scope(blobs: DataFrame) -> DataFrame:
     """Files of a repair scan: blobs with a scanned suffix (case counts), at most 500,000 bytes."""
     return blobs.where((F.col("type") == "blob") & F.regexp_extract("path", r"(\.[^./]+)$", 1).isin(*SCANNED) & (F.coalesce("size", F.lit(0)) <= SCANNED_BYTES))

@@ -86,6 +86,15 @@ def cascade(children: DataFrame, parents: DataFrame, foreign: str, key: str = "i
     return children.join(parents.select(F.col(key).alias(foreign)), foreign, "left_semi")
 
 
+def cascaded(tables: dict[str, DataFrame], links: list[tuple[str, str, str]]) -> dict[str, DataFrame]:
+    """All tables after a deletion: ``links`` (child, foreign key, parent) in order, parents first; rows without a foreign key stay."""
+    left = dict(tables)
+    for child, foreign, parent in links:
+        rows = left[child]
+        left[child] = cascade(rows.where(F.col(foreign).isNotNull()), left[parent], foreign).select(*rows.columns).unionByName(rows.where(F.col(foreign).isNull()))
+    return left
+
+
 def violations(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
     """Values outside their enumerations and keys that occur more than once: (rule, value, rows)."""
     out = None

@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIMIT, WINDOW_SECONDS, FANOUT = 120, 60.0, 200
@@ -110,9 +110,59 @@ def fanned_out(events: DataFrame, key: str = "repo_id", n: int = FANOUT) -> Data
     return events.withColumn("place", place).where(F.col("place") <= n).drop("place")
 
 
+def queues(events: DataFrame, subscribers: DataFrame, n: int = FANOUT) -> DataFrame:
+    """What waits for each subscriber that has taken nothing yet: (subscriber, id), the newest ``n`` events of its repository, or of all.
+
+    ``events``: id, repo_id, created_at.  ``subscribers``: subscriber, repo_id
+    (null for all).  Subscribers of one scope share one computation.
+    """
+    scopes = subscribers.select("repo_id").where("repo_id is not null").distinct()
+    own = fanned_out(events.select("id", "repo_id", "created_at").join(scopes, "repo_id", "left_semi"), n=n)
+    every = events.orderBy(F.desc("created_at"), F.desc("id")).limit(n).select("id")
+    scoped = subscribers.where("repo_id is not null").join(own, "repo_id").select("subscriber", "id")
+    # At most n events meet the subscribers without a scope.
+    unscoped = subscribers.where("repo_id is null").select("subscriber").join(every.agg(F.collect_list("id").alias("ids"))).select("subscriber", F.explode("ids").alias("id"))
+    return scoped.union(unscoped)
+
+
+def exempt(method: str, path: str) -> Column:
+    """Requests that the limiter does not see: pre-flight ones, health checks and webhooks."""
+    return F.coalesce((F.col(method) == "OPTIONS") | F.col(path).isin("/health", "/health/", "/api/health", "/api/health/") | F.col(path).startswith("/webhooks"), F.lit(False))
+
+
+def client_of(forwarded: str, address: str, trust_proxy: bool) -> Column:
+    """Whom a request counts for: the first hop behind a trusted proxy, else the peer, else ``unknown``."""
+    hops = F.filter(F.transform(F.split(forwarded, ","), lambda h: F.trim(h)), lambda h: h != "")
+    peer = F.coalesce(F.nullif(F.col(address), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.get(hops, F.lit(0)), peer) if trust_proxy else peer
+
+
 # Streams
 
 
+def queue_stream(stream: DataFrame, n: int = FANOUT) -> DataFrame:
+    """Bounded queues over a stream of (id, repo_id): (scope, ids, dropped) after each batch, for the update mode.
+
+    A scope is a repository, or null for all of them; an event goes into both.
+    When a queue is full its oldest event goes.  Subscribers read the queue of
+    their scope.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, dropped = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        waiting = deque(ids, maxlen=n)
+        for f in frames:
+            fresh = f.id.tolist()
+            dropped += max(0, len(waiting) + len(fresh) - n)
+            waiting.extend(fresh)
+        state.update((list(waiting), dropped))
+        scope = None if pd.isna(key[0]) else key[0]
+        yield pd.DataFrame({"scope": pd.Series([scope], dtype="object"), "ids": [list(waiting)], "dropped": [dropped]})
+
+    rows = stream.select("id", F.explode(F.array(F.col("repo_id").cast("string"), F.lit(None).cast("string"))).alias("scope"))
+    return rows.groupBy("scope").applyInPandasWithState(step, "scope string, ids array<long>, dropped long", "ids array<long>, dropped long", "update", GroupStateTimeout.NoTimeout)
+
+
 def event_time(df: DataFrame, column: str, delay: str = "10 minutes") -> DataFrame:
     """Casts to a zoned timestamp (which watermarks need) and sets the watermark."""
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
