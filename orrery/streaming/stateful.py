@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import scheduling
+
 LIMIT, WINDOW_SECONDS, FANOUT = 120, 60.0, 200
 
 
@@ -174,6 +176,12 @@ def pushes(stream: DataFrame) -> DataFrame:
     return kept.dropDuplicatesWithinWatermark(["repo_id", "after"])
 
 
+def push_jobs(stream: DataFrame, state: DataFrame, in_flight: DataFrame, now: Column) -> DataFrame:
+    """Jobs that a stream of pushes asks for, with their mode; none for a commit that is queued or running already (in_flight: repo_id, after, status)."""
+    plan = scheduling.push_plan(pushes(stream), state, now).where(F.col("mode").isin("full", "incremental"))
+    return scheduling.debounced(plan, in_flight, ["repo_id", "after"])
+
+
 def current_states(stream: DataFrame) -> DataFrame:
     """Last event of each repository; for the update or complete mode."""
     return stream.groupBy("repo_id").agg(F.max_by("event_type", F.struct("created_at", "id")).alias("event_type"), F.max("created_at").alias("at"))

@@ -103,3 +103,17 @@ def test_queue_stream(spark, tmp_path):
     assert query.awaitTermination(120)
     got = {r.scope: (sorted(r.ids), r.dropped) for r in spark.table("queues").collect()}
     assert got == {None: ([8, 9, 10, 11], 8), "0": ([4, 6, 8, 10], 2), "1": ([5, 7, 9, 11], 2)}
+
+
+def test_push_jobs(spark, tmp_path):
+    pushed = "repo_id long, ref string, default_branch string, before string, after string, truncated boolean, commits array<struct<added:array<string>,modified:array<string>,removed:array<string>>>, at timestamp"
+    one = [(["a"], [], [])]
+    rows = [(1, "refs/heads/main", "c1", False), (1, "refs/heads/main", "c1", False), (1, "refs/heads/dev", "c2", False), (2, "refs/heads/main", "c3", True), (3, "refs/heads/main", "c4", False), (4, "refs/heads/main", "000", False)]
+    df = spark.createDataFrame([(r, ref, "main", "b", after, cut, one, None) for r, ref, after, cut in rows], pushed).withColumn("at", F.lit("2024-01-15").cast("timestamp"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    state = spark.createDataFrame([(r, "c0", 10) for r in (1, 2, 3)], "repo_id long, head_sha string, node_count int").withColumn("last_full_scan_at", F.lit("2024-01-14").cast("timestamp"))
+    jobs = spark.createDataFrame([(3, "c4", "running"), (1, "c1", "done")], "repo_id long, after string, status string")
+    stream = stateful.event_time(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "at")
+    query = stateful.push_jobs(stream, state, jobs, F.lit("2024-01-15").cast("timestamp")).select("repo_id", "after", "mode").writeStream.format("memory").queryName("push_jobs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("push_jobs").collect())) == [(1, "c1", "incremental"), (2, "c3", "full")]
