@@ -114,8 +114,20 @@ def gate(tests: str, types: str, requires_tests: str, requires_types: str, workf
     return F.when(missing(requires_tests, tests) | missing(requires_types, types) | ~true(workflow_ok), "failed").otherwise("verified")
 
 
-def strict_gate(applies: str, parses: str, scope: str, tests: str, types: str, needs_tests: str, needs_types: str, workflow_ok: str):
-    """Whether a patch made in line is verified: structure and workflow must be true, tests and types true where needed and else not false."""
+def strict_gate(applies: str, parses: str, scope: str, tests: str, types: str, needs_tests: str, needs_types: str, has_tests: str, has_types: str, completed: str, workflow_ok: str):
+    """Whether a patch made in line is verified.
+
+    The workflow must have been found and completed with success and the
+    structure be true.  Tests and types must be true where the policy needs them
+    or the repository's environment has them, and else not be false.
+    """
     true = lambda c: F.coalesce(F.col(c), F.lit(False))
-    fits = lambda need, c: F.when(true(need), true(c)).otherwise(F.coalesce(F.col(c), F.lit(True)))
-    return true(workflow_ok) & true(applies) & true(parses) & true(scope) & fits(needs_tests, tests) & fits(needs_types, types)
+    fits = lambda need, has, c: F.when(true(need) | true(has), true(c)).otherwise(F.coalesce(F.col(c), F.lit(True)))
+    return true(completed) & true(workflow_ok) & true(applies) & true(parses) & true(scope) & fits(needs_tests, has_tests, tests) & fits(needs_types, has_types, types)
+
+
+def strict_results(tests: str, types: str, completed: str):
+    """(tests_pass, typechecks, verification_mode) to record: both false where the workflow did not complete."""
+    done = F.coalesce(F.col(completed), F.lit(False))
+    kept = lambda c: F.when(done, F.col(c)).otherwise(False)
+    return F.struct(kept(tests).alias("tests_pass"), kept(types).alias("typechecks"), F.when(done, "github_actions").otherwise("github_actions_unresponsive").alias("verification_mode"))

@@ -111,14 +111,14 @@ def fenced_json(text) -> Column:
 
 def extracted_changes(text) -> Column:
     """A provider's list of changes with defaults; null unless it is a JSON list."""
-    schema = "array<struct<symbol:string,symbol_new:string,change_type:string,description:string,confidence:double>>"
+    schema = "array<struct<symbol_old:string,symbol_new:string,change_type:string,description:string,confidence:string>>"
     body = fenced_json(text)
     parsed = F.when(body.startswith("["), F.from_json(body, schema))
     return F.transform(
         parsed,
         lambda c: F.struct(
-            c["symbol"].alias("symbol"), c["symbol_new"].alias("symbol_new"), F.coalesce(c["change_type"], F.lit("signature_change")).alias("change_type"),
-            F.coalesce(c["description"], F.lit("")).alias("description"), F.coalesce(c["confidence"], F.lit(0.8)).alias("confidence"),
+            F.coalesce(c["symbol_old"], F.lit("")).alias("symbol_old"), c["symbol_new"].alias("symbol_new"), F.coalesce(c["change_type"], F.lit("signature_change")).alias("change_type"),
+            F.coalesce(c["description"], F.lit("")).alias("description"), F.coalesce(c["confidence"].try_cast("double"), F.lit(0.8)).alias("confidence"),
         ),
     )
 
@@ -216,7 +216,7 @@ def environment(names: Column, package_json: Column, scripts_allowed: Column) ->
 
     def node(manager: str) -> Column:
         base, run, own, bare = COMMANDS[manager]
-        tested = F.coalesce((test != "") & ~F.contains(test, F.lit("no test specified")), test.isNotNull())
+        tested = F.coalesce(~F.contains(test, F.lit("no test specified")), F.lit(False))  # an empty script is one, too
         return row("node", manager, install(base), F.when(test.isNotNull(), run).otherwise("npm test"), F.when(~typed, "").when(own_types.isNotNull(), own).otherwise(bare), tested, typed)
 
     pip = F.when(~scripts_allowed, NOT_INSTALLED).when(has("requirements.txt"), "pip install -r requirements.txt").otherwise("pip install -e .")

@@ -133,14 +133,15 @@ def package_names(d: Domain) -> DataFrame:
     return rows.select("id", F.array_join(F.array_sort(text.import_names("name"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).otherwise(1)), ",").alias("names"), text.registry_name("wanted").alias("registry"))
 
 
-ANSWERS = """case p_partkey % 4 when 0 then concat('```json\\n[{"symbol":"', p_brand, '","confidence":0.5},{"symbol":"b","change_type":"removed"}]\\n```') when 1 then '[]' when 2 then '{"classification":"transient"}' else '```\\n{"classification":"odd"}\\n```' end"""
+ANSWERS = """case p_partkey % 4 when 0 then concat('```json\\n[{"symbol_old":"', p_brand, '","symbol":"no","confidence":0.5},{"symbol_new":"b","change_type":"removed","confidence":"0.', p_size, '"}]\\n```') when 1 then '[]' when 2 then '{"classification":"transient"}' else '```\\n{"classification":"odd"}\\n```' end"""
 
 
-@query(sql="""select p_partkey as id, case p_partkey % 4 when 0 then 2 when 1 then 0 end as changes, case p_partkey % 4 when 0 then p_brand || ' signature_change 0.5' end as first_change, case p_partkey % 4 when 2 then 'transient' else 'unknown' end as failure from part""")
+@query(sql="""select p_partkey as id, case p_partkey % 4 when 0 then 2 when 1 then 0 end as changes, case p_partkey % 4 when 0 then p_brand || ' signature_change 0.5' end as first_change, case p_partkey % 4 when 0 then ':b:removed:' || ('0.' || p_size)::double end as second_change, case p_partkey % 4 when 2 then 'transient' else 'unknown' end as failure from part""")
 def provider_answers(d: Domain) -> DataFrame:
     rows = _part(d, answer=ANSWERS).withColumn("c", text.extracted_changes("answer"))
-    first = F.get("c", F.lit(0))
-    return rows.select("id", F.when(F.col("c").isNotNull(), F.size("c")).alias("changes"), F.when(first.isNotNull(), F.concat_ws(" ", first["symbol"], first["change_type"], first["confidence"].cast("string"))).alias("first_change"), text.failure_class("answer").alias("failure"))
+    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    later = F.when(second.isNotNull(), F.concat_ws(":", second["symbol_old"], second["symbol_new"], second["change_type"], second["confidence"].cast("string")))
+    return rows.select("id", F.when(F.col("c").isNotNull(), F.size("c")).alias("changes"), F.when(first.isNotNull(), F.concat_ws(" ", first["symbol_old"], first["change_type"], first["confidence"].cast("string"))).alias("first_change"), later.alias("second_change"), text.failure_class("answer").alias("failure"))
 
 
 @query(sql="""select p_partkey as id, case p_partkey % 4 when 0 then '--- a' || chr(10) || '+++ ' || p_brand when 1 then 'UNABLE_TO_PATCH' when 2 then '@@ -1 +1 @@' || chr(10) || '+x' else 'UNABLE_TO_PATCH' end as diff,
@@ -150,22 +151,25 @@ def provider_diffs(d: Domain) -> DataFrame:
     return rows.select("id", text.extracted_diff("answer").alias("diff"), text.log_sha(F.col("log"), "base").alias("base_sha"))
 
 
-GATES = "requires_tests, requires_typecheck, score % 3 > 0 as workflow_ok from validation_runs v join patches p on p.id = v.patch_id join code_usages u on u.id = p.code_usage_id join repos q on q.id = u.repo_id join analysis_runs a on a.id = u.id"
+GATES = "requires_tests, requires_typecheck, q.id % 5 = 0 as has_test, q.id % 7 = 0 as has_typecheck, score % 3 > 0 as workflow_ok, score % 10 > 0 as completed from validation_runs v join patches p on p.id = v.patch_id join code_usages u on u.id = p.code_usage_id join repos q on q.id = u.repo_id join analysis_runs a on a.id = u.id"
 
 
 def _gated(d: Domain) -> DataFrame:
-    usage = d.code_usages.select(F.col("id").alias("code_usage_id"), "repo_id").join(d.repos.select(F.col("id").alias("repo_id"), "requires_tests", "requires_typecheck"), "repo_id")
-    usage = usage.join(d.analysis_runs.select(F.col("id").alias("code_usage_id"), (F.col("score") % 3 > 0).alias("workflow_ok")), "code_usage_id")
+    usage = d.code_usages.select(F.col("id").alias("code_usage_id"), "repo_id").join(d.repos.select(F.col("id").alias("repo_id"), "requires_tests", "requires_typecheck", (F.col("id") % 5 == 0).alias("has_test"), (F.col("id") % 7 == 0).alias("has_typecheck")), "repo_id")
+    usage = usage.join(d.analysis_runs.select(F.col("id").alias("code_usage_id"), (F.col("score") % 3 > 0).alias("workflow_ok"), (F.col("score") % 10 > 0).alias("completed")), "code_usage_id")
     return d.validation_runs.join(d.patches.select(F.col("id").alias("patch_id"), "code_usage_id"), "patch_id").join(usage, "code_usage_id")
 
 
 @query("validation_runs patches code_usages repos analysis_runs", f"""select patch_id, tie, tie2, tie3, case when (requires_tests and tests_pass is not true) or (requires_typecheck and typechecks is not true) or not workflow_ok then 'failed' else 'verified' end as gate,
-    workflow_ok and applies_cleanly is true and parses is true and scope_ok is true and case when requires_tests then tests_pass is true else tests_pass is not false end and case when requires_typecheck then typechecks is true else typechecks is not false end as strict
+    completed and workflow_ok and applies_cleanly is true and parses is true and scope_ok is true and case when requires_tests or has_test then tests_pass is true else tests_pass is not false end and case when requires_typecheck or has_typecheck then typechecks is true else typechecks is not false end as strict,
+    case when completed then tests_pass else false end as recorded_tests, case when completed then typechecks else false end as recorded_types, case when completed then 'github_actions' else 'github_actions_unresponsive' end as mode
     from (select patch_id, tie, tie2, tie3, tests_pass, typechecks, applies_cleanly, parses, scope_ok, {GATES})""")
 def patch_gates(d: Domain) -> DataFrame:
     lenient = diffs.gate("tests_pass", "typechecks", "requires_tests", "requires_typecheck", "workflow_ok")
-    strict = diffs.strict_gate("applies_cleanly", "parses", "scope_ok", "tests_pass", "typechecks", "requires_tests", "requires_typecheck", "workflow_ok")
-    return _gated(d).select("patch_id", "tie", "tie2", "tie3", lenient.alias("gate"), strict.alias("strict"))
+    strict = diffs.strict_gate("applies_cleanly", "parses", "scope_ok", "tests_pass", "typechecks", "requires_tests", "requires_typecheck", "has_test", "has_typecheck", "completed", "workflow_ok")
+    recorded = diffs.strict_results("tests_pass", "typechecks", "completed")
+    rows = _gated(d).select("patch_id", "tie", "tie2", "tie3", lenient.alias("gate"), strict.alias("strict"), recorded.alias("r"))
+    return rows.select("patch_id", "tie", "tie2", "tie3", "gate", "strict", F.col("r.tests_pass").alias("recorded_tests"), F.col("r.typechecks").alias("recorded_types"), F.col("r.verification_mode").alias("mode"))
 
 
 @query("jobs", "select id, old_version from (select *, lag(version) over (partition by package_id order by locked_at nulls first, id) as old_version from jobs) where old_version is not null")
@@ -287,12 +291,13 @@ def grounded_advice(d: Domain) -> DataFrame:
 @query(sql="""select p_partkey as id, t.* from part join (values
     (0, 'node', 'pnpm', 'pnpm install --frozen-lockfile --ignore-scripts', 'pnpm test', 'pnpm run typecheck', true, true), (1, 'node', 'yarn', 'yarn install --frozen-lockfile --ignore-scripts', 'npm test', '', false, false),
     (2, 'node', 'npm', 'npm ci', 'npm test', 'npx tsc --noEmit', false, true), (3, 'python', 'pip', 'echo ' || chr(39) || 'Dependency installation skipped: allow_install_scripts is false (requires opt-in)' || chr(39), 'pytest', 'mypy .', true, true),
-    (4, 'python', 'pip', 'pip install -r requirements.txt', 'pytest', '', true, false), (5, 'node', 'npm', 'npm ci --ignore-scripts', 'npm test', 'npx tsc --noEmit', true, true))
-    as t(kind, ecosystem, package_manager, install_cmd, test_cmd, typecheck_cmd, has_test, has_typecheck) on t.kind = p_partkey % 6""")
+    (4, 'python', 'pip', 'pip install -r requirements.txt', 'pytest', '', true, false), (5, 'node', 'npm', 'npm ci --ignore-scripts', 'npm test', 'npx tsc --noEmit', true, true),
+    (6, 'node', 'npm', 'npm ci --ignore-scripts', 'npm test', '', true, false))
+    as t(kind, ecosystem, package_manager, install_cmd, test_cmd, typecheck_cmd, has_test, has_typecheck) on t.kind = p_partkey % 7""")
 def environments(d: Domain) -> DataFrame:
-    names = "case p_partkey % 6 when 0 then array('package.json', 'pnpm-lock.yaml', 'yarn.lock', 'tsconfig.base.json') when 1 then array('yarn.lock', 'package.json') when 2 then array('package.json', 'tsconfig.json', 'pyproject.toml') when 3 then array('pyproject.toml', 'mypy.ini') when 4 then array('requirements.txt') else array('README') end"
-    package = """case p_partkey % 6 when 0 then '{"scripts":{"test":"vitest","typecheck":"tsc"}}' when 1 then '{}' when 2 then '{"scripts":{"test":"echo no test specified"}}' end"""
-    rows = _part(d, kind="cast(p_partkey % 6 as int)", names=names, package=package, allowed="p_partkey % 6 in (2, 4)")
+    names = "case p_partkey % 7 when 0 then array('package.json', 'pnpm-lock.yaml', 'yarn.lock', 'tsconfig.base.json') when 1 then array('yarn.lock', 'package.json') when 2 then array('package.json', 'tsconfig.json', 'pyproject.toml') when 3 then array('pyproject.toml', 'mypy.ini') when 4 then array('requirements.txt') when 5 then array('README') else array(concat('file', p_size), 'package.json') end"
+    package = """case p_partkey % 7 when 6 then concat('{"name":"', p_name, '","scripts":{"test":""}}') when 0 then '{"scripts":{"test":"vitest","typecheck":"tsc"}}' when 1 then '{}' when 2 then '{"scripts":{"test":"echo no test specified"}}' end"""
+    rows = _part(d, kind="cast(p_partkey % 7 as int)", names=names, package=package, allowed="p_partkey % 7 in (2, 4)")
     return rows.select("id", "kind", text.environment(F.col("names"), F.col("package"), F.col("allowed")).alias("e")).select("id", "kind", "e.*")
 
 

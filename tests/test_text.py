@@ -33,7 +33,8 @@ def test_small_functions(spark):
     assert value(spark, text.extracted_diff("t"), t="nothing") == value(spark, text.extracted_diff("t"), t="x UNABLE_TO_PATCH") == text.SENTINEL
     assert value(spark, text.failure_class("t"), t='```json\n{"classification": "transient"}\n```') == "transient"
     assert value(spark, text.failure_class("t"), t="{broken") == "unknown"
-    assert value(spark, text.extracted_changes("t"), t='[{"symbol": "a"}]')[0].confidence == 0.8
+    assert value(spark, text.extracted_changes("t"), t='[{"symbol_old": "a"}]')[0] == ("a", None, "signature_change", "", 0.8)
+    assert value(spark, text.extracted_changes("t"), t='[{"symbol": "a", "symbol_new": "b", "confidence": "0.25"}]')[0] == ("", "b", "signature_change", "", 0.25)
     assert value(spark, text.extracted_changes("t"), t='{"symbol": "a"}') is None
     assert value(spark, text.log_sha(F.col("t"), "base"), t="x [base_sha:abc1] y") == "abc1" and value(spark, text.log_sha(F.col("t"), "commit"), t="x") is None
     assert value(spark, text.redirect_allowed(F.col("u"), ("ok.org",)), u="https://ok.org/x") and not value(spark, text.redirect_allowed(F.col("u"), ("ok.org",)), u="//evil.org")
@@ -174,14 +175,15 @@ def test_relative_times(spark):
 def test_gates(spark):
     from itertools import product
 
-    rows = list(product((True, False, None), (True, False, None), (True, False), (True, False), (True, False, None)))
-    df = spark.createDataFrame(rows, "tests boolean, types boolean, need_tests boolean, need_types boolean, ok boolean").selectExpr("*", "true as applies", "true as parses", "true as scope")
+    rows = list(product((True, False, None), (True, False, None), (True, False), (True, False), (True, False, None), (True, False), (True, None), (True, False)))
+    df = spark.createDataFrame(rows, "tests boolean, types boolean, need_tests boolean, need_types boolean, ok boolean, has_tests boolean, has_types boolean, done boolean").selectExpr("*", "true as applies", "true as parses", "true as scope")
     lenient = diffs.gate("tests", "types", "need_tests", "need_types", "ok")
-    strict = diffs.strict_gate("applies", "parses", "scope", "tests", "types", "need_tests", "need_types", "ok")
+    strict = diffs.strict_gate("applies", "parses", "scope", "tests", "types", "need_tests", "need_types", "has_tests", "has_types", "done", "ok")
     for r in df.select("*", lenient.alias("gate"), strict.alias("strict")).collect():
         required = (r.tests is True or not r.need_tests) and (r.types is True or not r.need_types)
         assert r.gate == ("verified" if required and r.ok else "failed")
-        assert r.strict is bool(required and r.ok and r.tests is not False and r.types is not False)
+        found = (r.tests is True or not r.has_tests) and (r.types is True or not r.has_types)
+        assert r.strict is bool(required and found and r.done and r.ok and r.tests is not False and r.types is not False)
 
 
 def test_grounding(spark):
