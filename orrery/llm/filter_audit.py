@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import partitions
 
-HELD_BYTES = 32 << 20
+HELD_BYTES, PART_BYTES = 32 << 20, 64 << 20
 UPPER, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile(rb"[#$%&*|]")
 CONTINUED = bytes(range(0x80, 0xC0))
 
@@ -139,13 +139,19 @@ def fingerprint(raw: bytes) -> bytes:
     return xxhash.xxh3_128_digest(raw)
 
 
+def parts_for(docs: DataFrame) -> int:
+    """Partitions behind the shuffle: what the session sets, and more where the texts would exceed ``PART_BYTES`` in one."""
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs), -(-volume // PART_BYTES))
+
+
 def masks(docs: DataFrame, part: str = "source", filters: dict[str, Callable[[bytes], bool]] = FILTERS, held_bytes: int = HELD_BYTES, digest: Callable[[bytes], bytes] = fingerprint) -> DataFrame:
     """Id, part and mask of the filters failed, with the number of rows of which this holds.
 
     The bit after those of ``filters`` is that of the copies.  ``docs`` must give the same rows whenever it is read (a table does).
     """
     rows = docs.select("doc_id", part, "text").rdd.mapPartitionsWithIndex(routed(filters, held_bytes, digest))
-    dealt = rows.repartitionAndSortWithinPartitions(partitions(docs), lambda key: xxhash.xxh3_64_intdigest(key))
+    dealt = rows.repartitionAndSortWithinPartitions(parts_for(docs), lambda key: xxhash.xxh3_64_intdigest(key))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part string, mask int, n long"
     return docs.sparkSession.createDataFrame(dealt.mapPartitions(settled(1 << len(filters))), schema, verifySchema=False)
 
