@@ -105,20 +105,26 @@ def files(df: DataFrame, limit: int = FILE_LIMIT) -> DataFrame:
     return ranked.select("repo_id", "path", "content", dirname("path").alias("folder"), ext.alias("ext"), language_of("path").alias("language"), ext.isin(*BINARY).alias("is_binary"), F.length("content").alias("size"), "truncated")
 
 
-def extracted(nodes: DataFrame) -> DataFrame:
-    """(repo_id, path, language, spec, is_dynamic, is_internal), each specifier of a file once."""
+def parsed(nodes: DataFrame, keep: tuple[str, ...] = ("repo_id", "path", "language")) -> DataFrame:
+    """The kept columns of all ``nodes`` with ``specs``: each specifier of a file once, in order; none for files that are not parsed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for repo, path, content, language in zip(f.repo_id, f.path, f.content, f.language, strict=True):
-                found = specifiers(bytes(content or b"").decode("utf-8", "replace"), language)
-                rows += [(repo, path, language, s, d, looks_internal(s, language)) for s, d in dict.fromkeys(found)]
-            yield pd.DataFrame(rows, columns=["repo_id", "path", "language", "spec", "is_dynamic", "is_internal"])
+            specs = []
+            for content, language in zip(f["_read"], f["_language"], strict=True):
+                found = specifiers(bytes(content).decode("utf-8", "replace"), language) if content is not None else []
+                specs.append([{"spec": s, "is_dynamic": d, "is_internal": looks_internal(s, language)} for s, d in dict.fromkeys(found)])
+            yield f[list(keep)].assign(specs=specs)
+
+    reads = F.col("language").isNotNull() & ~F.col("is_binary") & (F.col("size") <= PARSED_BYTES)
+    rows = nodes.select(*keep, F.col("language").alias("_language"), F.when(reads, F.coalesce("content", F.lit(b""))).alias("_read"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInPandas(run, types + ", specs array<struct<spec:string,is_dynamic:boolean,is_internal:boolean>>")
 
-    kind = nodes.schema["repo_id"].dataType.simpleString()
-    parsed = nodes.where(F.col("language").isNotNull() & ~F.col("is_binary") & (F.col("size") <= PARSED_BYTES)).select("repo_id", "path", "content", "language")
-    return parsed.mapInPandas(run, f"repo_id {kind}, path string, language string, spec string, is_dynamic boolean, is_internal boolean")
+
+def extracted(nodes: DataFrame) -> DataFrame:
+    """(repo_id, path, language, spec, is_dynamic, is_internal), each specifier of a file once."""
+    return parsed(nodes).select("repo_id", "path", "language", F.explode("specs").alias("s")).select("repo_id", "path", "language", "s.*")
 
 
 def aliases(nodes: DataFrame) -> DataFrame:
@@ -131,7 +137,7 @@ def aliases(nodes: DataFrame) -> DataFrame:
     return joined.select("repo_id", "config_dir", F.regexp_replace("pattern", r"[/*]+$", "").alias("prefix"), normalized("_whole").alias("target"), "place")
 
 
-def candidates(specs: DataFrame, maps: DataFrame) -> DataFrame:
+def candidates(specs: DataFrame, maps: DataFrame | None) -> DataFrame:
     """Paths to try for each specifier, by rank; the caller joins them to the nodes and takes the least rank found."""
     js, generic = F.col("language").isin("typescript", "tsx", "javascript"), F.col("language").isin("rust", "java", "c", "cpp", "ruby", "php", "go")
     specs = specs.withColumn("folder", dirname("path")).withColumn("clean", F.regexp_replace("spec", "^[<\"']+|[>\"']+$", ""))
@@ -139,20 +145,22 @@ def candidates(specs: DataFrame, maps: DataFrame) -> DataFrame:
     dots = F.length(F.regexp_extract("spec", r"^\.*", 0))
     up = F.concat_ws("/", "folder", F.array_join(F.array_repeat(F.lit(".."), dots - 1), "/"), F.translate(F.regexp_replace("spec", r"^\.+", ""), ".", "/"))
     specs = specs.withColumn("_up", F.when(dots > 0, up)).withColumn("above", normalized("_up"))
-    tries = lambda base, suffixes: F.transform(F.array(*map(F.lit, suffixes)), lambda s: F.concat(base, s))
+    listed = lambda suffixes: ", ".join(f"'{s}'" for s in suffixes)
+    tries = lambda base, suffixes: F.expr(f"transform(array({listed(suffixes)}), s -> concat({base}, s))")
     relative = F.col("clean").startswith(".")
-    crate = F.translate(F.regexp_replace("clean", "^crate::", ""), ":", "/")
-    crate = F.regexp_replace(crate, "//", "/")
+    crate = "replace(translate(regexp_replace(clean, '^crate::', ''), ':', '/'), '//', '/')"
     paths = (
-        F.when(js & relative, tries(F.col("beside"), JS_SUFFIXES))
-        .when((F.col("language") == "python") & (dots > 0), tries(F.col("above"), PY_SUFFIXES))
-        .when(F.col("language") == "python", tries(F.translate("spec", ".", "/"), PY_SUFFIXES))
-        .when(generic & relative, tries(F.col("beside"), DOTTED_SUFFIXES))
-        .when((F.col("language") == "rust") & F.col("clean").startswith("crate::"), F.concat(tries(F.concat(F.lit("src/"), crate), CRATE_SUFFIXES), tries(crate, CRATE_SUFFIXES)))
-        .when(F.col("language").isin("c", "cpp", "ruby", "php"), tries(F.col("beside"), PLAIN_SUFFIXES))
+        F.when(js & relative, tries("beside", JS_SUFFIXES))
+        .when((F.col("language") == "python") & (dots > 0), tries("above", PY_SUFFIXES))
+        .when(F.col("language") == "python", tries("translate(spec, '.', '/')", PY_SUFFIXES))
+        .when(generic & relative, tries("beside", DOTTED_SUFFIXES))
+        .when((F.col("language") == "rust") & F.col("clean").startswith("crate::"), F.concat(tries(f"concat('src/', {crate})", CRATE_SUFFIXES), tries(crate, CRATE_SUFFIXES)))
+        .when(F.col("language").isin("c", "cpp", "ruby", "php"), tries("beside", PLAIN_SUFFIXES))
     )
     keys = ["repo_id", "path", "spec"]
     direct = specs.select(*keys, F.posexplode(paths).alias("rank", "target_path"))
+    if maps is None:
+        return direct
     # the nearest tsconfig above the file, then its aliases in order
     bare = specs.where(js & ~relative)
     near = bare.join(maps.select("repo_id", "config_dir").distinct(), "repo_id").where((F.col("config_dir") == "") | (F.col("folder") == F.col("config_dir")) | F.col("folder").startswith(F.concat("config_dir", F.lit("/"))))
@@ -160,16 +168,41 @@ def candidates(specs: DataFrame, maps: DataFrame) -> DataFrame:
     mapped = near.join(maps, ["repo_id", "config_dir"]).where((F.col("spec") == F.col("prefix")) | F.col("spec").startswith(F.concat("prefix", F.lit("/"))))
     rest = F.regexp_replace(F.expr("substring(spec, length(prefix) + 1)"), "^/+", "")
     mapped = mapped.withColumn("_whole", F.concat_ws("/", "target", rest)).withColumn("base", normalized("_whole"))
-    aliased = mapped.select(*keys, "place", F.posexplode(tries(F.col("base"), JS_SUFFIXES)).alias("n", "target_path")).select(*keys, (F.col("place") * 100 + F.col("n")).alias("rank"), "target_path")
+    aliased = mapped.select(*keys, "place", F.posexplode(tries("base", JS_SUFFIXES)).alias("n", "target_path")).select(*keys, (F.col("place") * 100 + F.col("n")).alias("rank"), "target_path")
     return direct.union(aliased)
 
 
-def resolved(nodes: DataFrame, specs: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved): equi-joins of candidates and node paths; Go imports by substring within their repository."""
+def substrings(paths: DataFrame, texts: DataFrame) -> DataFrame:
+    """``paths`` (repo_id, target_path) with every part ``text`` of a path that is as long as one of its repository's ``texts`` (repo_id, text).
+
+    So a search inside paths becomes a join on equality.  The rows are at most a
+    path's length for each length that occurs, and lengths are no more than
+    paths are long.
+    """
+    lengths = texts.groupBy("repo_id").agg(F.collect_set(F.length("text")).alias("_lengths"))
+    sized = paths.join(lengths, "repo_id").select("repo_id", "target_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("target_path"))).alias("_n"))
+    placed = sized.select("repo_id", "target_path", "_n", F.explode(F.sequence(F.lit(1), F.length("target_path") - F.col("_n") + 1)).alias("_at"))
+    return placed.select("repo_id", "target_path", F.substring("target_path", F.col("_at"), F.col("_n")).alias("text"))
+
+
+def inside_paths(specs: DataFrame, known: DataFrame) -> DataFrame:
+    """(repo_id, path, spec, target_path) of Go's imports: the first path of the repository that holds the specifier and ends in ``.go``."""
+    go = specs.where((F.col("language") == "go") & ~F.col("spec").startswith(".")).select("repo_id", "path", "spec")
+    asked = go.select("repo_id", F.col("spec").alias("text")).distinct()
+    # One row per text before the join: neither a common specifier nor a common part of paths makes pairs.
+    first = substrings(known.where(F.col("target_path").endswith(".go")), asked).groupBy("repo_id", "text").agg(F.min("target_path").alias("target_path"))
+    return go.join(first.withColumnRenamed("text", "spec"), ["repo_id", "spec"]).select("repo_id", "path", "spec", "target_path")
+
+
+def resolved(nodes: DataFrame, specs: DataFrame, maps: DataFrame | None, go: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(edges, unresolved): equi-joins of candidates and node paths.
+
+    A caller who knows that there are no path maps, or no Go files, says so and
+    spares their joins.
+    """
     known = nodes.select("repo_id", F.col("path").alias("target_path"))
     hits = candidates(specs.where("not is_dynamic"), maps).join(known, ["repo_id", "target_path"]).groupBy("repo_id", "path", "spec").agg(F.min_by("target_path", "rank").alias("target_path"))
-    go = specs.where((F.col("language") == "go") & ~F.col("spec").startswith(".")).join(known.where(F.col("target_path").endswith(".go")), "repo_id").where(F.contains("target_path", "spec"))
-    hits = hits.union(go.groupBy("repo_id", "path", "spec").agg(F.min("target_path").alias("target_path")))
+    hits = hits.union(inside_paths(specs, known)) if go else hits
     edges = hits.where("target_path <> path").select("repo_id", F.col("path").alias("source_path"), "target_path").distinct()
     missing = specs.where("is_internal or is_dynamic").join(hits.select("repo_id", "path", "spec"), ["repo_id", "path", "spec"], "left_anti").select("repo_id", "path", "spec")
     return edges, missing

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import callsites, changelog, diffs, imports, text
 from ..operators import scheduling
-from ..streaming import graph_updates, stateful
+from ..sources.scratch import new_path
+from ..streaming import graph_store, graph_updates, stateful
 from .bindings import Domain
 from .queries import query
 
@@ -68,16 +69,53 @@ def import_specifiers(d: Domain) -> DataFrame:
     return imports.extracted(imports.files(rows.selectExpr("repo_id", "concat('src/n', p_partkey, if(p_partkey % 2 = 0, '.ts', '.py')) as path", f"encode({SPECIFIED}, 'UTF-8') as content")))
 
 
-def source_tree(d: Domain) -> DataFrame:
-    """A file for each node, which imports the nodes that it links to."""
-    lines = d.atlas_links.groupBy(F.col("src").alias("node")).agg(F.array_join(F.transform(F.sort_array(F.collect_set("tgt")), lambda t: F.concat(F.lit("import './n"), t.cast("string"), F.lit("';"))), "\n").alias("text"))
-    rows = d.atlas_nodes.select("repo_id", "node").join(lines, "node", "left")
-    return rows.select("repo_id", F.concat(F.lit("src/n"), F.col("node").cast("string"), F.lit(".ts")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+# Endings and import lines by a node's place in its repository; {} stands for the target.
+WRITTEN_IN = (
+    (".ts", "import './n{}';"), (".py", "from .n{} import x"), (".go", 'import "src/n{}"'), (".c", '#include "n{}.c"'), (".rs", "use crate::n{};"),
+    (".rb", "require_relative 'n{}'"), (".php", "include 'n{}.php';"), (".js", "import '@/n{}';"),
+)
+PUSHED = {"added": 5, "modified": 3, "removed": 7}  # places modulo ten
 
 
-@query("atlas_nodes atlas_links", "select distinct a.repo_id, 'src/n' || src || '.ts' as source_path, 'src/n' || tgt || '.ts' as target_path from atlas_links join atlas_nodes a on a.node = src join atlas_nodes b on b.node = tgt and b.repo_id = a.repo_id where src <> tgt")
+def source_tree(d: Domain, kept: str = "true") -> DataFrame:
+    """A file for each node, in eight languages, which imports the nodes that it links to (of these, the ones for which ``kept`` holds); a path map for each repository."""
+    repos = d.table("supplier").count()
+    pick = lambda at: f"element_at(array({', '.join(repr(x[at]) if chr(39) not in x[at] else chr(34) + x[at] + chr(34) for x in WRITTEN_IN)}), cast(place % {len(WRITTEN_IN)} as int) + 1)"
+    rows = d.atlas_nodes.selectExpr("repo_id", "node", f"node div {repos} as place").selectExpr("*", f"{pick(0)} as ending", f"{pick(1)} as line")
+    wanted = d.atlas_links.where(kept.format(place=f"src div {repos}")).groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("tgt")).alias("targets"))
+    lines = F.array_join(F.transform("targets", lambda t: F.replace("line", F.lit("{}"), t.cast("string"))), "\n")
+    files = rows.join(wanted, "node", "left").select("repo_id", "place", F.concat(F.lit("src/n"), F.col("node").cast("string"), "ending").alias("path"), F.encode(F.coalesce(lines, F.lit("")), "UTF-8").alias("content"))
+    config = '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}'
+    return files.unionByName(rows.select("repo_id").distinct().select("repo_id", F.lit(0).cast("long").alias("place"), F.lit("tsconfig.json").alias("path"), F.encode(F.lit(config), "UTF-8").alias("content")))
+
+
+ENDINGS = "case place % 8 " + " ".join(f"when {i} then '{ending}'" for i, (ending, _) in enumerate(WRITTEN_IN)) + " end"
+
+
+def imported(nodes: str = "true", links: str = "true") -> str:
+    """SQL for the edges of ``source_tree`` among the nodes and links for which the conditions hold."""
+    return f"""with n as (select repo_id, node, place, 'src/n' || node || {ENDINGS} as path, {ENDINGS} as ending from (select *, node // (select ns from k) as place from atlas_nodes) where {nodes}),
+    l as (select distinct a.repo_id, a.path, a.ending, tgt from atlas_links join n a on a.node = src where {links}),
+    direct as (select l.repo_id, l.path, b.path as target from l join n b on b.repo_id = l.repo_id and b.node = tgt
+        where case when l.ending in ('.ts', '.js') then b.ending in ('.ts', '.js') when l.ending = '.rb' then b.ending in ('.c', '.rb', '.php') when l.ending = '.go' then false else b.ending = l.ending end),
+    inside as (select l.repo_id, l.path, min(b.path) as target from l join n b on b.repo_id = l.repo_id and b.ending = '.go' and contains(b.path, 'src/n' || tgt) where l.ending = '.go' group by l.repo_id, l.path, tgt)
+    select distinct repo_id, path as source_path, target as target_path from (select * from direct union all select * from inside) where path <> target"""
+
+
+@query("k atlas_nodes atlas_links", imported())
 def resolve_imports(d: Domain) -> DataFrame:
-    return graph_updates.full_build(source_tree(d))[2]
+    return graph_updates.full_build(source_tree(d)).edges
+
+
+@query("k atlas_nodes atlas_links", imported(f"place % 10 <> {PUSHED['removed']}", f"a.place % 10 <> {PUSHED['modified']} or tgt % 2 = 1"))
+def graph_push(d: Domain) -> DataFrame:
+    """A push to every repository, with new, changed and removed files, folded into a stored graph and read back."""
+    store = graph_store.GraphStore(d.spark, new_path(d.spark, "graph"), parts=8)
+    tree = source_tree(d)
+    store.build(tree.where(F.col("place") % 10 != PUSHED["added"]).drop("place"))
+    changed = source_tree(d, f"{{place}} % 10 <> {PUSHED['modified']} or tgt % 2 = 1").where((F.col("place") % 10).isin(PUSHED["added"], PUSHED["modified"]))
+    store.push(changed.drop("place"), tree.where(F.col("place") % 10 == PUSHED["removed"]).select("repo_id", "path"))
+    return store.graph().edges
 
 
 def candidates(d: Domain) -> DataFrame:

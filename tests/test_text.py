@@ -77,7 +77,8 @@ def test_parses():
 
 def test_import_graph_and_increment(spark):
     tree = spark.createDataFrame(fixtures.TREE, "repo_id string, path string, content string").withColumn("content", F.encode("content", "UTF-8"))
-    nodes, specs, edges = graph_updates.full_build(tree)
+    graph = graph_updates.full_build(tree)
+    nodes, specs, edges = imports.files(tree), graph.specs, graph.edges
     want = {("src/app.ts", "src/b.tsx"), ("src/app.ts", "src/lib/a.ts"), ("src/b.tsx", "src/lib/a.ts"), ("pkg/core.py", "pkg/__init__.py"), ("pkg/__init__.py", "pkg/core.py"), ("native/main.c", "native/util.h"), ("src/main.rs", "src/store/disk.rs")}
     pairs = lambda e: {(x.source_path, x.target_path) for x in e.collect()}
     assert pairs(edges) == want
@@ -86,7 +87,7 @@ def test_import_graph_and_increment(spark):
     change = spark.createDataFrame([("r", "src/missing.ts", "import './b';\n"), ("r", "src/b.tsx", "export {};\n")], "repo_id string, path string, content string").withColumn("content", F.encode("content", "UTF-8"))
     removed = spark.createDataFrame([("r", "native/util.h")], "repo_id string, path string")
     after = tree.join(change.select("path"), "path", "left_anti").where("path <> 'native/util.h'").select("repo_id", "path", "content").union(change)
-    assert pairs(graph_updates.incremental(nodes, specs, edges, change, removed)[2]) == pairs(graph_updates.full_build(after)[2])
+    assert pairs(graph_updates.incremental(graph, change, removed).graph.edges) == pairs(graph_updates.full_build(after).edges)
 
 
 @pytest.mark.parametrize("out", [[0, 1], [2, 3, 4], [1, 6, 8, 10]])
@@ -99,8 +100,9 @@ def test_increments_are_full_builds(spark, out):
     rest = [x for x in rows if x not in some]
     before, whole = graph_updates.full_build(frame(rest)), graph_updates.full_build(frame(rows))
     none, gone = frame(some).limit(0), frame(some).select("repo_id", "path")
-    assert pairs(graph_updates.incremental(*before, frame(some), gone.limit(0))[2]) == pairs(whole[2])
-    assert pairs(graph_updates.incremental(*whole, none, gone)[2]) == pairs(before[2])
+    rows = lambda frames: [sorted(map(str, f.collect())) for f in frames]
+    assert rows(graph_updates.incremental(before, frame(some), gone.limit(0)).graph) == rows(whole)
+    assert rows(graph_updates.incremental(whole, none, gone).graph) == rows(before)
 
 
 @pytest.mark.parametrize(
