@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import components
+
 # Extensions that never count as orphans.
 PASSIVE_EXTENSIONS = (".md", ".json", ".yaml", ".yml", ".txt", ".toml", ".svg", ".png")
-NODE_LIMIT = 6000
+EDGES_IN_TASK, LARGE = 200_000, 1000
 
 
 def folder(path: str):
@@ -91,6 +93,7 @@ def _components(paths: list[str], adjacent: dict[str, list[str]]) -> list[list[s
     """Strongly connected components, without recursion."""
     index: dict[str, int] = {}
     low: dict[str, int] = {}
+    place: dict[str, int] = {}
     stack: list[str] = []
     on: set[str] = set()
     out: list[list[str]] = []
@@ -99,6 +102,7 @@ def _components(paths: list[str], adjacent: dict[str, list[str]]) -> list[list[s
             continue
         work = [(root, iter(adjacent.get(root, ())))]
         index[root] = low[root] = len(index)
+        place[root] = len(stack)
         stack.append(root)
         on.add(root)
         while work:
@@ -106,6 +110,7 @@ def _components(paths: list[str], adjacent: dict[str, list[str]]) -> list[list[s
             for other in rest:
                 if other not in index:
                     index[other] = low[other] = len(index)
+                    place[other] = len(stack)
                     stack.append(other)
                     on.add(other)
                     work.append((other, iter(adjacent.get(other, ()))))
@@ -117,7 +122,7 @@ def _components(paths: list[str], adjacent: dict[str, list[str]]) -> list[list[s
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == index[node]:
-                    at = stack.index(node)
+                    at = place[node]
                     out.append(stack[at:])
                     on -= set(stack[at:])
                     del stack[at:]
@@ -155,12 +160,23 @@ def _chain(paths: list[str], adjacent: dict[str, list[str]]) -> list[str]:
     return chain
 
 
-def cycles_and_chains(edges: DataFrame) -> DataFrame:
+def cycles_and_chains(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
     """Per repository: cycles (components of several nodes, or self-loops), their nodes, the one with the least node, and the longest chain without them.
 
-    One repository's edges are bounded (``NODE_LIMIT`` nodes at intake), so each
-    goes to one task; the many repositories spread over the cluster.
+    A repository of at most ``in_task`` edges goes to one task; larger ones are
+    measured together by ``components``, whose tables no task holds whole.  Both
+    give the same rows.
     """
+    large = [r.repo_id for r in edges.groupBy("repo_id").count().where(F.col("count") > in_task).select("repo_id").limit(LARGE + 1).collect()]
+    if len(large) > LARGE:  # too many to name: all of them are measured together
+        return components.cycles_and_chains(edges)
+    if large:
+        inside = F.col("repo_id").isin(large)
+        return components.cycles_and_chains(edges.where(inside)).unionByName(_small_cycles_and_chains(edges.where(~inside)))
+    return _small_cycles_and_chains(edges)
+
+
+def _small_cycles_and_chains(edges: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = sorted(set(zip(pdf.source_path, pdf.target_path, strict=True)))
