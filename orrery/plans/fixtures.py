@@ -198,7 +198,11 @@ def _hits(d: Domain) -> DataFrame:
     return d.table("events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("client"), seconds.alias("ts"))
 
 
-@query()
+@query(sql="""with recursive e as (select event_id as id, user_id % 5 as client, epoch_us(ts) / 1e6 as ts, row_number() over (partition by user_id % 5 order by ts, event_id) as n from events),
+    f as (select id, client, n, [ts] as held, true as accepted, 0::bigint as retry_after from e where n = 1
+    union all select id, client, n, case when len(k) < 5 then list_append(k, ts) else k end, len(k) < 5, case when len(k) < 5 then 0 else greatest(1, ceil(k[1] + 3600.0 - ts)) end::bigint
+    from (select e.*, list_filter(f.held, lambda h: h > e.ts - 3600.0) as k from f join e on e.client = f.client and e.n = f.n + 1))
+    select id, client, accepted, retry_after from f""")
 def rate_limit(d: Domain) -> DataFrame:
     return stateful.rate_limited(_hits(d), limit=5, window=3600.0)
 
@@ -208,6 +212,15 @@ def fanout_capped(d: Domain) -> DataFrame:
     return stateful.fanned_out(d.incident_events, n=20)
 
 
-@query()
+STATE = "case event_type when 'usage_found' then 'pending' when 'patch_generated' then 'pending' when 'patch_failed' then 'failed' when 'validation_passed' then 'verified' when 'validation_failed' then 'failed' end"
+
+
+@query("incident_events", f"""with recursive e as (select id, repo_id as incident, code_usage_id % 10 as usage, event_type, {STATE} as after, row_number() over (partition by repo_id order by created_at, id) as n from incident_events),
+    f as (select 0::bigint as id, incident, 0::bigint as n, list_transform(range(10), lambda x: null::varchar) as held, 0::bigint as active, 0::bigint as resolved from e group by incident
+    union all select id, incident, n,
+        case when event_type = 'pr_opened' then list_transform(held, lambda s: case when s = 'verified' then 'resolved' else s end) when usage is not null and (held[usage + 1] is not null or event_type = 'usage_found') then list_transform(held, lambda s, i: case when i = usage + 1 then after else s end) else held end,
+        case when event_type = 'pr_opened' then greatest(0, active - met) when usage is not null and event_type = 'usage_found' and held[usage + 1] is null then active + 1 else active end, resolved + case when event_type = 'pr_opened' then met else 0 end
+    from (select e.*, held, active, resolved, len(list_filter(held, lambda s: s = 'verified')) as met from f join e on e.incident = f.incident and e.n = f.n + 1))
+    select id, incident, active, resolved from f where n > 0""")
 def incident_reducer(d: Domain) -> DataFrame:
-    return stateful.reduced_incidents(d.incident_events.withColumn("incident", F.col("repo_id")).withColumn("usage", F.col("id") % 10))
+    return stateful.reduced_incidents(d.incident_events.withColumn("incident", F.col("repo_id")).withColumn("usage", F.col("code_usage_id") % 10))

@@ -25,7 +25,11 @@ def query(views: str = "", sql: str | None = None, name: str | None = None):
         if sql and not views:
             ORACLES[key] = sql
         elif sql:
-            ORACLES[key] = with_clause(*views.split()) + sql if not sql.lstrip().startswith("with ") else with_clause(*views.split()) + ", " + sql.lstrip()[5:]
+            own, head = sql.lstrip(), with_clause(*views.split())
+            if own.startswith("with recursive "):
+                ORACLES[key] = head.replace("with ", "with recursive ", 1) + ", " + own[len("with recursive ") :]
+            else:
+                ORACLES[key] = head + ", " + own[5:] if own.startswith("with ") else head + sql
         return function
 
     return add

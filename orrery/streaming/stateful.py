@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import scheduling
+from ..sources.scratch import written
+from . import scans
 
 LIMIT, WINDOW_SECONDS, FANOUT = 120, 60.0, 200
 
@@ -78,32 +80,51 @@ def folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callab
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def rate_limited(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS) -> DataFrame:
+def rate_limited(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS, parts: int | None = None) -> DataFrame:
     """``hits``: id, client, ts (seconds).  (id, client, accepted, retry_after).
 
-    After a pause of a whole window nothing is remembered, so a client's hits
-    are cut there into runs that different tasks fold.
+    Ranges of (client, ts) are folded side by side, a client of any size over
+    many of them; what a range passes on is at most ``limit`` times.
     """
 
-    def step(state, row):
-        return row.id, row.client, *state.hit(float(row.ts))
+    def step(times, row):
+        limiter = Limiter(limit, window, times)
+        given = limiter.hit(float(row.ts))
+        return list(limiter.hits), (row.id, row.client, *given)
 
     kind = hits.schema["client"].dataType.simpleString()
-    order = Window.partitionBy("client").orderBy("ts", "id")
-    rested = F.coalesce(F.col("ts") - F.lag("ts").over(order) >= window, F.lit(False))
-    runs = hits.select("id", "client", "ts", rested.cast("int").alias("rested"))
-    runs = runs.select("id", "client", "ts", F.concat_ws("\x1f", F.col("client").cast("string"), F.sum("rested").over(order).cast("string")).alias("run"))
-    return folded(runs, "run", ["ts", "id"], f"id long, client {kind}, accepted boolean, retry_after long", lambda: Limiter(limit, window), step)
+    rows = scans.ranged(hits.select("id", "client", F.col("ts").cast("double").alias("ts")), ["client"], ["ts", "id"], parts)
+    return scans.folded(rows, "client", ["ts", "id"], f"id long, client {kind}, accepted boolean, retry_after long", step)
 
 
-def reduced_incidents(events: DataFrame) -> DataFrame:
-    """``events``: id, incident, usage, event_type, created_at.  Running counts after each event."""
+def reduced_incidents(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """``events``: id, incident, usage, event_type, created_at.  (id, incident, active, resolved): running counts after each event.
 
-    def step(state, row):
-        return row.id, row.incident, *state.event(row.event_type, row.usage)
-
-    kind = events.schema["incident"].dataType.simpleString()
-    return folded(events.select("id", "incident", "usage", "event_type", "created_at"), "incident", ["created_at", "id"], f"id long, incident {kind}, active long, resolved long", Incident, step)
+    The counts are sums over usages.  A usage is in sight from its first
+    ``usage_found`` on; a pull request resolves it where it is verified and nothing
+    happens to it in between.  Both are found by running minima, the counts by
+    running sums; that active never falls below 0 is a reflection at the running
+    minimum.  No key's rows meet in one task.
+    """
+    order = ["created_at", "id"]
+    at = F.struct(*order)
+    opened = F.col("event_type") == "pr_opened"
+    rows = scans.ranged(events.select("id", "incident", "usage", "event_type", "created_at"), ["incident"], order, parts)
+    rows = scans.running(rows, ["incident"], order, {"next_pr": ("min", F.when(opened, at))}, following=True).drop("_range")
+    own = rows.where(F.col("event_type").isin(*Incident.AFTER) & F.col("usage").isNotNull())
+    own = scans.ranged(own, ["incident", "usage"], order, parts)
+    own = scans.running(own, ["incident", "usage"], order, {"found_at": ("min", F.when(F.col("event_type") == "usage_found", at))})
+    seen = written(own.where("found_at is not null"), "sighted")
+    seen = scans.running(seen, ["incident", "usage"], order, {"next_own": ("min", at)}, following=True)
+    verified = [k for k, v in Incident.AFTER.items() if v == "verified"]
+    resolved = seen.where(F.col("event_type").isin(*verified) & F.col("next_pr").isNotNull() & (F.col("next_own").isNull() | (F.col("next_pr") < F.col("next_own"))))
+    steps = resolved.groupBy("incident", F.col("next_pr").alias("at")).agg(F.count("*").alias("gone")).select("incident", "at", F.lit(0).alias("come"), "gone")
+    steps = steps.union(seen.where(F.col("found_at") == at).select("incident", F.col("found_at"), F.lit(1), F.lit(0).cast("long")))
+    every = rows.select("id", F.col("incident"), at.alias("at"), "created_at").join(steps.select(F.col("incident").alias("_i"), F.col("at").alias("_at"), "come", "gone"), F.col("incident").eqNullSafe(F.col("_i")) & (F.col("at") == F.col("_at")), "left")
+    every = scans.ranged(every.select("id", "incident", "created_at", F.coalesce("come", F.lit(0)).cast("long").alias("come"), F.coalesce("gone", F.lit(0)).alias("gone")), ["incident"], order, parts)
+    sums = scans.running(every, ["incident"], order, {"sum": ("sum", F.col("come") - F.col("gone")), "resolved": ("sum", F.col("gone"))})
+    low = scans.running(written(sums, "sums"), ["incident"], order, {"low": ("min", F.col("sum"))})
+    return low.select("id", "incident", (F.col("sum") - F.least(F.col("low"), F.lit(0))).alias("active"), "resolved")
 
 
 def fanned_out(events: DataFrame, key: str = "repo_id", n: int = FANOUT) -> DataFrame:
