@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import callsites, changelog, diffs, imports, text
 from ..operators import scheduling
 from ..sources.scratch import new_path
-from ..streaming import graph_store, graph_updates, stateful
+from ..streaming import graph_store, graph_updates, stages, stateful
 from .bindings import Domain
 from .queries import query
 
@@ -224,3 +224,31 @@ STATE = "case event_type when 'usage_found' then 'pending' when 'patch_generated
     select id, incident, active, resolved from f where n > 0""")
 def incident_reducer(d: Domain) -> DataFrame:
     return stateful.reduced_incidents(d.incident_events.withColumn("incident", F.col("repo_id")).withColumn("usage", F.col("code_usage_id") % 10))
+
+
+FACT = "case event_type when 'click' then 'heartbeat' when 'purchase' then 'done' when 'error' then 'failed' when 'view' then 'claimed' else 'claimed' end"
+LEASE, RETRY = 43200.0, 14400.0  # of the query: its events are hours apart
+UNTIL = 1706745600.0
+
+
+@query(sql=f"""with recursive e as (select user_id as job, {FACT} as kind, event_id % 3 as worker, epoch_us(ts) / 1e6 as tm, row_number() over (partition by user_id order by ts, event_id) as n, count(*) over (partition by user_id) as total from events),
+    a as (select * from e union all select distinct job, 'end', null, {UNTIL}, total + 1, total from e),
+    f as (select job, 0::bigint as n, 1 as stage, 'queued' as status, 0 as attempts, 0.0::double as locked, -1::bigint as worker, '-inf'::double as due, []::struct(tm double, stage int, status varchar, attempts int)[] as seen from e group by job
+    union all select job, n, case when kind = 'done' and s = 'running' and stage < 6 then stage + 1 else stage end,
+        case when kind = 'claimed' and s = 'queued' and d <= tm then 'running' when kind = 'done' and s = 'running' then case when stage < 6 then 'queued' else 'done' end when kind = 'failed' and s = 'running' then case when attempts >= 3 then 'failed' else 'queued' end else s end,
+        case when kind = 'claimed' and s = 'queued' and d <= tm then attempts + 1 when kind = 'done' and s = 'running' and stage < 6 then 0 else attempts end,
+        case when kind = 'claimed' and s = 'queued' and d <= tm or kind = 'heartbeat' and s = 'running' and w = worker then tm else locked end,
+        case when kind = 'claimed' and s = 'queued' and d <= tm then w else worker end,
+        case when kind = 'done' and s = 'running' and stage < 6 then tm when kind = 'failed' and s = 'running' then tm + {RETRY} * attempts else d end,
+        case when s <> status then [{{'tm': d, 'stage': stage, 'status': s, 'attempts': attempts}}] else [] end
+        || case when kind = 'claimed' and s = 'queued' and d <= tm then [{{'tm': tm, 'stage': stage, 'status': 'running', 'attempts': attempts + 1}}]
+            when kind = 'done' and s = 'running' then [{{'tm': tm, 'stage': case when stage < 6 then stage + 1 else stage end, 'status': case when stage < 6 then 'queued' else 'done' end, 'attempts': case when stage < 6 then 0 else attempts end}}]
+            when kind = 'failed' and s = 'running' then [{{'tm': tm, 'stage': stage, 'status': case when attempts >= 3 then 'failed' else 'queued' end, 'attempts': attempts}}] else [] end
+    from (select f.job, a.n, a.kind, a.worker as w, a.tm, stage, status, attempts, locked, f.worker, case when status = 'running' and locked + {LEASE} < a.tm then case when attempts >= 3 then 'failed' else 'queued' end else status end as s,
+        case when status = 'running' and locked + {LEASE} < a.tm then locked + {LEASE} else due end as d from f join a on a.job = f.job and a.n = f.n + 1)),
+    t as (select job, unnest(seen) as t from f)
+    select job, t.tm as at, ['poll_registry', 'extract_changes', 'scan_repo', 'generate_patch', 'validate_patch', 'open_pr'][t.stage] as stage, t.status as status, t.attempts as attempts from t""")
+def stage_machine(d: Domain) -> DataFrame:
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    facts = d.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("job"), F.expr(FACT).alias("kind"), (F.col("event_id") % 3).alias("worker"), seconds.alias("at"))
+    return stages.staged(facts, UNTIL, stages.Rules(LEASE, RETRY))

@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pyspark.sql.types import StructType
+
 from ..sources.scratch import written
 
 COMBINED = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
@@ -56,7 +58,7 @@ def folded(rows: DataFrame, key: str, order: list[str], schema: str, step: Calla
     state at first; then those whose true beginning differs are folded again, at the same
     time, until no end changes.  Where states forget (a limiter's window) this takes few rounds.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = StructType.fromDDL(schema).names
     kind = rows.schema[key].dataType.simpleString()
     ends_schema = f"_range int, first {kind}, last {kind}, end {state}"
 
