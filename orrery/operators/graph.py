@@ -271,7 +271,16 @@ def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.size("nodes").alias("node_count"), F.size("edges").alias("edge_count"), F.to_json(F.struct("nodes", "edges")).alias("graph_json"))
 
 
-def freshness(graphs: DataFrame, now: str) -> DataFrame:
-    """A graph that has been computing for over 120 seconds is stale."""
-    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("updated_at").cast("timestamp"))
-    return graphs.withColumn("mode", F.when((F.col("status") == "computing") & (age > 120), "stale").otherwise(F.col("status")))
+def freshness(graphs: DataFrame, states: DataFrame, now: str, refresh: bool = False) -> DataFrame:
+    """Status and mode of stored graphs.
+
+    ``graphs``: repo_id, commit_sha, status, created_at, build_mode; ``states``: repo_id,
+    last_full_scan_sha.  One that has been computing for over 120 seconds is stale.
+    A ready one is full if it is asked for anew, else what its document says,
+    else incremental if the last full scan was of another commit.
+    """
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp"))
+    rows = graphs.join(states.select("repo_id", "last_full_scan_sha"), "repo_id", "left")
+    scanned = F.nullif("last_full_scan_sha", F.lit(""))
+    mode = F.lit("full") if refresh else F.coalesce("build_mode", F.when(scanned != F.col("commit_sha"), "incremental").otherwise("full"))
+    return rows.select("repo_id", "commit_sha", F.when((F.col("status") == "computing") & (age > 120), "stale").otherwise(F.col("status")).alias("status"), F.when(F.col("status") == "ready", mode).alias("mode"))

@@ -119,6 +119,25 @@ def findings(rows: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.explode(F.filter(F.array(*rules), lambda r: r["hit"])).alias("f")).select("repo_id", "f.*").drop("hit")
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """Per repository the number of findings and the titles of the first three."""
-    return found.groupBy("repo_id").agg(F.count("*").alias("findings"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("rule", "title"))), lambda r: r["title"]), 1, 3), "; ").alias("do_first"))
+# The summary without a model, and what to do where nothing was found.
+SUMMARY = "Repository {} scored {}/100 across architectural structure, dependency health, and change safety. {} actionable findings identified across {} files."
+NOTHING_TO_DO = "Maintain continuous integration verification gates."
+
+
+def summaries(scores: DataFrame, found: DataFrame) -> DataFrame:
+    """``scores``: repo_id, full_name, score, node_count.  (repo_id, executive_summary, do_this_first): the remedies of the first three findings."""
+    some = found.groupBy("repo_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rule", "what"))).alias("rules"))
+    rows = scores.join(some, "repo_id", "left")
+    first = F.slice(F.filter(F.transform("rules", lambda r: r["what"]), lambda w: w != ""), 1, 3)
+    return rows.select(
+        "repo_id", filled(SUMMARY, F.col("full_name"), F.col("score"), F.coalesce("n", F.lit(0)), F.coalesce("node_count", F.lit(0))).alias("executive_summary"),
+        F.when(F.size(first) > 0, first).otherwise(F.array(F.lit(NOTHING_TO_DO))).alias("do_this_first"),
+    )
+
+
+def run_records(scores: DataFrame, found: DataFrame, head: str, now: Column) -> DataFrame:
+    """Analysis runs to append: score, sub-scores and findings as JSON, summary and first actions, with the commit in column ``head`` of ``scores``."""
+    sub = F.to_json(F.struct(*(n for n, _ in WEIGHTS)), {"ignoreNullFields": "false"})
+    listed = found.groupBy("repo_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("rule", "severity", "title", "what"))), lambda r: F.struct(r["severity"].alias("severity"), r["title"].alias("title"), r["what"].alias("what_to_do")))).alias("findings"))
+    rows = scores.join(listed, "repo_id", "left").join(summaries(scores, found), "repo_id")
+    return rows.select("repo_id", F.col(head).alias("head_sha"), "score", sub.alias("sub_scores"), F.coalesce("findings", F.lit("[]")).alias("findings"), "executive_summary", "do_this_first", now.alias("created_at"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import iso_time
 
@@ -128,8 +128,12 @@ def git_log(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(parts) == 5).select(*(parts[i].alias(n) for i, n in enumerate(("sha", "author", "email", "at", "message"))))
 
 
-def commits(df: DataFrame, *keep: str) -> DataFrame:
-    """``json``: one commit of an API's list; first message line only."""
+def commits(df: DataFrame, *keep: str, limit: int | None = None) -> DataFrame:
+    """``json``: one commit of an API's list; first message line only.  With ``limit`` the newest so many of each ``keep``."""
+    if limit is not None:
+        every = commits(df, *keep)
+        place = F.row_number().over(Window.partitionBy(*keep).orderBy(F.desc_nulls_last("at"), "sha"))
+        return every.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
     return df.select(
         *keep, F.get_json_object("json", "$.sha").alias("sha"), F.get_json_object("json", "$.commit.author.name").alias("author"),
         iso_time(F.get_json_object("json", "$.commit.author.date")).alias("at"), F.split(F.get_json_object("json", "$.commit.message"), "\n")[0].alias("message"),

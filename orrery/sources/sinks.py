@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import uuid_or_null
@@ -107,14 +109,29 @@ def violations(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
 
 
 def pr_transitions(prs: DataFrame, events: DataFrame) -> DataFrame:
-    """Pull requests after their last webhook event: (pr_id, action, merged, at)."""
-    last = events.where(F.col("action").isin("closed", "reopened")).groupBy(F.col("pr_id").alias("id")).agg(F.max_by(F.struct("action", "merged", "at"), F.struct("at", "action")).alias("e"))
+    """Pull requests (id, status, closed_at, merged, merged_at) after their webhook events (pr_id, action, merged, merged_at, closed_at, at; ``at`` is when it came).
+
+    The last ``closed`` or ``reopened`` decides.  Times that an event lacks are
+    those of its coming; a merge time outlives a close without merge.
+    """
+    last = events.where(F.col("action").isin("closed", "reopened")).groupBy(F.col("pr_id").alias("id")).agg(F.max_by(F.struct("action", "merged", "merged_at", "closed_at", "at"), F.struct("at", "action")).alias("e"))
     rows = prs.join(last, "id", "left")
-    closed, reopened = F.col("e.action") == "closed", F.col("e.action") == "reopened"
+    closed, reopened = F.coalesce(F.col("e.action") == "closed", F.lit(False)), F.coalesce(F.col("e.action") == "reopened", F.lit(False))
+    merged = closed & F.coalesce("e.merged", F.lit(False))
     return rows.select(
         "id",
-        F.when(closed & F.col("e.merged"), "merged").when(closed, "closed").when(reopened, "open").otherwise(F.col("status")).alias("status"),
-        F.when(closed, F.col("e.at")).alias("closed_at"),
-        (closed & F.col("e.merged")).alias("merged"),
-        F.when(closed & F.col("e.merged"), F.col("e.at")).alias("merged_at"),
+        F.when(merged, "merged").when(closed, "closed").when(reopened, "open").otherwise(F.col("status")).alias("status"),
+        F.when(closed, F.coalesce("e.closed_at", "e.at")).when(~reopened, F.col("closed_at")).alias("closed_at"),
+        F.when(closed, merged).when(reopened, False).otherwise(F.col("merged")).alias("merged"),
+        F.when(merged, F.coalesce("e.merged_at", "e.at")).when(~reopened, F.col("merged_at")).alias("merged_at"),
     )
+
+
+def append_once(df: DataFrame, path: str, batch: int) -> None:
+    """Appends a batch to the table at ``path``; the same batch again replaces itself, so a replay leaves the table as it was."""
+    df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def appending(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: every micro-batch is in the table once, however often it is tried."""
+    return lambda df, batch: append_once(df, path, batch)

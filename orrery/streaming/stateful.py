@@ -1,15 +1,14 @@
 """Ordered folds over events, in batch and as streams.
 
-In batch, rows are dealt out by key, sorted inside the partitions and folded
-batch by batch, so a key of any size needs only its state in memory.  The
-stream versions keep the same state in Spark's state store.
+In batch, a key of any size spreads over ranges (``scans``).  The stream versions
+keep the same state in Spark's state store.
 """
 
 from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -62,24 +61,6 @@ class Incident:
         return self.active, self.resolved
 
 
-def folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, pd.Series], tuple]) -> DataFrame:
-    """Rows of ``step(state, row)`` for the rows of each key in order."""
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = object(), None
-        for f in frames:
-            out = []
-            for row in f.itertuples(index=False):
-                k = getattr(row, key)
-                if k != now:
-                    now, state = k, start()
-                out.append(step(state, row))
-            yield pd.DataFrame(out, columns=columns)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
 def rate_limited(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS, parts: int | None = None) -> DataFrame:
     """``hits``: id, client, ts (seconds).  (id, client, accepted, retry_after).
 
