@@ -95,8 +95,8 @@ def iso_time(text) -> Column:
 
 
 def relative_time(text, now) -> Column:
-    """Of an ISO time: seconds, minutes, hours or days ago, a date from 30 days on; ``recently`` without one, a broken one's first ten characters."""
-    at = iso_time(text)
+    """Of an ISO time: seconds, minutes, hours or days ago, a date from 30 days on; ``recently`` without one, the first ten characters of a broken one or one without a zone."""
+    at = F.when(F.regexp_like(text, F.lit(r"(Z|[+-]\d\d:?\d\d(:\d\d)?)$")), iso_time(text))
     age = F.unix_timestamp(now) - F.unix_timestamp(at)
     ago = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
     missing = F.coalesce(F.nullif(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit("recently"))

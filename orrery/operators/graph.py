@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.scratch import written
 from . import components
 
 # Extensions that never count as orphans.
@@ -196,13 +197,19 @@ def _small_cycles_and_chains(edges: DataFrame) -> DataFrame:
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_hops: int = 3) -> DataFrame:
-    """Files that reach a seed (repo_id, path) through imports within ``max_hops``, with the least distance."""
-    back = edges.select("repo_id", F.col("target_path").alias("path"), F.col("source_path").alias("next")).distinct()
-    found = front = seeds.select("repo_id", "path", F.lit(0).alias("hops")).distinct()
+    """Files that reach a seed (repo_id, path) through imports within ``max_hops``, with the least distance.
+
+    Each front is a table and holds only files that no earlier one has.
+    """
+    back = edges.select("repo_id", F.col("target_path").alias("path"), F.col("source_path").alias("next"))
+    found = front = written(seeds.select("repo_id", "path", F.lit(0).alias("hops")).distinct(), "front")
     for hop in range(1, max_hops + 1):
-        front = front.join(back, ["repo_id", "path"]).select("repo_id", F.col("next").alias("path"), F.lit(hop).alias("hops")).distinct()
+        reached = front.join(back, ["repo_id", "path"]).select("repo_id", F.col("next").alias("path")).distinct()
+        front = written(reached.join(found.select("repo_id", "path"), ["repo_id", "path"], "left_anti").withColumn("hops", F.lit(hop)), "front")
         found = found.union(front)
-    return found.groupBy("repo_id", "path").agg(F.min("hops").alias("hops"))
+        if front.isEmpty():
+            break
+    return found
 
 
 def layout_anchors(folders: DataFrame) -> DataFrame:

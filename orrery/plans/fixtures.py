@@ -175,20 +175,21 @@ def content_hash(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", text.content_hash("text").alias("content_hash"))
 
 
-@query("jobs", """with p as (select id, id % 50 as repo_id, case when id % 7 = 0 then 'refs/heads/dev' else 'refs/heads/main' end as ref, case when id % 13 = 0 then '0000' else 'c' || (id % 5) end as after, id % 17 = 0 as truncated, id % 40 as n from jobs),
-    s as (select i as repo_id, 'c1' as head_sha, case when i % 5 = 0 then timestamp '2024-01-01' else timestamp '2024-01-12' end as last_full_scan_at, i * 2 as node_count from range(40) t(i))
+@query("jobs repos", """with p as (select id, id % (select ns from k) as repo_id, case when id % 7 = 0 then 'refs/heads/dev' else 'refs/heads/main' end as ref, case when id % 13 = 0 then '0000' else 'c' || (id % 5) end as after, id % 17 = 0 as truncated, id % 40 as n from jobs),
+    s as (select id as repo_id, 'c1' as head_sha, case when id % 5 = 0 then timestamp '2024-01-01' else timestamp '2024-01-12' end as last_full_scan_at, id * 2 as node_count from repos where id % 6 > 0)
     select id, p.repo_id, n as changed, case when ref <> 'refs/heads/main' or after = '0000' then 'ignored' when head_sha = after then 'skipped'
     when node_count is null or node_count = 0 or last_full_scan_at < timestamp '2024-01-08' or n / node_count::double > 0.40 or truncated then 'full' else 'incremental' end as mode from p left join s on s.repo_id = p.repo_id""")
 def push_delta_plan(d: Domain) -> DataFrame:
     n = (F.col("id") % 40).cast("int")
     paths = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
+    repos = d.table("supplier").count()
     pushes = d.jobs.select(
-        (F.col("id") % 50).alias("repo_id"), F.when(F.col("id") % 7 == 0, "refs/heads/dev").otherwise("refs/heads/main").alias("ref"), F.lit("main").alias("default_branch"),
+        (F.col("id") % repos).alias("repo_id"), F.when(F.col("id") % 7 == 0, "refs/heads/dev").otherwise("refs/heads/main").alias("ref"), F.lit("main").alias("default_branch"),
         F.when(F.col("id") % 13 == 0, "0000").otherwise(F.concat(F.lit("c"), (F.col("id") % 5).cast("string"))).alias("after"), (F.col("id") % 17 == 0).alias("truncated"),
         F.array(F.struct(paths.alias("added"), paths.alias("modified"), none.alias("removed"))).alias("commits"), "id",
     )
-    state = d.spark.range(40).select(F.col("id").alias("repo_id"), F.lit("c1").alias("head_sha"), F.when(F.col("id") % 5 == 0, F.lit("2024-01-01")).otherwise("2024-01-12").cast("timestamp_ntz").alias("last_full_scan_at"), (F.col("id") * 2).alias("node_count"))
+    state = d.repos.where("id % 6 > 0").select(F.col("id").alias("repo_id"), F.lit("c1").alias("head_sha"), F.when(F.col("id") % 5 == 0, F.lit("2024-01-01")).otherwise("2024-01-12").cast("timestamp_ntz").alias("last_full_scan_at"), (F.col("id") * 2).alias("node_count"))
     plan = scheduling.push_plan(pushes, state, F.lit("2024-01-15").cast("timestamp_ntz"), keep=("id",))
     return plan.select("id", "repo_id", "changed", "mode")
 

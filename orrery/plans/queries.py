@@ -47,11 +47,10 @@ def tenant_scope(d: Domain) -> DataFrame:
     return tenancy.visible_repos(d.repos, d.installations, d.users)
 
 
-@query("repos installations users", f"with scope as ({SCOPE}), asked as (select id as user_id, repo_id from users, (select id as repo_id from repos union all select -1)) "
+@query("repos installations users", f"with scope as ({SCOPE}), asked as (select distinct event_id % 5 as user_id, user_id as repo_id from events) "
     "select a.user_id, a.repo_id, case when p.id is null then 404 when s.repo_id is null then 403 else 200 end as outcome from asked a left join repos p on p.id = a.repo_id left join scope s on s.user_id = a.user_id and s.repo_id = a.repo_id")
 def access_outcome(d: Domain) -> DataFrame:
-    ids = d.repos.select(F.col("id").alias("repo_id")).union(d.spark.sql("select -1L as repo_id"))
-    asked = ids.join(d.users.select(F.col("id").alias("user_id")))  # every user asks for every repository
+    asked = d.table("events").select((F.col("event_id") % 5).alias("user_id"), F.col("user_id").alias("repo_id")).distinct()
     return tenancy.access_outcome(asked, d.repos, tenancy.visible_repos(d.repos, d.installations, d.users))
 
 
@@ -405,12 +404,17 @@ def node_seeds(d: Domain) -> DataFrame:
     return graph.node_seeds(d.atlas_nodes)
 
 
-@query("atlas_nodes atlas_edges", "select repo_id, count(*) as node_count, (select count(*) from atlas_edges e where e.repo_id = n.repo_id) as edge_count from atlas_nodes n group by repo_id")
+LISTED = """string_agg('{"id":"' || path || '","name":"' || string_split(path, '/')[-1] || '","dir":"' || case when path like '%/%' then regexp_replace(path, '/[^/]*$', '') else '' end || '","ext":"' || ext || '"}', ',' order by path)"""
+
+
+@query("atlas_nodes atlas_edges", f"""with n as (select repo_id, count(*) as node_count, {LISTED} as nodes from atlas_nodes group by repo_id),
+    e as (select repo_id, count(*) as edge_count, string_agg('{{"source":"' || source_path || '","target":"' || target_path || '"}}', ',' order by source_path, target_path) as edges from atlas_edges group by repo_id)
+    select repo_id, node_count, coalesce(edge_count, 0) as edge_count, sha256('{{"nodes":[' || nodes || '],"edges":[' || coalesce(edges, '') || ']}}') as document_sha256 from n left join e using (repo_id)""")
 def graph_document(d: Domain) -> DataFrame:
     # the document itself is read back, so that it is built
     rows = graph.graph_documents(d.atlas_nodes, d.atlas_edges)
     size = lambda path: F.json_array_length(F.get_json_object("graph_json", path)).cast("long")
-    return rows.select("repo_id", size("$.nodes").alias("node_count"), size("$.edges").alias("edge_count"))
+    return rows.select("repo_id", size("$.nodes").alias("node_count"), size("$.edges").alias("edge_count"), F.sha2("graph_json", 256).alias("document_sha256"))
 
 
 @query(sql="select l_orderkey, l_linenumber, l_partkey, l_quantity, round(case when abs(dy) > 1.2 then middle - least(1.2, greatest(0.25, flat * 0.1)) else middle + least(1.8, greatest(0.35, sqrt(flat * flat + dy * dy) * 0.15)) end, 6) as y from (select *, l_tax * 20 as dy, sqrt(l_discount * l_discount * 10000 + l_quantity * l_quantity) as flat, l_tax * 10 as middle from lineitem)")
