@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import scheduling
 from ..sources.scratch import written
 from . import scans
 
-LIMIT, WINDOW_SECONDS, FANOUT = 120, 60.0, 200
+LIMIT, WINDOW_SECONDS, FANOUT, PARTS, HEARTBEAT_SECONDS = 120, 60.0, 200, 16, 15.0
 
 
 class Limiter:
@@ -144,12 +145,13 @@ def client_of(forwarded: str, address: str, trust_proxy: bool) -> Column:
 # Streams
 
 
-def queue_stream(stream: DataFrame, n: int = FANOUT) -> DataFrame:
-    """Bounded queues over a stream of (id, repo_id): (scope, ids, dropped) after each batch, for the update mode.
+def queue_stream(stream: DataFrame, n: int = FANOUT, parts: int = PARTS) -> DataFrame:
+    """Bounded queues over a stream of (id, repo_id): (scope, part, ids, dropped) after each batch, for the update mode.
 
     A scope is a repository, or null for all of them; an event goes into both.
-    When a queue is full its oldest event goes.  Subscribers read the queue of
-    their scope.
+    The queue of all is kept in ``parts`` parts, so that no task sees every event;
+    ``whole_queues`` puts them together.  When a queue is full its oldest event
+    goes.  Subscribers read the queue of their scope.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -161,10 +163,72 @@ def queue_stream(stream: DataFrame, n: int = FANOUT) -> DataFrame:
             waiting.extend(fresh)
         state.update((list(waiting), dropped))
         scope = None if pd.isna(key[0]) else key[0]
-        yield pd.DataFrame({"scope": pd.Series([scope], dtype="object"), "ids": [list(waiting)], "dropped": [dropped]})
-
-    rows = stream.select("id", F.explode(F.array(F.col("repo_id").cast("string"), F.lit(None).cast("string"))).alias("scope"))
-    return rows.groupBy("scope").applyInPandasWithState(step, "scope string, ids array<long>, dropped long", "ids array<long>, dropped long", "update", GroupStateTimeout.NoTimeout)
+        yield pd.DataFrame({"scope": pd.Series([scope], dtype="object"), "part": [key[1]], "ids": [list(waiting)], "dropped": [dropped]})
+
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    own, every = F.struct(F.col("repo_id").cast("string").alias("scope"), F.lit(0).alias("part")), F.struct(F.lit(None).cast("string").alias("scope"), part.alias("part"))
+    rows = stream.select("id", F.explode(F.array(own, every)).alias("s")).select("id", "s.*")
+    return rows.groupBy("scope", "part").applyInPandasWithState(step, "scope string, part int, ids array<long>, dropped long", "ids array<long>, dropped long", "update", GroupStateTimeout.NoTimeout)
+
+
+def whole_queues(states: DataFrame, n: int = FANOUT) -> DataFrame:
+    """(scope, ids, dropped) from the last states of all parts: the newest ``n`` ids, at most ``n`` of each part."""
+    rows = states.groupBy("scope").agg(F.sort_array(F.flatten(F.collect_list("ids")), asc=False).alias("all"), F.sum("dropped").alias("dropped"))
+    return rows.select("scope", F.array_sort(F.slice("all", 1, n)).alias("ids"), (F.col("dropped") + F.greatest(F.size("all") - n, F.lit(0))).alias("dropped"))
+
+
+class Reader(StatefulProcessor):
+    """What waits for one subscriber and how much it has asked for; a timer while it waits in vain."""
+
+    def __init__(self, n: int, silence: float):
+        self.n, self.silence = n, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.queue = handle.getValueState("queue", "ids array<long>, asked long, dropped long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ids, asked, dropped = self.queue.get() if self.queue.exists() else ([], 0, 0)
+        waiting, out = deque(ids), []
+        for row in pd.concat(list(rows)).sort_values(["at", "id"]).itertuples(index=False):
+            if row.kind == "read":
+                asked += int(row.id)
+            else:
+                waiting.append(int(row.id))
+            while asked and waiting:
+                out.append((key[0], "event", waiting.popleft(), dropped))
+                asked -= 1
+            if len(waiting) > self.n:
+                waiting.popleft()
+                dropped += 1
+        self.queue.update((list(waiting), asked, dropped))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if asked:  # it has taken all there was and waits
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.silence))
+        yield pd.DataFrame(out, columns=["subscriber", "kind", "id", "dropped"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.silence))
+        yield pd.DataFrame([(key[0], "heartbeat", None, self.queue.get()[2])], columns=["subscriber", "kind", "id", "dropped"]).astype({"id": "object"})
+
+
+def live_events(stream: DataFrame, subscribers: DataFrame, n: int = FANOUT, silence: float = HEARTBEAT_SECONDS) -> DataFrame:
+    """What each subscriber is sent: (subscriber, kind, id, dropped), in append mode; kind is event or heartbeat.
+
+    ``stream``: kind (``event`` or ``read``), id, repo_id, subscriber, at.  An event
+    goes to the subscribers (subscriber, repo_id; null for all) of its scope; a
+    read asks for ``id`` more events for its subscriber.  What is not asked for
+    waits, the newest ``n`` at most.  A subscriber that waits in vain for
+    ``silence`` seconds gets a heartbeat.  Needs the RocksDB state store provider.
+    """
+    events = stream.where("kind = 'event'").select("kind", "id", "repo_id", "at")
+    scoped = events.join(subscribers.where("repo_id is not null").select("subscriber", "repo_id"), "repo_id").select("subscriber", "kind", "id", "at")
+    # Each of the few subscribers of all gets every event, as it must.
+    every = events.join(subscribers.where("repo_id is null").agg(F.collect_list("subscriber").alias("all"))).select(F.explode("all").alias("subscriber"), "kind", "id", "at")
+    rows = scoped.union(every).union(stream.where("kind = 'read'").select("subscriber", "kind", "id", "at"))
+    kind = subscribers.schema["subscriber"].dataType.simpleString()
+    return rows.groupBy("subscriber").transformWithStateInPandas(Reader(n, silence), f"subscriber {kind}, kind string, id long, dropped long", "Append", "ProcessingTime")
 
 
 def event_time(df: DataFrame, column: str, delay: str = "10 minutes") -> DataFrame:
