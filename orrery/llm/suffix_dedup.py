@@ -19,8 +19,8 @@ the same offset.  So the strings are dealt out by anchor:
 So a hash collision cannot remove anything.  A task resolves what it can among
 the documents of a chunk, by the same comparison of bytes, before anything is
 sent, so a passage that fills the corpus crosses once per chunk.  An anchor with
-more than ``HOT`` stretches is dealt out string by string, by offset and first
-bytes, as strings that differ there cannot be equal.
+more than ``HOT`` stretches is dealt out string by string, by offset and all of
+a string's bytes, as strings that differ there cannot be equal.
 
 Nulls: a null text is empty; texts shorter than ``LENGTH`` lose nothing; rows
 with a null id neither lose bytes nor take them from others.  Rows that repeat
@@ -45,7 +45,6 @@ from .kernels import BASE_INVERSE, BYTE_CODES, covered, keyed, mix, place_of, po
 LENGTH, GRAM = 50, 18
 WIDTH = LENGTH - GRAM + 1
 SORTED_AT_ONCE, HOT = 12_000, 4096
-PREFIX = 16
 
 
 def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -72,6 +71,11 @@ def stretch_hash(sums: np.ndarray, begin: np.ndarray, more: np.ndarray, back: np
     return mix(span_hashes(sums, begin, begin + more + LENGTH) + back.astype(np.uint64))
 
 
+def string_keys(sums: np.ndarray, anchor: np.ndarray, begin: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Where single strings of a hot anchor go: by anchor, its place and all their bytes, so only equal strings crowd."""
+    return mix(anchor ^ mix(span_hashes(sums, begin, begin + LENGTH) + back.astype(np.uint64)))
+
+
 def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether the bytes at x and y agree over the given lengths."""
     out = np.zeros(len(x), bool)
@@ -306,8 +310,7 @@ def sorted_stretches(texts: DataFrame, open_: DataFrame) -> DataFrame:
                 continue
             sums = prefix_sums(BYTE_CODES[data])
             anchor = span_hashes(sums, begin + back, begin + back + GRAM)
-            prefix = mix(span_hashes(sums, begin, begin + PREFIX) + back.astype(np.uint64))
-            anchor = np.where(hot, mix(anchor ^ prefix), anchor)
+            anchor = np.where(hot, string_keys(sums, anchor, begin, back), anchor)
             ids, tags = np.asarray(part.column(0))[row], np.asarray(part.column(1)).view(np.uint64)[row]
             yield packets(homes[(anchor % np.uint64(buckets)).astype(np.int64)], ids, [(anchor, 8), (tags, 8), (low, 4), (more, 1), (back, 1)], blobs=(data, begin, more + LENGTH))
 

@@ -406,3 +406,20 @@ def test_empty_and_null_ids(spark, name):
     long = " ".join(f"w{i}" for i in range(80))
     rows = [(None, long, "en", "s", 1, 1, "k", 1), (None, None, "en", "s", 1, 1, "k", 1), (4, long, "en", "s", 1, 1, "k", 1), (4, long, "en", "s", 1, 1, "k", 1)]
     assert run(spark.createDataFrame(rows, SCHEMA)).count() == 4
+
+
+def test_strings_at_the_end_of_a_passage_spread():
+    """Strings that begin in a passage of all documents and end behind it go to different places, however many there are."""
+    from orrery.llm import suffix_dedup as s
+
+    rnd = random.Random(9)
+    passage = bytes(rnd.randrange(97, 123) for _ in range(300))
+    for n in (200, 800):
+        data = np.frombuffer(b"".join(bytes(rnd.randrange(97, 123) for _ in range(80)) + passage + bytes(rnd.randrange(97, 123) for _ in range(80)) for _ in range(n)), np.uint8)
+        sums = s.prefix_sums(s.BYTE_CODES[data])
+        for before_end in (45, 30, 16):
+            begin = np.arange(n) * 460 + 380 - before_end
+            keys = s.string_keys(sums, np.zeros(n, np.uint64), begin, np.zeros(n, np.int64))
+            assert np.unique(keys, return_counts=True)[1].max() <= 2
+        begin = np.arange(n) * 460 + 100  # inside the passage they are equal, and meet
+        assert len(np.unique(s.string_keys(sums, np.zeros(n, np.uint64), begin, np.zeros(n, np.int64)))) == 1
