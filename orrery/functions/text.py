@@ -136,6 +136,30 @@ def failure_class(text) -> Column:
     return F.when(said.isin("transient", "code_defect"), said).otherwise("unknown")
 
 
+# What an answer without usable content stands for.
+NO_CONTENT, NOT_JSON = "Provider returned no usable text content.", "Provider response was not valid JSON: "
+RETRY_ONCE = "Treat as transient and retry once; escalate if it recurs."
+
+
+def failure_answer(text) -> Column:
+    """struct(classification, reasoning, recommended_action) of a provider's answer: a JSON object, if need be in a fence."""
+    body = fenced_json(text)
+    usable = body.startswith("{") & F.try_parse_json(body).isNotNull()
+    said = lambda name: F.coalesce(F.get_json_object(body, f"$.{name}"), F.lit(""))
+    row = lambda *cells: F.struct(*(c.alias(n) for c, n in zip(cells, ("classification", "reasoning", "recommended_action"), strict=True)))
+    empty = F.coalesce(stripped(text), F.lit("")) == ""
+    return (
+        F.when(empty, row(F.lit("unknown"), F.lit(NO_CONTENT), F.lit(RETRY_ONCE)))
+        .when(usable, row(failure_class(text), said("reasoning"), said("recommended_action")))
+        .otherwise(row(F.lit("unknown"), F.concat(F.lit(NOT_JSON), F.substring(body, 1, 200)), F.lit(RETRY_ONCE)))
+    )
+
+
+def bounded(text, n: int) -> Column:
+    """The first ``n`` characters, as changelogs and errors are kept."""
+    return F.substring(text, 1, n)
+
+
 def disclosure(has_run: Column, mode: Column, tests: Column, types: Column) -> Column:
     """What a patch's last run allows to say of it."""
     ok = lambda c: F.coalesce(c, F.lit(False))

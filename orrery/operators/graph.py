@@ -250,6 +250,17 @@ def wire_midpoint(x1: str, y1: str, z1: str, x2: str, y2: str, z2: str):
     return F.when(F.abs(dy) > 1.2, middle - sag).otherwise(middle + arch)
 
 
+def wire_middle(x1: str, y1: str, z1: str, x2: str, y2: str, z2: str):
+    """struct(x, y, z) of an edge's middle: half-way but for its height."""
+    half = lambda a, b: (F.col(a) + F.col(b)) * 0.5
+    return F.struct(half(x1, x2).alias("x"), wire_midpoint(x1, y1, z1, x2, y2, z2).alias("y"), half(z1, z2).alias("z"))
+
+
+def latest_ready(graphs: DataFrame) -> DataFrame:
+    """``graphs``: id, repo_id, status, created_at.  The last ready one of each repository."""
+    return graphs.where("status = 'ready'").groupBy("repo_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("graph_id"))
+
+
 def relaxed(points: DataFrame, ticks: int = 100, reach: float = 1.6, pull: float = 0.05) -> DataFrame:
     """Files pushed apart within each folder and pulled to its anchor, y fixed: (repo_id, folder, path, x, z, tx, tz).
 

@@ -102,3 +102,35 @@ def release_texts(df: DataFrame) -> DataFrame:
     )
     rows = df.withColumn("_error", error)
     return rows.withColumn("notes", F.when(F.col("_error").isNull(), F.coalesce(given, F.when(npm, readme).otherwise(description))))
+
+
+def directory_verdicts(files: DataFrame, key: str) -> DataFrame:
+    """``files``: key, path, ok.  Files checked, errors, the failed paths in order, and the share that passed in percent."""
+    bad = ~F.col("ok")
+    failed = F.array_join(F.sort_array(F.collect_list(F.when(bad, F.col("path")))), ",")
+    return files.groupBy(key).agg(F.count("*").alias("files_checked"), F.count_if(bad).alias("errors"), failed.alias("failed"), F.bround(F.lit(100.0) * F.count_if("ok") / F.count("*"), 1).alias("pass_rate"))
+
+
+def scan_documents(found: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """The JSON form of a scan of each key: count and usages in order."""
+    usage = F.struct(F.col("path").alias("file_path"), "line_start", "start_byte", "end_byte", "snippet")
+    every = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("path", "start_byte", "end_byte", usage.alias("usage")))).alias("rows"))
+    usages = F.coalesce(F.transform("rows", lambda r: r["usage"]), F.array().cast("array<struct<file_path:string,line_start:int,start_byte:int,end_byte:int,snippet:string>>"))
+    return asked.select(key).distinct().join(every, key, "left").select(key, F.to_json(F.struct(F.size(usages).alias("count"), usages.alias("usages"))).alias("json"))
+
+
+def analysis_lines(requests: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Report of an analysis of each key: (key, exit_code, text).
+
+    ``requests``: key, package, old_version, version, changelog, named.  One that names
+    a changelog which is not there (null) ends with code 2.  ``changes`` has key,
+    position and the columns of changelog changes.
+    """
+    number, symbol = F.row_number().over(Window.partitionBy(key).orderBy("position")), F.concat(F.col("symbol"), F.coalesce(F.concat(F.lit(" -> "), F.nullif("symbol_new", F.lit(""))), F.lit("")))
+    line = F.concat(F.lit("  "), F.col("n").cast("string"), F.lit(". ["), F.upper("change_type"), F.lit("] "), symbol, F.lit(" (confidence: "), F.bround(F.col("confidence") * 100, 0).cast("int").cast("string"), F.lit("%)\n     "), F.col("description"))
+    listed = changes.withColumn("n", number).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("rows"))
+    head = F.concat(F.lit("Breaking change analysis for "), F.col("package"), F.lit(" ("), F.col("old_version"), F.lit(" -> "), F.col("version"), F.lit("):"))
+    body = F.coalesce(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("  No breaking changes detected."))
+    missing = F.col("named").isNotNull() & F.col("changelog").isNull()
+    text = F.when(missing, F.concat(F.lit("Error: changelog file not found: "), F.col("named"))).otherwise(F.concat_ws("\n", head, body))
+    return requests.join(listed, key, "left").select(key, F.when(missing, 2).otherwise(0).alias("exit_code"), text.alias("text"))

@@ -220,3 +220,8 @@ def open_pr_guard(prs: DataFrame, pr_patches: DataFrame, patches: DataFrame) ->
     """Patches that no open pull request holds yet."""
     held = pr_patches.join(prs.where(F.col("status") == "open").select(F.col("id").alias("pr_id")), "pr_id", "left_semi")
     return patches.select(F.col("id").alias("patch_id")).join(held, "patch_id", "left_anti")
+
+
+def of_incident(events: DataFrame, change_id: int) -> DataFrame:
+    """What a client that watches one incident keeps: its events, and those of none."""
+    return events.where(F.col("detected_change_id").isNull() | (F.col("detected_change_id") == change_id))

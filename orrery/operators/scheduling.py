@@ -103,3 +103,8 @@ def due_polls(packages: DataFrame, jobs: DataFrame, now: Column, minutes: int =
     """Packages without a registry poll in the last ``minutes``."""
     recent = jobs.where((F.col("job_type") == "poll_registry") & (F.col("created_at") > now - F.expr(f"interval {minutes} minutes"))).select(F.col("package_id").alias("id"))
     return packages.join(recent, "id", "left_anti")
+
+
+def due_page(jobs: DataFrame, now: Column, offset: int = 0, n: int = 20) -> DataFrame:
+    """One page of the queued jobs that are due, the oldest first."""
+    return jobs.where((F.col("status") == "queued") & (F.col("run_after") <= now)).orderBy("created_at", "id").offset(offset).limit(n)

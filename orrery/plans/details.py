@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import diffs, text
-from ..operators import graph, lookup, reporting as r, scheduling
+from ..operators import graph, local, lookup, reporting as r, scheduling
 from ..sources import readers, sinks
 from ..streaming import graph_updates
 from .bindings import Domain
@@ -122,7 +122,7 @@ def squeezed_text(d: Domain) -> DataFrame:
 
 @query(sql="select doc_id, sha256(left(text, 8000)) as changelog, sha256(left(text, 2000)) as error, sha256(left(text, 200)) as job_error from documents")
 def bounded_texts(d: Domain) -> DataFrame:
-    cut = lambda n: F.sha2(F.substring("text", 1, n), 256)
+    cut = lambda n: F.sha2(text.bounded("text", n), 256)
     return d.table("documents").select("doc_id", cut(text.CHANGELOG_CHARS).alias("changelog"), cut(text.ERROR_CHARS).alias("error"), cut(text.JOB_ERROR_CHARS).alias("job_error"))
 
 
@@ -216,13 +216,12 @@ def file_incidents(d: Domain) -> DataFrame:
 
 @query("analysis_runs", "select repo_id, arg_max(id, (created_at, id)) as graph_id from analysis_runs where score % 4 > 0 group by repo_id")
 def latest_ready_graph(d: Domain) -> DataFrame:
-    return d.analysis_runs.where("score % 4 > 0").groupBy("repo_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("graph_id"))
+    return graph.latest_ready(d.analysis_runs.withColumn("status", F.expr("if(score % 4 > 0, 'ready', 'failed')")))
 
 
 @query("atlas_nodes", "select repo_id, count(*) as files_checked, count(*) filter (unresolved > 0) as errors, coalesce(array_to_string(list_sort(list(path) filter (unresolved > 0)), ','), '') as failed, round_even(100.0::double * count(*) filter (unresolved = 0) / count(*), 1) as pass_rate from atlas_nodes group by repo_id")
 def directory_verdicts(d: Domain) -> DataFrame:
-    bad = F.col("unresolved") > 0
-    return d.atlas_nodes.groupBy("repo_id").agg(F.count("*").alias("files_checked"), F.count_if(bad).alias("errors"), F.array_join(F.sort_array(F.collect_list(F.when(bad, F.col("path")))), ",").alias("failed"), F.bround(F.lit(100.0) * F.count_if(~bad) / F.count("*"), 1).alias("pass_rate"))
+    return local.directory_verdicts(d.atlas_nodes.select("repo_id", "path", (F.col("unresolved") == 0).alias("ok")), "repo_id")
 
 
 @query(sql="""select doc_id, case when doc_id % 4 = 3 then null else substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) end as repo_id, case when doc_id % 2 = 0 then '{}' else lang end as payload from (select *, md5(doc_id::varchar) as h from documents)""")
@@ -257,8 +256,7 @@ def importers_of_added(d: Domain) -> DataFrame:
 
 @query("incident_events", "select id, event_type from incident_events where detected_change_id is null or detected_change_id = 15")
 def live_events(d: Domain) -> DataFrame:
-    """What a client that watches one incident keeps: its events, and those of none."""
-    return d.incident_events.where(F.col("detected_change_id").isNull() | (F.col("detected_change_id") == 15)).select("id", "event_type")
+    return r.of_incident(d.incident_events, 15).select("id", "event_type")
 
 
 @query("jobs", """select id, case job_type when 'poll_registry' then 'extract_changes' when 'scan_repo' then 'generate_patch' end as next_stage from jobs where status = 'done'""")
@@ -274,9 +272,7 @@ def due_polls(d: Domain) -> DataFrame:
 
 @query("atlas_nodes", "select repo_id, path, min(place) as place from (select repo_id, path, 1 as place from atlas_nodes where node % 5 = 0 union all select repo_id, path, 2 from atlas_nodes where node % 3 = 0 union all select repo_id, path, 3 from atlas_nodes where node % 2 = 0) group by all")
 def reparse_order(d: Domain) -> DataFrame:
-    """Added, then modified, then importing files, each once."""
-    rows = [d.atlas_nodes.where(f"node % {n} = 0").select("repo_id", "path", F.lit(k).alias("place")) for k, n in ((1, 5), (2, 3), (3, 2))]
-    return rows[0].union(rows[1]).union(rows[2]).groupBy("repo_id", "path").agg(F.min("place").alias("place"))
+    return graph_updates.reparse_order(*(d.atlas_nodes.where(f"node % {n} = 0") for n in (5, 3, 2)))
 
 
 @query()

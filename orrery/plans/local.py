@@ -25,7 +25,7 @@ def _files(d: Domain) -> DataFrame:
 CALLED = f"called as (select repo_id, {PLACE} as path, case when path like '%.py' then 'wire.send(' || node || ')' else 'send(' || node || ')' end as snippet from atlas_nodes where node % 11 > 0 and node % 8 > 2 and {READ})"
 
 
-def _scanned(d: Domain) -> DataFrame:
+def scanned(d: Domain) -> DataFrame:
     """Call sites by repository: its id goes in front of the path while files are scanned."""
     found = local.scan(_files(d).withColumn("path", F.concat_ws("/", F.col("repo_id").cast("string"), "path")), "send", "wire")
     return found.select(F.split("path", "/", 2)[0].cast("long").alias("repo_id"), F.split("path", "/", 2)[1].alias("path"), "line_start", "start_byte", "end_byte", "snippet")
@@ -33,12 +33,12 @@ def _scanned(d: Domain) -> DataFrame:
 
 @query("atlas_nodes repos", f"with {CALLED} select r.id as repo_id, count(c.path) as found, case when count(c.path) > 0 then 0 else 1 end as exit_code from repos r left join called c on c.repo_id = r.id group by r.id")
 def scan_status(d: Domain) -> DataFrame:
-    return local.scan_status(_scanned(d), d.repos.select(F.col("id").alias("repo_id")), "repo_id")
+    return local.scan_status(scanned(d), d.repos.select(F.col("id").alias("repo_id")), "repo_id")
 
 
 @query("atlas_nodes", f"with {CALLED} select repo_id, n, '  ' || n || '. ' || path || ':2: ' || snippet as line from (select *, row_number() over (partition by repo_id order by path) as n from called)")
 def scan_lines(d: Domain) -> DataFrame:
-    return local.scan_lines(_scanned(d), "repo_id")
+    return local.scan_lines(scanned(d), "repo_id")
 
 
 @query("atlas_nodes repos", f"""with read as (select repo_id, {PLACE} as path, node % 11 > 0 as parses from atlas_nodes where node % 8 > 1 and {READ}), seen as (select repo_id, count(*) as files_checked, count(*) filter (not parses) as parse_errors, min(path) filter (not parses) as first_error from read group by repo_id),

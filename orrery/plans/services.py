@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import callsites, diffs, imports, text
-from ..operators import graph, lookup, reporting, scoring
+from ..functions import callsites, changelog, diffs, imports, text
+from ..operators import graph, local, lookup, reporting, scheduling, scoring
 from ..sources import payloads, sinks
 from ..sources.scratch import new_path
 from .bindings import Domain
-from .fixtures import FITS, candidates, source_tree
+from .fixtures import CHANGELOG, FITS, candidates, source_tree
+from .local import CALLED, scanned
 from .details import grounded_advice  # noqa: F401  (its statement is below)
 from .queries import NOW, ORACLES, query
 
@@ -168,6 +169,45 @@ def repo_policies(d: Domain) -> DataFrame:
     return sinks.partial_update(d.repos.select("id", "requires_tests", "requires_typecheck", "is_active"), patch)
 
 
+@query(sql=f"""with t as (select doc_id, lang, regexp_replace(text, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') as body from documents)
+    select doc_id, case when doc_id % 3 = 0 and doc_id % 2 = 0 then 'transient' else 'unknown' end as classification, sha256(case when doc_id % 3 = 0 then lang when doc_id % 3 = 2 then '{text.NOT_JSON}["' || lang || '"]' when body = '' then '{text.NO_CONTENT}' else '{text.NOT_JSON}' || left(body, 200) end) as reasoning,
+    case when doc_id % 3 = 0 then 'do ' || doc_id else '{text.RETRY_ONCE}' end as action from t""")
+def failure_answers(d: Domain) -> DataFrame:
+    """Answers from whole texts: a third JSON objects in fences, a third the text itself, a third JSON lists."""
+    answer = """case doc_id % 3 when 0 then concat('ok\n```json\n{"classification":"', if(doc_id % 2 = 0, 'transient', 'odd'), '","reasoning":"', lang, '","recommended_action":"do ', doc_id, '"}\n```') when 1 then text else concat('["', lang, '"]') end"""
+    rows = d.table("documents").selectExpr("doc_id", f"{answer} as answer").select("doc_id", text.failure_answer("answer").alias("a"))
+    return rows.select("doc_id", F.col("a.classification").alias("classification"), F.sha2("a.reasoning", 256).alias("reasoning"), F.col("a.recommended_action").alias("action"))
+
+
+@query(sql=f"""with c as ({ORACLES['changelog_changes']}), l as (select id, string_agg('  ' || n || '. [' || upper(change_type) || '] ' || symbol || coalesce(' -> ' || symbol_new, '') || ' (confidence: ' || round_even(confidence * 100, 0)::int || '%)' || chr(10) || '     ' || description, chr(10) order by n) as body
+    from (select *, row_number() over (partition by id order by position) as n from c) group by id)
+    select p_partkey as id, case when p_partkey % 7 = 0 then 2 else 0 end as exit_code, case when p_partkey % 7 = 0 then 'Error: changelog file not found: c' || p_partkey else 'Breaking change analysis for ' || p_name || ' (1.0 -> 2.' || p_size || '):' || chr(10) || case when p_partkey % 5 = 0 then '  No breaking changes detected.' else body end end as text
+    from part left join l on l.id = p_partkey""")
+def analysis_reports(d: Domain) -> DataFrame:
+    """Every seventh request names a changelog that is not there, every fifth an empty one."""
+    rows = d.table("part").selectExpr("p_partkey as id", "p_name as package", "'1.0' as old_version", "concat('2.', p_size) as version", f"case when p_partkey % 7 = 0 then null when p_partkey % 5 = 0 then '' else {CHANGELOG} end as changelog", "concat('c', p_partkey) as named")
+    return local.analysis_lines(rows, changelog.changelog_changes(rows.where("changelog is not null").select("id", "changelog")), "id")
+
+
+@query("atlas_nodes repos", f"""with {CALLED}, u as (select repo_id, path, case when path like '%.py' then 12 else length('import {{ send }} from ''wire'';' || chr(10)) end as start_byte, snippet from called)
+    select r.id as repo_id, '{{"count":' || count(path) || ',"usages":[' || coalesce(string_agg('{{"file_path":"' || path || '","line_start":2,"start_byte":' || start_byte || ',"end_byte":' || (start_byte + length(snippet)) || ',"snippet":"' || snippet || '"}}', ',' order by path), '') || ']}}' as json from repos r left join u on u.repo_id = r.id group by r.id""")
+def scan_documents(d: Domain) -> DataFrame:
+    return local.scan_documents(scanned(d), d.repos.select(F.col("id").alias("repo_id")), "repo_id")
+
+
+@query("jobs", f"select id, attempts from jobs where status = 'queued' and run_after <= {NOW} order by created_at, id limit 20 offset 40")
+def due_page(d: Domain) -> DataFrame:
+    return scheduling.due_page(d.jobs, F.expr(NOW.replace("timestamp", "timestamp_ntz")), 40).select("id", "attempts")
+
+
+@query(sql="""select l_orderkey, l_linenumber, greatest(0.3, least(1.2, l_quantity / 80.0))::double as radius, (l_discount * 50)::double as x, (l_quantity * 0.5)::double as z from lineitem""")
+def scene_sizes(d: Domain) -> DataFrame:
+    """Radius of call sites of that many lines, and the horizontal middle of wires to the origin."""
+    rows = d.table("lineitem").selectExpr("l_orderkey", "l_linenumber", "0 as line_start", "l_quantity as line_end", "0.0d as zero", "l_discount * 100 as x2", "l_tax * 20 as y2", "l_quantity as z2")
+    middle = graph.wire_middle("zero", "zero", "zero", "x2", "y2", "z2")
+    return rows.select("l_orderkey", "l_linenumber", lookup.node_radius("line_start", "line_end").cast("double").alias("radius"), middle["x"].cast("double").alias("x"), middle["z"].cast("double").alias("z"))
+
+
 ADVISED = f"""with found as ({ORACLES['findings']}), g as (select repo_id as id, list(lower(concat_ws(' ', title, why, what))) as texts, list(what) || case when repo_id % 2 = 0 then ['Break the import cycle in src/invented.ts'] else [] end as advice,
     flatten(list(case when contains(link, 'focus=') then [regexp_extract(link, 'focus=([^&]*)', 1)] else [] end || list_transform(list_filter(string_split_regex(title, '\\s+'), lambda w: w <> '' and (contains(w, '/') or regexp_matches(w, '\\.(ts|js|py|go|rs|json)$'))), lambda w: regexp_replace(w, '^[`''",():]+|[`''",():]+$', '', 'g')))) as files from found group by repo_id),
     a as (select id, texts, files, unnest(advice) as item from g),

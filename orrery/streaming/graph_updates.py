@@ -160,3 +160,9 @@ def incremental(graph: Graph, tree: DataFrame, removed: DataFrame) -> Increment:
     stale = touched.union(again).select("repo_id", F.col("path").alias("source_path")).distinct()
     after = Graph(nodes, kept.unionByName(own), graph.edges.join(stale, ["repo_id", "source_path"], "left_anti").unionByName(edges.select(*graph.edges.columns)), kept_tokens.unionByName(tokens_of(own)), maps)
     return Increment(after, Graph._fields if shape.remapped else tuple(n for n in Graph._fields if n != "maps"), touched, again)
+
+
+def reparse_order(added: DataFrame, modified: DataFrame, importers: DataFrame) -> DataFrame:
+    """(repo_id, path, place): added, then modified, then importing files, each once at its first place."""
+    rows = [files.select(*KEYS, F.lit(place).alias("place")) for place, files in enumerate((added, modified, importers), 1)]
+    return rows[0].union(rows[1]).union(rows[2]).groupBy(*KEYS).agg(F.min("place").alias("place"))
