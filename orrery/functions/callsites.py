@@ -222,13 +222,13 @@ def parses(path: str, source: str) -> bool | None:
     return not stack
 
 
-def call_sites(df: DataFrame) -> DataFrame:
-    """``df``: path, source, symbol, package, import_names.  One row per call site."""
+def call_sites(df: DataFrame, capitals: bool = False) -> DataFrame:
+    """``df``: path, source, symbol, package, import_names.  One row per call site; ``capitals`` as for ``scanned_calls``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame(
-                {"path": f.path, "symbol": f.symbol, "package": f.package, "found": [find_calls(p, s or "", y, k, tuple(n) if n is not None else ()) for p, s, y, k, n in zip(f.path, f.source, f.symbol, f.package, f.import_names, strict=True)]}
+                {"path": f.path, "symbol": f.symbol, "package": f.package, "found": [find_calls(p, s or "", y, k, tuple(n) if n is not None else (), capitals) for p, s, y, k, n in zip(f.path, f.source, f.symbol, f.package, f.import_names, strict=True)]}
             )
 
     found = df.select("path", "source", "symbol", "package", "import_names").mapInPandas(run, f"path string, symbol string, package string, found {TYPE}")

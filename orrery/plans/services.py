@@ -130,6 +130,32 @@ def covered_symbols(d: Domain) -> DataFrame:
     return callsites.covered_by_tests(sources)
 
 
+# A file in each language with one call that counts and one of another package: ending, text before the call, the call, text behind it, symbol, package.
+CALLING = (
+    (".go", 'package main\\nimport "acme/wire"\\nfunc main() {\\n\\t', "wire.Send({})", "\\n\\tother.Send(2)\\n}\\n", "Send", "acme/wire"),
+    (".rs", "use wire::Client;\\nfn main() {\\n    ", "Client::send({})", ";\\n    Other::send(2);\\n}\\n", "send", "wire"),
+    (".java", "import acme.wire.Client;\\nclass A { void b() {\\n  ", "Client.send({})", ";\\n  Other.send(2);\\n} }\\n", "send", "acme.wire"),
+    (".rb", "require 'wire'\\n", "Wire.send({})", "\\nOther.send(2)\\n", "send", "wire"),
+    (".cs", "using Acme.Wire;\\nclass A { void B() {\\n  ", "Client.Send({})", ";\\n  other.Send(2);\\n} }\\n", "Send", "Acme.Wire"),
+    (".js", "const { send: go } = require('wire');\\n", "go({})", ";\\nsend(2);\\n", "send", "wire"),
+)
+
+
+def called(language: int) -> tuple[int, int]:
+    """Line and first byte of the call."""
+    before = CALLING[language][1].replace("\\n", "\n").replace("\\t", "\t")
+    return before.count("\n") + 1, len(before)
+
+
+@query(sql=f"""with l as (select * from (values {", ".join(f"({i}, '{x[0]}', '{x[4]}', '{x[5]}', '{x[2].split('{}')[0]}', {called(i)[0]}, {called(i)[1]})" for i, x in enumerate(CALLING))}) as t(i, ending, symbol, package, head, line, start))
+    select 'p' || p_partkey || ending as path, symbol, package, line as line_start, start as start_byte, (start + length(head || p_size || ')'))::int as end_byte, head || p_size || ')' as snippet from part join l on i = p_partkey % {len(CALLING)}""")
+def language_calls(d: Domain) -> DataFrame:
+    quoted = lambda text: "'" + text.replace("'", "\\'") + "'"
+    pick = lambda at: f"element_at(array({', '.join(quoted(x[at]) for x in CALLING)}), cast(p_partkey % {len(CALLING)} as int) + 1)"
+    sources = d.table("part").selectExpr(f"concat('p', p_partkey, {pick(0)}) as path", f"concat({pick(1)}, replace({pick(2)}, '{{}}', p_size), {pick(3)}) as source", f"{pick(4)} as symbol", f"{pick(5)} as package", "cast(null as array<string>) as import_names")
+    return callsites.call_sites(sources, capitals=True).drop("line_end")
+
+
 @query("atlas_edges", "select distinct repo_id, source_path, target_path from atlas_edges where source_path not like '%.md' and target_path not like '%.py'")
 def known_edges(d: Domain) -> DataFrame:
     """Edges from nodes that are known as sources to nodes that are known as targets."""
