@@ -94,6 +94,19 @@ def run_summaries(d: Domain) -> DataFrame:
     return scoring.summaries(scores, scoring.findings(scores)).select("repo_id", "executive_summary", F.array_join("do_this_first", "\n").alias("do_this_first"))
 
 
+@query(sql=f"""with found as ({ORACLES['findings']}), scores as ({ORACLES['repo_scores']}), summed as ({SUMMED}), number as (select *, coalesce(verification::varchar, 'null') as v, coalesce(structure::varchar, 'null') as s, coalesce(dependency::varchar, 'null') as p, coalesce(change_safety::varchar, 'null') as c from scores),
+    f as (select repo_id, count(*) as n, string_agg('{{"severity":"' || severity || '","title":"' || title || '","what_to_do":"' || what || '"}}', ',' order by rule) as listed from found group by repo_id)
+    select repo_id, 'h' || repo_id as head_sha, score, '{{"structure":' || s || ',"dependency":' || p || ',"change_safety":' || c || ',"verification":' || v || '}}' as sub_scores, sha256('[' || coalesce(listed, '') || ']') as findings, executive_summary, do_this_first from number left join f using (repo_id) join summed using (repo_id)""")
+def run_records(d: Domain) -> DataFrame:
+    """Run records are appended as one batch, twice, and read back."""
+    scores, path = _scored(d), new_path(d.spark, "run-records")
+    records = scoring.run_records(scores.withColumn("head", F.concat(F.lit("h"), F.col("repo_id").cast("string"))), scoring.findings(scores), "head", F.expr(NOW))
+    for _ in range(2):
+        sinks.append_once(records, path, 7)
+    stored = d.spark.read.parquet(path)
+    return stored.select("repo_id", "head_sha", "score", "sub_scores", F.sha2("findings", 256).alias("findings"), "executive_summary", F.array_join("do_this_first", "\n").alias("do_this_first"))
+
+
 @query("analysis_runs", "select id, repo_id, score, coalesce(score - lag(score) over (partition by repo_id order by created_at, id), 0) as delta, id % 3 as batch from analysis_runs")
 def stored_runs(d: Domain) -> DataFrame:
     """Runs are appended in three batches, two of them twice; the table that is read back has each once."""

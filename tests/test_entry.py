@@ -23,7 +23,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["tenant_scope", "stats_summary", "activity_feed", "incident_snapshot", "verdict_rollup", "repo_scores", "findings", "scc_count", "fair_dequeue", "folder_closure", "patches_confidence_asc", "check_run_conclusion", "publish_decision", "registry_latest", "patch_gates", "importers_of_added", "changelog_changes", "call_sites", "resolve_imports", "best_of_n"])
+@pytest.mark.parametrize("name", ["tenant_scope", "stats_summary", "activity_feed", "incident_snapshot", "verdict_rollup", "repo_scores", "findings", "scc_count", "fair_dequeue", "folder_closure", "patches_confidence_asc", "check_run_conclusion", "publish_decision", "registry_latest", "patch_gates", "importers_of_added", "changelog_changes", "call_sites", "resolve_imports", "best_of_n", "graph_push", "stage_machine", "incident_reducer", "rate_limit", "pr_transitions", "language_calls", "analysis_reports", "grounded_advice", "run_records", "push_payloads", "webhook_signatures", "graph_document", "blast_radius"])
 def test_oracle(spark, name):
     c = duckdb.connect()
     for t in os.listdir(FOLDER):
