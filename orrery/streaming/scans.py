@@ -9,8 +9,11 @@ range before ends in another one, until all agree.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -50,10 +53,23 @@ def running(rows: DataFrame, keys: list[str], order: list[str], columns: dict[st
     return joined.select(*(both[c].alias(c) if c in both else F.col(c) for c in own.columns))
 
 
-def folded(rows: DataFrame, key: str, order: list[str], schema: str, step: Callable[[list[float], object], tuple[list[float], tuple]], state: str = "array<double>") -> DataFrame:
-    """``step(state, row)``, the state after a row and what the row gives, over the rows of each key in order; a state is a list, empty at first.
+def by_row(step: Callable[[list[float], object], tuple[list[float], tuple]]) -> Callable:
+    """``folded``'s step from one that takes a single row: ``step(state, row)`` gives the state after it and a tuple."""
 
-    ``rows`` come from ``ranged`` by the key and order.  A range's first key may go on from the range
+    def over(held: list[float], columns: dict[str, np.ndarray]) -> tuple[list[float], list]:
+        row, given = namedtuple("Row", columns), []
+        for values in zip(*(c.tolist() for c in columns.values()), strict=True):
+            held, out = step(held, row(*values))
+            given.append(out)
+        return held, list(zip(*given, strict=True))
+
+    return over
+
+
+def folded(rows: DataFrame, key: str, order: list[str], schema: str, step: Callable[[list[float], dict[str, np.ndarray]], tuple[list[float], list]], state: str = "array<double>") -> DataFrame:
+    """``step(state, columns)``, over the rows of each key in order: the state after some rows and what they give, column by column; a state is a list, empty at first.
+
+    A key's rows come in pieces of any size.  ``rows`` come from ``ranged`` by the key and order.  A range's first key may go on from the range
     before: ranges that begin and end with one key depend on it.  All are folded from an empty
     state at first; then those whose true beginning differs are folded again, at the same
     time, until no end changes.  Where states forget (a limiter's window) this takes few rounds.
@@ -61,32 +77,38 @@ def folded(rows: DataFrame, key: str, order: list[str], schema: str, step: Calla
     names = StructType.fromDDL(schema).names
     kind = rows.schema[key].dataType.simpleString()
     ends_schema = f"_range int, first {kind}, last {kind}, end {state}"
+    given_names = [c for c in rows.columns if c != "_range"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def fold(emit: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at, now, first, held, begun = None, None, None, [], []
             ends, fresh = [], True
             for f in frames:
-                out = []
-                for row in f.itertuples(index=False):
-                    if row.Index_ != at:
+                out = [[] for _ in names]
+                columns = {c: f[c].to_numpy() for c in given_names}
+                index, states, codes = f["Index_"].to_numpy(), f["is_state"].to_numpy(dtype=bool), pd.factorize(f[key])[0]
+                cut = (index[1:] != index[:-1]) | (codes[1:] != codes[:-1]) | states[1:] | states[:-1]
+                bounds = [0, *(np.flatnonzero(cut) + 1).tolist(), len(f)] if len(f) else []
+                for a, b in pairwise(bounds):
+                    if index[a] != at:
                         if at is not None:
                             ends.append((at, first, now, held))
-                        at, fresh, begun, held = row.Index_, True, [], []
-                    if row.is_state:
-                        begun = list(row.begun)
+                        at, fresh, begun, held = int(index[a]), True, [], []
+                    if states[a]:
+                        begun = list(f["begun"].iat[a])
                         continue
-                    k = getattr(row, key)
-                    k = None if pd.isna(k) else k
+                    k = None if codes[a] < 0 else columns[key][a : a + 1].tolist()[0]
                     if fresh:
                         first, now, held, fresh = k, k, begun, False
                     elif k != now:
                         now, held = k, []
-                    held, given = step(held, row)
-                    if emit:
-                        out.append(given)
+                    held, given = step(held, {c: x[a:b] for c, x in columns.items()})
+                    for whole, part in zip(out, given, strict=True) if emit else ():
+                        whole.append(part)
                 if emit:
-                    yield pd.DataFrame(out, columns=names)
+                    joined = (np.concatenate(x) if x and isinstance(x[0], np.ndarray) else [v for part in x for v in part] for x in out)
+                    yield pd.DataFrame(dict(zip(names, joined, strict=True)), columns=names)
             if not emit:
                 if at is not None:
                     ends.append((at, first, now, held))
@@ -98,7 +120,7 @@ def folded(rows: DataFrame, key: str, order: list[str], schema: str, step: Calla
         shaped = some.withColumn("is_state", F.lit(False)).withColumn("begun", F.lit(None).cast(state))
         if starts is not None:
             shaped = shaped.unionByName(starts.select("_range", F.lit(True).alias("is_state"), "begun"), allowMissingColumns=True)
-        dealt = shaped.withColumnRenamed("_range", "Index_").repartition("Index_").sortWithinPartitions("Index_", F.desc("is_state"), key, *order)
+        dealt = shaped.withColumnRenamed("_range", "Index_").repartitionById(tasks, F.col("Index_")).sortWithinPartitions("Index_", F.desc("is_state"), key, *order)
         return dealt.mapInPandas(fold(emit), schema if emit else ends_schema)
 
     ends = written(over(rows, None, False), "ends")

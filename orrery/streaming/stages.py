@@ -99,7 +99,7 @@ def staged(facts: DataFrame, until: float | None = None, rules: Rules | None = N
 
     kind = facts.schema["job"].dataType.simpleString()
     ranged = scans.ranged(rows.withColumn("last", F.col("kind") == "end"), ["job"], ["at", "last", "id"], parts)
-    folded = scans.folded(ranged, "job", ["at", "last", "id"], f"job {kind}, seen array<struct<{TRANSITION}>>", step)
+    folded = scans.folded(ranged, "job", ["at", "last", "id"], f"job {kind}, seen array<struct<{TRANSITION}>>", scans.by_row(step))
     return folded.select("job", F.inline("seen"))
 
 

@@ -10,6 +10,7 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,6 +38,27 @@ class Limiter:
         self.hits.append(now)
         return True, 0
 
+    def run(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``hit`` of each of ascending times: the work follows the accepted ones, what is rejected between two of them is found by bisection."""
+        if np.isnan(times).any():
+            got = [self.hit(t) for t in times.tolist()]
+            return np.array([a for a, _ in got]), np.array([w for _, w in got])
+        accepted, wait = np.zeros(len(times), bool), np.zeros(len(times), np.int64)
+        since = times - self.window  # hits up to here are out of the window
+        i = 0
+        while i < len(times):
+            while self.hits and self.hits[0] <= since[i]:
+                self.hits.popleft()
+            if len(self.hits) < self.limit:
+                accepted[i] = True
+                self.hits.append(float(times[i]))
+                i += 1
+            else:
+                end = i + int(np.searchsorted(since[i:], self.hits[0]))
+                wait[i:end] = np.maximum(1, np.ceil(self.hits[0] + self.window - times[i:end]))
+                i = end
+        return accepted, wait
+
 
 class Incident:
     """States of an incident's usages with running counts."""
@@ -69,10 +91,10 @@ def rate_limited(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW_SEC
     many of them; what a range passes on is at most ``limit`` times.
     """
 
-    def step(times, row):
+    def step(times, columns):
         limiter = Limiter(limit, window, times)
-        given = limiter.hit(float(row.ts))
-        return list(limiter.hits), (row.id, row.client, *given)
+        given = limiter.run(columns["ts"])
+        return list(limiter.hits), [columns["id"], columns["client"], *given]
 
     kind = hits.schema["client"].dataType.simpleString()
     rows = scans.ranged(hits.select("id", "client", F.col("ts").cast("double").alias("ts")), ["client"], ["ts", "id"], parts)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.streaming import scans, stateful
@@ -23,6 +24,20 @@ def test_one_client_over_many_ranges(spark):
     assert got == want and len({a for a, _ in got.values()}) == 2
 
 
+def test_limiter_over_many_hits(spark, monkeypatch):
+    """Of 20,000 hits of one client few are accepted; the others are not taken one by one."""
+    rnd = random.Random(6)
+    times = np.sort(np.round([rnd.random() * 900 + 1.7e9 for _ in range(20_000)], 3))
+    whole, single = stateful.Limiter(4, 20.1), stateful.Limiter(4, 20.1)
+    want = [single.hit(t) for t in times.tolist()]
+    monkeypatch.setattr(stateful.Limiter, "hit", None)
+    accepted, wait = zip(*(whole.run(part) for part in np.split(times, [1, 500, 501, 7000])), strict=True)
+    assert list(zip(np.concatenate(accepted).tolist(), np.concatenate(wait).tolist(), strict=True)) == want
+    assert whole.hits == single.hits and all(type(h) is float for h in whole.hits)
+    hits = spark.createDataFrame([(i, "c", t) for i, t in enumerate(times.tolist())], "id long, client string, ts double")
+    assert [(r.accepted, r.retry_after) for r in stateful.rate_limited(hits, 4, 20.1, parts=3).orderBy("id").collect()] == want
+
+
 def test_reducer_merges_runs(spark):
     rnd, rows = random.Random(4), []
     kinds = [*stateful.Incident.AFTER, "pr_opened", "usage_found", "validation_passed", "other"]
