@@ -27,6 +27,7 @@ PY_SUFFIXES = ("", ".py", "/__init__.py")
 DOTTED_SUFFIXES = ("", ".go", ".rs", ".java", ".c", ".h", ".cpp", ".hpp", ".rb", ".php")
 PLAIN_SUFFIXES = ("", ".c", ".h", ".cpp", ".hpp", ".rb", ".php")
 CRATE_SUFFIXES = (".rs", "/mod.rs")
+SUFFIXES = {"js": JS_SUFFIXES, "python": PY_SUFFIXES, "dotted": DOTTED_SUFFIXES, "crate": CRATE_SUFFIXES, "plain": PLAIN_SUFFIXES}
 PARSED_BYTES = 2_000_000
 FILE_LIMIT = 6000
 
@@ -137,39 +138,55 @@ def aliases(nodes: DataFrame) -> DataFrame:
     return joined.select("repo_id", "config_dir", F.regexp_replace("pattern", r"[/*]+$", "").alias("prefix"), normalized("_whole").alias("target"), "place")
 
 
-def candidates(specs: DataFrame, maps: DataFrame | None) -> DataFrame:
-    """Paths to try for each specifier, by rank; the caller joins them to the nodes and takes the least rank found."""
+def bases(specs: DataFrame, maps: DataFrame | None) -> DataFrame:
+    """(repo_id, path, spec, kind, place, base): what a specifier may mean but for a suffix of its kind; the least place comes first, there the suffixes in their order."""
     js, generic = F.col("language").isin("typescript", "tsx", "javascript"), F.col("language").isin("rust", "java", "c", "cpp", "ruby", "php", "go")
     specs = specs.withColumn("folder", dirname("path")).withColumn("clean", F.regexp_replace("spec", "^[<\"']+|[>\"']+$", ""))
     specs = specs.withColumn("_joined", F.concat_ws("/", "folder", "clean")).withColumn("beside", normalized("_joined"))
     dots = F.length(F.regexp_extract("spec", r"^\.*", 0))
     up = F.concat_ws("/", "folder", F.array_join(F.array_repeat(F.lit(".."), dots - 1), "/"), F.translate(F.regexp_replace("spec", r"^\.+", ""), ".", "/"))
     specs = specs.withColumn("_up", F.when(dots > 0, up)).withColumn("above", normalized("_up"))
-    listed = lambda suffixes: ", ".join(f"'{s}'" for s in suffixes)
-    tries = lambda base, suffixes: F.expr(f"transform(array({listed(suffixes)}), s -> concat({base}, s))")
+    tries = lambda kind, *bases: F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("place"), F.expr(base).alias("base")) for i, base in enumerate(bases)))
     relative = F.col("clean").startswith(".")
     crate = "replace(translate(regexp_replace(clean, '^crate::', ''), ':', '/'), '//', '/')"
-    paths = (
-        F.when(js & relative, tries("beside", JS_SUFFIXES))
-        .when((F.col("language") == "python") & (dots > 0), tries("above", PY_SUFFIXES))
-        .when(F.col("language") == "python", tries("translate(spec, '.', '/')", PY_SUFFIXES))
-        .when(generic & relative, tries("beside", DOTTED_SUFFIXES))
-        .when((F.col("language") == "rust") & F.col("clean").startswith("crate::"), F.concat(tries(f"concat('src/', {crate})", CRATE_SUFFIXES), tries(crate, CRATE_SUFFIXES)))
-        .when(F.col("language").isin("c", "cpp", "ruby", "php"), tries("beside", PLAIN_SUFFIXES))
+    ways = (
+        F.when(js & relative, tries("js", "beside"))
+        .when((F.col("language") == "python") & (dots > 0), tries("python", "above"))
+        .when(F.col("language") == "python", tries("python", "translate(spec, '.', '/')"))
+        .when(generic & relative, tries("dotted", "beside"))
+        .when((F.col("language") == "rust") & F.col("clean").startswith("crate::"), tries("crate", f"concat('src/', {crate})", crate))
+        .when(F.col("language").isin("c", "cpp", "ruby", "php"), tries("plain", "beside"))
     )
     keys = ["repo_id", "path", "spec"]
-    direct = specs.select(*keys, F.posexplode(paths).alias("rank", "target_path"))
+    direct = specs.select(*keys, F.explode(ways).alias("w")).select(*keys, "w.*")
     if maps is None:
         return direct
-    # the nearest tsconfig above the file, then its aliases in order
-    bare = specs.where(js & ~relative)
-    near = bare.join(maps.select("repo_id", "config_dir").distinct(), "repo_id").where((F.col("config_dir") == "") | (F.col("folder") == F.col("config_dir")) | F.col("folder").startswith(F.concat("config_dir", F.lit("/"))))
-    near = near.groupBy(*keys).agg(F.max_by("config_dir", F.length("config_dir")).alias("config_dir"))
-    mapped = near.join(maps, ["repo_id", "config_dir"]).where((F.col("spec") == F.col("prefix")) | F.col("spec").startswith(F.concat("prefix", F.lit("/"))))
+    # The nearest tsconfig above the file, then its aliases in order; a repository's maps, from at most as many files as are kept, meet its specifiers in one row.
+    tables = maps.groupBy("repo_id").agg(F.collect_list(F.struct("config_dir", "prefix", "target", "place")).alias("_maps"))
+    near = specs.where(js & ~relative).select(*keys, "folder").join(tables, "repo_id")
+    near = near.withColumn("_maps", F.expr("filter(_maps, m -> m.config_dir = '' or folder = m.config_dir or startswith(folder, concat(m.config_dir, '/')))"))
+    near = near.withColumn("_depth", F.expr("array_max(transform(_maps, m -> length(m.config_dir)))"))
+    mapped = near.select(*keys, F.explode(F.expr("filter(_maps, m -> length(m.config_dir) = _depth and (spec = m.prefix or startswith(spec, concat(m.prefix, '/'))))")).alias("m")).select(*keys, "m.*")
     rest = F.regexp_replace(F.expr("substring(spec, length(prefix) + 1)"), "^/+", "")
     mapped = mapped.withColumn("_whole", F.concat_ws("/", "target", rest)).withColumn("base", normalized("_whole"))
-    aliased = mapped.select(*keys, "place", F.posexplode(tries("base", JS_SUFFIXES)).alias("n", "target_path")).select(*keys, (F.col("place") * 100 + F.col("n")).alias("rank"), "target_path")
-    return direct.union(aliased)
+    return direct.union(mapped.select(*keys, F.lit("js"), "place", "base"))
+
+
+def stems(known: DataFrame) -> DataFrame:
+    """(repo_id, base, ends): the paths (repo_id, target_path) without each suffix that they end in; ``ends`` has the suffixes by which a base is a path."""
+    every = F.array(*(F.lit(s) for s in sorted(set().union(*SUFFIXES.values()))))
+    cut = known.select("repo_id", "target_path", F.explode(F.filter(every, lambda s: F.endswith(F.col("target_path"), s))).alias("suffix"))
+    return cut.groupBy("repo_id", F.expr("substring(target_path, 1, length(target_path) - length(suffix))").alias("base")).agg(F.collect_set("suffix").alias("ends"))
+
+
+def direct_hits(specs: DataFrame, maps: DataFrame | None, known: DataFrame) -> DataFrame:
+    """(repo_id, path, spec, target_path): the first path that a specifier means.  The paths bring their suffixes, so a specifier is one row for each base."""
+    suffixes = None
+    for kind, tried in SUFFIXES.items():
+        hit = F.col("kind") == kind
+        suffixes = (F if suffixes is None else suffixes).when(hit, F.array(*map(F.lit, tried)))
+    found = bases(specs, maps).join(stems(known), ["repo_id", "base"]).withColumn("suffix", F.get(F.filter(suffixes, lambda s: F.array_contains("ends", s)), F.lit(0)))
+    return found.where("suffix is not null").groupBy("repo_id", "path", "spec").agg(F.min_by(F.concat("base", "suffix"), "place").alias("target_path"))
 
 
 def substrings(paths: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,13 +212,13 @@ def inside_paths(specs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def resolved(nodes: DataFrame, specs: DataFrame, maps: DataFrame | None, go: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved): equi-joins of candidates and node paths.
+    """(edges, unresolved): equi-joins of specifiers and node paths.
 
     A caller who knows that there are no path maps, or no Go files, says so and
     spares their joins.
     """
     known = nodes.select("repo_id", F.col("path").alias("target_path"))
-    hits = candidates(specs.where("not is_dynamic"), maps).join(known, ["repo_id", "target_path"]).groupBy("repo_id", "path", "spec").agg(F.min_by("target_path", "rank").alias("target_path"))
+    hits = direct_hits(specs.where("not is_dynamic"), maps, known)
     hits = hits.union(inside_paths(specs, known)) if go else hits
     edges = hits.where("target_path <> path").select("repo_id", F.col("path").alias("source_path"), "target_path").distinct()
     missing = specs.where("is_internal or is_dynamic").join(hits.select("repo_id", "path", "spec"), ["repo_id", "path", "spec"], "left_anti").select("repo_id", "path", "spec")

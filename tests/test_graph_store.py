@@ -40,6 +40,26 @@ def test_go_join_makes_no_pairs(spark):
     assert found.count() == 3000 and {r.target_path for r in found.select("target_path").distinct().collect()} == {"common/f0.go"}
 
 
+def test_specifiers_are_joined_once(spark):
+    """A specifier makes one row for each base, not one for each suffix, and means what trying all suffixes in order means."""
+    known = ["src/a.ts", "src/a/index.ts", "src/a.js", "src/b.jsx", "src/b.mjs", "src/c/index.jsx", "src/d", "src/d.ts", "p/x.py", "p/x/__init__.py", "p/y/__init__.py", "src/m.rs", "m.rs", "m/mod.rs", "n/mod.rs", "c/u.h", "c/u.hpp", "j/K.java", "j/K.rb"]
+    asked = [("typescript", "src/z.ts", "./a"), ("tsx", "src/z.tsx", "./b"), ("javascript", "src/z.js", "./c"), ("javascript", "src/z.js", "./d"), ("javascript", "src/z.js", "./none"), ("python", "p/z.py", ".x"), ("python", "p/z.py", "p.y"), ("python", "p/z.py", "..p"), ("rust", "z.rs", "crate::m"), ("rust", "z.rs", "crate::n"), ("c", "c/z.c", "u"), ("c", "c/z.c", "u.hpp"), ("java", "j/Z.java", "./K")]
+    want = {"./a": "src/a.ts", "./b": "src/b.jsx", "./c": "src/c/index.jsx", "./d": "src/d", ".x": "p/x.py", "p.y": "p/y/__init__.py", "crate::m": "src/m.rs", "crate::n": "n/mod.rs", "u": "c/u.h", "u.hpp": "c/u.hpp", "./K": "j/K.java"}
+    specs = spark.createDataFrame([(1, *x) for x in asked], "repo_id long, language string, path string, spec string")
+    paths = spark.createDataFrame([(1, p) for p in [*known, *known[:2]]] + [(2, "src/none.ts")], "repo_id long, target_path string")
+    assert imports.bases(specs, None).count() == len(asked) + 2  # Rust's crate has two bases
+    found = imports.direct_hits(specs, None, paths).collect()
+    assert {r.spec: r.target_path for r in found} == want and len(found) == len(want)
+
+
+def test_nearest_path_map(spark):
+    """Of two tsconfig files above a file the nearer one counts, of its maps the first that leads to a path."""
+    specs = spark.createDataFrame([(1, "typescript", "app/web/x.ts", "@/a"), (1, "typescript", "lib/x.ts", "@/a"), (2, "typescript", "x.ts", "@/a")], "repo_id long, language string, path string, spec string")
+    maps = spark.createDataFrame([(1, "", "@", "src", 0), (1, "app", "@", "app/none", 0), (1, "app", "@", "app/src", 1), (1, "app", "@", "app/old", 2), (1, "ap", "@", "src", 0)], "repo_id long, config_dir string, prefix string, target string, place int")
+    paths = spark.createDataFrame([(1, "src/a.ts"), (1, "app/old/a.ts"), (1, "app/src/a/index.tsx"), (2, "src/a.ts")], "repo_id long, target_path string")
+    assert {(r.path, r.target_path) for r in imports.direct_hits(specs, maps, paths).collect()} == {("app/web/x.ts", "app/src/a/index.tsx"), ("lib/x.ts", "src/a.ts")}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pushes_are_full_builds(spark, tmp_path, seed):
     rnd = random.Random(seed)
