@@ -68,21 +68,25 @@ def importers_of_added(specs: DataFrame, added: DataFrame) -> DataFrame:
     return clean.select("repo_id", "path", "relative", name.alias("name")).join(names, ["repo_id", "relative", "name"], "left_semi").select("repo_id", "path").distinct()
 
 
-def tokens_of(specs: DataFrame) -> DataFrame:
-    """(repo_id, name, is_go, path): the names by which a file's specifiers may mean a path.
+def tokens_of(parsed: DataFrame) -> DataFrame:
+    """(repo_id, name, is_go, path): the names by which the specifiers of a parsed file may mean a path, each once.
 
     These are the last two names of a specifier, with and without suffix, and ''
     for one of dots alone.  Go's specifiers are looked for inside paths, so they
-    are names as they stand.
+    are names as they stand.  A file's names are made distinct where it is read.
     """
-    clean = F.regexp_replace("spec", "^[<>\"']+|[<>\"']+$", "")
-    last = F.element_at(F.split(clean, "/"), -1)
-    words = F.filter(F.split(clean, r"[/.:\\\\]+"), lambda w: w != "")
-    none = F.array().cast("array<string>")
-    names = F.concat(F.array(last, F.regexp_replace(last, r"\.[^.]*$", "")), F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(none))
-    plain = F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("name"), F.lit(False).alias("is_go")))
-    whole = F.when(F.col("language") == "go", F.array(F.struct(F.col("spec").alias("name"), F.lit(True).alias("is_go")))).otherwise(F.array().cast("array<struct<name:string,is_go:boolean>>"))
-    return specs.select(*KEYS, F.explode(F.concat(plain, whole)).alias("n")).select("repo_id", "n.name", "n.is_go", "path").distinct()
+
+    def names(spec):
+        clean = F.regexp_replace(spec, "^[<>\"']+|[<>\"']+$", "")
+        last = F.element_at(F.split(clean, "/"), -1)
+        words = F.filter(F.split(clean, r"[/.:\\\\]+"), lambda w: w != "")
+        none = F.array().cast("array<string>")
+        return F.concat(F.array(last, F.regexp_replace(last, r"\.[^.]*$", "")), F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(none))
+
+    named = lambda found, go: F.transform(F.array_distinct(found), lambda n: F.struct(n.alias("name"), F.lit(go).alias("is_go")))
+    plain = named(F.flatten(F.transform("specs", lambda s: names(s["spec"]))), False)
+    whole = F.when(F.col("language") == "go", named(F.transform("specs", lambda s: s["spec"]), True)).otherwise(F.array().cast("array<struct<name:string,is_go:boolean>>"))
+    return parsed.select(*KEYS, F.explode(F.concat(plain, whole)).alias("n")).select("repo_id", "n.name", "n.is_go", "path")
 
 
 def specs_of(parsed: DataFrame) -> DataFrame:
@@ -95,7 +99,7 @@ def full_build(tree: DataFrame) -> Graph:
     read = written(imports.parsed(kept, (*NODE, "content")).withColumn("content", F.expr(f"if({CONFIG}, content, null)")), "parsed")
     specs, maps = specs_of(read), imports.aliases(read)
     edges, _ = imports.resolved(read, specs, maps)
-    return Graph(read.select(*NODE), specs, edges, tokens_of(specs), maps)
+    return Graph(read.select(*NODE), specs, edges, tokens_of(read), maps)
 
 
 def may_import(tokens: DataFrame, added: DataFrame, go: bool = True) -> DataFrame:
@@ -138,7 +142,7 @@ def incremental(graph: Graph, tree: DataFrame, removed: DataFrame) -> Increment:
     changed = fresh.join(known, KEYS, "left").where(~F.col("_old").eqNullSafe(F.col("content_hash")))
     read = imports.parsed(changed.withColumn("is_new", F.col("_old").isNull()), (*NODE, "content", "is_new"))
     parsed = written(read.withColumn("content", F.expr(f"if({CONFIG}, content, null)")), "pushed")
-    gone = removed.select(*KEYS).distinct()
+    gone = written(removed.select(*KEYS).distinct(), "removed")
     shape = parsed.select("is_new", "language", F.expr(CONFIG).alias("config")).unionByName(gone.select(F.lit(False).alias("is_new"), F.lit(None).cast("string").alias("language"), F.expr(CONFIG).alias("config")))
     shape = shape.agg(F.bool_or("is_new").alias("added"), F.bool_or("config").alias("remapped"), F.bool_or(F.col("language") == "go").alias("go")).first()
 
@@ -158,7 +162,7 @@ def incremental(graph: Graph, tree: DataFrame, removed: DataFrame) -> Increment:
     kinds = specs.agg(F.bool_or(F.col("language") == "go").alias("go"), F.bool_or(F.col("language").isin("typescript", "tsx", "javascript") & ~F.col("spec").startswith(".")).alias("bare")).first()
     edges, _ = imports.resolved(nodes, specs, maps if kinds.bare else None, go=bool(kinds.go))
     stale = touched.union(again).select("repo_id", F.col("path").alias("source_path")).distinct()
-    after = Graph(nodes, kept.unionByName(own), graph.edges.join(stale, ["repo_id", "source_path"], "left_anti").unionByName(edges.select(*graph.edges.columns)), kept_tokens.unionByName(tokens_of(own)), maps)
+    after = Graph(nodes, kept.unionByName(own), graph.edges.join(stale, ["repo_id", "source_path"], "left_anti").unionByName(edges.select(*graph.edges.columns)), kept_tokens.unionByName(tokens_of(parsed)), maps)
     return Increment(after, Graph._fields if shape.remapped else tuple(n for n in Graph._fields if n != "maps"), touched, again)
 
 

@@ -60,6 +60,16 @@ def test_nearest_path_map(spark):
     assert {(r.path, r.target_path) for r in imports.direct_hits(specs, maps, paths).collect()} == {("app/web/x.ts", "app/src/a/index.tsx"), ("lib/x.ts", "src/a.ts")}
 
 
+def test_names_are_made_distinct_where_files_are_read(spark):
+    """The index of names takes no shuffle, and has each name of a file once."""
+    parsed = spark.createDataFrame([("r", "a.go", "go", [("x/y.go",), ("z/y.go",)]), ("r", "b.ts", "typescript", [("./y",), ("..",), ("./y",)]), ("r", "c.md", None, [])], "repo_id string, path string, language string, specs array<struct<spec:string>>")
+    found = graph_updates.tokens_of(parsed)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [("y.go", False), ("y", False), ("go", False), ("x/y.go", True), ("z/y.go", True)]
+    got = sorted((r.path, r.name, r.is_go) for r in found.collect())
+    assert got == sorted([("a.go", *w) for w in want] + [("b.ts", n, False) for n in ("y", "..", ".", "")])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pushes_are_full_builds(spark, tmp_path, seed):
     rnd = random.Random(seed)
