@@ -173,3 +173,22 @@ def test_views_read_whole_tables(spark):
     assert d.pull_requests.count() == d.analysis_runs.count() == orders.count()
     assert {tuple(r) for r in d.pr_patches.collect()} == {(r.l_orderkey, r.l_orderkey * 10 + r.l_linenumber) for r in lines.collect()}
     assert {tuple(r) for r in d.atlas_links.collect()} == {(r.l_partkey, (r.l_partkey + ns * int(r.l_quantity)) % np) for r in lines.collect()}
+
+
+def test_links_are_dealt_by_their_rows(spark, monkeypatch):
+    """Shuffles get partitions by the rows of the links' table; where these are few, the settings stay."""
+    from orrery.plans import bindings
+
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    old = {k: spark.conf.get(k) for k in settings}
+    folder = "/root/testdata/sf0.001"
+    try:
+        whole = bindings.Domain(spark, folder).atlas_edges.count()
+        assert {k: spark.conf.get(k) for k in settings} == old
+        rows = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+        monkeypatch.setattr(bindings, "ROWS_IN_PARTITION", rows // 7)
+        edges = bindings.Domain(spark, folder).atlas_edges
+        assert int(spark.conf.get(settings[0])) in (7, 8) and spark.conf.get(settings[1]) == "16m" and edges.count() == whole
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
